@@ -1,0 +1,79 @@
+"""Greedy, order-dependent packing: one Arrow group per scan, stratum or split."""
+
+from __future__ import annotations
+
+import pandas as pd
+from pyspark.sql import DataFrame
+
+
+def pack(units: DataFrame, scan: str, tokens: int = 6000, most_units: int = 6, calls: int = 6) -> DataFrame:
+    """units (scan, unit, priority, size) to their batch, first fit in order of priority.
+
+    A unit goes to the first open batch with room; a new batch opens only if none fits and
+    the call cap allows. Leftovers are `too_large` or `budget`.
+    """
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["priority", "unit"], ascending=[False, True], kind="stable")
+        load: list[list[int]] = []
+        batch, reason = [], []
+        for size in group["size"]:
+            place, why = None, None
+            if size > tokens:
+                why = "too_large"
+            else:
+                place = next((i for i, (t, n) in enumerate(load) if t + size <= tokens and n < most_units), None)
+                if place is None and len(load) < calls:
+                    place = len(load)
+                    load.append([0, 0])
+                if place is None:
+                    why = "budget"
+                else:
+                    load[place][0] += size
+                    load[place][1] += 1
+            batch.append(place)
+            reason.append(why)
+        return group.assign(batch=pd.array(batch, "Int32"), reason=reason)[[scan, "unit", "size", "batch", "reason"]]
+
+    return units.groupBy(scan).applyInPandas(run, f"{scan} long, unit long, size long, batch int, reason string")
+
+
+def select_files(files: DataFrame, key: str, most: int = 6, lines: int = 2000) -> DataFrame:
+    """files (key, path, priority, changed): kept while they fit; a misfit is skipped, later ones may still fit."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["priority", "path"], ascending=[False, True], kind="stable")
+        kept, total, flags = 0, 0, []
+        for changed in group["changed"]:
+            take = kept < most and total + changed <= lines
+            kept += take
+            total += changed * take
+            flags.append(bool(take))
+        return group.assign(kept=flags)[[key, "path", "changed", "kept"]]
+
+    return files.groupBy(key).applyInPandas(run, f"{key} long, path string, changed long, kept boolean")
+
+
+def assign_sides(parts: DataFrame, targets: dict[str, dict[str, float]], split: str = "split") -> DataFrame:
+    """parts (split, component, cell, n) to a side per component, the largest first.
+
+    A side's cost is the sum over the component's cells of n * (filled + n) / target; the
+    lower wins and the first side wins ties. One group holds a split's component table,
+    counts per component and cell.
+    """
+    sides = sorted(targets)
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        filled = {s: {} for s in sides}
+        size = group.groupby("component")["n"].sum()
+        out = []
+        for component in sorted(size.index, key=lambda c: (-size[c], c)):
+            cells = group[group["component"] == component]
+            cost = {s: sum(n * (filled[s].get(c, 0) + n) / max(targets[s].get(c, 1.0), 1e-9) for c, n in zip(cells["cell"], cells["n"])) for s in sides}
+            side = min(sides, key=lambda s: (round(cost[s], 9), s))
+            for c, n in zip(cells["cell"], cells["n"]):
+                filled[side][c] = filled[side].get(c, 0) + n
+            out.append((group[split].iloc[0], component, int(size[component]), side))
+        return pd.DataFrame(out, columns=[split, "component", "n", "side"])
+
+    return parts.groupBy(split).applyInPandas(run, f"{split} long, component long, n long, side string")
