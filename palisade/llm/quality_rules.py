@@ -68,8 +68,7 @@ def with_quality(docs: DataFrame) -> DataFrame:
     )["n"]
     full = F.filter("_lines", lambda line: F.length(_blank_free(line)) > 0)
     stop = [x for line in STOP_WORDS for x in line.split()]
-    at = at.withColumn("_full", full).select(
-        *keep,
+    counts = F.struct(
         F.size("_words").cast("long").alias("n_words"),
         F.length(_blank_free(text)).cast("long").alias("word_chars"),
         (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
@@ -78,6 +77,8 @@ def with_quality(docs: DataFrame) -> DataFrame:
         F.size("_full").alias("_n_lines"),
         F.size(F.filter("_words", lambda x: x.isin(stop))).alias("_n_stop"),
     )
+    # a generator of one row: a filter on the verdict is not pushed below it, which would repeat the counts' expressions
+    at = at.withColumn("_full", full).select(*keep, F.inline(F.array(counts)))
     n = F.col("n_words")
     base = (n < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEAT_PERCENT * n)
     # counts to the thousand, so that each comparison is one of integers
