@@ -1,8 +1,469 @@
-"""Queries over the driver's tables, by name, with the SQL that gives the same rows."""
+"""Queries over the driver's tables, by name, with the SQL that gives the same rows.
 
-QUERIES = {}
-ORACLES = {}
+The mapping of the test tables to code-review data is stated with each group; doubles
+are rounded to 6 places where sums may come in another order.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from palisade.functions import scalars as S
+from palisade.operators import diffs, features, funnel, intervals, metrics, packing, retrieval, sampling, sets
+from palisade.sources import tables
+from palisade.streaming import jobs
+
+QUERIES: dict = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def r6(c, name: str):
+    return F.round(c, 6).alias(name)
+
+
+# --- retrieval: queries are the first 20 vectors, the corpus the rest; a vector's fixed
+# twin is the next one of its label; votes are events of the user with the vector's id
+
+N_QUERIES, TWIN_MARGIN = 20, -0.5
+VOTES = {"click": 1, "purchase": 1, "error": -1}
+
+_CORPUS_SQL = """
+v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e, lead(embedding::DOUBLE[]) OVER (PARTITION BY label ORDER BY vec_id) AS f FROM embeddings),
+q AS (SELECT vec_id AS query_id, e AS qe FROM v WHERE vec_id < 20),
+s AS (SELECT query_id, vec_id AS point_id, label, list_cosine_similarity(qe, e) AS score, list_cosine_similarity(qe, f) - list_cosine_similarity(qe, e) AS margin
+  FROM q, v WHERE vec_id >= 20),
+k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, point_id) AS rank FROM s QUALIFY rank <= 10),
+g AS (SELECT * FROM k WHERE score >= 0.0 AND (margin IS NULL OR margin >= -0.5)),
+lv AS (SELECT user_id AS point_id, event_type, CASE WHEN event_type = 'error' THEN -1 ELSE 1 END AS vote FROM events WHERE event_type IN ('click', 'purchase', 'error')
+  QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1),
+net AS (SELECT point_id, sum(vote)::BIGINT AS net FROM lv GROUP BY point_id),
+fin AS (SELECT query_id, g.point_id, label, rank, score, margin, score * greatest(0.3, 1 + 0.15 * least(coalesce(net, 0), 0)) AS final FROM g LEFT JOIN net ON g.point_id = net.point_id WHERE coalesce(net, 0) > -2),
+top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY final DESC, rank) AS place FROM fin QUALIFY place <= 3)
+"""
+
+
+def _vectors(spark, sf_dir):
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("point_id"), "label", F.col("embedding").alias("vector"))
+    v = v.withColumn("fixed", F.lead("vector").over(Window.partitionBy("label").orderBy("point_id")))
+    return v.filter(F.col("point_id") < N_QUERIES).select(F.col("point_id").alias("query_id"), "vector"), v.filter(F.col("point_id") >= N_QUERIES)
+
+
+def _votes(spark, sf_dir):
+    e = table(spark, sf_dir, "events").withColumn("vote", S.lookup(VOTES, F.col("event_type"))).filter("vote is not null")
+    return retrieval.latest_votes(e.select(F.col("user_id").alias("point_id"), F.col("event_type").alias("finding_id"), "vote", "ts", F.col("event_id").alias("id")))
+
+
+def _gated(spark, sf_dir):
+    queries, corpus = _vectors(spark, sf_dir)
+    top = retrieval.top_k(queries, corpus, threshold=None).filter(F.col("score") >= 0.0)
+    return retrieval.passes_twin(retrieval.twin_margin(top, queries), TWIN_MARGIN)
+
+
+@query(f"WITH {_CORPUS_SQL} SELECT query_id, point_id, rank, round(score, 6) AS score, round(margin, 6) AS twin_margin FROM k WHERE score >= 0.0 AND (margin IS NULL OR margin >= -0.5)")
+def twin_topk(spark, sf_dir):
+    return _gated(spark, sf_dir).select("query_id", "point_id", F.col("rank").cast("long"), r6(F.col("score"), "score"), r6(F.col("twin_margin"), "twin_margin"))
+
+
+@query(f"WITH {_CORPUS_SQL} SELECT query_id, point_id, place, round(final, 6) AS final FROM top")
+def finalize_matches(spark, sf_dir):
+    return flagship(spark, sf_dir).select("query_id", "point_id", F.col("place").cast("long"), r6(F.col("final"), "final"))
 
 
 def flagship(spark, sf_dir):
-    raise NotImplementedError
+    return retrieval.finalize(_gated(spark, sf_dir).select("query_id", "point_id", "label", "rank", "score", "twin_margin"), _votes(spark, sf_dir))
+
+
+@query(f"WITH {_CORPUS_SQL} SELECT label, query_id, point_id, round(final, 6) AS final FROM top QUALIFY row_number() OVER (PARTITION BY label ORDER BY final DESC, query_id, point_id) = 1")
+def dedupe_best(spark, sf_dir):
+    best = retrieval.best_per_key(flagship(spark, sf_dir), ["label"], [F.desc("final"), "query_id", "point_id"])
+    return best.select("label", "query_id", "point_id", r6(F.col("final"), "final"))
+
+
+@query(f"WITH {_CORPUS_SQL} SELECT point_id, net FROM net")
+def net_votes(spark, sf_dir):
+    return retrieval.net_votes(_votes(spark, sf_dir))
+
+
+@query(f"""WITH {_CORPUS_SQL},
+l2 AS (SELECT query_id, vec_id AS point_id, row_number() OVER (PARTITION BY query_id ORDER BY abs(vec_id - query_id), vec_id) AS rank FROM q, v WHERE vec_id >= 20 QUALIFY rank <= 10),
+u AS (SELECT query_id, point_id, 1.0::DOUBLE / (2 + rank - 1) AS x FROM (SELECT query_id, point_id, rank FROM k UNION ALL SELECT query_id, point_id, rank FROM l2)),
+f AS (SELECT query_id, point_id, round(sum(x), 6) AS fused, round(sum(x), 9) AS o FROM u GROUP BY ALL)
+SELECT query_id, point_id, fused FROM f QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY o DESC, point_id) <= 3""")
+def hybrid_rrf(spark, sf_dir):
+    queries, corpus = _vectors(spark, sf_dir)
+    dense = retrieval.top_k(queries, corpus)
+    near = Window.partitionBy("query_id").orderBy(F.abs(F.col("point_id") - F.col("query_id")), "point_id")
+    other = corpus.select("point_id").crossJoin(F.broadcast(queries.select("query_id"))).withColumn("rank", F.row_number().over(near)).filter("rank <= 10")  # 20 stated queries
+    return retrieval.reciprocal_rank_fusion([dense, other]).select("query_id", "point_id", r6(F.col("fused"), "fused"))
+
+
+@query("""SELECT t AS threshold, count(*) FILTER (lab AND p) AS tp, count(*) FILTER (NOT lab AND p) AS fp, count(*) FILTER (lab AND NOT p) AS fn, count(*) FILTER (NOT lab AND NOT p) AS tn
+FROM (SELECT t, toxic = 1 AS lab, n_chars / 4000.0::DOUBLE >= t AS p FROM labels JOIN documents USING (doc_id), (SELECT unnest([0.1, 0.25, 0.5, 1.0])::DOUBLE AS t)) GROUP BY t""")
+def threshold_sweep(spark, sf_dir):
+    out = metrics.sweep(_scored(spark, sf_dir), [0.1, 0.25, 0.5, 1.0])
+    return out.select("threshold", "tp", "fp", "fn", "tn")
+
+
+# --- metrics: the label is toxic, the prediction a length rule; quality 0 in src0 is unscored
+
+def _scored(spark, sf_dir):
+    d = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents"), "doc_id")
+    pred = F.when((F.col("quality") == 0) & (F.col("source") == "src0"), None).otherwise(F.col("n_chars") > 1000)
+    return d.select(F.col("doc_id").alias("id"), "lang", "source", "quality", (F.col("toxic") == 1).alias("label"), (F.col("n_chars") / 4000.0).alias("score"), pred.alias("pred"))
+
+
+_SCORED = """m AS (SELECT doc_id AS id, lang, source, quality, toxic = 1 AS label, n_chars / 4000.0::DOUBLE AS score,
+  CASE WHEN quality = 0 AND source = 'src0' THEN NULL ELSE n_chars > 1000 END AS pred FROM labels JOIN documents USING (doc_id))"""
+
+
+@query(f"""WITH {_SCORED}, c AS (SELECT lang, count(*) FILTER (label AND pred) AS tp, count(*) FILTER (NOT label AND pred) AS fp, count(*) FILTER (label AND NOT pred) AS fn,
+  count(*) FILTER (NOT label AND NOT pred) AS tn FROM m GROUP BY lang)
+SELECT *, round(coalesce(tp::DOUBLE / nullif(tp + fp, 0), 0), 6) AS precision, round(coalesce(tp::DOUBLE / nullif(tp + fn, 0), 0), 6) AS recall,
+  round(coalesce(2.0::DOUBLE * tp / nullif(2 * tp + fp + fn, 0), 0), 6) AS f1 FROM c""")
+def confusion(spark, sf_dir):
+    return metrics.confusion(_scored(spark, sf_dir), ["lang"]).withColumns({c: F.round(c, 6) for c in ("precision", "recall", "f1")})
+
+
+@query(f"""WITH {_SCORED}, c AS (SELECT source, count(*) FILTER (pred) AS k, count(pred) AS n FROM m GROUP BY source), p AS (SELECT *, k::DOUBLE / nullif(n, 0) AS rate FROM c)
+SELECT source, k, n, round(rate, 6) AS rate,
+  CASE WHEN n > 0 THEN round(greatest(0, (rate + 3.8416 / (2 * n)) / (1 + 3.8416 / n) - 1.96 * sqrt(rate * (1 - rate) / n + 3.8416 / (4.0 * n * n)) / (1 + 3.8416 / n)), 6) END AS low,
+  CASE WHEN n > 0 THEN round(least(1, (rate + 3.8416 / (2 * n)) / (1 + 3.8416 / n) + 1.96 * sqrt(rate * (1 - rate) / n + 3.8416 / (4.0 * n * n)) / (1 + 3.8416 / n)), 6) END AS high FROM p""")
+def rates_by_group(spark, sf_dir):
+    return metrics.rates(_scored(spark, sf_dir), ["source"], "pred").withColumns({c: F.round(c, 6) for c in ("rate", "low", "high")})
+
+
+@query(f"""WITH {_SCORED}, t AS (SELECT count(*) FILTER (label AND pred)::DOUBLE / count(*) FILTER (label AND pred IS NOT NULL) AS tpr,
+  count(*) FILTER (NOT label AND pred)::DOUBLE / count(*) FILTER (NOT label AND pred IS NOT NULL) AS fpr FROM m)
+SELECT base_rate, round(base_rate * tpr / (base_rate * tpr + (1 - base_rate) * fpr), 6) AS precision_at_base_rate FROM t, (SELECT unnest([0.01, 0.02, 0.05])::DOUBLE AS base_rate)""")
+def precision_at_base_rate(spark, sf_dir):
+    m = _scored(spark, sf_dir)
+    scored = F.col("pred").isNotNull()
+    t = m.agg(
+        (F.count_if(F.col("label") & F.col("pred")) / F.count_if(F.col("label") & scored)).alias("tpr"),
+        (F.count_if(~F.col("label") & F.col("pred")) / F.count_if(~F.col("label") & scored)).alias("fpr"),
+    )
+    return metrics.base_rate_precision(F.col("tpr"), F.col("fpr"), t, [0.01, 0.02, 0.05]).select("base_rate", r6(F.col("precision_at_base_rate"), "precision_at_base_rate"))
+
+
+@query(f"WITH {_SCORED} SELECT lang, source, grouping(lang)::BIGINT AS all_langs, grouping(source)::BIGINT AS all_sources, count(*) AS n, count(*) FILTER (pred) AS k FROM m GROUP BY GROUPING SETS ((lang, source), (lang), (source), ())")
+def breakdown_grouping_sets(spark, sf_dir):
+    m = _scored(spark, sf_dir)
+    lang, source = F.col("lang"), F.col("source")
+    out = m.groupingSets([[lang, source], [lang], [source], []], lang, source)
+    return out.agg(F.grouping("lang").cast("long").alias("all_langs"), F.grouping("source").cast("long").alias("all_sources"), F.count("*").alias("n"), F.count_if("pred").alias("k"))
+
+
+@query(f"WITH {_SCORED} SELECT lang, quality, count(*) AS n FROM m GROUP BY CUBE (lang, quality)")
+def cube_counts(spark, sf_dir):
+    return _scored(spark, sf_dir).cube("lang", "quality").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {_SCORED}, b AS (SELECT a.id AS x, b.id AS y, a.pred AS a, b.pred AS b FROM (SELECT id, pred FROM m WHERE pred IS NOT NULL) a
+  FULL JOIN (SELECT id, score > 0.3 AS pred FROM m WHERE lang <> 'de') b ON a.id = b.id)
+SELECT count(*) FILTER (a AND b) AS "both", count(*) FILTER (a AND NOT b) AS only_a, count(*) FILTER (NOT a AND b) AS only_b, count(*) FILTER (NOT a AND NOT b) AS neither,
+  count(*) FILTER (b IS NULL) AS missing_b, count(*) FILTER (a IS NULL) AS missing_a FROM b""")
+def mcnemar_table(spark, sf_dir):
+    m = _scored(spark, sf_dir)
+    return metrics.paired(m.select("id", "pred"), m.filter("lang <> 'de'").select("id", (F.col("score") > 0.3).alias("pred")))
+
+
+@query("""WITH o AS (SELECT o_custkey AS id, o_totalprice > 150000 AS pred FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) <= 3),
+i AS (SELECT id, count(DISTINCT pred) AS kinds, count(pred) AS n FROM o GROUP BY id HAVING count(pred) = 3)
+SELECT count(*) FILTER (kinds > 1) AS flips, count(*) AS items, round(count(*) FILTER (kinds > 1)::DOUBLE / count(*), 6) AS rate FROM i""")
+def flip_rate(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    first = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    rows = o.withColumn("_n", F.row_number().over(first)).filter("_n <= 3").select(F.col("o_custkey").alias("id"), (F.col("o_totalprice") > 150000).alias("pred"))
+    return metrics.flip_rate(rows, 3).withColumn("rate", F.round("rate", 6))
+
+
+@query(f"WITH {_SCORED} SELECT lang, count(*) FILTER (pred) AS k, count(*) FILTER (pred IS NULL) AS unknown, count(*) AS n, round(count(*) FILTER (pred)::DOUBLE / count(*), 6) AS low, round((count(*) FILTER (pred) + count(*) FILTER (pred IS NULL))::DOUBLE / count(*), 6) AS high FROM m GROUP BY lang")
+def sensitivity_bounds(spark, sf_dir):
+    return metrics.bounds(_scored(spark, sf_dir), ["lang"]).withColumns({c: F.round(c, 6) for c in ("low", "high")})
+
+
+@query("""WITH p AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS i, count(*) OVER (PARTITION BY event_type) AS c FROM events WHERE value IS NOT NULL)
+SELECT event_type, count(*) AS n, max(CASE WHEN i = ceil(0.5 * c) THEN value END) AS p50, max(CASE WHEN i = ceil(0.9 * c) THEN value END) AS p90 FROM p GROUP BY event_type""")
+def nearest_rank_quantiles(spark, sf_dir):
+    return metrics.nearest_rank(table(spark, sf_dir, "events"), ["event_type"], "value", {"p50": 0.5, "p90": 0.9})
+
+
+# --- intervals: an order's ship dates are a closed span of days in its customer's file, order dates are points
+
+_SPANS = """s AS (SELECT o_custkey AS k, o_orderkey AS pos, date_diff('day', DATE '1970-01-01', min(l_shipdate)::DATE) AS a, date_diff('day', DATE '1970-01-01', max(l_shipdate)::DATE) AS b
+  FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY ALL),
+p AS (SELECT o_custkey AS k, o_orderkey AS point, date_diff('day', DATE '1970-01-01', o_orderdate::DATE) AS d FROM orders)"""
+
+
+def _spans(spark, sf_dir):
+    day = lambda c: F.unix_date(F.col(c).cast("date"))
+    o, li = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    s = o.join(li, F.col("o_orderkey") == F.col("l_orderkey")).groupBy(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("pos")).agg(F.min(day("l_shipdate")).alias("a"), F.max(day("l_shipdate")).alias("b"))
+    return s, o.select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("point"), day("o_orderdate").alias("at"))
+
+
+@query(f"WITH {_SPANS} SELECT point, pos, b - a AS length FROM p JOIN s ON p.k = s.k AND d BETWEEN a AND b QUALIFY row_number() OVER (PARTITION BY point ORDER BY b - a, pos) = 1")
+def innermost_interval(spark, sf_dir):
+    s, p = _spans(spark, sf_dir)
+    return intervals.innermost(p, s, "k", ["point"], "at", "a", "b", "pos").select("point", "pos", (F.col("b") - F.col("a")).cast("long").alias("length"))
+
+
+@query(f"WITH {_SPANS} SELECT point, pos, b - a AS length FROM p JOIN s ON p.k = s.k AND d BETWEEN a AND b QUALIFY row_number() OVER (PARTITION BY point ORDER BY b - a DESC, pos) = 1")
+def outermost_interval(spark, sf_dir):
+    s, p = _spans(spark, sf_dir)
+    return intervals.innermost(p, s, "k", ["point"], "at", "a", "b", "pos", outermost=True).select("point", "pos", (F.col("b") - F.col("a")).cast("long").alias("length"))
+
+
+@query(f"WITH {_SPANS} SELECT point, pos, abs(d - a) AS distance FROM p JOIN s ON p.k = s.k QUALIFY row_number() OVER (PARTITION BY point ORDER BY abs(d - a), pos) = 1")
+def nearest_start(spark, sf_dir):
+    s, p = _spans(spark, sf_dir)
+    return intervals.nearest(p, s, ["k"], ["point"], "at", "a", "pos").select("point", "pos", F.abs(F.col("at") - F.col("a")).cast("long").alias("distance"))
+
+
+@query(f"""WITH {_SPANS}, f AS (SELECT point, string_agg(DISTINCT pos::VARCHAR, ',' ORDER BY pos::VARCHAR) AS sources FROM p JOIN s ON p.k = s.k AND abs(d - a) <= 3 GROUP BY point)
+SELECT p.point, sources FROM p LEFT JOIN f ON p.point = f.point""")
+def corroborate(spark, sf_dir):
+    s, p = _spans(spark, sf_dir)
+    return intervals.corroborated(p, s.withColumn("source", F.col("pos").cast("string")), "k", "point", "at", "a", "source").select("point", "sources")
+
+
+# --- funnels: documents as candidates
+
+@query("""SELECT doc_id, CASE WHEN n_chars < 100 THEN 'too_short' WHEN n_chars > 8000 THEN 'too_long' WHEN lang NOT IN ('en', 'de') THEN 'language' WHEN contains(text, 'Licensed under') THEN 'license' END AS first_reason,
+array_to_string(list_filter([CASE WHEN n_chars < 100 THEN 'too_short' END, CASE WHEN n_chars > 8000 THEN 'too_long' END, CASE WHEN lang NOT IN ('en', 'de') THEN 'language' END,
+  CASE WHEN contains(text, 'Licensed under') THEN 'license' END], lambda x: x IS NOT NULL), ',') AS all_reasons FROM documents""")
+def reject_reasons(spark, sf_dir):
+    checks = [("too_short", F.col("n_chars") < 100), ("too_long", F.col("n_chars") > 8000), ("language", ~F.col("lang").isin("en", "de")), ("license", F.contains("text", F.lit("Licensed under")))]
+    return table(spark, sf_dir, "documents").select("doc_id", funnel.first_reason(checks).alias("first_reason"), F.array_join(funnel.all_reasons(checks), ",").alias("all_reasons"))
+
+
+_CANDIDATES = """c AS (SELECT event_id AS id, user_id AS scan, event_type AS unit, CASE event_id % 4 WHEN 0 THEN 'low' WHEN 1 THEN 'medium' WHEN 2 THEN 'high' ELSE 'critical' END AS severity,
+  CASE WHEN event_id % 11 = 0 THEN NULL ELSE event_id % 10 + 1 END AS confidence, hour(ts) AS line, CASE WHEN event_id % 13 = 0 THEN 'tests' END AS exclusion,
+  CASE event_id % 3 WHEN 0 THEN 'confirmed' WHEN 1 THEN 'rejected' END AS verdict FROM events)"""
+
+
+def _candidates(spark, sf_dir):
+    i = F.col("event_id")
+    severity = F.element_at(F.array(*[F.lit(s) for s in ("low", "medium", "high", "critical")]), (i % 4 + 1).cast("int"))
+    return table(spark, sf_dir, "events").select(
+        i.alias("id"), F.col("user_id").alias("scan"), F.col("event_type").alias("unit"), severity.alias("severity"), F.when(i % 11 != 0, i % 10 + 1).alias("confidence"),
+        F.hour("ts").alias("line"), F.when(i % 13 == 0, "tests").alias("exclusion"), F.when(i % 3 == 0, "confirmed").when(i % 3 == 1, "rejected").alias("verdict"),
+    )
+
+
+@query(f"""WITH {_CANDIDATES}, r AS (SELECT *, CASE severity WHEN 'low' THEN 1 WHEN 'medium' THEN 2 WHEN 'high' THEN 3 ELSE 4 END AS sr, coalesce(confidence, 5) AS cf FROM c),
+d AS (SELECT *, row_number() OVER (PARTITION BY scan, unit, line ORDER BY sr DESC, cf DESC, id) > 1 AS copy FROM r),
+o AS (SELECT *, NOT copy AND exclusion IS NULL AND cf >= 5 AS open FROM d), p AS (SELECT *, row_number() OVER (PARTITION BY scan, open ORDER BY sr DESC, cf DESC, id) AS place FROM o)
+SELECT id, CASE WHEN copy THEN 'duplicate' WHEN exclusion IS NOT NULL THEN 'excluded' WHEN cf < 5 THEN 'below_floor' WHEN place > 8 THEN 'over_cap' WHEN verdict IS NULL THEN 'not_verified'
+  WHEN verdict = 'confirmed' AND cf >= 7 THEN 'confirmed' WHEN verdict = 'confirmed' THEN 'low_confidence' ELSE 'rejected' END AS status FROM p""")
+def funnel_partition(spark, sf_dir):
+    return funnel.funnel(_candidates(spark, sf_dir), "scan", ["unit", "line"]).select("id", "status")
+
+
+@query(f"WITH {_CANDIDATES} SELECT scan, bool_or(severity = 'critical') AS fails FROM c GROUP BY scan")
+def severity_gate(spark, sf_dir):
+    return funnel.gate(_candidates(spark, sf_dir), ["scan"], "critical")
+
+
+@query("""WITH u AS (SELECT user_id AS scan, CASE WHEN event_type IN ('click', 'view') THEN 'reviewed' WHEN event_type = 'error' THEN 'partial' ELSE 'left' END AS state FROM events)
+SELECT scan, count(*) AS total, count(*) FILTER (state = 'reviewed') AS reviewed, count(*) FILTER (state = 'partial') AS "partial",
+  CASE WHEN count(*) FILTER (state <> 'left') = 0 THEN 'failed' WHEN count(*) FILTER (state = 'reviewed') < count(*) THEN 'partial' ELSE 'complete' END AS status FROM u GROUP BY scan""")
+def coverage_status(spark, sf_dir):
+    state = F.when(F.col("event_type").isin("click", "view"), "reviewed").when(F.col("event_type") == "error", "partial").otherwise("left")
+    return funnel.coverage(table(spark, sf_dir, "events").select(F.col("user_id").alias("scan"), state.alias("state")), "scan")
+
+
+@query("""WITH h AS (SELECT event_id, user_id::VARCHAR || ':' || event_type AS marker, round(value, 2) AS body, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS n FROM events WHERE event_type <> 'signup' AND event_id % 2 = 0),
+w AS (SELECT user_id::VARCHAR || ':' || event_type AS marker, round(min(value), 2) AS body FROM events WHERE event_type <> 'error' GROUP BY ALL)
+SELECT coalesce(h.marker, w.marker) AS marker, event_id AS comment_id, CASE WHEN w.marker IS NULL OR n > 1 THEN 'delete' WHEN event_id IS NULL THEN 'create' WHEN h.body = w.body THEN 'keep' ELSE 'update' END AS op
+FROM h FULL JOIN w ON h.marker = w.marker""")
+def comment_ops(spark, sf_dir):
+    e = table(spark, sf_dir, "events").withColumn("marker", F.concat_ws(":", F.col("user_id").cast("string"), "event_type"))
+    existing = e.filter("event_type <> 'signup' and event_id % 2 = 0").select(F.col("event_id").alias("comment_id"), "marker", F.round("value", 2).alias("body"))
+    return funnel.comment_plan(existing, e.filter("event_type <> 'error'").groupBy("marker").agg(F.round(F.min("value"), 2).alias("body")))
+
+
+# --- sets: features of an order are its lines, old and new by ship year
+
+@query("""WITH a AS (SELECT l_suppkey AS s, l_returnflag AS f, l_orderkey AS o, l_linenumber AS n, row_number() OVER (PARTITION BY l_suppkey, l_returnflag ORDER BY l_orderkey, l_linenumber) AS i FROM lineitem WHERE l_linestatus = 'F'),
+b AS (SELECT l_suppkey AS s, l_returnflag AS f, count(*) AS c FROM lineitem WHERE l_linestatus = 'O' GROUP BY ALL)
+SELECT a.s AS l_suppkey, a.f AS l_returnflag, o AS l_orderkey, n AS l_linenumber FROM a LEFT JOIN b ON a.s = b.s AND a.f = b.f WHERE i > coalesce(c, 0)""")
+def multiset_diff(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_returnflag", "l_orderkey", "l_linenumber", "l_linestatus")
+    return sets.multiset_minus(rows.filter("l_linestatus = 'F'"), rows.filter("l_linestatus = 'O'"), ["l_suppkey", "l_returnflag"], ["l_orderkey", "l_linenumber"]).drop("l_linestatus").select("l_suppkey", "l_returnflag", "l_orderkey", "l_linenumber")
+
+
+@query("SELECT l_partkey, sum(CASE WHEN l_linestatus = 'F' THEN -1 ELSE 1 END)::BIGINT AS net FROM lineitem GROUP BY l_partkey HAVING sum(CASE WHEN l_linestatus = 'F' THEN -1 ELSE 1 END) <> 0")
+def net_changes(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select("l_partkey", "l_linestatus")
+    return sets.net_counts(rows.filter("l_linestatus = 'F'"), rows.filter("l_linestatus <> 'F'"), ["l_partkey"])
+
+
+@query(r"SELECT sha256(regexp_replace(text, '[ \t\n\x0b\f\r]+', '', 'g')) AS body, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY 1 HAVING count(*) > 1")
+def body_hash_dupes(spark, sf_dir):
+    body = F.sha2(S.canonical(F.col("text")), 256)
+    return table(spark, sf_dir, "documents").groupBy(body.alias("body")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id")).filter("n > 1")
+
+
+def _doc_tokens(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").filter(F.col("text").isNotNull())
+    return d.select(F.col("doc_id").alias("id"), F.array_distinct(F.array_remove(F.split(F.col("text"), r"[ \n]+"), "")).alias("tokens"))
+
+
+_DOC_LINKS = r"""t AS (SELECT doc_id AS id, list_distinct(list_filter(regexp_split_to_array(text, '[ \n]+'), lambda x: x <> '')) AS w FROM documents WHERE text IS NOT NULL),
+s AS (SELECT id, len(w) AS n, w FROM t WHERE len(w) >= 5), x AS (SELECT id, n, unnest(w) AS k FROM s),
+l AS (SELECT a, b, c::DOUBLE / (na + nb - c) AS jaccard FROM (SELECT p.id AS a, q.id AS b, any_value(p.n) AS na, any_value(q.n) AS nb, count(*) AS c FROM x p JOIN x q ON p.k = q.k AND p.id < q.id
+  AND least(p.n, q.n) >= 0.7 * greatest(p.n, q.n) GROUP BY p.id, q.id) WHERE c::DOUBLE / (na + nb - c) >= 0.7)"""
+
+
+@query(f"WITH {_DOC_LINKS} SELECT a, b, round(jaccard, 6) AS jaccard FROM l")
+def near_dups(spark, sf_dir):
+    return sets.near_duplicate_links(_doc_tokens(spark, sf_dir)).select("a", "b", r6(F.col("jaccard"), "jaccard"))
+
+
+@query(f"""WITH RECURSIVE {_DOC_LINKS}, e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r(id, c) AS (SELECT id, id FROM t UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.id) SELECT id, min(c) AS component FROM r GROUP BY id""")
+def components(spark, sf_dir):
+    tokens = _doc_tokens(spark, sf_dir)
+    return sets.components(tokens.select("id"), sets.near_duplicate_links(tokens).select("a", "b"))
+
+
+@query("SELECT md5(text) AS key, count(DISTINCT source) AS sides, count(*) AS n FROM documents GROUP BY 1 HAVING count(DISTINCT source) > 1")
+def leak_check(spark, sf_dir):
+    return sets.leaks(table(spark, sf_dir, "documents").select(F.md5(F.col("text").cast("binary")).alias("key"), "source"), "key", "source")
+
+
+# --- sampling
+
+@query("""WITH g AS (SELECT DISTINCT c_nationkey AS g FROM customer), o AS (SELECT g, row_number() OVER (ORDER BY sha256('7:' || g), g) AS i FROM g), n AS (SELECT round_even(count(*) * 0.15, 0) AS take FROM g)
+SELECT c_custkey, i <= take AS held_out FROM customer JOIN o ON g = c_nationkey, n""")
+def group_holdout(spark, sf_dir):
+    return sampling.group_holdout(table(spark, sf_dir, "customer"), "c_nationkey", 0.15, 7).select("c_custkey", "held_out")
+
+
+@query("SELECT lang, doc_id FROM documents QUALIFY row_number() OVER (PARTITION BY lang ORDER BY sha256('3:' || lang || ':' || doc_id), doc_id) <= 25")
+def stratified_sample(spark, sf_dir):
+    return sampling.stratified(table(spark, sf_dir, "documents"), ["lang"], "doc_id", 25, 3).select("lang", "doc_id")
+
+
+@query("""WITH d AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY sha256('5:' || doc_id), doc_id) AS t FROM documents)
+SELECT source, doc_id FROM d WHERE t <= 25 ORDER BY t, sha256('5:' || source), source LIMIT 150""")
+def round_robin_sample(spark, sf_dir):
+    return sampling.round_robin(table(spark, sf_dir, "documents"), "source", "doc_id", 150, 25, 5).select("source", "doc_id")
+
+
+@query("""WITH p AS (SELECT lang, count(*) AS size FROM documents GROUP BY lang), s AS (SELECT lang, size, size * 97 / sum(size) OVER ()::DOUBLE AS share FROM p),
+i AS (SELECT *, row_number() OVER (ORDER BY round(share - floor(share), 9) DESC, lang) AS i, 97 - sum(floor(share)) OVER () AS l FROM s)
+SELECT lang, size, (floor(share) + CASE WHEN i <= l THEN 1 ELSE 0 END)::BIGINT AS quota FROM i""")
+def largest_remainder(spark, sf_dir):
+    return sampling.largest_remainder(table(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("size")), "lang", "size", 97)
+
+
+# --- streams and stores
+
+@query("SELECT user_id, event_type AS finding, CASE WHEN event_type = 'error' THEN -1 ELSE 1 END AS vote FROM events WHERE event_type IN ('click', 'purchase', 'error') QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1")
+def latest_vote(spark, sf_dir):
+    return _votes(spark, sf_dir).select(F.col("point_id").alias("user_id"), F.col("finding_id").alias("finding"), "vote")
+
+
+@query("""WITH e AS (SELECT user_id AS job, ts, event_id AS id, CASE event_type WHEN 'signup' THEN 'queued' WHEN 'view' THEN 'running' WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' END AS state FROM events WHERE event_id % 7 = 0)
+SELECT job, state FROM e WHERE state IS NOT NULL QUALIFY row_number() OVER (PARTITION BY job ORDER BY CASE state WHEN 'queued' THEN 0 WHEN 'running' THEN 1 ELSE 2 END DESC, ts, id) = 1""")
+def job_states(spark, sf_dir):
+    states = {"signup": "queued", "view": "running", "purchase": "completed", "error": "failed"}
+    e = table(spark, sf_dir, "events").filter("event_id % 7 = 0").select(F.col("user_id").alias("job"), S.lookup(states, F.col("event_type")).alias("state"), "ts", F.col("event_id").alias("id"))
+    return jobs.latest_state(e).select("job", "state")
+
+
+@query("SELECT event_id, round(sum(value) OVER (PARTITION BY event_type ORDER BY epoch(ts)::BIGINT RANGE BETWEEN 59 PRECEDING AND CURRENT ROW), 4) AS load FROM (SELECT event_id, event_type, value, date_trunc('second', ts) AS ts FROM events)")
+def sliding_budget(spark, sf_dir):
+    return jobs.sliding_load(table(spark, sf_dir, "events").select("event_id", "event_type", "ts", "value"), "event_type", "ts", "value").select("event_id", F.round("load", 4).alias("load"))
+
+
+@query("""WITH c AS (SELECT user_id AS key, value FROM events WHERE event_type = 'view' QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1)
+SELECT o_orderkey, value, CASE WHEN value IS NULL THEN 'not_run' ELSE 'cached' END AS status FROM orders LEFT JOIN c ON key = o_custkey""")
+def replay_cache(spark, sf_dir):
+    cache = table(spark, sf_dir, "events").filter("event_type = 'view'").select(F.col("user_id").alias("key"), "value", F.col("event_id").alias("written"))
+    return jobs.read_through(table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("key")), cache, "key").select("o_orderkey", "value", "status")
+
+
+@query("SELECT user_id AS repo, max(event_id) AS last_pr, max(ts) AS run_at FROM events GROUP BY 1")
+def cursor(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("repo"), F.col("event_id").alias("last_pr"), F.col("ts").alias("run_at"))
+    return tables.advance_cursor(e.filter("last_pr % 2 = 0"), e.filter("last_pr % 2 = 1"))
+
+
+@query("SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n FROM events GROUP BY ALL")
+def windowed_counts(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(F.col("ts"), "event_type")
+    return e.groupBy(F.date_trunc("hour", F.col("ts").cast("timestamp")).cast("timestamp_ntz").alias("hour"), "event_type").agg(F.count("*").alias("n"))
+
+
+# --- text
+
+@query(r"SELECT page_id, regexp_extract(url, '^([a-z]+)://', 1) AS scheme, regexp_extract(url, '://([^/?#]*)', 1) AS host, regexp_extract(url, '://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(url, '[?]([^#]*)', 1) AS query FROM pages")
+def url_parts(spark, sf_dir):
+    part = lambda p: F.regexp_extract("url", p, 1)
+    return table(spark, sf_dir, "pages").select("page_id", part("^([a-z]+)://").alias("scheme"), part("://([^/?#]*)").alias("host"), part("://[^/?#]*([^?#]*)").alias("path"), part("[?]([^#]*)").alias("query"))
+
+
+@query(r"SELECT doc_id, ceil(length(text) / 4.0 * 1.25)::BIGINT AS tokens, left(trim(regexp_replace(text, '[ \t\n\x0b\f\r]+', ' ', 'g'), ' '), 300) AS short FROM documents")
+def sanitize_text(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", S.token_estimate(F.col("text")).cast("long").alias("tokens"), F.left(F.trim(F.regexp_replace("text", r"\s+", " ")), F.lit(300)).alias("short"))
+
+
+@query("SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS body, count(*) AS turns FROM conversations GROUP BY conv_id HAVING sum(length(text)) >= 80")
+def conversation_docs(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").groupBy("conv_id")
+    out = c.agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"), F.count("*").alias("turns"), F.sum(F.length("text")).alias("n"))
+    return out.filter("n >= 80").select("conv_id", F.array_join(F.col("t.text"), "\n").alias("body"), "turns")
+
+
+@query("SELECT doc_id, 'doc:' || left(sha1(doc_id || '|' || lang || '|' || source), 16) AS identity FROM documents")
+def content_ids(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", S.content_id("doc", F.col("doc_id").cast("string"), F.col("lang"), F.col("source")).alias("identity"))
+
+
+# --- diffs, features and packing: checked by invariants in the tests
+
+@query()
+def diff_lines(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    w = Window.partitionBy("source").orderBy("doc_id")
+    pairs = d.withColumn("old", F.lag("text").over(w)).filter("old is not null").select("doc_id", "old", F.col("text").alias("new"))
+    return diffs.with_patch(pairs).select("doc_id", "diff.added", "diff.removed", "diff.round_trip", F.size(diffs.added_lines(F.col("diff.patch"))).alias("added_lines"))
+
+
+@query()
+def guard_features(spark, sf_dir):
+    code = "def f(user, x):\n    if not user.is_admin:\n        raise PermissionError\n    return yaml.safe_load(x)\n"
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.lit(code).alias("old"))
+    weaker = F.when(F.col("id") % 2 == 0, F.regexp_replace("old", "safe_load", "load")).otherwise(F.col("old"))
+    return features.risk(features.changes(features.features(rows.withColumn("new", weaker))))
+
+
+@query()
+def greedy_pack(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    units = li.select(F.col("o_custkey").alias("scan"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("unit"), F.col("l_discount").alias("priority"), (F.col("l_quantity") * 100).cast("long").alias("size"))
+    return packing.pack(units, "scan")
+
+
+@query()
+def side_assign(spark, sf_dir):
+    parts = table(spark, sf_dir, "customer").groupBy(F.lit(0).cast("long").alias("split"), F.col("c_nationkey").cast("long").alias("component"), F.col("c_mktsegment").alias("cell")).agg(F.count("*").alias("n"))
+    return packing.assign_sides(parts, {"dev": dict.fromkeys(("BUILDING", "MACHINERY"), 300.0), "test": dict.fromkeys(("BUILDING", "MACHINERY"), 100.0)})
