@@ -1,0 +1,252 @@
+"""The training-data operators against brute force, exact round trips and edge cases."""
+
+import hashlib
+import random
+import re
+import string
+import zlib
+
+import duckdb
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from palisade.llm import bpe, decontaminate, html_extract, minhash_dedup, quality_rules, secret_scan, sharding, substring_dedup, toxicity, url_filter
+
+SF = "/root/testdata/sf0.001"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept string, component_id long"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
+
+
+def made(seed=1):
+    """Small documents with copies, near copies, shared passages, nulls, empties and a repeated row."""
+    rng = random.Random(seed)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randrange(1, 6))) for _ in range(400)]
+    text = lambda n: " ".join(rng.choices(words, k=n))
+    base, passage = text(150), text(70)
+    rows = [None, "", "  \n", "one", base, base, base.upper(), base + " tail", text(20) + " " + passage + " " + text(30), passage, text(9) + " " + passage + " " + passage + " end"]
+    for _ in range(12):
+        ws = base.split()
+        for _ in range(rng.randrange(1, 9)):
+            ws[rng.randrange(len(ws))] = rng.choice(words)
+        rows.append(" ".join(ws))
+    rows += [text(rng.randrange(1, 200)) for _ in range(20)] + ["a b " * 4000, "x" * 5000]
+    rng.shuffle(rows)
+    return [(i, t, "en", "s", 0, "clash", 7) for i, t in enumerate(rows)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = made()
+    return spark.createDataFrame(rows + [rows[3]], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def texts(df):
+    return {r.doc_id: r.text or "" for r in df.collect()}
+
+
+def brute_removed(docs):
+    words = {d: WORD.findall(t) for d, t in docs.items()}
+    first = {}
+    for d in sorted(words):
+        for i in range(len(words[d]) - 49):
+            first.setdefault(tuple(words[d][i : i + 50]), d)
+    out = {}
+    for d, w in words.items():
+        gone = set()
+        for i in range(len(w) - 49):
+            if first[tuple(w[i : i + 50])] < d:
+                gone |= set(range(i, i + 50))
+        out[d] = (len(w), len(gone), hashlib.sha256(" ".join(x for i, x in enumerate(w) if i not in gone).encode()).hexdigest())
+    return out
+
+
+def test_substring_dedup(docs, empty):
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.substring_dedup(docs).collect()}
+    assert got == brute_removed(texts(docs))
+    assert sum(x[1] for x in got.values()) > 300
+    assert substring_dedup.substring_dedup(empty).count() == 0
+
+
+def brute_components(docs):
+    sets = {}
+    for d, t in docs.items():
+        w = WORD.findall(t.translate(LOWER))
+        sets[d] = {*zip(w, w[1:])} if len(w) > 1 else {tuple(w)} if w else set()
+    label = {d: d for d in sets}
+    changed = True
+    links = [(a, b) for a in sets for b in sets if a < b and sets[a] | sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    while changed:
+        changed = False
+        for a, b in links:
+            low = min(label[a], label[b])
+            if (label[a], label[b]) != (low, low):
+                label[a] = label[b] = low
+                changed = True
+    return {d: (len(sets[d]), label[d], label[d] == d) for d in sets}
+
+
+def test_near_duplicates(docs, empty):
+    out = minhash_dedup.near_duplicates(docs)
+    assert out.columns == ["doc_id", "n_shingles", "component_id", "kept"]
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in out.collect()} == brute_components(texts(docs))
+    assert out.count() == docs.count()
+    assert minhash_dedup.near_duplicates(empty).count() == 0
+
+
+@pytest.mark.parametrize("name,module", [("op1_decontamination", decontaminate), ("op5_quality_rules", quality_rules)])
+def test_native_operators_equal_sql(spark, name, module):
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    out = getattr(module, name)(spark, SF)
+    sql = con.sql(module.ORACLE)
+    at = [sql.columns.index(c) for c in out.columns]
+    assert sorted(map(tuple, out.collect())) == sorted(tuple(r[i] for i in at) for r in sql.fetchall())
+
+
+def test_short_items_and_edges(spark, docs, empty):
+    bench = spark.createDataFrame([(10, "Two words", 1), (9, "two words", 1), (2, None, 1), (3, "!!", 1), (4, " ".join(f"w{i}" for i in range(12)), 1)], "item_id long, text string, n_words int")
+    rows = spark.createDataFrame([(1, "say TWO-words twice: two words"), (2, " ".join(f"W{i}" for i in range(1, 11))), (3, None), (4, "two")], "doc_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256) for r in decontaminate.contamination(rows, bench).collect()}
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    assert got == {1: (6, 4, 2, sha("10,9")), 2: (10, 10, 1, sha("4")), 3: (0, 0, 0, sha("")), 4: (1, 0, 0, sha(""))}
+    assert decontaminate.contamination(empty, bench).count() == 0
+    assert not decontaminate.contamination(rows, bench.filter("false")).filter("contaminated").count()
+
+
+def test_quality_edges(docs, empty):
+    out = {r.doc_id: r for r in quality_rules.quality_report(docs).collect()}
+    for d, t in texts(docs).items():
+        w = WORD.findall(t)
+        grams = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+        hit = {i + k for i, g in enumerate(grams) if grams.count(g) > 1 for k in range(3)} if len(w) < 3000 else set(range(len(w)))
+        assert (out[d].n_words, out[d].word_chars, out[d].n_repeat_words) == (len(w), sum(map(len, w)), len(hit))
+    assert quality_rules.quality_report(empty).count() == 0
+    assert quality_rules.with_quality(docs).count() == docs.count()
+
+
+def test_bpe_equals_the_library(docs, empty):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(bpe.vocabulary_path())
+    got = {r.doc_id: r for r in bpe.token_digests(docs).collect()}
+    for d, text in texts(docs).items():
+        ids = t.encode(text, add_special_tokens=False).ids
+        assert got[d].n_tokens == len(ids)
+        assert got[d].ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+        assert got[d].decoded_sha256 == hashlib.sha256(t.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+    assert bpe.token_digests(empty).count() == 0
+
+
+def test_bpe_streams_long_pretokens():
+    from tokenizers import Tokenizer
+
+    t, e = Tokenizer.from_file(bpe.vocabulary_path()), bpe.Encoder(bpe.Vocabulary(open(bpe.vocabulary_path()).read()))
+    rng = random.Random(5)
+    for text in ["a" * 4000, " " * 900 + "x", "=-" * 900, "".join(rng.choice("etaoin") for _ in range(4000)), "<|endoftext|>a<|endoftext|>", "日本語 ½²ª\x85​ it's ÉÉ", "🙂👍🏽"]:
+        assert [i for part in e.encode(text) for i in part] == t.encode(text, add_special_tokens=False).ids
+    parts = list(e.transduce(b"etaoin" * 800))
+    assert len(parts) > 5  # emitted before the end
+
+
+def test_sharding(docs, empty):
+    rows = sharding.shard_documents(docs).collect()
+    assert len(rows) == docs.count()
+    by_shard = {}
+    for r in rows:
+        by_shard.setdefault(r.shard, []).append(r.slot)
+        assert r.grown_shard in (r.shard, sharding.SHARDS) and 0 <= r.shard < sharding.SHARDS
+    assert all(sorted(s) == list(range(len(s))) for s in by_shard.values())
+    for r in rows:
+        text = texts(docs)[r.doc_id].encode()
+        assert (r.size, r.text_crc32) == (len(text) + 16, zlib.crc32(text))
+    assert sharding.shard_documents(empty).count() == 0
+
+
+def test_urls(spark):
+    pages = [
+        (1, "http://A.net/x", None), (2, "https://b.example.net/en/1?q", ""), (3, "x.example.com/de/", ""), (4, "http://example.com/de/1#t", ""), (5, None, ""),
+        (6, "http://farm.org/1", '<a href="http://bad.net/">'), (7, "http://bad.net/1", ""), (8, "http://good.org/fr/1", '<a href="//friend.org/">'), (9, "http://friend.org/", ""), (9, "http://friend.org/", ""),
+    ]
+    got = {r.page_id: tuple(r) for r in url_filter.judge_urls(spark.createDataFrame([(*p, "c") for p in pages], "page_id long, url string, html string, host string")).collect()}
+    assert got[1] == (1, "a.net", "/x", "net/", "block") and got[2][3:] == ("example.net/en/", "allow") and got[4][3:] == ("example.com/de/", "block")
+    assert got[3] == (3, "", "", None, "allow") and got[5] == (5, "", "", None, "allow")
+    assert got[6][3:] == (None, "block") and got[9][3:] == (None, "allow")
+
+
+def test_page_rank_equals_brute_force(spark):
+    from palisade.llm.workspace import Workspace
+
+    edges, seeds = [("a", "b", 2), ("a", "c", 1), ("b", "c", 1), ("c", "a", 1)], {"a": 0.75, "c": 0.25}
+    mass = dict(seeds)
+    for _ in range(url_filter.ROUNDS):
+        new = {h: 0.15 * seeds.get(h, 0) for h in "abc"}
+        for s, d, n in edges:
+            new[d] += 0.85 * mass.get(s, 0) * n / sum(x for t, _, x in edges if t == s)
+        mass = new
+    df = spark.createDataFrame(edges, "src string, dst string, n long")
+    got = {r.host: r.mass for r in url_filter.propagate(df, spark.createDataFrame([("a", 3), ("c", 1)], "host string, w long"), Workspace(spark, "t")).collect()}
+    assert got == pytest.approx({h: mass[h] - 0.15 * seeds.get(h, 0) for h in "abc"})
+
+
+def test_html(spark):
+    page = '<body><header>top</header><nav>menu</nav><article><h1>T &amp; x</h1><p>one\n two<br>three<p>four<div class="comments">no</div><script>x</script></article><form>f</form><footer>&copy;'
+    rows = [(i, f"http://h.org/{i}", f"<body><div>same line</div><p>text {i}</p>") for i in range(8)] + [(8, None, page), (9, "http://x", None), (10, "http://x", "<p>a<!-- cut"), (10, "http://x", "<p>a<!-- cut")]
+    out = html_extract.extract_text(spark.createDataFrame([(*r, 1) for r in rows], "page_id long, url string, html string, n_chars int")).collect()
+    got = {r.page_id: r.text for r in out}
+    assert len(out) == 12 and all(r.n_chars == len(r.text) for r in out)
+    assert [got[i] for i in range(8)] == [f"text {i}" for i in range(8)]
+    assert got[8] == "T & x\none two three\nfour" and got[9] == "" and got[10] == "a"
+
+
+def test_segments_are_maximal():
+    rng = random.Random(2)
+    import numpy as np
+
+    for _ in range(50):
+        n = rng.randrange(1, 30)
+        places = sorted(rng.sample(range(60), n))
+        scores = [rng.uniform(0.2, 3) for _ in places]
+        dense = [toxicity.OTHER] * 60
+        for p, s in zip(places, scores):
+            dense[p] = s
+        found = toxicity.segments(np.array(places), np.array(scores))
+        best = max(sum(dense[i:j]) for i in range(60) for j in range(i + 1, 61))
+        assert max(s for _, _, s in found) == pytest.approx(best)
+
+
+def test_toxicity_on_held_out_rows(spark):
+    data = "/root/testdata/sf0.1"
+    out = toxicity.op6_toxicity(spark, data)
+    rows = out.join(spark.read.parquet(f"{data}/labels.parquet"), "doc_id").filter("held_out").select("toxic", "predicted").collect()
+    clean = [r.predicted for r in rows if r.toxic == 0]
+    toxic = [r.predicted for r in rows if r.toxic == 1]
+    assert sum(toxic) / len(toxic) > 0.6 and sum(clean) / len(clean) < 0.01
+    model = toxicity.Model((), (), 1.0, 1.0, 2 * toxicity.MOST)
+    assert toxicity.score(spark.createDataFrame([(1, None)], "doc_id long, text string"), model).first().predicted == 0
+
+
+def test_secrets(spark, empty):
+    rows = [(1, 'x token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" y'), (2, "commit 04dbebab91ab85687d33eeaaf9ac699e1188f962 done"), (3, None), (4, ""), (5, "password=Zx81kQpR72mNbVc0Lw9s\nsee /usr/lib/python3.4/dist-packages/the/index.html")]
+    out = {r.doc_id: r.text for r in secret_scan.redact(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out[1] == f'x token = "{secret_scan.MARK}" y' and out[2] == rows[1][1] and out[3] is None and out[4] == ""
+    assert out[5].startswith(f"password={secret_scan.MARK}\nsee /usr/lib")
+    assert secret_scan.secret_report(empty).count() == 0
+
+
+def test_pipeline_equals_its_stages(spark):
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    kept = {r.doc_id for r in quality_rules.op5_quality_rules(spark, SF).filter("kept").collect()}
+    left = {d: t for d, t in docs.items() if d in kept}
+    left = {d: left[d] for d, (_, _, k) in brute_components(left).items() if k}
+    bad = {r.doc_id for r in decontaminate.op1_decontamination(spark, SF).filter("contaminated").collect()}
+    found = corpus_pipeline.run(spark, SF)
+    assert found.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    assert {r.doc_id for r in found.collect()} == left.keys() - bad
