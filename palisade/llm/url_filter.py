@@ -25,7 +25,7 @@ from .workspace import Workspace
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 DAMPING = 0.85
 ROUNDS = 10
-THRESHOLD = 1.0
+THRESHOLD = 0.2
 #: Rounds between tables that cut the lineage.
 CUT = 5
 
