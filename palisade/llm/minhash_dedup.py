@@ -10,8 +10,9 @@ pair of similarity 0.8 with chance 7e-10.
 Equal sets are one class at once. In a bucket of equal bands every class is held against
 the bucket's least class on the full sets. Buckets that still span several components
 are taken up again: some classes outside the main component become pivots and are held
-against the classes of other components, until each bucket's classes are linked or
-compared. No pair of two classes that are already linked is ever made.
+against the bucket, until each bucket's classes are linked or compared. Pivots and
+classes meet in cells of a bounded size, a large bucket being many cells; a cell gives
+back only the links that join components it has not yet seen joined, never its pairs.
 
 Results for special rows: null or empty text and text without words has no shingles and
 stays alone; rows with equal doc_id are one document; a null doc_id is linked with
@@ -25,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -36,11 +38,14 @@ SHINGLE = 2
 PERCENT = 80
 BANDS = 40
 ROWS = 4
-#: Classes outside a bucket's main component that are held against the bucket in one round.
+#: Classes outside a bucket's main component that are held against the bucket in the first round, and times more in each next one.
 PIVOTS = 64
+GROWTH = 16
+#: Bytes of text, about, that a cell has on either side, besides one text that is longer.
+CELL_BYTES = 1 << 19
 
 EMPTY = np.uint64(2**64 - 1)
-SKETCH_SCHEMA = "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>"
+SKETCH_SCHEMA = "doc_id long, n_shingles long, s1 long, s2 long, n_bytes long, bands array<long>"
 
 
 def round_seeds(t: int) -> np.ndarray:
@@ -97,8 +102,8 @@ def sketch_rows(k: int, bands: int, rows: int):
                     xors.append(int(np.bitwise_xor.reduce(mix(s ^ np.uint64(BYTE_BASE))).view(np.int64)))
                     keys.append((gram_hashes(sketch(s, t, seeds), rows)[::rows] ^ salt).view(np.int64))
             yield pa.record_batch(
-                [batch.column("doc_id").cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(sums, pa.int64()), pa.array(xors, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
-                names=["doc_id", "n_shingles", "s1", "s2", "bands"],
+                [batch.column("doc_id").cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(sums, pa.int64()), pa.array(xors, pa.int64()), pc.binary_length(batch.column("text")).cast(pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
+                names=["doc_id", "n_shingles", "s1", "s2", "n_bytes", "bands"],
             )
 
     return run
@@ -120,15 +125,59 @@ def similar_rows(k: int, percent: int):
     return run
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int, workspace: Workspace) -> DataFrame:
+def _sets(texts: pa.ChunkedArray, k: int) -> list[np.ndarray]:
+    return [s for chunk in texts.chunks for slab in slabs(chunk, lower=True) for s in shingle_sets(slab, k)]
+
+
+def cell_links(k: int, percent: int):
+    """applyInArrow function: a cell's classes and pivots to the links that join two components."""
+
+    def run(classes: pa.Table, pivots: pa.Table) -> pa.Table:
+        if not len(pivots) or not len(classes):
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        sets = _sets(pivots.column("text"), k)
+        sizes, labels = np.array([len(s) for s in sets]), np.array(pivots.column("label"), np.int64)
+        shingles, owners = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+        order = np.argsort(shingles, kind="stable")
+        shingles, owners = shingles[order], owners[order]
+        root: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while x in root:
+                x = root[x]
+            return x
+
+        links = []
+        for s, label in zip(_sets(classes.column("text"), k), classes.column("label").to_pylist()):
+            low, high = np.searchsorted(shingles, s, "left"), np.searchsorted(shingles, s, "right")
+            n = high - low
+            at = np.repeat(high - np.cumsum(n), n) + np.arange(n.sum())  # the places low..high of every shingle, in a row
+            both = np.bincount(owners[at], minlength=len(sets))
+            for other in np.unique(labels[100 * both >= percent * (len(s) + sizes - both)]).tolist():
+                x, y = sorted((top(label), top(other)))
+                if x != y:
+                    root[y] = x
+                    links.append((label, other))
+        return pa.table([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+    return run
+
+
+def _star_links(pairs: DataFrame, texts: DataFrame, k: int, percent: int, workspace: Workspace) -> DataFrame:
+    """The similar ones of the pairs (a, b) of a class and a bucket's least class."""
     a = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     b = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
     rows = pairs.join(b, "b").join(a, "a").select("a", "b", "text_a", "text_b")
-    return workspace.save(rows.mapInArrow(similar_rows(k, percent), "a long, b long, linked boolean"), "verified")
+    return workspace.save(rows.mapInArrow(similar_rows(k, percent), "a long, b long, linked boolean").filter("linked").select("a", "b"), "verified")
+
+
+def _relabelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """rows with the label that labels (id, label) has for theirs."""
+    return rows.join(labels.select(F.col("id").alias("label"), F.col("label").alias("_to")), "label", "left").withColumn("label", F.coalesce("_to", "label")).drop("_to")
 
 
 def near_duplicates(
-    documents: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, workspace: Workspace | None = None
+    documents: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, workspace: Workspace | None = None, pivots: int = PIVOTS, cell_bytes: int = CELL_BYTES
 ) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per document."""
     spark = documents.sparkSession
@@ -139,39 +188,48 @@ def near_duplicates(
     classes = sketches.filter("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "s1", "s2").agg(F.min("doc_id").alias("owner"))
     classes = workspace.save(classes, "classes")
     owners = sketches.join(classes.select(F.col("owner").alias("doc_id")), "doc_id", "left_semi")
-    members = owners.select("doc_id", F.explode("bands").alias("band"))
-    full = members.groupBy("band").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("last")).filter("pivot < last").select("band", "pivot")
-    buckets = workspace.save(members.join(full, "band").select("band", F.col("doc_id").alias("a"), F.col("pivot").alias("b")).distinct(), "buckets")
+    members = owners.select("doc_id", "n_bytes", F.explode("bands").alias("band"))
+    full = members.groupBy("band").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("last")).filter("least < last").select("band", "least")
+    buckets = workspace.save(members.join(full, "band").select("band", "doc_id", "least", "n_bytes").dropDuplicates(["band", "doc_id"]), "buckets")
 
-    wanted = buckets.select(F.col("a").alias("doc_id")).distinct()
-    texts = workspace.save(documents.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
-    tested = _verified(buckets.filter("a <> b").select("a", "b").distinct(), texts, shingle, percent, workspace)
+    texts = workspace.save(documents.join(buckets.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
+    pairs = buckets.filter("doc_id <> least").select(F.col("doc_id").alias("a"), F.col("least").alias("b")).distinct()
+    maps = [components(_star_links(pairs, texts, shingle, percent, workspace), workspace)]
 
-    labels = components(tested.filter("linked"), workspace)
-    open_, done = buckets.select("band", F.col("a").alias("doc_id")), buckets.filter("a = b").select("band", F.col("b").alias("doc_id"))
+    # a least class has been held against all others of its bucket; what is left must be linked without it
+    open_ = _relabelled(buckets.filter("doc_id <> least").select("band", "doc_id", "n_bytes", F.col("doc_id").alias("label")), maps[0])
     while True:
-        # pivots have been held against all others of their bucket; what is left must be linked without them
-        open_ = workspace.save(open_.join(done, ["band", "doc_id"], "left_anti"), "open")
-        named = open_.join(labels.select(F.col("id").alias("doc_id"), "label"), "doc_id", "left").select("band", "doc_id", F.coalesce("label", "doc_id").alias("label"))
-        parts = named.groupBy("band", "label").agg(F.count("*").alias("n"))
-        main = parts.groupBy("band").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("parts")).filter("parts > 1").drop("parts")
-        open_ = workspace.save(named.join(main, "band"), "spread")
-        if open_.limit(1).count() == 0:
+        open_ = workspace.save(open_, "open")
+        parts = open_.groupBy("band", "label").agg(F.count("*").alias("n"), F.sum("n_bytes").alias("bytes"))
+        stats = parts.groupBy("band").agg(
+            F.max_by("label", F.struct("n", "label")).alias("main"), (F.sum("n") - F.max("n")).alias("n_out"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.count("*").alias("parts")
+        )
+        stats = stats.filter("parts > 1").select(
+            "band", "main", "n_out", F.ceil(F.col("bytes") / cell_bytes).alias("chunks"), F.ceil(F.least("n_out", F.lit(pivots)) * F.col("bytes") / F.col("n") / cell_bytes).alias("blocks")
+        )
+        place = lambda seed, of: F.pmod(F.xxhash64("doc_id", F.lit(seed)), of)
+        chosen = (F.col("label") != F.col("main")) & (place(len(maps), F.lit(1 << 20)) * F.col("n_out") < pivots * (1 << 20))
+        spread = workspace.save(open_.join(stats, "band").withColumn("chosen", chosen), "spread")
+        if spread.limit(1).count() == 0:
             break
-        rank = F.row_number().over(Window.partitionBy("band").orderBy("n", "doc_id"))
-        done = open_.filter("label <> main").join(parts, ["band", "label"]).withColumn("rank", rank).filter(F.col("rank") <= PIVOTS)
-        done = workspace.save(done.select("band", "doc_id", "label"), "pivots")
-        x, y = F.greatest("doc_id", "p"), F.least("doc_id", "p")
-        across = open_.select("band", "doc_id", "label").join(done.select("band", F.col("doc_id").alias("p"), F.col("label").alias("pl")), "band")
-        pairs = across.filter("label <> pl").select(x.alias("a"), y.alias("b")).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        more = _verified(pairs, texts, shingle, percent, workspace)
-        tested = tested.unionByName(more)
-        if more.filter("linked").limit(1).count():
-            labels = components(tested.filter("linked"), workspace)
-        open_, done = open_.select("band", "doc_id"), done.select("band", "doc_id")
-
-    group = classes.join(labels.select(F.col("id").alias("owner"), "label"), "owner", "left").select("n_shingles", "s1", "s2", F.coalesce("label", "owner").alias("component"))
-    found = sketches.join(group, ["n_shingles", "s1", "s2"], "left")
+        steps = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+        left = spread.select("band", "label", "doc_id", place(-1, F.col("chunks")).alias("chunk"), steps(F.col("blocks")).alias("block"))
+        right = spread.filter("chosen").select("band", "label", "doc_id", steps(F.col("chunks")).alias("chunk"), place(-2, F.col("blocks")).alias("block"))
+        cell = ["band", "chunk", "block"]
+        right = right.join(texts, "doc_id")
+        right = right.select(*(F.col(c).alias(c) for c in right.columns))  # columns of their own, else the two sides can't be told apart
+        held = left.join(texts, "doc_id").groupBy(*cell).cogroup(right.groupBy(*cell))
+        links = workspace.save(held.applyInArrow(cell_links(shingle, percent), "a long, b long").distinct(), "links")
+        open_ = spread.filter("not chosen").select("band", "doc_id", "n_bytes", "label")
+        if links.limit(1).count():
+            maps.append(components(links, workspace))
+            open_ = _relabelled(open_, maps[-1])
+        pivots *= GROWTH
+
+    group = classes.withColumn("label", F.col("owner"))
+    for labels in maps:
+        group = _relabelled(group, labels)
+    found = sketches.join(group.select("n_shingles", "s1", "s2", F.col("label").alias("component")), ["n_shingles", "s1", "s2"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return found.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 

@@ -100,6 +100,20 @@ def test_near_duplicates(docs, empty):
     assert minhash_dedup.near_duplicates(empty).count() == 0
 
 
+def test_near_duplicates_in_rounds_and_cells(spark):
+    # a family around one text, the least of which are far from it: one pivot at first, cells of a few texts
+    rng = random.Random(5)
+    base, rows = [f"w{i}" for i in range(120)], []
+    for i in range(90):
+        ws = list(base)
+        for _ in range(rng.choice([25, 20, 16]) if i < 25 else rng.randrange(0, 16)):
+            ws[rng.randrange(len(ws))] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(ws)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = minhash_dedup.near_duplicates(docs, pivots=1, cell_bytes=4000)
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in out.collect()} == brute_components(texts(docs))
+
+
 @pytest.mark.parametrize("name,module", [("op1_decontamination", decontaminate), ("op5_quality_rules", quality_rules)])
 def test_native_operators_equal_sql(spark, name, module):
     con = duckdb.connect()
