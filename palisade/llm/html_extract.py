@@ -1,14 +1,20 @@
 """Main text of web pages by a site style tree.
 
 Every page is read as a tree of block elements. Pages of one host are merged by path
-(tag and class names from the root): a node's importance is the entropy, to the base of
-its pages, of what stands in it, 1 for a node of a single page. Copies of a page count
-once. Nodes that present themselves as menus, headers, footers, side columns, notices,
-adverts, forms or comments have no importance; `article` and `main` keep theirs. From
-each page the branches of low importance are removed and the blocks left are its text;
-a page with an article or main element gives only what stands in it.
+(tag and class names from the root). The presentation importance of a node is the entropy,
+to the base of its pages, of its child styles (the sequences of its children), its content
+importance that of the text which stands in it. The composite importance of a branch with
+l styles is (1 - g^l) of the presentation and g^l of the mean of its children and text, of
+a branch without children its content importance. What few pages have is important. Pages
+whose text is equal count once. A branch is removed if it and all in it are of low
+composite importance, inside `article` and `main` too; the blocks left are the text.
 
-The tree of a host is a small aggregate of counts; pages of a host are never gathered.
+In addition, nodes that present themselves as menus, headers, footers, side columns,
+notices, adverts, forms or comments have no importance, and a page with an article or main
+element gives only what stands in it.
+
+The tree of a host is a small aggregate of counts, one row for each path of enough pages;
+pages of a host are never gathered.
 
 Results for special rows: a null or empty html, or one without text, gives an empty
 text; unclosed comments and tags run to the end of the page; a null url has the empty
@@ -32,6 +38,11 @@ from .workspace import Workspace
 #: Pages from which a host's nodes are judged, and the importance they need.
 LEAST_PAGES = 5
 LEAST_IMPORTANCE = 0.3
+#: Weight of what stands in a branch against its presentation; less with each more style.
+ATTENUATION = 0.9
+#: A child's share of a node is counted in parts of this, so that sums don't depend on order.
+SHARES = 1 << 20
+TEXT = "#"
 #: Nodes to remove that are broadcast; more are joined by a shuffle.
 BROADCAST_NODES = 20_000
 
@@ -76,8 +87,11 @@ def _is_noise(tag: str, attributes: dict[str, str], in_main: bool) -> bool:
     return bool(names & NOISE_NAMES) or not in_main and bool(names & HEADER_NAMES)
 
 
-def blocks(html: str) -> tuple[list[tuple[str, str, bool]], bool]:
-    """Blocks of a page outside noise: (path, text, in main); whether it has a main element."""
+def blocks(html: str, styles: dict[str, list[str]] | None = None) -> tuple[list[tuple[str, str, bool]], bool]:
+    """Blocks of a page outside noise: (path, text, in main); whether it has a main element.
+
+    styles: gets the children of each path outside noise in order, a text as TEXT.
+    """
     out: list[tuple[str, str, bool]] = []
     stack: list[tuple[str, str, bool, bool]] = []  # tag, path, noise, in main
     pieces: list[str] = []
@@ -89,6 +103,8 @@ def blocks(html: str) -> tuple[list[tuple[str, str, bool]], bool]:
             noise, in_main, path = (stack[-1][2], stack[-1][3], stack[-1][1]) if stack else (False, False, "")
             if not noise and (text := " ".join(entities.unescape("".join(pieces)).split())):
                 out.append((path, text, in_main))
+                if styles is not None:
+                    styles.setdefault(path, []).append(TEXT)
             pieces.clear()
 
     while at < end:
@@ -133,7 +149,9 @@ def blocks(html: str) -> tuple[list[tuple[str, str, bool]], bool]:
         noise = noise or _is_noise(tag, attributes, in_main)
         if tag in MAIN and not noise:
             has_main = in_main = True
-        name = ".".join([tag, *sorted(attributes.get("class", "").split())]) if attributes else tag
+        name = ".".join([tag, *sorted(attributes.get("class", "").split())]).replace("/", "|") if attributes else tag
+        if styles is not None and not noise:
+            styles.setdefault(path, []).append(name)
         stack.append((tag, f"{path}/{name}", noise, in_main))
     flush()
     return out, has_main
@@ -143,21 +161,81 @@ def _digest(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
 
 
+def page_nodes(html: str) -> list[tuple[str, str, bool, int, int, int]]:
+    """A page's part of its site's tree: (path, parent, is text, style or content, children, share of the parent)."""
+    styles: dict[str, list[str]] = {}
+    found, has_main = blocks(html, styles)
+    contents: dict[str, list[str]] = {}
+    for path, text, in_main in found:
+        if in_main or not has_main:
+            contents.setdefault(path, []).append(text)
+    held = set()
+    for path in contents:
+        while path not in held:
+            held.add(path)
+            path = path.rpartition("/")[0]
+    rows, shares = [], {"": SHARES}
+    for path in sorted(held):  # parents first
+        children = [c for c in styles[path] if (path in contents if c == TEXT else f"{path}/{c}" in held)]
+        kinds = set(children)
+        for c in kinds - {TEXT}:
+            shares[f"{path}/{c}"] = SHARES * children.count(c) // len(children)
+        rows.append((path, path.rpartition("/")[0], False, _digest("/".join(children)), len(kinds), shares[path]))
+        if TEXT in kinds:
+            rows.append((path, path, True, _digest("\n".join(contents[path])), 0, SHARES * children.count(TEXT) // len(children)))
+    return rows
+
+
+NODE_SCHEMA = "host string, path string, parent string, is_text boolean, value long, kinds long, share long, page long"
+
+
 def node_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """mapInArrow function: (host, html) to the nodes that the site's tree has to judge."""
+    """mapInArrow function: (host, html) to the nodes of the site's tree."""
+    types = [pa.string(), pa.string(), pa.string(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
     for batch in batches:
         rows = []
         for host, html in zip(batch.column("host"), batch.column("html")):
-            html = html.as_py() or ""
-            found, has_main = blocks(html)
-            if found and not has_main:
-                page = _digest(html)
-                contents: dict[str, list[str]] = {}
-                for path, text, _ in found:
-                    contents.setdefault(path, []).append(text)
-                rows += [(host.as_py(), path, _digest("\n".join(texts)), page) for path, texts in contents.items()]
-        columns = list(zip(*rows)) if rows else [[], [], [], []]
-        yield pa.record_batch([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.int64())], names=["host", "path", "content", "page"])
+            nodes = page_nodes(html.as_py() or "")
+            page = _digest(repr(nodes))
+            rows += [(host.as_py(), *node, page) for node in nodes]
+        columns = list(zip(*rows)) if rows else [[] for _ in types]
+        yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, types)], names=[c.split()[0] for c in NODE_SCHEMA.split(", ")])
+
+
+def tree_rows(least_importance: float):
+    """applyInArrow function: the nodes of one site's tree that enough pages have, to (host, path) of noise."""
+
+    def run(nodes: pa.Table) -> pa.Table:
+        rows = {(r["path"], r["is_text"]): r for r in nodes.to_pylist()}
+        below: dict[str, list[dict]] = {}
+        for (path, is_text), r in rows.items():
+            if path or is_text:
+                below.setdefault(r["parent"], []).append(r)
+        composite: dict[tuple[str, bool], float] = {}
+        noise: set[tuple[str, bool]] = set()
+        # children before their parents, a node's text before the node
+        for key in sorted(rows, key=lambda k: (k[0].count("/"), k[1]), reverse=True):
+            r, parts = rows[key], below.get(key[0], ()) if not key[1] else ()
+            if key[1]:
+                value, whole = r["importance"], True
+            else:
+                judged = sum(c["share"] for c in parts) / (SHARES * r["m"])
+                inside = sum(c["share"] * composite[c["path"], c["is_text"]] for c in parts) / (SHARES * r["m"]) + max(0.0, 1 - judged)
+                # without the other children, if any, that few pages have
+                whole = r["kinds"] == sum(c["m"] for c in parts) and all((c["path"], c["is_text"]) in noise for c in parts)
+                if all(c["is_text"] for c in parts) and r["kinds"] == sum(c["m"] for c in parts):
+                    value = inside  # no child but its text
+                else:
+                    weight = ATTENUATION ** r["styles"]
+                    value = (1 - weight) * r["importance"] + weight * inside
+            composite[key] = value
+            if whole and value < least_importance:
+                noise.add(key)
+        low = [path for path, is_text in noise if not is_text and (path, True) in rows]
+        host = nodes.column("host")[0].as_py() if len(nodes) else None
+        return pa.table({"host": pa.array([host] * len(low), pa.string()), "path": pa.array(low, pa.string())})
+
+    return run
 
 
 def text_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,7 +245,7 @@ def text_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for html, low in zip(batch.column("html"), batch.column("low")):
             found, has_main = blocks(html.as_py() or "")
             drop = set(low.as_py() or ())
-            texts.append("\n".join(text for path, text, in_main in found if (in_main if has_main else path not in drop)))
+            texts.append("\n".join(text for path, text, in_main in found if path not in drop and (in_main or not has_main)))
         yield pa.record_batch(
             [batch.column("page_id").cast(pa.int64()), batch.column("url"), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())],
             names=["page_id", "url", "text", "n_chars"],
@@ -176,12 +254,14 @@ def text_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def low_nodes(pages: DataFrame, least_pages: int = LEAST_PAGES, least_importance: float = LEAST_IMPORTANCE) -> DataFrame:
     """pages (host, html) to (host, path) of the site trees' nodes of low importance."""
-    seen = pages.select("host", "html").mapInArrow(node_rows, "host string, path string, content long, page long").distinct()
-    styles = seen.groupBy("host", "path", "content").agg(F.count("*").alias("n"))
+    seen = pages.select("host", "html").mapInArrow(node_rows, NODE_SCHEMA).distinct()
+    styles = seen.groupBy("host", "path", "is_text", "value").agg(F.first("parent").alias("parent"), F.count("*").alias("n"), F.sum("kinds").alias("kinds"), F.sum("share").alias("share"))
     # entropy from sums alone: log m - sum(n log n) / m, to the base m
-    nodes = styles.groupBy("host", "path").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log("n")).alias("nlogn"))
-    importance = 1 - F.col("nlogn") / (F.col("m") * F.log("m"))
-    return nodes.filter((F.col("m") >= least_pages) & (importance < least_importance)).select("host", "path")
+    nodes = styles.groupBy("host", "path", "is_text").agg(
+        F.first("parent").alias("parent"), F.sum("n").alias("m"), F.count("*").alias("styles"), F.sum("kinds").alias("kinds"), F.sum("share").alias("share"), F.sum(F.col("n") * F.log("n")).alias("nlogn")
+    )
+    nodes = nodes.filter((F.col("m") >= least_pages) & (F.col("m") > 1)).withColumn("importance", 1 - F.col("nlogn") / (F.col("m") * F.log("m"))).drop("nlogn")
+    return nodes.groupBy("host").applyInArrow(tree_rows(least_importance), "host string, path string")
 
 
 def extract_text(pages: DataFrame, workspace: Workspace | None = None) -> DataFrame:

@@ -220,6 +220,30 @@ def test_html(spark):
     assert got[8] == "T & x\none two three\nfour" and got[9] == "" and got[10] == "a"
 
 
+def test_html_site_tree_prunes_inside_articles(spark):
+    box = '<div class="xyz"><p>read our terms</p><p>write to us</p></div>'
+    rows = [(i, f"http://h.org/{i}", f"<article><h1>title {i}</h1>{'<p>own</p>' * (i % 3)}<p>text {i}</p>{box}<section class='r{i}'>rare {i}</section></article>") for i in range(8)]
+    # a page with another menu and the same text is one page of the tree
+    rows += [(20 + i, "http://copy.org/", f"<nav>{i}</nav><article><h1>same</h1><p>same text</p></article>") for i in range(8)]
+    # a label stays with its branch, unless all of the branch is the same
+    rows += [(40 + i, "http://l.org/", f"<main><div class='a'>label<p>value {i}</p></div><div class='b'>label<p>value</p></div></main>") for i in range(8)]
+    got = {r.page_id: r.text for r in html_extract.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(8):
+        assert got[i].split("\n") == [f"title {i}", *["own"] * (i % 3), f"text {i}", f"rare {i}"]
+        assert got[20 + i] == "same\nsame text" and got[40 + i] == f"label\nvalue {i}"
+
+
+def test_html_composite_importance():
+    import pyarrow as pa
+
+    share = html_extract.SHARES
+    node = lambda path, parent, is_text, m, styles, kinds, part, importance: {"host": "h", "path": path, "parent": parent, "is_text": is_text, "m": m, "styles": styles, "kinds": kinds, "share": int(part * m * share), "importance": importance}
+    # a's text and child are the same on all 8 pages; its child style is one, or changes from page to page
+    tree = lambda styles, importance: [node("/a", "", False, 8, styles, 16, 1, importance), node("/a", "/a", True, 8, 1, 0, 0.5, 0.0), node("/a/b", "/a", False, 8, 1, 8, 0.5, 0.0), node("/a/b", "/a/b", True, 8, 1, 0, 1, 0.0)]
+    low = lambda rows: set(html_extract.tree_rows(0.3)(pa.Table.from_pylist(rows)).column("path").to_pylist())
+    assert low(tree(1, 0.0)) == {"/a", "/a/b"} and low(tree(8, 1.0)) == {"/a/b"}
+
+
 def test_segments_are_maximal():
     rng = random.Random(2)
     import numpy as np
