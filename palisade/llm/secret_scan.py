@@ -1,8 +1,9 @@
 """Secret scan: candidate strings judged by a random forest, in one projection.
 
-Candidates are runs of 16 or more key characters with a digit, found by one pattern.
+Candidates are found by one pattern: any value of 8 or more characters after a key word
+and an assignment (in quotes with spaces too), and runs of 16 or more key characters.
 Each has numbers: length, transitions between kinds of characters, share covered by
-dictionary words, signs of a path, and the words before it. A forest, grown from labelled
+dictionary words, signs of a path or a sentence, and the words before it. A forest, grown from labelled
 findings that `labelled_findings` spells out for each known kind, becomes one SQL
 expression over those numbers, so that texts are read once and never shuffled.
 
@@ -18,20 +19,31 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CANDIDATE = r"(?<![A-Za-z0-9+/_.-])(?=[A-Za-z+/_.-]*[0-9])[A-Za-z0-9+/_.-]{16,}={0,2}"
+KEYS = r"(?i:token|secret|passw|passphrase|passcode|pwd|api.?key|access.?key|auth|bearer|credential|private|signature)"
+#: The place of a value: the first look is cheap, the second one goes back to the key word.
+ASSIGNED = rf"(?<=[=:>][ \t\"']{{0,4}})(?<={KEYS}[^\n=:]{{0,13}}[=:]{{1,2}}>?[ \t]{{0,3}}[\"']?)"
+CANDIDATE = (
+    rf"{ASSIGNED}(?:(?<=\")[^\"\n]{{8,200}}(?=\")|(?<=')[^'\n]{{8,200}}(?=')|[^\s\"']{{7,}}[^\s\"',;.:)\]}}>])"
+    r"|(?<![A-Za-z0-9+/_.-])(?=[+/_.-]*[A-Za-z0-9])[A-Za-z0-9+/_.-]{16,}={0,2}"
+)
 #: Characters before a candidate that count as its neighbourhood.
 BEFORE = 48
 MARK = "[SECRET]"
 #: Labelled findings of all kinds together; trees, and levels of a tree.
 FINDINGS, TREES, LEVELS, LEAF = 1200, 15, 5, 4
 SEED = 11
+#: Labelled findings of the kinds that the broad candidates add; the first kinds have those of FINDINGS.
+MORE, FIRST_KINDS = 2400, 12
 
 # Dictionary words and neighbouring words (fixed values).
 DICTIONARY = "the|and|for|with|from|this|that|usr|lib|bin|share|local|home|src|test|data|file|name|page|image|index|html|http|https|www|com|org|net|version|release|python|packages|dist|example|quick|brown|fox|lazy|dog|report|draft|final|year|month"
-KEY_WORDS = r"(?i)(token|secret|passw|pwd|api.?key|access.?key|auth|bearer|credential|private|signature)[^\n]{0,20}$"
+KEY_WORDS = rf"{KEYS}[^\n]{{0,20}}$"
 ID_WORDS = r"(?i)(commit|sha|md5|hash|checksum|digest|uuid|guid|request|revision|version|order|invoice|isbn|page|phone|card|account)[^\n]{0,10}$"
 
-FEATURES = ("length", "transitions", "digits", "uppers", "hexadecimal", "dictionary", "slashes", "joints", "key_word", "id_word", "assigned")
+#: Starts of keys that name their issuer.
+PREFIXES = r"^(AKIA|ASIA)[A-Z0-9]{16}$|^(gh[opsur]_|github_pat_|glpat-|sk_live_|rk_live_|xox[abprs]-|AIza|SG\.)"
+
+FEATURES = ("length", "transitions", "digits", "uppers", "hexadecimal", "dictionary", "slashes", "joints", "key_word", "id_word", "assigned", "prefix", "vowels", "specials", "spaces", "distinct", "cases")
 
 
 def features(text: Column, before: Column) -> dict[str, Column]:
@@ -50,15 +62,28 @@ def features(text: Column, before: Column) -> dict[str, Column]:
         "key_word": before.rlike(KEY_WORDS).cast("double"),
         "id_word": before.rlike(ID_WORDS).cast("double"),
         "assigned": before.rlike(r"[=:]\s*[\"']?$").cast("double"),
+        "prefix": text.rlike(PREFIXES).cast("double"),
+        "vowels": share("[AEIOUaeiou]"),
+        "specials": share(r"[^A-Za-z0-9+/_.\s-]"),
+        "spaces": share(" "),
+        "distinct": (F.size(F.array_distinct(F.split(text, ""))) / n),
+        "cases": F.regexp_count(text, F.lit("[A-Z](?![a-z])|(?<=[a-z])[A-Z]")) / n,
     }
 
 
-def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
+def labelled_findings(spark: SparkSession, n: int = FINDINGS, more: int = MORE) -> DataFrame:
     """(text, before, secret): every known kind of secret and of look-alike in equal parts."""
-    rows = spark.range(n).select("id", F.sha2(F.col("id").cast("string"), 512).alias("h"))
+    rows = spark.range(n + more).select("id", F.sha2(F.col("id").cast("string"), 512).alias("h"))
     raw = F.translate(F.base64(F.unhex("h")), "+/=", "xyz")
     word = F.element_at(F.array(*[F.lit(w) for w in ("report", "the", "for", "page", "with", "and")]), (F.col("id") % 6 + 1).cast("int"))
     size = lambda low, high: (F.pmod(F.xxhash64("id"), F.lit(high - low + 1)) + low).cast("int")
+    pick = lambda seed, *of: F.element_at(F.array(*map(F.lit, of)), (F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(len(of))) + 1).cast("int"))
+    syllable = lambda seed: pick(seed, "on", "er", "tion", "ver", "schaft", "lich", "ment", "able", "que", "con", "di", "ra")
+    long_word = F.concat(*[syllable(i) for i in range(7)])
+    noun = lambda seed: pick(seed, "user", "page", "report", "login", "access", "name", "token", "field", "order", "value")
+    plain = lambda seed: pick(seed, "horse", "river", "table", "copper", "window", "orange", "silent", "garden", "yellow", "battery")
+    letters = F.translate(raw, "0123456789xyz", "kQzWpLmRtBvXc")
+    assigned = pick(90, 'password="', "password: ", "pwd=", "secret = '", 'api_key: "', "auth_token=", '"passwd": "')
     kinds = [
         (F.substring("h", 1, 40), F.lit('token = "'), 1),
         (F.substr(raw, F.lit(1), size(24, 44)), F.lit("api_key: "), 1),
@@ -72,8 +97,30 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
         (F.concat(word, F.lit("-quick-brown-"), (F.col("id") % 50).cast("string"), F.lit("-fox-"), word), F.concat(word, F.lit(" ")), 0),
         (F.substr(F.translate("h", "abcdef", "123456"), F.lit(1), size(16, 24)), F.concat(F.element_at(F.array(F.lit("order "), F.lit("card "), F.lit("the ")), (F.col("id") % 3 + 1).cast("int"))), 0),
         (F.concat_ws("-", F.substring("h", 1, 8), F.substring("h", 9, 4), F.substring("h", 13, 4), F.substring("h", 17, 4), F.substring("h", 21, 12)), F.lit("request id "), 0),
+        # short passwords, letters alone, other characters, passphrases
+        (F.substr(raw, F.lit(9), size(8, 15)), assigned, 1),
+        (F.concat(F.initcap(F.translate(plain(1), "oaei", "0431")), pick(2, "", "!", "#", "$"), F.translate(F.substring("h", 1, 4), "abcdef", "123456")), assigned, 1),
+        (F.concat(plain(38), F.translate(F.substring("h", 1, 1), "abcdef", "123456"), F.left(plain(39), F.lit(4)), F.translate(F.substring("h", 2, 2), "abcdef", "123456")), assigned, 1),
+        (F.substr(letters, F.lit(3), size(12, 44)), assigned, 1),
+        (F.concat(F.substr(letters, F.lit(3), size(8, 20)), F.translate(F.substring("h", 1, 1), "abcdef", "123456"), F.substr(letters, F.lit(30), size(8, 20))), assigned, 1),
+        (F.substr(F.translate("h", "0123456789abcdef", "qwrtpsdfghjklzxv"), F.lit(1), size(16, 32)), assigned, 1),
+        (F.concat(F.substring(raw, 1, 3), pick(3, "!", "@", "$", "%"), F.substring(raw, 4, 4), pick(4, "!", "@", "$", "%", "^"), F.substring(raw, 9, 3)), assigned, 1),
+        (F.concat(F.substr(letters, F.lit(3), size(8, 20)), F.upper(pick(40, "example", "test", "page", "key", "user")), F.substr(raw, F.lit(30), size(4, 20))), assigned, 1),
+        (F.concat(F.lit("AKIA"), F.upper(F.substring(letters, 3, 16))), F.concat(word, F.lit(" ")), 1),
+        (F.concat_ws(" ", plain(5), plain(6), plain(7), plain(8)), pick(9, 'passphrase: "', 'password = "', "secret='"), 1),
+        (F.concat_ws("-", plain(5), plain(6), plain(7), plain(8)), assigned, 1),
+        # long words, names in code, paths, plain words and sentences after a key word, places to fill in
+        (F.when(F.col("id") % 2 == 0, long_word).otherwise(F.initcap(long_word)), F.concat(word, F.lit(" ")), 0),
+        (F.concat(pick(11, "get", "set", "is", "load", "find"), F.initcap(noun(12)), F.initcap(noun(13)), F.initcap(noun(14))), pick(15, "call ", "token = ", "the ", "password: ", "auth="), 0),
+        (F.concat(F.lit("/"), plain(16), F.lit("/"), noun(17), F.lit("/"), plain(18), pick(19, "", "/index.html", ".txt")), pick(20, "see ", "private key: ", "in "), 0),
+        (F.concat(noun(22), pick(21, "_", "."), noun(23), pick(21, "_", "."), plain(24)), pick(25, "the ", "token = ", "secret: ", "auth="), 0),
+        (F.substr(F.concat(syllable(26), long_word), F.lit(1), size(8, 15)), pick(27, "password: ", "secret: ", "Author: ", "signature: ", "private: "), 0),
+        (F.concat(F.initcap(plain(28)), F.lit(" the "), noun(29), F.lit(" for the "), noun(30), pick(31, ".", ".", "!")), pick(32, 'password: "', 'secret = "', 'token: "'), 0),
+        (pick(33, "xxxxxxxxxxxx", "************", "<your-token-here", "${API_TOKEN", "${{ secrets.TOKEN", "os.environ[TOKEN", "get_token(user", "config.auth.token", "process.env.SECRET", "YOUR_API_KEY_HERE", "undefined", "required", "changeme"), assigned, 0),
+        (F.concat_ws("_", F.upper(noun(34)), F.upper(noun(35)), F.upper(noun(36)), F.lit("KEY")), pick(37, "export ", "set ", "the "), 0),
     ]
-    kind = (F.floor(F.col("id") / 6) % len(kinds)).cast("int")
+    turn = F.floor(F.col("id") / 6)
+    kind = F.when(F.col("id") < n, turn % FIRST_KINDS).otherwise(FIRST_KINDS + turn % (len(kinds) - FIRST_KINDS)).cast("int")
     chosen = F.element_at(F.array(*[F.struct(t.alias("text"), b.alias("before"), F.lit(s).alias("secret")) for t, b, s in kinds]), kind + 1)
     return rows.select(chosen.alias("f")).select("f.*")
 
@@ -134,7 +181,8 @@ def scan(docs: DataFrame, trees: list | None = None) -> DataFrame:
     pieces = F.col("_pieces")
     numbered = F.transform(
         "_found",
-        lambda t, i: F.struct(t.alias("text"), F.right(F.get(pieces, i), F.lit(BEFORE)).alias("before")),
+        # the candidate before may hold the key word
+        lambda t, i: F.struct(t.alias("text"), F.right(F.concat(F.coalesce(F.get("_found", i - 1), F.lit("")), F.get(pieces, i)), F.lit(BEFORE)).alias("before")),
     )
     out = out.withColumn("_numbered", numbered)
     out = out.withColumn("_numbered", F.transform("_numbered", lambda s: F.struct(s["text"].alias("text"), s["before"].alias("before"), *[c.alias(n) for n, c in features(s["text"], s["before"]).items()])))
