@@ -210,6 +210,27 @@ def test_page_rank_equals_brute_force(spark):
     assert got == pytest.approx({h: mass[h] - 0.15 * seeds.get(h, 0) for h in "abc"})
 
 
+def test_distrust_reaches_the_end_of_a_chain(spark):
+    from palisade.llm.workspace import Workspace
+
+    # h16 links to h15, ..., h1 links to bad.net; each host has distrust against the links, none is cut off
+    chain = [("bad.net", "")] + [(f"h{i}.test", f'<a href="http://{"bad.net" if i == 1 else f"h{i - 1}.test"}/">') for i in range(1, 17)]
+    rows = [(i, f"http://{host}/", html) for i, (host, html) in enumerate(chain)]
+    got = {r.page_id: r.verdict for r in url_filter.judge_urls(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    mass = {i: 0.15 * 0.85**i for i in range(17)}
+    assert got == {i: "block" if i == 0 or mass[i] * 17 >= url_filter.THRESHOLD else "allow" for i in mass} and got[11] == "block"
+    # a cycle, which settles in no number of rounds, against a converged brute force
+    edges, settled = [("a", "b", 2), ("a", "c", 1), ("b", "c", 1), ("c", "a", 1)], {"a": 1.0}
+    for _ in range(400):
+        new = {h: 0.15 * (h == "a") for h in "abc"}
+        for s, d, n in edges:
+            new[d] += 0.85 * settled.get(s, 0) * n / sum(x for t, _, x in edges if t == s)
+        settled = new
+    df = spark.createDataFrame(edges, "src string, dst string, n long")
+    out = {r.host: r.mass for r in url_filter.propagate(df, spark.createDataFrame([("a", 1)], "host string, w long"), Workspace(spark, "t"), tolerance=1e-5).collect()}
+    assert out == pytest.approx({h: settled[h] - 0.15 * (h == "a") for h in "abc"}, abs=1e-5)
+
+
 def test_html(spark):
     page = '<body><header>top</header><nav>menu</nav><article><h1>T &amp; x</h1><p>one\n two<br>three<p>four<div class="comments">no</div><script>x</script></article><form>f</form><footer>&copy;'
     rows = [(i, f"http://h.org/{i}", f"<body><div>same line</div><p>text {i}</p>") for i in range(8)] + [(8, None, page), (9, "http://x", None), (10, "http://x", "<p>a<!-- cut"), (10, "http://x", "<p>a<!-- cut")]
