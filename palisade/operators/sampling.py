@@ -1,4 +1,4 @@
-"""Seeded sampling: holdouts, quotas, apportionment, matched bins."""
+"""Seeded sampling: holdouts, quotas and apportionment."""
 
 from __future__ import annotations
 
