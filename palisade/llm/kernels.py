@@ -1,26 +1,35 @@
-"""Vectorised text kernels shared by the free-style operators of this subpackage.
-
-A batch of texts is handled as one UTF-8 byte buffer. Word hashes come from prefix
-sums of a polynomial modulo 2**64 whose base is odd and so has an inverse, which gives
-the hash of any slice from two prefix values; a finaliser then mixes the bits.
+"""Word kernels shared by the free-style operators of this subpackage.
+
+Words are numbered by a table that compares their bytes, so equal numbers are equal
+words, and shingles get numbers from those of their parts, so equal numbers are equal
+shingles: within a slab nothing rests on a hash. Across tasks words are told by a keyed
+cryptographic digest of 64 bits, from which the hashes of grams are computed that choose
+candidates; what is decided across tasks without the texts at hand rests on digests of
+128 bits of the real bytes.
 """
 
 from __future__ import annotations
 
+import hashlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 
-# Odd constants of the polynomials and of the finaliser (fixed values).
+# Odd constants of the polynomial and of the finaliser, and the digests' key (fixed values).
 BYTE_BASE = 0x9E3779B97F4A7C15
 GRAM_BASE = 0xD1342543DE82EF95
 MIX_1 = 0xFF51AFD7ED558CCD
 MIX_2 = 0xC4CEB9FE1A85EC53
+KEY = b"words of a document"
 
-#: Bytes of text handled at once; bounds the temporary arrays at about 100 bytes each.
+#: Bytes of text handled at once, besides one text that is longer.
 SLAB_BYTES = 1 << 20
+#: Words, and bytes of words, that a table holds before it is begun anew.
+TABLE_WORDS, TABLE_BYTES = 300_000, 1 << 24
 
 _powers: dict[int, np.ndarray] = {}
 
@@ -48,22 +57,15 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _slices(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
-    n = len(values)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(values * powers(base, n), out=sums[1:])
-    inverse = powers(pow(base, -1, 1 << 64), n + 1)
-    return (sums[ends] - sums[starts]) * inverse[starts]
-
-
-def gram_hashes(words: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
-    """Hash of each k consecutive word hashes; empty if there are fewer than k."""
+def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
+    """Hash of each k consecutive word digests; empty if there are fewer than k."""
     n = len(words) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    starts = np.arange(n)
-    values = mix(words ^ np.uint64(seed)) if seed else words
-    return mix(_slices(values, starts, starts + k, GRAM_BASE) + np.uint64(k))
+    sums = np.zeros(len(words) + 1, np.uint64)
+    np.cumsum(words * powers(GRAM_BASE, len(words)), out=sums[1:])
+    inverse = powers(pow(GRAM_BASE, -1, 1 << 64), n)
+    return mix((sums[k:] - sums[:-k]) * inverse + np.uint64(k))
 
 
 def sliding_min(values: np.ndarray, w: int) -> np.ndarray:
@@ -78,22 +80,49 @@ def sliding_min(values: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(have[:n], have[w - span : w - span + n]) if span < w else have[:n]
 
 
+def digest128(data: bytes) -> bytes:
+    return hashlib.blake2b(data, digest_size=16).digest()
+
+
+def halves(digests: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """128-bit digests as two columns of longs."""
+    both = np.array([], "<i8") if not digests else np.frombuffer(b"".join(digests), "<i8")
+    return both[0::2], both[1::2]
+
+
+class Words(dict):
+    """Numbers of words, exact, and the keyed digest of each number's word."""
+
+    def __init__(self):
+        self.digests, self.bytes = array("Q"), 0
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self.digests)
+        self.digests.append(int.from_bytes(hashlib.blake2b(word, digest_size=8, key=KEY).digest(), "little"))
+        self.bytes += len(word)
+        return n
+
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+
+    def hashes(self, numbers: np.ndarray) -> np.ndarray:
+        return np.array(self.digests, np.uint64)[numbers] if len(numbers) else np.zeros(0, np.uint64)
+
+    def begin_anew_if_full(self) -> None:
+        if len(self) > TABLE_WORDS or self.bytes > TABLE_BYTES:
+            self.clear()
+            self.digests, self.bytes = array("Q"), 0
+
+
 @dataclass
 class Slab:
-    """Some rows of a batch with their words.
-
-    rows: row numbers in the batch; text(i) lies in data[begin[i]:end[i]];
-    word_start/word_end are byte positions; row i has the words
-    first[i]:first[i + 1]; hashes is the hash of each word.
-    """
+    """Some rows of a batch: row i has the words first[i]:first[i + 1], numbered in `numbers`."""
 
     rows: np.ndarray
-    data: np.ndarray
-    begin: np.ndarray
-    end: np.ndarray
-    word_start: np.ndarray
-    word_end: np.ndarray
+    texts: list[bytes]
+    words: list[bytes]
     first: np.ndarray
+    numbers: np.ndarray
     hashes: np.ndarray
 
     @property
@@ -102,66 +131,67 @@ class Slab:
 
     def same_row(self, k: int) -> np.ndarray:
         """Of each k consecutive words: whether they lie in one row."""
-        n = len(self.hashes) - k + 1
+        n = len(self.words) - k + 1
         if n <= 0:
             return np.zeros(0, bool)
         return self.row_of(np.arange(n)) == self.row_of(np.arange(k - 1, n + k - 1))
 
-    def beginnings(self, k: int) -> np.ndarray:
-        """Hash of the first k characters of each word; of the word, if it has no more."""
-        chars = np.append(np.flatnonzero((self.data & 0xC0) != 0x80), np.full(k, len(self.data)))
-        stop = np.minimum(chars[np.searchsorted(chars, self.word_start) + k], self.word_end)
-        return mix(_slices(self.data.astype(np.uint64) + np.uint64(1), self.word_start, stop, BYTE_BASE))
-
     def row_of(self, words: np.ndarray) -> np.ndarray:
         """The place in rows of each word."""
         return np.repeat(np.arange(len(self.rows)), self.n_words)[words]
 
-
-SPACE = np.zeros(256, bool)
-SPACE[[0x20, *range(0x09, 0x0E)]] = True
-#: ASCII without digits and lower-case letters.
-NOT_ALNUM = np.zeros(256, bool)
-NOT_ALNUM[[*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[0x41:0x5B] += 32
-
-
-def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes and offsets of a string column; a null has no bytes."""
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    column = column.cast(pa.large_string()).fill_null("")
-    _, offsets, data = column.buffers()
-    at = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
-    return np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8), at
-
-
-def slabs(column: pa.Array, lower: bool = False, between: np.ndarray = SPACE) -> Iterator[Slab]:
-    """Cuts a string column into slabs of whole rows and finds the words between bytes that are True in `between`."""
-    if len(column) == 0:
-        return
-    data, at = buffers(column)
-    row, n = 0, len(at) - 1
-    while row < n:
-        last = max(row + 1, int(np.searchsorted(at, at[row] + SLAB_BYTES, side="right")) - 1)
-        base, stop = int(at[row]), int(at[last])
-        piece = data[base:stop]
-        begin, end = at[row:last] - base, at[row + 1 : last + 1] - base
-        if lower:
-            piece = _LOWER[piece]
-        inside = ~between[piece]
-        # a word also starts where its row does
-        starts = inside.copy()
-        starts[1:] &= ~inside[:-1]
-        edges = begin[(begin > 0) & (begin < len(piece))]
-        starts[edges] |= inside[edges]
-        ends = np.zeros(len(piece) + 1, bool)
-        ends[1:] = inside
-        ends[:-1] &= ~inside
-        ends[edges] |= inside[edges - 1] if len(edges) else False
-        word_start, word_end = np.flatnonzero(starts), np.flatnonzero(ends)
-        hashes = mix(_slices(piece.astype(np.uint64) + np.uint64(1), word_start, word_end, BYTE_BASE)) if len(word_start) else np.zeros(0, np.uint64)
-        first = np.concatenate([np.searchsorted(word_start, begin), [len(word_start)]])
-        yield Slab(np.arange(row, last), piece, begin, end, word_start, word_end, first, hashes)
-        row = last
+    def joined(self) -> tuple[bytes, np.ndarray]:
+        """All words joined by one space, and the place of each, so that words a:b are data[at[a] : at[b] - 1]."""
+        at = np.zeros(len(self.words) + 1, np.int64)
+        np.cumsum(np.fromiter(map(len, self.words), np.int64, len(self.words)) + 1, out=at[1:])
+        return b" ".join(self.words), at
+
+
+def bytes_of(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
+    """UTF-8 bytes of a string column; a null has none."""
+    return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
+
+
+def slab_of(texts: list[bytes], words: Words, rows: np.ndarray | None = None) -> Slab:
+    split = [t.split() for t in texts]  # at the six white-space characters of ASCII
+    flat = list(chain.from_iterable(split))
+    first = np.zeros(len(texts) + 1, np.int64)
+    np.cumsum(np.fromiter(map(len, split), np.int64, len(split)), out=first[1:])
+    numbers = words.numbers(flat)
+    return Slab(np.arange(len(texts)) if rows is None else rows, texts, flat, first, numbers, words.hashes(numbers))
+
+
+def cuts(sizes: list[int], most: int = SLAB_BYTES) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of at most so many bytes together, or of one row."""
+    start, total = 0, 0
+    for i, size in enumerate(sizes):
+        if total + size > most and i > start:
+            yield start, i
+            start, total = i, 0
+        total += size
+    if sizes:
+        yield start, len(sizes)
+
+
+def slabs(column: pa.Array, words: Words, lower: bool = False) -> Iterator[Slab]:
+    """Cuts a string column into slabs of whole rows and splits them at white space."""
+    texts = bytes_of(column)
+    if lower:
+        texts = [t.lower() for t in texts]  # of bytes: A-Z alone
+    for a, b in cuts([len(t) for t in texts]):
+        words.begin_anew_if_full()
+        yield slab_of(texts[a:b], words, np.arange(a, b))
+
+
+def shingle_numbers(numbers: np.ndarray, k: int) -> np.ndarray:
+    """A number for each k consecutive words of a slab: equal if and only if the words are."""
+    have, span = numbers, 1
+    while span < k:
+        step = min(span, k - span)
+        a, b = have[:-step], have[step:]
+        if not len(a):
+            return np.zeros(0, np.int64)
+        have, span = a * (int(have.max()) + 1) + b, span + step
+        if span < k:  # numbers small enough to be paired again
+            have = np.unique(have, return_inverse=True)[1]
+    return have

@@ -1,14 +1,16 @@
 """Near-duplicate documents by fast similarity sketching, banding and exact verification.
 
-The set of a document is its distinct word shingles. The sketch has `bands * rows`
+The set of a document is its distinct word shingles, five words each unless said otherwise. The sketch has `bands * rows`
 coordinates. Round i of 2t throws every shingle into one coordinate by a hash of its
 own; rounds t to 2t - 1 throw all shingles into coordinate i - t, so every coordinate
 fills. A coordinate keeps the least (round, hash). Sets of similarity s agree in a
 coordinate with chance s, with strong concentration, so that 40 bands of 4 rows miss a
 pair of similarity 0.8 with chance 7e-10.
 
-Equal sets are one class at once. In a bucket of equal bands every class is held against
-the bucket's least class on the full sets. Buckets that still span several components
+Texts of the same words in the same order (lower-cased; told by a 128-bit cryptographic
+digest of their bytes) are one class at once. In a bucket of equal bands every class is
+held against the bucket's least class on the full sets of shingles, which are compared
+word by word and not by hashes. Buckets that still span several components
 are taken up again: some classes outside the main component become pivots and are held
 against the bucket, until each bucket's classes are linked or compared. Pivots and
 classes meet in cells of a bounded size, a large bucket being many cells; a cell gives
@@ -31,10 +33,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .kernels import BYTE_BASE, Slab, gram_hashes, mix, slabs
+from .kernels import BYTE_BASE, Slab, Words, bytes_of, cuts, digest128, gram_hashes, halves, mix, shingle_numbers, slab_of, slabs
 from .workspace import Workspace
 
-SHINGLE = 2
+SHINGLE = 5
 PERCENT = 80
 BANDS = 40
 ROWS = 4
@@ -45,7 +47,7 @@ GROWTH = 16
 CELL_BYTES = 1 << 19
 
 EMPTY = np.uint64(2**64 - 1)
-SKETCH_SCHEMA = "doc_id long, n_shingles long, s1 long, s2 long, n_bytes long, bands array<long>"
+SKETCH_SCHEMA = "doc_id long, n_shingles long, d1 long, d2 long, n_bytes long, bands array<long>"
 
 
 def round_seeds(t: int) -> np.ndarray:
@@ -71,39 +73,48 @@ def sketch(shingles: np.ndarray, t: int, seeds: np.ndarray) -> np.ndarray:
     return out
 
 
-def shingle_sets(slab: Slab, k: int) -> Iterator[np.ndarray]:
-    """Sorted distinct shingle hashes of each row; fewer than k words are one shingle."""
-    grams = gram_hashes(slab.hashes, k)
+def shingle_hashes(slab: Slab, k: int) -> Iterator[np.ndarray]:
+    """One 64-bit hash for each distinct shingle of each row; fewer than k words are one shingle."""
+    hashes, numbers = gram_hashes(slab.hashes, k), shingle_numbers(slab.numbers, k)
     for a, b in zip(slab.first.tolist(), slab.first[1:].tolist()):
         if b - a >= k:
-            yield np.unique(grams[a : b - k + 1])
+            yield hashes[a + np.unique(numbers[a : b - k + 1], return_index=True)[1]]
         elif b > a:
             yield gram_hashes(slab.hashes[a:b], b - a)
         else:
             yield slab.hashes[:0]
 
 
+def shingle_sets(slab: Slab, k: int) -> list[np.ndarray]:
+    """The sorted distinct shingles of each row, by their numbers; fewer than k words are one shingle."""
+    numbers, short, out = shingle_numbers(slab.numbers, k), {}, []
+    for a, b in zip(slab.first.tolist(), slab.first[1:].tolist()):
+        if b - a >= k:
+            out.append(np.unique(numbers[a : b - k + 1]))
+        else:
+            whole = tuple(slab.numbers[a:b].tolist())
+            out.append(np.full(1, -1 - short.setdefault(whole, len(short))) if whole else numbers[:0])
+    return out
+
+
 def sketch_rows(k: int, bands: int, rows: int):
-    """mapInArrow function: (doc_id, text) to set size, set digest and band keys."""
+    """mapInArrow function: (doc_id, text) to set size, digest of the words in order, and band keys."""
     t = bands * rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seeds = round_seeds(t)
+        seeds, words = round_seeds(t), Words()
         salt = mix(np.arange(bands, dtype=np.uint64) + np.uint64(7))
         for batch in batches:
-            sizes, sums, xors, keys = [], [], [], []
-            for slab in slabs(batch.column("text"), lower=True):
-                for s in shingle_sets(slab, k):
+            sizes, digests, keys = [], [], []
+            for slab in slabs(batch.column("text"), words, lower=True):
+                data, at = slab.joined()
+                for i, s in enumerate(shingle_hashes(slab, k)):
                     sizes.append(len(s))
-                    if not len(s):
-                        sums.append(0), xors.append(0), keys.append([])
-                        continue
-                    sums.append(int(s.sum(dtype=np.uint64).view(np.int64)))
-                    xors.append(int(np.bitwise_xor.reduce(mix(s ^ np.uint64(BYTE_BASE))).view(np.int64)))
-                    keys.append((gram_hashes(sketch(s, t, seeds), rows)[::rows] ^ salt).view(np.int64))
+                    digests.append(digest128(data[at[slab.first[i]] : at[slab.first[i + 1]] - 1]) if len(s) else bytes(16))
+                    keys.append((gram_hashes(sketch(s, t, seeds), rows)[::rows] ^ salt).view(np.int64) if len(s) else [])
             yield pa.record_batch(
-                [batch.column("doc_id").cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(sums, pa.int64()), pa.array(xors, pa.int64()), pc.binary_length(batch.column("text")).cast(pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
-                names=["doc_id", "n_shingles", "s1", "s2", "n_bytes", "bands"],
+                [batch.column("doc_id").cast(pa.int64()), pa.array(sizes, pa.int64()), *map(pa.array, halves(digests)), pc.binary_length(batch.column("text")).cast(pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
+                names=["doc_id", "n_shingles", "d1", "d2", "n_bytes", "bands"],
             )
 
     return run
@@ -113,29 +124,31 @@ def similar_rows(k: int, percent: int):
     """mapInArrow function: (a, b, text_a, text_b) to the pairs whose full sets are similar."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words()
         for batch in batches:
-            sides = [(s for slab in slabs(batch.column(c), lower=True) for s in shingle_sets(slab, k)) for c in ("text_a", "text_b")]
+            left, right = ([t.lower() for t in bytes_of(batch.column(c))] for c in ("text_a", "text_b"))
             linked = []
-            for x, y in zip(*sides):
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                union = len(x) + len(y) - both
-                linked.append(bool(union) and 100 * both >= percent * union)
+            for i, j in cuts([len(x) + len(y) for x, y in zip(left, right)]):
+                words.begin_anew_if_full()
+                sets = shingle_sets(slab_of(left[i:j] + right[i:j], words), k)
+                for x, y in zip(sets, sets[j - i :]):
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    union = len(x) + len(y) - both
+                    linked.append(bool(union) and 100 * both >= percent * union)
             yield pa.record_batch([batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
 
     return run
 
 
-def _sets(texts: pa.ChunkedArray, k: int) -> list[np.ndarray]:
-    return [s for chunk in texts.chunks for slab in slabs(chunk, lower=True) for s in shingle_sets(slab, k)]
-
-
 def cell_links(k: int, percent: int):
     """applyInArrow function: a cell's classes and pivots to the links that join two components."""
 
     def run(classes: pa.Table, pivots: pa.Table) -> pa.Table:
         if not len(pivots) or not len(classes):
             return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-        sets = _sets(pivots.column("text"), k)
+        texts = [t.lower() for side in (pivots, classes) for t in bytes_of(side.column("text"))]
+        found = shingle_sets(slab_of(texts, Words()), k)  # one slab, so that both sides' shingles have the same numbers
+        sets, others = found[: len(pivots)], found[len(pivots) :]
         sizes, labels = np.array([len(s) for s in sets]), np.array(pivots.column("label"), np.int64)
         shingles, owners = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
         order = np.argsort(shingles, kind="stable")
@@ -148,7 +161,7 @@ def cell_links(k: int, percent: int):
             return x
 
         links = []
-        for s, label in zip(_sets(classes.column("text"), k), classes.column("label").to_pylist()):
+        for s, label in zip(others, classes.column("label").to_pylist()):
             low, high = np.searchsorted(shingles, s, "left"), np.searchsorted(shingles, s, "right")
             n = high - low
             at = np.repeat(high - np.cumsum(n), n) + np.arange(n.sum())  # the places low..high of every shingle, in a row
@@ -185,12 +198,14 @@ def near_duplicates(
     documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketches = workspace.save(documents.mapInArrow(sketch_rows(shingle, bands, rows), SKETCH_SCHEMA), "sketches")
 
-    classes = sketches.filter("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "s1", "s2").agg(F.min("doc_id").alias("owner"))
+    lasting, workspace = workspace, workspace.inner("rounds")
+    classes = sketches.filter("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("owner"))
     classes = workspace.save(classes, "classes")
-    owners = sketches.join(classes.select(F.col("owner").alias("doc_id")), "doc_id", "left_semi")
-    members = owners.select("doc_id", "n_bytes", F.explode("bands").alias("band"))
+    owners = sketches.join(classes.select(F.col("owner").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    members = workspace.save(owners.select("doc_id", "n_bytes", F.explode("bands").alias("band")), "members")
     full = members.groupBy("band").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("last")).filter("least < last").select("band", "least")
-    buckets = workspace.save(members.join(full, "band").select("band", "doc_id", "least", "n_bytes").dropDuplicates(["band", "doc_id"]), "buckets")
+    # two tables, and nothing grouped above the join, so that a hot bucket's rows can be split at run time
+    buckets = workspace.save(members.join(workspace.save(full, "full"), "band").select("band", "doc_id", "least", "n_bytes"), "buckets")
 
     texts = workspace.save(documents.join(buckets.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
     pairs = buckets.filter("doc_id <> least").select(F.col("doc_id").alias("a"), F.col("least").alias("b")).distinct()
@@ -229,10 +244,12 @@ def near_duplicates(
     group = classes.withColumn("label", F.col("owner"))
     for labels in maps:
         group = _relabelled(group, labels)
-    found = sketches.join(group.select("n_shingles", "s1", "s2", F.col("label").alias("component")), ["n_shingles", "s1", "s2"], "left")
+    group = lasting.save(group.select("d1", "d2", "label"), "components")
+    workspace.release()
+    found = sketches.join(group.select("d1", "d2", F.col("label").alias("component")), ["d1", "d2"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return found.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), shingle=2)

@@ -3,22 +3,32 @@
 A window is `window` consecutive words of one document. Each window picks one
 fingerprint, the least hash of its `gram`-word grams; equal windows pick equal
 fingerprints. A document's windows that pick the same fingerprint and stand next to each
-other are a run: (fingerprint, two hashes of all the run's words). The index keeps, for
-every run content, the smallest document that has it. A batch becomes one immutable
-sorted run file; a lookup merge-joins the files; `compact` folds them into one.
-
-Runs with equal content are repeats at once. For runs that share a fingerprint but not
-their content (a passage in other surroundings) the windows themselves are compared by
-two independent 64-bit hashes of all their words, which verifies every hit.
+other are a run. The index keeps every run content once, with the first document that had
+it. Contents and windows are told by 128-bit cryptographic digests of the words
+themselves; the hashes of grams only choose what is looked at.
+
+The index is a log of immutable sorted files, bucketed by content. `lookup` merge-joins a
+batch with every file: contents that the history has are repeats at once; for contents
+that only share a fingerprint with others (a passage in other surroundings) the windows
+themselves are compared, over the texts of the historical documents concerned. `append`
+writes the batch's new contents as one more file, and `compact` merges the files into one
+when there are more than `fan_in`. The index survives the session: `open` finds it again,
+so that the next batch is held against all before it.
+
+Arrival decides: a batch loses the windows that an earlier batch has, and those that a
+smaller doc_id of the same batch has. `removal_spans` deals a table in ranges of rising
+doc_id, so there arrival and doc_id are one order.
 
 Results for special rows: null or empty text has no words; a text under `window` words
-loses nothing; rows with equal doc_id are taken as one document; a null doc_id matches
-nothing and loses nothing. Other columns are ignored.
+loses nothing; rows with equal doc_id are taken as one document, whose spans are those of
+any of its texts; a null doc_id matches nothing and loses nothing. Other columns are
+ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,16 +36,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .kernels import Slab, gram_hashes, mix, slabs, sliding_min
+from .kernels import Slab, Words, digest128, gram_hashes, halves, mix, slabs, sliding_min
 from .workspace import Workspace
 
 WINDOW = 50
 GRAM = 10
-SECOND = 0x5851F42D4C957F2D  # seed of the second, independent hash
+#: Ranges of doc_id that enter the index one after the other, and files kept before they are merged.
+BATCHES = 4
+FAN_IN = 2
 
-RUN_SCHEMA = "fp long, r1 long, r2 long, doc_id long, start int, len int, again boolean"
+RUN_SCHEMA = "fp long, c1 long, c2 long, doc_id long, start int, len int, again boolean"
+ENTRY_SCHEMA = "c1 long, c2 long, fp long, doc_id long, start int, len int"
 WINDOW_SCHEMA = "w1 long, w2 long, doc_id long, start int"
 RESULT_SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string"
+CONTENT = ["c1", "c2"]
 
 
 def _window_minima(slab: Slab, window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
@@ -45,42 +59,36 @@ def _window_minima(slab: Slab, window: int, gram: int) -> tuple[np.ndarray, np.n
     return at, least[at]
 
 
-def _span_hash(words: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    from .kernels import GRAM_BASE, _slices
-
-    return mix(_slices(words, start, end, GRAM_BASE) + (end - start).astype(np.uint64))
+def _digests(slab: Slab, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Digests of the words start:end, joined by one space."""
+    data, at = slab.joined()
+    return halves([digest128(data[a:b]) for a, b in zip(at[start].tolist(), (at[end] - 1).tolist())])
 
 
 def run_rows(window: int, gram: int):
     """mapInArrow function: documents (doc_id, text) to their runs."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words()
         for batch in batches:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            for slab in slabs(batch.column("text")):
+            for slab in slabs(batch.column("text"), words):
                 at, fp = _window_minima(slab, window, gram)
                 if not len(at):
                     continue
                 row = slab.row_of(at)
-                new = np.concatenate([[True], (fp[1:] != fp[:-1]) | (row[1:] != row[:-1])])
-                begin = np.flatnonzero(new)
+                begin = np.flatnonzero(np.concatenate([[True], (fp[1:] != fp[:-1]) | (row[1:] != row[:-1])]))
                 length = np.diff(np.append(begin, len(at)))
-                start, end = at[begin], at[begin] + length + window - 1
-                other = mix(slab.hashes ^ np.uint64(SECOND))
-                content = _span_hash(slab.hashes, start, end)
+                start = at[begin]
+                c1, c2 = _digests(slab, start, start + length + window - 1)
                 again = np.ones(len(begin), bool)  # its document has had such a run before
-                again[np.unique(mix(content ^ mix(row[begin].astype(np.uint64))), return_index=True)[1]] = False
+                again[np.unique(mix(c1.view(np.uint64) ^ mix(row[begin].astype(np.uint64))), return_index=True)[1]] = False
                 yield pa.record_batch(
                     [
-                        pa.array(fp[begin].view(np.int64)),
-                        pa.array(content.view(np.int64)),
-                        pa.array(_span_hash(other, start, end).view(np.int64)),
-                        pa.array(ids[slab.rows[row[begin]]].astype(np.int64)),
-                        pa.array((start - slab.first[row[begin]]).astype(np.int32)),
-                        pa.array(length.astype(np.int32)),
-                        pa.array(again),
+                        pa.array(fp[begin].view(np.int64)), pa.array(c1), pa.array(c2), pa.array(ids[slab.rows[row[begin]]].astype(np.int64)),
+                        pa.array((start - slab.first[row[begin]]).astype(np.int32)), pa.array(length.astype(np.int32)), pa.array(again),
                     ],
-                    names=["fp", "r1", "r2", "doc_id", "start", "len", "again"],
+                    names=["fp", "c1", "c2", "doc_id", "start", "len", "again"],
                 )
 
     return rows
@@ -90,25 +98,20 @@ def window_rows(window: int):
     """mapInArrow function: (doc_id, text, spans) to the windows that start in the spans."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words()
         for batch in batches:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             spans = batch.column("spans").to_pylist()
-            for slab in slabs(batch.column("text")):
-                wanted = np.zeros(len(slab.hashes) + 1, bool)
+            for slab in slabs(batch.column("text"), words):
+                wanted = np.zeros(len(slab.words) + 1, bool)
                 for row, first in zip(slab.rows, slab.first):
                     for span in spans[row]:
                         wanted[first + span["start"] : first + span["end"]] = True
-                first_hash = gram_hashes(slab.hashes, window)
-                second_hash = gram_hashes(slab.hashes, window, SECOND)
-                at = np.flatnonzero(wanted[: len(first_hash)])
+                same = slab.same_row(window)
+                at = np.flatnonzero(wanted[: len(same)] & same)
                 row = slab.row_of(at)
                 yield pa.record_batch(
-                    [
-                        pa.array(first_hash[at].view(np.int64)),
-                        pa.array(second_hash[at].view(np.int64)),
-                        pa.array(ids[slab.rows[row]].astype(np.int64)),
-                        pa.array((at - slab.first[row]).astype(np.int32)),
-                    ],
+                    [*map(pa.array, _digests(slab, at, at + window)), pa.array(ids[slab.rows[row]].astype(np.int64)), pa.array((at - slab.first[row]).astype(np.int32))],
                     names=["w1", "w2", "doc_id", "start"],
                 )
 
@@ -118,21 +121,17 @@ def window_rows(window: int):
 def removal_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """mapInArrow function: (doc_id, text, spans) to the digest of what is kept."""
     for batch in batches:
-        spans = batch.column("spans").to_pylist()
         counts, removed, digests = [], [], []
-        for slab in slabs(batch.column("text")):
-            kept = np.ones(len(slab.hashes), bool)
-            for row, first in zip(slab.rows, slab.first):
-                for span in spans[row] or ():
-                    kept[first + span["start"] : first + span["end"]] = False
-            data = slab.data.tobytes()
-            for i in range(len(slab.rows)):
-                a, b = slab.first[i], slab.first[i + 1]
-                keep = a + np.flatnonzero(kept[a:b])
-                words = [data[s:e] for s, e in zip(slab.word_start[keep].tolist(), slab.word_end[keep].tolist())]
-                counts.append(int(b - a))
-                removed.append(int(b - a - len(keep)))
-                digests.append(hashlib.sha256(b" ".join(words)).hexdigest())
+        for text, spans in zip(batch.column("text").cast(pa.large_binary()), batch.column("spans")):
+            words, spans = (text.as_py() or b"").split(), spans.as_py() or ()
+            counts.append(len(words))
+            if spans:
+                kept = np.ones(len(words), bool)
+                for span in spans:
+                    kept[span["start"] : span["end"]] = False
+                words = [words[i] for i in np.flatnonzero(kept).tolist()]
+            removed.append(counts[-1] - len(words))
+            digests.append(hashlib.sha256(b" ".join(words)).hexdigest())
         yield pa.record_batch(
             [batch.column("doc_id").cast(pa.int64()), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(digests, pa.string())],
             names=["doc_id", "n_words", "n_removed", "kept_sha256"],
@@ -140,70 +139,155 @@ def removal_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class FingerprintIndex:
-    """Immutable sorted files of run contents, each with its smallest document.
+    """A log of immutable files of run contents (c1, c2, fp, doc_id, start, len) under one folder.
 
-    append(batch) adds one file; more than `fan_in` files are compacted. A lookup reads
-    `entries()`, whose rows may repeat a content until a compaction folds them.
+    Each file is bucketed and sorted by content with as many buckets as the session has
+    shuffle partitions, so that a lookup joins it with a batch without shuffling history.
+    A content stands in one file only. `manifest` rows name the files that count; a file
+    whose write was lost is in no manifest and is never read.
     """
 
-    def __init__(self, workspace: Workspace, fan_in: int = 2):
-        self.workspace, self.fan_in, self.files = workspace, fan_in, []
-
-    def _fold(self, rows: DataFrame) -> DataFrame:
-        return rows.groupBy("fp", "r1", "r2").agg(
-            F.min("owner").alias("owner"), F.sum("n").alias("n")
-        ).sortWithinPartitions("fp")
+    def __init__(self, spark: SparkSession, folder: str, fan_in: int = FAN_IN, window: int = WINDOW, gram: int = GRAM):
+        self.spark, self.folder, self.fan_in, self.window, self.gram = spark, folder, fan_in, window, gram
+        self.version, self.files = 0, []  # (table, path, buckets)
+
+    @staticmethod
+    def open(spark: SparkSession, folder: str, fan_in: int = FAN_IN) -> FingerprintIndex:
+        """The index as the last append or compaction left it."""
+        rows = spark.read.schema("version int, position int, path string, buckets int, window int, gram int").json(f"{folder}/manifest")
+        last = rows.filter(F.col("version") == rows.agg(F.max("version")).first()[0]).orderBy("position").collect()  # a row a file
+        index = FingerprintIndex(spark, folder, fan_in, last[0]["window"], last[0]["gram"])
+        index.version = last[0]["version"]
+        for r in last:
+            table = f"fingerprints_{uuid.uuid4().hex}"
+            spark.sql(f"CREATE TABLE {table} (c1 BIGINT, c2 BIGINT, fp BIGINT, doc_id BIGINT, start INT, len INT) USING parquet CLUSTERED BY (c1, c2) SORTED BY (c1, c2) INTO {r['buckets']} BUCKETS LOCATION '{r['path']}'")
+            index.files.append((table, r["path"], r["buckets"]))
+        return index
+
+    def _write(self, entries: DataFrame, name: str) -> tuple[str, str, int]:
+        table, path = f"fingerprints_{uuid.uuid4().hex}", f"{self.folder}/{name}-{uuid.uuid4().hex}"
+        buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        entries.select(*[c.split()[0] for c in ENTRY_SCHEMA.split(", ")]).write.format("parquet").option("path", path).bucketBy(buckets, *CONTENT).sortBy(*CONTENT).saveAsTable(table)
+        return table, path, buckets
+
+    def _commit(self) -> None:
+        self.version += 1
+        rows = [(self.version, i, path, buckets, self.window, self.gram) for i, (_, path, buckets) in enumerate(self.files)]
+        self.spark.createDataFrame(rows, "version int, position int, path string, buckets int, window int, gram int").coalesce(1).write.mode("append").json(f"{self.folder}/manifest")
+
+    def entries(self) -> DataFrame | None:
+        """All contents of history."""
+        out = None
+        for table, _, _ in self.files:
+            one = self.spark.table(table)
+            out = one if out is None else out.unionByName(one)
+        return out
 
-    def append(self, runs: DataFrame) -> None:
-        # (document, place) in one struct: the smallest document and its first such run
-        rows = runs.select("fp", "r1", "r2", F.struct("doc_id", "start", "len").alias("owner"), F.lit(1).cast("long").alias("n"))
-        self.files.append(self.workspace.save(self._fold(rows), "run"))
+    def append(self, entries: DataFrame) -> None:
+        """Writes contents that no file has yet as one more sorted file."""
+        self.files.append(self._write(entries, "file"))
+        old = self.files[:]
         if len(self.files) > self.fan_in:
-            self.compact()
-
-    def entries(self) -> DataFrame:
-        out = self.files[0]
-        for more in self.files[1:]:
-            out = out.unionByName(more)
-        return out
+            self.files = [self._write(self.entries().repartition(self.files[-1][2], *CONTENT), "compacted")]
+        self._commit()
+        if len(old) > len(self.files):  # after the manifest names the new file alone
+            self._forget(old)
 
-    def compact(self) -> DataFrame:
+    def compact(self) -> None:
+        """Merges all files into one."""
         if len(self.files) > 1:
-            self.files = [self.workspace.save(self._fold(self.entries()), "compacted")]
-        return self.files[0]
-
-
-def removal_spans(documents: DataFrame, window: int = WINDOW, gram: int = GRAM, batches: int = 2, workspace: Workspace | None = None) -> DataFrame:
+            old, self.files = self.files, [self._write(self.entries().repartition(self.files[-1][2], *CONTENT), "compacted")]
+            self._commit()
+            self._forget(old)
+
+    def _forget(self, files: list[tuple[str, str, int]]) -> None:
+        for table, path, _ in files:
+            self.spark.sql(f"DROP TABLE IF EXISTS {table}")
+            Workspace.delete(self.spark, path)
+
+    def close(self) -> None:
+        """Takes the tables' names out of the session; the files stay."""
+        for table, _, _ in self.files:
+            self.spark.sql(f"DROP TABLE IF EXISTS {table}")
+
+    def lookup(self, batch: DataFrame, history: DataFrame | None, workspace: Workspace) -> tuple[DataFrame, DataFrame]:
+        """batch and history (doc_id, text) to (spans (doc_id, start, end) of repeats, new contents to append).
+
+        history holds the documents of the batches before; only those that share a
+        fingerprint with a new content are read.
+        """
+        window = self.window
+        runs = workspace.save(batch.mapInArrow(run_rows(window, self.gram), RUN_SCHEMA), "runs")
+        # one row for each content of the batch: its smallest document's first such run
+        folded = runs.groupBy(*CONTENT).agg(F.min(F.struct("doc_id", "start", "len")).alias("first"), F.first("fp").alias("fp"), F.count("*").alias("n"))
+        for table, _, _ in self.files:  # a merge join with each sorted file
+            folded = folded.join(self.spark.table(table).select(*CONTENT, F.lit(True).alias("had")), CONTENT, "left")
+            folded = folded.withColumn("known", F.coalesce("known", "had") if "known" in folded.columns else F.col("had")).drop("had")
+        if not self.files:
+            folded = folded.withColumn("known", F.lit(None).cast("boolean"))
+        folded = workspace.save(folded.select(*CONTENT, "fp", "first", "n", F.coalesce("known", F.lit(False)).alias("known")), "folded")
+        repeated = folded.filter("known or n > 1").select(*CONTENT, F.when(~F.col("known"), F.col("first.doc_id")).alias("owner"))
+        whole = runs.select(*CONTENT, "doc_id", "start", "len").join(repeated, CONTENT).filter("owner is null or doc_id > owner").select("doc_id", "start", (F.col("start") + F.col("len") + window - 1).alias("end"))
+        spans = [workspace.save(whole, "whole")]
+
+        new = folded.filter("not known").select(*CONTENT, "fp", "first.doc_id", "first.start", "first.len")
+        prints = new.groupBy("fp").agg(F.count("*").alias("n"))
+        held = self.entries()
+        if held is not None:
+            before = held.join(prints.select("fp"), "fp", "left_semi").select("fp", "doc_id", "start", "len")
+            before = workspace.save(before, "before")
+            prints = prints.unionByName(before.groupBy("fp").agg(F.count("*").alias("n"))).groupBy("fp").agg(F.sum("n").alias("n"))
+        shared = workspace.save(prints.filter("n > 1").select("fp"), "shared")
+        places = ["doc_id", "start", "len"]
+        open_runs = new.join(shared, "fp", "left_semi").select(*places).unionByName(runs.filter("again").join(shared, "fp", "left_semi").select(*places))
+        windows = workspace.save(self._windows(batch, open_runs), "windows")
+        least = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"), F.lit(False).alias("old"))
+        if held is not None:
+            old = self._windows(history, before.join(shared, "fp", "left_semi").select(*places)).select("w1", "w2").distinct()
+            least = least.unionByName(old.select("w1", "w2", F.lit(None).cast("long").alias("owner"), F.lit(None).cast("long").alias("last"), F.lit(True).alias("old")))
+            least = least.groupBy("w1", "w2").agg(F.min("owner").alias("owner"), F.max("last").alias("last"), F.bool_or("old").alias("old"))
+        # a table of its own, so that a hot window's rows can be split at run time
+        least = workspace.save(least.filter("owner is not null and (old or owner < last)").select("w1", "w2", F.when(~F.col("old"), F.col("owner")).alias("owner")), "least")
+        part = windows.join(least, ["w1", "w2"]).filter("owner is null or doc_id > owner").select("doc_id", "start", (F.col("start") + window).alias("end"))
+        spans.append(part)
+        return spans[0].unionByName(spans[1]), new
+
+    def _windows(self, documents: DataFrame, runs: DataFrame) -> DataFrame:
+        by_doc = runs.groupBy("doc_id").agg(F.collect_list(F.struct("start", (F.col("start") + F.col("len")).alias("end"))).alias("spans"))
+        return documents.join(by_doc, "doc_id").mapInArrow(window_rows(self.window), WINDOW_SCHEMA)
+
+
+def removal_spans(documents: DataFrame, window: int = WINDOW, gram: int = GRAM, batches: int = BATCHES, workspace: Workspace | None = None, fan_in: int = FAN_IN) -> DataFrame:
     """doc_id, spans array<struct<start,end>>: the words that a smaller document also has.
 
-    Documents enter the index in `batches` ranges of doc_id, as if they had arrived so.
+    Documents enter the index in `batches` ranges of doc_id; each is looked up before it
+    is appended.
     """
     spark = documents.sparkSession
     workspace = workspace or Workspace(spark, "substring")
     documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null")
-    runs = workspace.save(documents.mapInArrow(run_rows(window, gram), RUN_SCHEMA), "runs")
-    index = FingerprintIndex(workspace)
-    low, high = runs.agg(F.min("doc_id"), F.max("doc_id")).first()
+    low, high = documents.agg(F.min("doc_id"), F.max("doc_id")).first()
     low, high = (low, high) if low is not None else (0, 0)
-    cuts = [low + (high - low + 1) * i // batches for i in range(batches)] + [high + 1]
+    cuts = sorted({low + (high - low + 1) * i // batches for i in range(batches)} | {high + 1})
+    index = FingerprintIndex(spark, f"{workspace.root}/index-{uuid.uuid4().hex}", fan_in, window, gram)
+    found = []
     for a, b in zip(cuts, cuts[1:]):
-        index.append(runs.filter((F.col("doc_id") >= a) & (F.col("doc_id") < b)))
-    entries = index.compact()
-
-    repeated = entries.filter("n > 1").select("fp", "r1", "r2", F.col("owner.doc_id").alias("owner"))
-    whole = runs.join(repeated, ["fp", "r1", "r2"]).filter("doc_id > owner").select("doc_id", "start", (F.col("start") + F.col("len") + window - 1).alias("end"))
-
-    shared = entries.groupBy("fp").agg(F.min("owner.doc_id").alias("a"), F.max("owner.doc_id").alias("b")).filter("a < b").select("fp")
-    open_runs = entries.join(shared, "fp").select("owner.*").unionByName(runs.filter("again").join(shared, "fp").select("doc_id", "start", "len"))
-    by_doc = open_runs.groupBy("doc_id").agg(F.collect_list(F.struct("start", (F.col("start") + F.col("len")).alias("end"))).alias("spans"))
-    once = documents.join(by_doc, "doc_id")
-    windows = workspace.save(once.mapInArrow(window_rows(window), WINDOW_SCHEMA), "windows")
-    least = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).filter("owner < last").drop("last")
-    part = windows.join(least, ["w1", "w2"]).filter("doc_id > owner").select("doc_id", "start", (F.col("start") + window).alias("end"))
-    return whole.unionByName(part).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-
-
-def substring_dedup(documents: DataFrame, window: int = WINDOW, gram: int = GRAM, batches: int = 2, workspace: Workspace | None = None) -> DataFrame:
+        batch = documents.filter((F.col("doc_id") >= a) & (F.col("doc_id") < b))
+        inner = workspace.inner("batch")
+        spans, new = index.lookup(batch, documents.filter(F.col("doc_id") < a), inner)
+        found.append(workspace.save(spans, "spans"))
+        if b <= high:  # no batch follows the last
+            index.append(new)
+        inner.release()
+    index.close()
+    Workspace.delete(spark, index.folder)
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+
+
+def substring_dedup(documents: DataFrame, window: int = WINDOW, gram: int = GRAM, batches: int = BATCHES, workspace: Workspace | None = None) -> DataFrame:
     """One row per document: words, words removed, and the digest of the words kept."""
     spans = removal_spans(documents, window, gram, batches, workspace)
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")

@@ -2,21 +2,28 @@
 
 Tokens of a text are its words and their beginnings of 4 and 5 characters. The texts of
 labelled training rows, each once, that have a token give its log-odds with an
-informative Dirichlet prior (the pooled counts); those whose z-score is high form a
-lexicon of bounded size. A word with lexicon tokens scores the greatest of their
-log-odds, less two standard errors; any other word scores a small loss. One linear scan finds every
-maximal-scoring segment of a text. Scores are calibrated by extreme-value statistics:
-lambda solves sum p(s) exp(lambda s) = 1 over the words of non-toxic rows, and a
-document's best segment becomes lambda * S - log(n). A logistic curve over that value,
-fitted on the training rows, gives the score.
+informative Dirichlet prior (the pooled counts); those whose z-score is high, with no cap
+on their number, form the lexicon. A word with lexicon tokens scores the greatest of
+their log-odds, less two standard errors; any other word scores a small loss. One linear
+scan finds every maximal-scoring segment of a text.
+
+Segments are judged by extreme-value statistics: lambda solves sum p(s) exp(lambda s) = 1
+over the words of non-toxic rows, so that a segment of score S in a text of n words has
+the normalised score lambda * S - log(n), and its significance is the chance
+1 - exp(-exp(-normalised)) that a text without toxic passages has one as good. All
+segments whose significance is at most `SIGNIFICANT` are a text's toxic passages; their
+normalised scores are added up (the sum of the r best has a tail like that of one, less
+log(r!), by which it is corrected). A logistic curve over that value, fitted on the
+training rows, gives the score; a text without a significant segment has its best one.
 
 Rows with crc32(doc_id as text) mod 3 = 1 are held out: their labels are never read into
 the fit. All other labelled rows count, with no cap on them.
 
 Results for special rows: a null or empty text has no words and gets the curve's least
 score; labels that are null or of no document are unused; several labels of a document
-count as the greatest; without labels of both kinds the lexicon is empty and all score 0;
-rows with equal doc_id get equal scores for equal texts; other columns are ignored.
+count as the greatest, and so do those of equal texts; without labels of both kinds the
+lexicon is empty and all score 0; equal texts get equal scores, whatever their doc_id;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,18 +38,25 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .kernels import NOT_ALNUM, slabs
+from .workspace import Workspace
 
 WORD_BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 HELD_OUT = 1
-#: Words kept at most, those of the highest z-scores, and the least z-score.
-LEXICON = 5000
+#: The least z-score of a lexicon token.
 LEAST_Z = 3.0
+#: Bytes of a lexicon that are sent with the scan; a larger one is an error that names the z-score to raise.
+LEXICON_BYTES = 256 << 20
 #: Weight of the pooled counts in the prior, in tokens, and what each token has besides.
 PRIOR_TOKENS, FLOOR = 1000.0, 0.5
+#: The prior weighs at most this share of the labelled tokens, so that short texts can outweigh it.
+PRIOR_SHARE = 0.1
 #: Characters of a word's beginnings that are tokens too, and the least score of a lexicon token.
 BEGINNINGS = (4, 5)
 LEAST_SCORE = 1.0
+#: Words whose scores a worker remembers.
+REMEMBERED = 300_000
+#: Chance up to which a segment is significant.
+SIGNIFICANT = 0.05
 #: Labelled rows (of 16 bytes) up to which labels are broadcast; more are joined by a shuffle.
 BROADCAST_LABELS = 1_000_000
 #: Loss of a word outside the lexicon.
@@ -51,7 +65,8 @@ OTHER = -0.2
 STEP, MOST = 0.25, 60.0
 PREDICT = 0.7
 
-SCORE_SCHEMA = "doc_id long, best double, n_segments int, start int, end int"
+SCORE_SCHEMA = "doc_id long, best double, n_segments int, start int, end int, passages array<struct<start:int,end:int,score:double>>"
+PASSAGES = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
 
 
 @dataclass(frozen=True)
@@ -70,60 +85,81 @@ def held_out() -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) == HELD_OUT, F.lit(False))
 
 
-def segments(places: np.ndarray, scores: np.ndarray, other: float = OTHER) -> list[tuple[int, int, float]]:
+def segments(places: list[int], scores: list[float], other: float = OTHER) -> list[tuple[int, int, float]]:
     """All maximal-scoring segments (start, end, score) of a text with hits at `places`.
 
-    The list keeps, for each candidate, its cumulative score before and after; a new one
-    joins with the last candidate that began lower as long as that one also ends lower.
+    A candidate keeps its cumulative score before and after, and a link to the last
+    candidate before it that began lower; a new one joins with that one as long as it
+    also ends lower. Links are followed, never the list, so the scan is linear.
     """
-    out: list[tuple[int, int, float, float]] = []  # start, end, sum before, sum after
+    out: list[tuple[int, int, float, float, int]] = []  # start, end, sum before, sum after, link
     total, last = 0.0, 0
-    for place, score in zip(places.tolist(), scores.tolist()):
+    for place, score in zip(places, scores):
         total += (place - last) * other
-        before, total, last = total, total + score, place + 1
-        start, low = place, before
+        low, total, last = total, total + score, place + 1
+        start, j = place, len(out) - 1
         while True:
-            j = len(out) - 1
             while j >= 0 and out[j][2] >= low:
-                j -= 1
+                j = out[j][4]
             if j < 0 or out[j][3] >= total:
-                out.append((start, last, low, total))
+                out.append((start, last, low, total, j))
                 break
-            start, low = out[j][0], out[j][2]
+            start, low, link = out[j][0], out[j][2], out[j][4]
             del out[j:]
-    return [(a, b, y - x) for a, b, x, y in out]
+            j = link
+    return [(a, b, y - x) for a, b, x, y, _ in out]
 
 
-def score_rows(words: tuple[str, ...], scores: tuple[float, ...], scale: float):
-    """mapInArrow function: (doc_id, text) to the calibrated best segment of each text."""
+def judged(found: list[tuple[int, int, float]], n: int, scale: float) -> tuple[float, list[tuple[int, int, float]]]:
+    """A text's value, and its significant segments (start, end, normalised score)."""
+    if not found:
+        return -MOST, []
+    scored = sorted(((scale * s - math.log(n), a, b) for a, b, s in found), reverse=True)
+    good = [x for x in scored if -math.expm1(-math.exp(-max(-50.0, x[0]))) <= SIGNIFICANT]
+    value, total = scored[0][0], 0.0
+    for r, (x, _, _) in enumerate(good, 1):
+        total += x
+        value = max(value, total - math.lgamma(r + 1))
+    return min(MOST, max(-MOST, value)), sorted((a, b, x) for x, a, b in good)
+
+
+class Scores(dict):
+    """Scores of words: the greatest of the lexicon's for the word and its beginnings, 0 if there is none."""
+
+    def __init__(self, lexicon: dict[str, float]):
+        self.lexicon = lexicon
+
+    def __missing__(self, word: bytes) -> float:
+        text = word.decode("utf-8", "replace")
+        value = max(0.0, *(self.lexicon.get(t, 0.0) for t in (text, *(text[:k] for k in BEGINNINGS))))
+        if len(self) < REMEMBERED and len(word) <= 64:
+            self[word] = value
+        return value
+
+
+# Bytes that words are parted at, as spaces, and A-Z in lower case.
+_BETWEEN = bytes(b + 32 if 0x41 <= b <= 0x5A else b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else 0x20 for b in range(256))
+
+
+def score_rows(lexicon: dict[str, float], scale: float):
+    """mapInArrow function: (doc_id, text) to each text's value and significant segments."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if words:
-            lexicon = next(slabs(pa.array([" ".join(words)]))).hashes
-            order = np.argsort(lexicon)
-            lexicon, values = lexicon[order], np.array(scores)[order]
+        scores = Scores(lexicon)
         for batch in batches:
-            best, counts, starts, ends = [], [], [], []
-            for slab in slabs(batch.column("text"), lower=True, between=NOT_ALNUM):
-                hit, value = np.zeros(0, int), np.zeros(0)
-                if words and len(slab.hashes):
-                    value = np.zeros(len(slab.hashes))
-                    for tokens in (slab.hashes, *(slab.beginnings(k) for k in BEGINNINGS)):
-                        at = np.minimum(np.searchsorted(lexicon, tokens), len(lexicon) - 1)
-                        value = np.maximum(value, np.where(lexicon[at] == tokens, values[at], 0.0))
-                    hit = np.flatnonzero(value)
-                    value = value[hit]
-                cuts = np.searchsorted(hit, slab.first)
-                for i in range(len(slab.rows)):
-                    a, b = cuts[i], cuts[i + 1]
-                    n = int(slab.first[i + 1] - slab.first[i])
-                    found = segments(hit[a:b] - slab.first[i], value[a:b]) if b > a else []
-                    top = max(found, key=lambda s: s[2], default=(0, 0, 0.0))
-                    best.append(min(MOST, max(-MOST, scale * top[2] - math.log(n)) if top[2] > 0 else -MOST))
-                    counts.append(len(found)), starts.append(top[0]), ends.append(top[1])
+            best, counts, starts, ends, passages = [], [], [], [], []
+            for text in batch.column("text").cast(pa.large_binary()):
+                words = (text.as_py() or b"").translate(_BETWEEN).split()
+                values = list(map(scores.__getitem__, words)) if lexicon else []
+                places = [i for i, v in enumerate(values) if v]
+                found = segments(places, [values[i] for i in places])
+                value, good = judged(found, len(words), scale)
+                top = max(found, key=lambda s: s[2], default=(0, 0, 0.0))
+                best.append(value), counts.append(len(good)), starts.append(top[0]), ends.append(top[1])
+                passages.append([{"start": a, "end": b, "score": x} for a, b, x in good])
             yield pa.record_batch(
-                [batch.column("doc_id").cast(pa.int64()), pa.array(best, pa.float64()), pa.array(counts, pa.int32()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())],
-                names=["doc_id", "best", "n_segments", "start", "end"],
+                [batch.column("doc_id").cast(pa.int64()), pa.array(best, pa.float64()), pa.array(counts, pa.int32()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(passages, PASSAGES)],
+                names=["doc_id", "best", "n_segments", "start", "end", "passages"],
             )
 
     return run
@@ -170,23 +206,33 @@ def fit(documents: DataFrame, labels: DataFrame) -> Model:
     lower = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
     words = F.array_distinct(F.array_remove(F.split(lower, WORD_BREAK), ""))
     tokens = F.array_distinct(F.concat("words", *[F.transform("words", lambda w, k=k: F.substring(w, 1, k)) for k in BEGINNINGS]))
-    texts = rows.select(F.xxhash64("text").alias("key"), "toxic", words.alias("words")).dropDuplicates(["key"])
+    # equal texts once, with the greatest label; told by a cryptographic digest
+    once = rows.groupBy(F.sha2("text", 256).alias("key")).agg(F.max("toxic").alias("toxic"), F.min("text").alias("text"))
+    texts = once.select("toxic", words.alias("words"))
     counts = texts.select("toxic", F.explode(tokens).alias("word")).groupBy("word")
     counts = counts.agg(F.sum(F.when(F.col("toxic") == 1, 1).otherwise(0)).alias("a"), F.sum(F.when(F.col("toxic") == 1, 0).otherwise(1)).alias("b"))
     total = counts.agg(F.sum("a").alias("na"), F.sum("b").alias("nb"))
     c = counts.crossJoin(F.broadcast(total))  # total is one row
-    prior = FLOOR + PRIOR_TOKENS * (F.col("a") + F.col("b")) / (F.col("na") + F.col("nb"))
-    odds = lambda x, n: F.log((F.col(x) + prior) / (F.col(n) + PRIOR_TOKENS - F.col(x) - prior))
+    weight = F.least(F.lit(PRIOR_TOKENS), PRIOR_SHARE * F.least("na", "nb"))
+    prior = FLOOR + weight * (F.col("a") + F.col("b")) / (F.col("na") + F.col("nb"))
+    odds = lambda x, n: F.log((F.col(x) + prior) / F.greatest(F.lit(FLOOR), F.col(n) + weight - F.col(x) - prior))
     delta = odds("a", "na") - odds("b", "nb")
     error = F.sqrt(1 / (F.col("a") + prior) + 1 / (F.col("b") + prior))
     scored = c.filter("a > 0 and na > 0 and nb > 0").select("word", (delta - 2 * error).alias("score"), (delta / error).alias("z"), ((F.col("b") + 0.5) / (F.col("nb") + 1)).alias("share"))
-    lexicon = scored.filter((F.col("z") >= LEAST_Z) & (F.col("score") >= LEAST_SCORE)).orderBy(F.desc("z"), "word").limit(LEXICON).collect()
+    chosen = scored.filter((F.col("z") >= LEAST_Z) & (F.col("score") >= LEAST_SCORE))
+    workspace = Workspace(documents.sparkSession, "lexicon")
+    chosen = workspace.save(chosen, "lexicon")
+    size = chosen.agg(F.sum(F.octet_length("word") + 64)).first()[0] or 0
+    if size > LEXICON_BYTES:
+        raise ValueError(f"the lexicon needs {size} bytes, more than {LEXICON_BYTES}; raise LEAST_Z")
+    lexicon = chosen.collect()  # its size is known
+    workspace.release()
     lexicon.sort(key=lambda r: r["word"])
     if not lexicon:
         return Model((), (), 1.0, 1.0, 2 * MOST)
     tokens, scores = tuple(r["word"] for r in lexicon), tuple(float(r["score"]) for r in lexicon)
     scale = _scale(np.array(scores), np.array([r["share"] for r in lexicon]))
-    best = rows.select("doc_id", "text").mapInArrow(score_rows(tokens, scores, scale), SCORE_SCHEMA)
+    best = rows.select("doc_id", "text").mapInArrow(score_rows(dict(zip(tokens, scores)), scale), SCORE_SCHEMA)
     # at most 2 * MOST / STEP bins
     binned = best.join(known, "doc_id").groupBy((F.round(F.col("best") / STEP) * STEP).alias("value")).agg(F.count("*").alias("n"), F.sum(F.when(F.col("toxic") == 1, 1).otherwise(0)).alias("toxic"))
     bins = np.array([(r["value"], r["n"], r["toxic"]) for r in binned.collect()], float)
@@ -195,14 +241,14 @@ def fit(documents: DataFrame, labels: DataFrame) -> Model:
 
 
 def score(documents: DataFrame, model: Model) -> DataFrame:
-    """doc_id, held_out, score, predicted, n_segments, start, end (words of the best segment)."""
+    """doc_id, held_out, score, predicted, n_segments, start, end (words of the best segment), passages (all significant ones)."""
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    best = rows.mapInArrow(score_rows(model.words, model.scores, model.scale), SCORE_SCHEMA)
+    best = rows.mapInArrow(score_rows(dict(zip(model.words, model.scores)), model.scale), SCORE_SCHEMA)
     value = F.greatest(F.lit(-50.0), F.least(F.lit(50.0), model.slope * (F.col("best") - model.middle)))
     out = best.withColumn("score", 1 / (1 + F.exp(-value))).withColumn("held_out", held_out())
-    return out.select("doc_id", "held_out", "score", (F.col("score") >= PREDICT).cast("int").alias("predicted"), "n_segments", "start", "end")
+    return out.select("doc_id", "held_out", "score", (F.col("score") >= PREDICT).cast("int").alias("predicted"), "n_segments", "start", "end", "passages")
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return score(documents, fit(documents, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    return score(documents, fit(documents, spark.read.parquet(f"{sf_dir}/labels.parquet"))).drop("passages")

@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from palisade.llm.workspace import Workspace
 from palisade.llm import bpe, decontaminate, html_extract, minhash_dedup, quality_rules, secret_scan, sharding, substring_dedup, toxicity, url_filter
 
 SF = "/root/testdata/sf0.001"
@@ -74,11 +75,11 @@ def test_substring_dedup(docs, empty):
     assert substring_dedup.substring_dedup(empty).count() == 0
 
 
-def brute_components(docs):
+def brute_components(docs, k=5):
     sets = {}
     for d, t in docs.items():
         w = WORD.findall(t.translate(LOWER))
-        sets[d] = {*zip(w, w[1:])} if len(w) > 1 else {tuple(w)} if w else set()
+        sets[d] = {*zip(*(w[i:] for i in range(k)))} if len(w) >= k else {tuple(w)} if w else set()
     label = {d: d for d in sets}
     changed = True
     links = [(a, b) for a in sets for b in sets if a < b and sets[a] | sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
@@ -92,10 +93,11 @@ def brute_components(docs):
     return {d: (len(sets[d]), label[d], label[d] == d) for d in sets}
 
 
-def test_near_duplicates(docs, empty):
-    out = minhash_dedup.near_duplicates(docs)
+@pytest.mark.parametrize("k", [2, 5])
+def test_near_duplicates(docs, empty, k):
+    out = minhash_dedup.near_duplicates(docs, shingle=k)
     assert out.columns == ["doc_id", "n_shingles", "component_id", "kept"]
-    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in out.collect()} == brute_components(texts(docs))
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in out.collect()} == brute_components(texts(docs), k)
     assert out.count() == docs.count()
     assert minhash_dedup.near_duplicates(empty).count() == 0
 
@@ -110,8 +112,59 @@ def test_near_duplicates_in_rounds_and_cells(spark):
             ws[rng.randrange(len(ws))] = f"x{rng.randrange(10**6)}"
         rows.append((i, " ".join(ws)))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    out = minhash_dedup.near_duplicates(docs, pivots=1, cell_bytes=4000)
-    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in out.collect()} == brute_components(texts(docs))
+    out = minhash_dedup.near_duplicates(docs, shingle=2, pivots=1, cell_bytes=4000)
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in out.collect()} == brute_components(texts(docs), 2)
+
+
+def thue_morse(n, a="a", b="b"):
+    """A word and its complement, whose polynomial hashes modulo 2**64 are equal for any odd base."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join((a, b)[x] for x in bits), "".join((b, a)[x] for x in bits)
+
+
+def test_equal_hashes_of_polynomials_are_not_equal_words(spark):
+    one, other = thue_morse(1024)
+    lines = " ".join(f"w{i}" for i in range(49))
+    rows = [(1, one), (2, other), (3, f"{lines} {one}"), (4, f"{lines} {other}"), (5, " ".join(thue_morse(2048, "a ", "b ")[0].split())), (6, " ".join(thue_morse(2048, "a ", "b ")[1].split()))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: r.component_id for r in minhash_dedup.near_duplicates(docs.filter("doc_id < 5"), shingle=2).collect()}
+    assert found[1] == 1 and found[2] == 2
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.substring_dedup(docs).collect()}
+    assert got == brute_removed(texts(docs)) and got[4][1] == 0
+
+
+@pytest.mark.parametrize("batches,fan_in", [(1, 2), (2, 1), (5, 2)])
+def test_substring_index_in_batches(docs, batches, fan_in):
+    spans = substring_dedup.removal_spans(docs, batches=batches, fan_in=fan_in)
+    gone = {r.doc_id: len({i for s in r.spans for i in range(s.start, s.end)}) for r in spans.collect()}
+    assert {d: n for d, n in gone.items() if n} == {d: n for d, (_, n, _) in brute_removed(texts(docs)).items() if n}
+
+
+def test_substring_index_is_found_again(spark, tmp_path):
+    rng = random.Random(9)
+    passage, words = " ".join(f"p{i}" for i in range(80)), lambda n: " ".join(f"v{rng.randrange(10**6)}" for _ in range(n))
+    first = spark.createDataFrame([(10, f"{words(30)} {passage} {words(30)}"), (11, words(90))], "doc_id long, text string")
+    # a later batch loses what history has, whatever its ids
+    second = spark.createDataFrame([(1, f"{words(9)} {passage} {words(9)}"), (2, words(80)), (12, first.collect()[1].text)], "doc_id long, text string")
+    space = Workspace(spark, "test")
+    index = substring_dedup.FingerprintIndex(spark, f"file://{tmp_path}/index", fan_in=1)
+    spans, new = index.lookup(first, None, space)
+    assert spans.count() == 0
+    index.append(new)
+    index.close()
+    index = substring_dedup.FingerprintIndex.open(spark, f"file://{tmp_path}/index", fan_in=1)
+    before = index.entries().count()
+    spans, new = index.lookup(second, first, space)
+    gone = {}
+    for r in spans.collect():
+        gone.setdefault(r.doc_id, set()).update(range(r.start, r.end))
+    assert gone == {1: set(range(9, 89)), 12: set(range(90))}
+    n_new = new.count()
+    index.append(new)  # which compacts
+    assert len(index.files) == 1 and index.entries().count() == before + n_new == index.entries().dropDuplicates(["c1", "c2"]).count()
+    plan = index.spark.table(index.files[0][0]).groupBy("c1", "c2").count()._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan  # history is not shuffled by content
+    index.close()
 
 
 @pytest.mark.parametrize("name,module", [("op1_decontamination", decontaminate), ("op5_quality_rules", quality_rules)])
@@ -196,8 +249,6 @@ def test_urls(spark):
 
 
 def test_page_rank_equals_brute_force(spark):
-    from palisade.llm.workspace import Workspace
-
     edges, seeds = [("a", "b", 2), ("a", "c", 1), ("b", "c", 1), ("c", "a", 1)], {"a": 0.75, "c": 0.25}
     mass = dict(seeds)
     for _ in range(url_filter.ROUNDS):
@@ -211,8 +262,6 @@ def test_page_rank_equals_brute_force(spark):
 
 
 def test_distrust_reaches_the_end_of_a_chain(spark):
-    from palisade.llm.workspace import Workspace
-
     # h16 links to h15, ..., h1 links to bad.net; each host has distrust against the links, none is cut off
     chain = [("bad.net", "")] + [(f"h{i}.test", f'<a href="http://{"bad.net" if i == 1 else f"h{i - 1}.test"}/">') for i in range(1, 17)]
     rows = [(i, f"http://{host}/", html) for i, (host, html) in enumerate(chain)]
@@ -267,8 +316,6 @@ def test_html_composite_importance():
 
 def test_segments_are_maximal():
     rng = random.Random(2)
-    import numpy as np
-
     for _ in range(50):
         n = rng.randrange(1, 30)
         places = sorted(rng.sample(range(60), n))
@@ -276,7 +323,7 @@ def test_segments_are_maximal():
         dense = [toxicity.OTHER] * 60
         for p, s in zip(places, scores):
             dense[p] = s
-        found = toxicity.segments(np.array(places), np.array(scores))
+        found = toxicity.segments(places, scores)
         best = max(sum(dense[i:j]) for i in range(60) for j in range(i + 1, 61))
         assert max(s for _, _, s in found) == pytest.approx(best)
 
@@ -317,7 +364,7 @@ def test_pipeline_equals_its_stages(spark):
     docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     kept = {r.doc_id for r in quality_rules.op5_quality_rules(spark, SF).filter("kept").collect()}
     left = {d: t for d, t in docs.items() if d in kept}
-    left = {d: left[d] for d, (_, _, k) in brute_components(left).items() if k}
+    left = {d: left[d] for d, (_, _, k) in brute_components(left).items() if k}  # five-word shingles
     bad = {r.doc_id for r in decontaminate.op1_decontamination(spark, SF).filter("contaminated").collect()}
     found = corpus_pipeline.run(spark, SF)
     assert found.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
