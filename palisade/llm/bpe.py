@@ -24,6 +24,7 @@ import re
 from collections.abc import Iterator
 from itertools import chain, islice
 
+import ahocorasick
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -69,16 +70,11 @@ class Vocabulary:
         pairs = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
         self.merges = {(ids[a], ids[b]): (rank, ids[a + b]) for rank, (a, b) in enumerate(pairs)}
         self.lookahead = max(map(len, self.ids))
-        self.longest_ending = [0] * 256  # longest token with this last byte
-        for token in self.ids:
-            self.longest_ending[token[-1]] = max(self.longest_ending[token[-1]], len(token))
         self.parts = {out: (a, b, rank) for (a, b), (rank, out) in reversed(self.merges.items())}
-        sizes: dict[bytes, set[int]] = {}
-        for token in self.ids:
-            for k in range(1, min(4, len(token)) + 1):
-                sizes.setdefault(token[:k], set()).add(len(token))
-        # descending lengths of the tokens with a beginning of up to four bytes, then of its own beginnings
-        self.sizes = {head: tuple(sorted(found | {k for k in range(1, len(head)) if head[:k] in self.ids}, reverse=True)) for head, found in sizes.items()}
+        self.matcher = ahocorasick.Automaton()  # of all tokens that end at a position, the longest first
+        for token, i in self.ids.items():
+            self.matcher.add_word(token.decode("latin-1"), (i, len(token)))
+        self.matcher.make_automaton()
         self.special_pattern = re.compile("|".join(re.escape(t) for t in sorted(self.special, key=len, reverse=True))) if self.special else None
 
     def edge(self, token: int, side: int) -> list[tuple[int, int]]:
@@ -125,46 +121,56 @@ class Encoder(dict):
             self.fits[key] = found
         return found
 
+    def advance(self, data: bytes, to: int, last: list[int], start: int, previous: int) -> None:
+        """Finds the last token of each prefix up to `to`; `last` has those that end after `start`, a border behind the token `previous`."""
+        fits, done = self.fits, start + len(last) - 1
+        base = max(start, done + 1 - self.v.lookahead)
+        for end, (token, size) in self.v.matcher.iter(data[base:to].decode("latin-1")):
+            end += base
+            if end <= done:  # has its token
+                continue
+            before = last[-size] if size <= end - start else previous
+            if before >= 0:
+                fit = fits.get(before << 32 | token)
+                if not (fit if fit is not None else self.compatible(before, token)):
+                    continue
+            last.append(token)
+            done = end
+
     def transduce(self, data: bytes) -> Iterator[list[int]]:
         """Lists of tokens, each emitted when no further byte can change it."""
-        ids, longest, ahead = self.v.ids, self.v.longest_ending, self.v.lookahead
-        last: list[int] = []  # last[i]: token that ends prefix base + i + 1
-        base = start = 0  # prefix before `base` is forgotten; tokens before `start` are out
-        n = len(data)
-        for i in range(n):
-            for size in range(min(longest[data[i]], i + 1 - start), 0, -1):
-                token = ids.get(data[i + 1 - size : i + 1])
-                if token is None:
+        ahead = self.v.lookahead
+        last: list[int] = []  # last[i]: token that ends prefix start + i + 1
+        start, previous, n = 0, -1, len(data)  # tokens before `start` are out, `previous` the last of them
+        at = 0
+        while at < n:
+            # short texts end before anything is stable; long ones are taken on by the lookahead
+            at = min(n, max(at + ahead, start + 4 * ahead))
+            self.advance(data, at, last, start, previous)
+            tokens = self.chain(last, start, at)
+            if at < n:  # keep what every position within the lookahead agrees on
+                ends = set(self.ends(tokens, start))
+                for j in range(at - ahead, at):
+                    ends &= set(self.ends(self.chain(last, start, j), start)) | set(range(j + 1, at + 1))
+                stable, end, out = max((e for e in ends if e <= at - ahead), default=start), start, []
+                for token in tokens:
+                    if end >= stable:
+                        break
+                    out.append(token)
+                    end += len(self.v.bytes[token])
+                if not out:
                     continue
-                before = i - size  # the position that ends the prefix before the token
-                if before < start or self.compatible(last[before - base], token):
-                    break
-            last.append(token)
-            if i - start >= 4 * ahead and (i - start) % ahead == 0 or i == n - 1:
-                tokens = self.chain(last, base, start, i)
-                if i < n - 1:  # keep what every position within the lookahead agrees on
-                    ends = set(self.ends(tokens, start))
-                    for j in range(i - ahead, i):
-                        ends &= set(self.ends(self.chain(last, base, start, j), start)) | set(range(j + 1, i + 1))
-                    stable, at, out = max((e for e in ends if e <= i - ahead), default=start), start, []
-                    for token in tokens:
-                        if at >= stable:
-                            break
-                        out.append(token)
-                        at += len(self.v.bytes[token])
-                    if out:
-                        yield out
-                        start = at
-                        del last[: start - base]
-                        base = start
-                else:
-                    yield tokens
-
-    def chain(self, last: list[int], base: int, start: int, i: int) -> list[int]:
-        out = []
-        while i >= start:
-            out.append(last[i - base])
-            i -= len(self.v.bytes[out[-1]])
+                tokens, previous = out, out[-1]
+                del last[: end - start]
+                start = end
+            yield tokens
+
+    def chain(self, last: list[int], start: int, end: int) -> list[int]:
+        """The tokens of the prefix that ends at `end`, from `start` on."""
+        out, sizes, at = [], self.v.bytes, end - start
+        while at > 0:
+            out.append(last[at - 1])
+            at -= len(sizes[out[-1]])
         return out[::-1]
 
     def ends(self, tokens: list[int], start: int) -> Iterator[int]:
@@ -172,45 +178,14 @@ class Encoder(dict):
             start += len(self.v.bytes[token])
             yield start
 
-    def short(self, data: bytes) -> list[int]:
-        """Tokens of a pretoken within the lookahead, where nothing can be emitted before its end.
-
-        Takes the longest token that is compatible with the one before it, and goes back
-        where none is; a position has only one last token, so it is left at most once.
-        """
-        ids, fits, sizes = self.v.ids, self.fits, self.v.sizes
-        out: list[int] = []
-        dead: set[int] = set()
-        n, at, previous, most = len(data), 0, -1, len(data)
-        while at < n:
-            for k in (4, 3, 2, 1):
-                tries = sizes.get(data[at : at + k])
-                if tries is not None:
-                    break
-            for size in tries:
-                if size > most:
-                    continue
-                token = ids.get(data[at : at + size])
-                if token is not None and not (dead and at + size in dead):
-                    if previous < 0:
-                        break
-                    fit = fits.get(previous << 32 | token)
-                    if fit if fit is not None else self.compatible(previous, token):
-                        break
-            else:
-                dead.add(at)
-                most = len(self.v.bytes[out.pop()]) - 1
-                at -= most + 1
-                previous = out[-1] if out else -1
-                continue
-            out.append(token)
-            at, previous = at + size, token
-            most = n - at
-        return out
-
     def pretoken(self, text: str) -> tuple[int, ...]:
         data = text.encode("utf-8", "surrogatepass")
-        out = tuple(self.short(data)) if len(data) <= self.v.lookahead else tuple(t for part in self.transduce(data) for t in part)
+        if len(data) <= 4 * self.v.lookahead:  # ends before anything could be emitted
+            last: list[int] = []
+            self.advance(data, len(data), last, 0, -1)
+            out = tuple(self.chain(last, 0, len(data)))
+        else:
+            out = tuple(chain.from_iterable(self.transduce(data)))
         if len(text) <= LONGEST_REMEMBERED:
             if len(self) >= REMEMBERED:
                 self.clear()
