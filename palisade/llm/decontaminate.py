@@ -2,14 +2,16 @@
 
 A window is ten consecutive words of a benchmark item, or a shorter item as a whole.
 Training texts and items keep, for every window, the least hash of its five-word grams,
-so equal windows keep equal fingerprints. Fingerprints are joined; hits are extended on
-the whole texts of the documents that have one, where each window is compared as text.
-Shorter items have one gram, the whole item, and documents keep all grams of the lengths
-that occur.
+so equal windows keep equal fingerprints. Fingerprints are joined; a hit is extended from
+its place in the document to the windows around it that hold its gram, which are compared
+as text. Shorter items have one gram, the whole item, and documents keep all grams of the
+lengths that occur.
 
 Results for special rows: a null or empty text has no words and no hits; an item without
 words has no window; rows with equal doc_id are one document; repeated items count once
-by item_id; an empty benchmark hits nothing; other columns are ignored.
+by item_id; an empty benchmark hits nothing; an item with a null id is one of the items
+but not named among them; a null doc_id has its own result row without hits; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -24,8 +26,10 @@ from .workspace import Workspace
 WINDOW = 10
 GRAM = 5
 WORD_BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Rows up to which fingerprints, windows or document ids (at most 100 bytes each) are broadcast; more are shuffled.
-BROADCAST_ROWS = 200_000
+#: Bytes up to which fingerprints, windows or document ids are broadcast; more are shuffled.
+BROADCAST_BYTES = 24 << 20
+#: Bytes of a row besides those of its strings.
+ROW_BYTES = 48
 
 
 def words_of(text: Column) -> Column:
@@ -58,8 +62,21 @@ def _windows(words: str, k: int) -> Column:
     return F.when(n >= k, F.transform(F.sequence(F.lit(0), n - k), lambda i: F.struct(i.alias("at"), F.lit(k).alias("len"), F.array_join(F.slice(w, i + 1, k), " ").alias("window"))))
 
 
-def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+def _small(df: DataFrame, strings: Column | None = None) -> DataFrame:
+    """df, marked for a broadcast if all its bytes are few; strings: the column whose bytes vary."""
+    size = F.sum(ROW_BYTES + (F.octet_length(strings) if strings is not None else F.lit(0)))
+    return F.broadcast(df) if (df.agg(size).first()[0] or 0) <= BROADCAST_BYTES else df
+
+
+def _around(words: str, hit: str, window: int, gram: int, short: list[int]) -> Column:
+    """The windows (at, len, window) of a document that hold a gram of `hit`, fingerprints it shares with an item."""
+    w, n, none = F.col(words), F.size(words), F.array().cast("array<struct<at:int,len:int,window:string>>")
+    texts = lambda starts, k: F.transform(starts, lambda at: F.struct(at.alias("at"), F.lit(k).alias("len"), F.array_join(F.slice(w, at + 1, k), " ").alias("window")))
+    places = lambda k: F.filter(F.transform(_grams(words, k), lambda g, i: F.when(F.array_contains(hit, g), i)), lambda i: i.isNotNull())
+    # a gram at p lies in the windows that start at p - (window - gram) up to p
+    starts = F.array_distinct(F.flatten(F.transform(places(gram), lambda p: F.sequence(F.greatest(F.lit(0), p - (window - gram)), F.least(p, n - window)))))
+    parts = [F.when(n >= window, texts(starts, window))] + [F.when(n >= k, texts(places(k), k)) for k in short]
+    return F.concat(*[F.coalesce(x, none) for x in parts])
 
 
 def hits(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM, workspace: Workspace | None = None) -> tuple[DataFrame, DataFrame]:
@@ -87,13 +104,12 @@ def hits(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram:
     docs = documents.select("doc_id", "text")
     scanned = with_fingerprints(docs.select("doc_id", words_of(F.col("text")).alias("words")), window, gram, short)
     scanned = workspace.save(scanned.select("doc_id", F.size("words").cast("long").alias("n_words"), "prints"), "prints")
-    found = scanned.select("doc_id", F.explode("prints").alias("fp")).join(_small(prints), "fp").select("doc_id").distinct()
-    found = workspace.save(found, "found")
+    found = scanned.filter("doc_id is not null").select("doc_id", F.explode("prints").alias("fp")).join(_small(prints), "fp")
+    found = workspace.save(found.groupBy("doc_id").agg(F.collect_set("fp").alias("hit")), "found")  # a document's own prints
 
-    texts = docs.join(_small(found), "doc_id", "left_semi").select("doc_id", words_of(F.col("text")).alias("words"))
-    spans = F.concat(*[F.coalesce(_windows("words", k), none) for k in [window, *short]])
-    placed = texts.select("doc_id", F.explode(spans).alias("w")).select("doc_id", "w.at", "w.len", "w.window")
-    return scanned.select("doc_id", "n_words"), placed.join(_small(item_windows), ["len", "window"]).select("doc_id", "at", "len", "item_id")
+    texts = docs.join(_small(found, F.array_join("hit", "")), "doc_id").select("doc_id", words_of(F.col("text")).alias("words"), "hit")
+    placed = texts.select("doc_id", F.explode(_around("words", "hit", window, gram, short)).alias("w")).select("doc_id", "w.at", "w.len", "w.window")
+    return scanned.select("doc_id", "n_words"), placed.join(_small(item_windows, F.col("window")), ["len", "window"]).select("doc_id", "at", "len", "item_id")
 
 
 def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM, workspace: Workspace | None = None) -> DataFrame:
