@@ -65,9 +65,11 @@ NOISE_NAMES = frozenset(
 HEADER_NAMES = frozenset(("header", "topbar", "siteheader"))
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar".split())
 
-MARKUP = re.compile(r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
+MARKUP = re.compile(r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>[^>=]+|=\s*\"[^\"]*(?:\"|\Z)|=\s*'[^']*(?:'|\Z)|=)*+)(?:>|\Z)", re.S)  # a quote opens a value only behind "="
 ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 NAME = re.compile(r"[a-z]+")
+# White space of Unicode (fixed values).
+WHITE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -101,7 +103,7 @@ def blocks(html: str, styles: dict[str, list[str]] | None = None) -> tuple[list[
     def flush() -> None:
         if pieces:
             noise, in_main, path = (stack[-1][2], stack[-1][3], stack[-1][1]) if stack else (False, False, "")
-            if not noise and (text := " ".join(entities.unescape("".join(pieces)).split())):
+            if not noise and (text := WHITE.sub(" ", "".join(pieces)).strip(" ")):
                 out.append((path, text, in_main))
                 if styles is not None:
                     styles.setdefault(path, []).append(TEXT)
@@ -111,10 +113,10 @@ def blocks(html: str, styles: dict[str, list[str]] | None = None) -> tuple[list[
         m = MARKUP.search(html, at)
         if m is None:
             # what is left is text, but for a tag that never ends
-            pieces.append(html[at:])
+            pieces.append(entities.unescape(html[at:]))
             break
         if m.start() > at:
-            pieces.append(html[at : m.start()])
+            pieces.append(entities.unescape(html[at : m.start()]))
         at = max(m.end(), at + 1)
         tag = (m[2] or "").lower()
         if not tag:
