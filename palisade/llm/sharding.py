@@ -2,10 +2,11 @@
 
 At each level a document draws -ln(u) / weight for every child, u hashed from its key,
 the level and the child; the least draw wins. A child whose weight grows can only win
-draws, so rows move into the subtree that changed and nowhere else. The tree for a shard
-count has full regions of racks of shards up to the base count; each further shard is a
-region of its own, so one more shard takes rows only into itself. The law is `key`:
-doc_id and the shard count decide.
+draws, so rows move into the subtree that changed and nowhere else. A tree is founded with
+`base` shards, dealt to regions of racks; each shard that comes later is a region of its
+own, so from any count on one more shard takes rows only into itself. A count below the
+base is an error: it would be another tree. The law is `key`: doc_id and the shard count
+decide.
 
 A slot is a row's place in its shard: counts of (shard, cell) give each cell's offset and
 rows are numbered within cells, so that no shard is ever gathered in one task.
@@ -38,43 +39,47 @@ ROW_BYTES = 16
 
 @dataclass(frozen=True)
 class Tree:
-    """Shard numbers by region and rack; a node weighs what its shards weigh together."""
+    """Shard numbers by region and rack; a node weighs what its shards weigh together, a shard 1 unless said otherwise."""
 
     regions: tuple[tuple[tuple[int, ...], ...], ...]
+    weights: tuple[tuple[int, float], ...] = ()
 
     @staticmethod
-    def of(shards: int, base: int = SHARDS) -> Tree:
-        per_region = RACKS_PER_REGION * SHARDS_PER_RACK
-        whole = min(shards, base) // per_region * per_region
-        regions = [
-            tuple(tuple(range(r + k * SHARDS_PER_RACK, r + (k + 1) * SHARDS_PER_RACK)) for k in range(RACKS_PER_REGION)) for r in range(0, whole, per_region)
-        ]
-        return Tree(tuple(regions + [((s,),) for s in range(whole, shards)]))
+    def of(shards: int, base: int = SHARDS, weights: dict[int, float] | None = None) -> Tree:
+        if not 0 < base <= shards:
+            raise ValueError(f"a tree of {base} shards can't have {shards}")
+        racks = [tuple(range(r, min(base, r + SHARDS_PER_RACK))) for r in range(0, base, SHARDS_PER_RACK)]
+        regions = [tuple(racks[i : i + RACKS_PER_REGION]) for i in range(0, len(racks), RACKS_PER_REGION)]
+        return Tree(tuple(regions + [((s,),) for s in range(base, shards)]), tuple(sorted((weights or {}).items())))
 
 
-def weight(node) -> int:
-    return 1 if isinstance(node, int) else sum(map(weight, node))
+def weight(node, weights: dict[int, float]) -> float:
+    return weights.get(node, 1.0) if isinstance(node, int) else sum(weight(c, weights) for c in node)
 
 
-def _draw(key: np.ndarray, name: str, w: int) -> np.ndarray:
+def _draw(key: np.ndarray, name: str, w: float) -> np.ndarray:
     seed = np.uint64((zlib.crc32(name.encode()) + 1) * BYTE_BASE % (1 << 64))
     u = ((mix(key ^ mix(np.array([seed]))) >> np.uint64(12)).astype(np.float64) + 0.5) / float(1 << 52)
-    return -np.log(u) / w
+    return -np.log(u) / w if w > 0 else np.full(len(key), np.inf)
 
 
-def descend(key: np.ndarray, node, name: str = "") -> np.ndarray:
-    """The shard in which each key's descent from the node ends."""
+def _descend(key: np.ndarray, node, weights: dict[int, float], name: str) -> np.ndarray:
     if isinstance(node, int):
         return np.full(len(key), node, np.int32)
-    won = np.argmin([_draw(key, f"{name}/{i}", weight(c)) for i, c in enumerate(node)], axis=0)
+    won = np.argmin([_draw(key, f"{name}/{i}", weight(c, weights)) for i, c in enumerate(node)], axis=0)
     out = np.zeros(len(key), np.int32)
     for i, child in enumerate(node):
         mine = won == i
-        out[mine] = descend(key[mine], child, f"{name}/{i}")
+        out[mine] = _descend(key[mine], child, weights, f"{name}/{i}")
     return out
 
 
-def shard_rows(trees: list[tuple], cells: int):
+def descend(key: np.ndarray, tree: Tree) -> np.ndarray:
+    """The shard in which each key's descent ends."""
+    return _descend(key, tree.regions, dict(tree.weights), "")
+
+
+def shard_rows(trees: list[Tree], cells: int):
     """mapInArrow function: adds shard, grown_shard and cell to the rows' columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,7 +94,7 @@ def shard_rows(trees: list[tuple], cells: int):
     return run
 
 
-def shard_documents(documents: DataFrame, shards: int = SHARDS, cells: int = CELLS) -> DataFrame:
+def shard_documents(documents: DataFrame, shards: int = SHARDS, cells: int = CELLS, base: int | None = None, weights: dict[int, float] | None = None) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard."""
     rows = documents.select(
         F.col("doc_id").cast("long").alias("doc_id"),
@@ -97,7 +102,7 @@ def shard_documents(documents: DataFrame, shards: int = SHARDS, cells: int = CEL
         F.crc32(F.coalesce(F.col("text").cast("binary"), F.lit(b""))).alias("text_crc32"),
         F.lit("key").alias("law"),
     )
-    trees = [Tree.of(shards).regions, Tree.of(shards + 1).regions]
+    trees = [Tree.of(n, base or shards, weights) for n in (shards, shards + 1)]
     rows = rows.mapInArrow(shard_rows(trees, cells), "doc_id long, size long, text_crc32 long, law string, shard int, grown_shard int, cell int")
     counts = rows.groupBy("shard", "cell").agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
