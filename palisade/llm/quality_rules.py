@@ -1,8 +1,9 @@
 """Quality rules: a threshold table compiled into one projection, without user functions.
 
 Results for special rows: a null or empty text has no words and fails the base rule;
-repeated rows give repeated results; other columns are kept by `with_quality` (its own
-columns replace others of those names) and ignored by `quality_report`.
+repeated rows and null ids give results of their own; other columns are kept by
+`with_quality`, whatever their names (its own columns replace others of those names), and
+ignored by `quality_report`; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ THRESHOLDS = (
     ("dup_line_share", None, 0.5),
 )
 LEAST_WORDS = 50
+#: Columns of `with_quality`.
+ADDED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 MOST_REPEAT_PERCENT = 50
 
 
@@ -50,17 +53,20 @@ def repeat_words(words: Column) -> Column:
 
 def with_quality(docs: DataFrame) -> DataFrame:
     """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept."""
-    keep = [c for c in docs.columns if c not in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")]
-    text = F.coalesce("text", F.lit(""))
-    at = docs.select(*keep, F.array_remove(F.split(text, WORD_BREAK), "").alias("_words"), F.split(text, "\n").alias("_lines"))
-    at = at.withColumn("_windows", F.array_sort(F.coalesce(repeat_words(F.col("_words")), F.array().cast("array<struct<h:bigint,i:int>>"))))
+    keep = [c for c in docs.columns if c.lower() not in ADDED]
+    # the documents' columns stand in one struct while names of the operator's own are used
+    row = F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_row")
+    text = F.coalesce(docs["text"], F.lit(""))
+    at = docs.select(row, text.alias("_text"), F.array_remove(F.split(text, WORD_BREAK), "").alias("_words"), F.split(text, "\n").alias("_lines"))
+    text = F.col("_text")
+    at = at.withColumn("_windows", F.sort_array(F.coalesce(repeat_words(F.col("_words")), F.array().cast("array<struct<h:bigint,i:int>>"))))
     m, w = F.size("_windows"), F.col("_windows")
     twice = F.when(
         m >= 2,
         F.filter(F.sequence(F.lit(0), m - 1), lambda j: (F.get(w, j)["h"] == F.get(w, j - 1)["h"]) | (F.get(w, j)["h"] == F.get(w, j + 1)["h"])),
     )
     at = at.withColumn("_twice", twice)
-    at = at.withColumn("_places", F.array_sort(F.transform("_twice", lambda j: F.get(F.col("_windows"), j)["i"])))
+    at = at.withColumn("_places", F.sort_array(F.transform("_twice", lambda j: F.get(F.col("_windows"), j)["i"])))
     p = F.col("_places")
     covered = F.aggregate(
         p, F.struct(F.lit(0).cast("long").alias("n"), F.lit(-3).alias("last")),
@@ -78,7 +84,7 @@ def with_quality(docs: DataFrame) -> DataFrame:
         F.size(F.filter("_words", lambda x: x.isin(stop))).alias("_n_stop"),
     )
     # a generator of one row: a filter on the verdict is not pushed below it, which would repeat the counts' expressions
-    at = at.withColumn("_full", full).select(*keep, F.inline(F.array(counts)))
+    at = at.withColumn("_full", full).select("_row", F.inline(F.array(counts)))
     n = F.col("n_words")
     base = (n < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEAT_PERCENT * n)
     # counts to the thousand, so that each comparison is one of integers
@@ -95,7 +101,8 @@ def with_quality(docs: DataFrame) -> DataFrame:
             good &= 1000 * count >= int(1000 * least) * of
         if most is not None:
             good &= 1000 * count <= int(1000 * most) * of
-    return at.withColumn("base_failed", base).withColumn("kept", ~F.col("base_failed") & good).drop("_n_lines", "_n_stop")
+    at = at.withColumn("base_failed", base).withColumn("kept", ~F.col("base_failed") & good)
+    return at.select(*[F.col("_row")[c].alias(c) for c in keep], *ADDED)
 
 
 def quality_report(documents: DataFrame) -> DataFrame:
