@@ -3,12 +3,14 @@
 Candidates are found by one pattern: any value of 8 or more characters after a key word
 and an assignment (in quotes with spaces too), and runs of 16 or more key characters.
 Each has numbers: length, transitions between kinds of characters, share covered by
-dictionary words, signs of a path or a sentence, and the words before it. A forest, grown from labelled
-findings that `labelled_findings` spells out for each known kind, becomes one SQL
-expression over those numbers, so that texts are read once and never shuffled.
+dictionary words, signs of a path or a sentence, and the words before and behind it. A
+forest, grown from labelled findings that `labelled_findings` spells out for each known
+kind, becomes one SQL expression over those numbers, so that texts are read once and never
+shuffled.
 
 Results for special rows: a null text stays null and has no candidates; an empty text
-has none; repeated rows give repeated results; other columns are kept by `redact`.
+has none; repeated rows, and rows with a null id, give results of their own; other columns
+are kept by `redact`, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,8 +28,8 @@ CANDIDATE = (
     rf"{ASSIGNED}(?:(?<=\")[^\"\n]{{8,200}}(?=\")|(?<=')[^'\n]{{8,200}}(?=')|[^\s\"']{{7,}}[^\s\"',;.:)\]}}>])"
     r"|(?<![A-Za-z0-9+/_.-])(?=[+/_.-]*[A-Za-z0-9])[A-Za-z0-9+/_.-]{16,}={0,2}"
 )
-#: Characters before a candidate that count as its neighbourhood.
-BEFORE = 48
+#: Characters before and behind a candidate whose words are its neighbours.
+BEFORE, BEHIND = 48, 24
 MARK = "[SECRET]"
 #: Labelled findings of all kinds together; trees, and levels of a tree.
 FINDINGS, TREES, LEVELS, LEAF = 1200, 15, 5, 4
@@ -43,10 +45,10 @@ ID_WORDS = r"(?i)(commit|sha|md5|hash|checksum|digest|uuid|guid|request|revision
 #: Starts of keys that name their issuer.
 PREFIXES = r"^(AKIA|ASIA)[A-Z0-9]{16}$|^(gh[opsur]_|github_pat_|glpat-|sk_live_|rk_live_|xox[abprs]-|AIza|SG\.)"
 
-FEATURES = ("length", "transitions", "digits", "uppers", "hexadecimal", "dictionary", "slashes", "joints", "key_word", "id_word", "assigned", "prefix", "vowels", "specials", "spaces", "distinct", "cases")
+FEATURES = ("length", "transitions", "digits", "uppers", "hexadecimal", "dictionary", "slashes", "joints", "key_word", "id_word", "assigned", "prefix", "vowels", "specials", "spaces", "distinct", "cases", "ended", "prose")
 
 
-def features(text: Column, before: Column) -> dict[str, Column]:
+def features(text: Column, before: Column, behind: Column) -> dict[str, Column]:
     n = F.length(text)
     share = lambda pattern: F.regexp_count(text, F.lit(pattern)) / n
     covered = n - F.length(F.regexp_replace(F.lower(text), DICTIONARY, ""))
@@ -68,11 +70,13 @@ def features(text: Column, before: Column) -> dict[str, Column]:
         "spaces": share(" "),
         "distinct": (F.size(F.array_distinct(F.split(text, ""))) / n),
         "cases": F.regexp_count(text, F.lit("[A-Z](?![a-z])|(?<=[a-z])[A-Z]")) / n,
+        "ended": behind.rlike("^[\"';,)\\]}]*[ \\t]*(\\n|$)").cast("double"),
+        "prose": F.regexp_count(behind, F.lit("(?<![^ ])[a-z]{2,}(?![^ .,])")).cast("double"),
     }
 
 
 def labelled_findings(spark: SparkSession, n: int = FINDINGS, more: int = MORE) -> DataFrame:
-    """(text, before, secret): every known kind of secret and of look-alike in equal parts."""
+    """(text, before, behind, secret): every known kind of secret and of look-alike in equal parts."""
     rows = spark.range(n + more).select("id", F.sha2(F.col("id").cast("string"), 512).alias("h"))
     raw = F.translate(F.base64(F.unhex("h")), "+/=", "xyz")
     word = F.element_at(F.array(*[F.lit(w) for w in ("report", "the", "for", "page", "with", "and")]), (F.col("id") % 6 + 1).cast("int"))
@@ -122,7 +126,9 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS, more: int = MORE)
     turn = F.floor(F.col("id") / 6)
     kind = F.when(F.col("id") < n, turn % FIRST_KINDS).otherwise(FIRST_KINDS + turn % (len(kinds) - FIRST_KINDS)).cast("int")
     chosen = F.element_at(F.array(*[F.struct(t.alias("text"), b.alias("before"), F.lit(s).alias("secret")) for t, b, s in kinds]), kind + 1)
-    return rows.select(chosen.alias("f")).select("f.*")
+    closing = F.when(F.col("f.before").endswith('"'), '"').when(F.col("f.before").endswith("'"), "'").otherwise("")
+    follows = F.concat(closing, pick(91, "\n", "", ";\n", ",\n", " and the rest", " was found in it", ", then more text", " # see the notes", ")\n"))
+    return rows.select("id", chosen.alias("f")).select("f.text", "f.before", follows.alias("behind"), "f.secret")
 
 
 def _grow(rows: list[tuple[list[float], int]], rng: random.Random, levels: int):
@@ -157,7 +163,7 @@ def forest(spark: SparkSession, n: int = FINDINGS, trees: int = TREES, levels: i
     key = (n, trees, levels, seed)
     if key not in _forests:
         found = labelled_findings(spark, n)
-        numbers = found.select(*[c.alias(name) for name, c in features(F.col("text"), F.col("before")).items()], "secret")
+        numbers = found.select(*[c.alias(name) for name, c in features(F.col("text"), F.col("before"), F.col("behind")).items()], "secret")
         rows = [([r[name] for name in FEATURES], r["secret"]) for r in numbers.collect()]  # n rows
         rng = random.Random(seed)
         _forests[key] = [_grow(rng.choices(rows, k=len(rows)), rng, levels) for _ in range(trees)]
@@ -172,24 +178,36 @@ def _tree_column(node, at: dict[str, Column]) -> Column:
 
 
 def scan(docs: DataFrame, trees: list | None = None) -> DataFrame:
-    """Adds `findings` array<struct<text, before, p, secret>> and `_pieces`, the text around them."""
+    """One row a document: `row`, all its columns, `text`, `pieces`, the text around candidates, and `findings` array<struct<text, p, secret>>."""
     trees = trees or forest(docs.sparkSession)
-    text = F.coalesce("text", F.lit(""))
-    out = docs.withColumn("_found", F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)))
-    out = out.withColumn("_pieces", F.when(F.size("_found") > 0, F.split(text, CANDIDATE)))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    out = docs.select(row, F.coalesce("text", F.lit("")).alias("text"))
+    out = out.withColumn("found", F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)))
+    out = out.withColumn("pieces", F.when(F.size("found") > 0, F.split("text", CANDIDATE)))
     # a struct of numbers for each candidate first, so that each is computed once
-    pieces = F.col("_pieces")
-    numbered = F.transform(
-        "_found",
-        # the candidate before may hold the key word
-        lambda t, i: F.struct(t.alias("text"), F.right(F.concat(F.coalesce(F.get("_found", i - 1), F.lit("")), F.get(pieces, i)), F.lit(BEFORE)).alias("before")),
+    found, pieces = F.col("found"), F.col("pieces")
+    near = F.transform(
+        found,
+        lambda t, i: F.struct(
+            t.alias("text"),
+            F.right(F.concat(F.coalesce(F.get(found, i - 1), F.lit("")), F.get(pieces, i)), F.lit(BEFORE)).alias("before"),  # the candidate before may hold the key word
+            F.left(F.get(pieces, i + 1), F.lit(BEHIND)).alias("behind"),
+        ),
     )
-    out = out.withColumn("_numbered", numbered)
-    out = out.withColumn("_numbered", F.transform("_numbered", lambda s: F.struct(s["text"].alias("text"), s["before"].alias("before"), *[c.alias(n) for n, c in features(s["text"], s["before"]).items()])))
+    out = out.withColumn("near", near)
+    out = out.withColumn("numbers", F.transform("near", lambda s: F.struct(*[c.alias(n) for n, c in features(s["text"], s["before"], s["behind"]).items()])))
     chance = lambda s: reduce(lambda a, b: a + b, [_tree_column(t, {n: s[n] for n in FEATURES}) for t in trees]) / len(trees)
-    out = out.withColumn("_p", F.transform("_numbered", chance))
-    p = F.col("_p")
-    return out.withColumn("findings", F.transform("_found", lambda t, i: F.struct(t.alias("text"), F.get(p, i).alias("p"), (F.get(p, i) >= 0.5).alias("secret")))).drop("_found", "_numbered", "_p")
+    out = out.withColumn("p", F.transform("numbers", chance))
+    p = F.col("p")
+    findings = F.transform("found", lambda t, i: F.struct(t.alias("text"), F.get(p, i).alias("p"), (F.get(p, i) >= 0.5).alias("secret")))
+    return out.select("row", "text", "pieces", findings.alias("findings"))
+
+
+def _redacted(found: DataFrame) -> DataFrame:
+    """Adds `clean`, the text with marks for its secrets."""
+    marks = F.transform("findings", lambda s: F.when(s["secret"], F.lit(MARK)).otherwise(s["text"]))
+    whole = F.array_join(F.zip_with("pieces", marks, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    return found.withColumn("clean", F.when(F.size("findings") > 0, whole).otherwise(F.col("text")))
 
 
 def secret_report(documents: DataFrame) -> DataFrame:
@@ -197,20 +215,16 @@ def secret_report(documents: DataFrame) -> DataFrame:
     found = _redacted(scan(documents.select("doc_id", "text")))
     secrets = F.transform(F.filter("findings", lambda s: s["secret"]), lambda s: s["text"])
     return found.select(
-        "doc_id", F.size("findings").cast("long").alias("n_candidates"), F.size(secrets).cast("long").alias("n_secrets"),
-        F.sha2(F.array_join(secrets, "\n"), 256).alias("secrets_sha256"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("redacted_sha256"),
+        "row.doc_id", F.size("findings").cast("long").alias("n_candidates"), F.size(secrets).cast("long").alias("n_secrets"),
+        F.sha2(F.array_join(secrets, "\n"), 256).alias("secrets_sha256"), F.sha2("clean", 256).alias("redacted_sha256"),
     )
 
 
-def _redacted(found: DataFrame) -> DataFrame:
-    marks = F.transform("findings", lambda s: F.when(s["secret"], F.lit(MARK)).otherwise(s["text"]))
-    whole = F.array_join(F.zip_with("_pieces", marks, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    return found.withColumn("text", F.when(F.size("findings") > 0, whole).otherwise(F.col("text"))).drop("_pieces")
-
-
 def redact(docs: DataFrame) -> DataFrame:
     """The documents with each secret in their text replaced by a mark."""
-    return _redacted(scan(docs)).select(*docs.columns)
+    found = _redacted(scan(docs))
+    clean = F.when(F.col("row.text").isNotNull(), F.col("clean"))
+    return found.select(*[(clean if c.lower() == "text" else F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
