@@ -1,36 +1,32 @@
 """Word kernels shared by the free-style operators of this subpackage.
 
-Words are numbered by a table that compares their bytes, so equal numbers are equal
-words, and shingles get numbers from those of their parts, so equal numbers are equal
-shingles: within a slab nothing rests on a hash. Across tasks words are told by a keyed
-cryptographic digest of 64 bits, from which the hashes of grams are computed that choose
-candidates; what is decided across tasks without the texts at hand rests on digests of
-128 bits of the real bytes.
+A slab of texts is one buffer of bytes, in which words are parted by one space. Words are
+numbered by comparing their bytes, so equal numbers are equal words, and shingles get
+numbers from those of their parts, so equal numbers are equal shingles: within a slab
+nothing rests on a hash. Hashes of words and grams, prefix sums of a polynomial modulo
+2**64 whose base is odd and so has an inverse, only choose candidates. What is decided
+across tasks without the texts at hand rests on cryptographic digests of 128 bits of the
+words' bytes.
 """
 
 from __future__ import annotations
 
 import hashlib
-from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 
-# Odd constants of the polynomial and of the finaliser, and the digests' key (fixed values).
+# Odd constants of the polynomials and of the finaliser (fixed values).
 BYTE_BASE = 0x9E3779B97F4A7C15
 GRAM_BASE = 0xD1342543DE82EF95
 MIX_1 = 0xFF51AFD7ED558CCD
 MIX_2 = 0xC4CEB9FE1A85EC53
-KEY = b"words of a document"
 
 #: Bytes of text handled at once, besides one text that is longer.
 SLAB_BYTES = 1 << 20
-#: Words, and bytes of words, that a table holds before it is begun anew.
-TABLE_WORDS, TABLE_BYTES = 300_000, 1 << 24
-
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -57,15 +53,21 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def _slices(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
+    n = len(values)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(values * powers(base, n), out=sums[1:])
+    inverse = powers(pow(base, -1, 1 << 64), n + 1)
+    return (sums[ends] - sums[starts]) * inverse[starts]
+
+
 def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
-    """Hash of each k consecutive word digests; empty if there are fewer than k."""
+    """Hash of each k consecutive word hashes; empty if there are fewer than k."""
     n = len(words) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    sums = np.zeros(len(words) + 1, np.uint64)
-    np.cumsum(words * powers(GRAM_BASE, len(words)), out=sums[1:])
-    inverse = powers(pow(GRAM_BASE, -1, 1 << 64), n)
-    return mix((sums[k:] - sums[:-k]) * inverse + np.uint64(k))
+    starts = np.arange(n)
+    return mix(_slices(words, starts, starts + k, GRAM_BASE) + np.uint64(k))
 
 
 def sliding_min(values: np.ndarray, w: int) -> np.ndarray:
@@ -90,48 +92,34 @@ def halves(digests: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return both[0::2], both[1::2]
 
 
-class Words(dict):
-    """Numbers of words, exact, and the keyed digest of each number's word."""
-
-    def __init__(self):
-        self.digests, self.bytes = array("Q"), 0
-
-    def __missing__(self, word: bytes) -> int:
-        n = self[word] = len(self.digests)
-        self.digests.append(int.from_bytes(hashlib.blake2b(word, digest_size=8, key=KEY).digest(), "little"))
-        self.bytes += len(word)
-        return n
-
-    def numbers(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-
-    def hashes(self, numbers: np.ndarray) -> np.ndarray:
-        return np.array(self.digests, np.uint64)[numbers] if len(numbers) else np.zeros(0, np.uint64)
-
-    def begin_anew_if_full(self) -> None:
-        if len(self) > TABLE_WORDS or self.bytes > TABLE_BYTES:
-            self.clear()
-            self.digests, self.bytes = array("Q"), 0
-
-
 @dataclass
 class Slab:
-    """Some rows of a batch: row i has the words first[i]:first[i + 1], numbered in `numbers`."""
+    """Some rows of a batch: row i has the words first[i]:first[i + 1], word j the bytes data[at[j] : at[j + 1] - 1]."""
 
     rows: np.ndarray
-    texts: list[bytes]
-    words: list[bytes]
+    data: np.ndarray
+    at: np.ndarray
     first: np.ndarray
-    numbers: np.ndarray
-    hashes: np.ndarray
 
     @property
     def n_words(self) -> np.ndarray:
         return np.diff(self.first)
 
+    @cached_property
+    def hashes(self) -> np.ndarray:
+        if len(self.at) == 1:
+            return np.zeros(0, np.uint64)
+        return mix(_slices(self.data.astype(np.uint64) + np.uint64(1), self.at[:-1], self.at[1:] - 1, BYTE_BASE))
+
+    @cached_property
+    def numbers(self) -> np.ndarray:
+        """Equal if and only if the words' bytes are."""
+        column = pa.Array.from_buffers(pa.large_binary(), len(self.at) - 1, [None, pa.py_buffer(self.at.astype(np.int64)), pa.py_buffer(self.data)])
+        return column.dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+
     def same_row(self, k: int) -> np.ndarray:
         """Of each k consecutive words: whether they lie in one row."""
-        n = len(self.words) - k + 1
+        n = len(self.at) - k
         if n <= 0:
             return np.zeros(0, bool)
         return self.row_of(np.arange(n)) == self.row_of(np.arange(k - 1, n + k - 1))
@@ -140,11 +128,16 @@ class Slab:
         """The place in rows of each word."""
         return np.repeat(np.arange(len(self.rows)), self.n_words)[words]
 
-    def joined(self) -> tuple[bytes, np.ndarray]:
-        """All words joined by one space, and the place of each, so that words a:b are data[at[a] : at[b] - 1]."""
-        at = np.zeros(len(self.words) + 1, np.int64)
-        np.cumsum(np.fromiter(map(len, self.words), np.int64, len(self.words)) + 1, out=at[1:])
-        return b" ".join(self.words), at
+    def digests(self, start: np.ndarray, end: np.ndarray) -> list[bytes]:
+        """Digests of the words start:end, parted by one space."""
+        data = self.data.tobytes()
+        return [digest128(data[a : max(a, b)]) for a, b in zip(self.at[start].tolist(), (self.at[end] - 1).tolist())]
+
+
+SPACE = np.zeros(256, bool)
+SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[0x41:0x5B] += 32
 
 
 def bytes_of(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
@@ -152,13 +145,22 @@ def bytes_of(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
 
 
-def slab_of(texts: list[bytes], words: Words, rows: np.ndarray | None = None) -> Slab:
-    split = [t.split() for t in texts]  # at the six white-space characters of ASCII
-    flat = list(chain.from_iterable(split))
-    first = np.zeros(len(texts) + 1, np.int64)
-    np.cumsum(np.fromiter(map(len, split), np.int64, len(split)), out=first[1:])
-    numbers = words.numbers(flat)
-    return Slab(np.arange(len(texts)) if rows is None else rows, texts, flat, first, numbers, words.hashes(numbers))
+def slab_of(texts: list[bytes], rows: np.ndarray | None = None, lower: bool = False) -> Slab:
+    """The texts' words, parted at white space of ASCII."""
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+    raw = np.frombuffer(b" ".join([*texts, b""]), np.uint8)  # a space behind each text
+    if lower:
+        raw = _LOWER[raw]
+    inside = ~SPACE[raw]
+    ends = inside[:-1] & ~inside[1:] if len(raw) else inside
+    keep = inside.copy()
+    keep[1:] |= ends  # of white space only the byte behind a word
+    data = np.where(inside, raw, np.uint8(0x20))[keep]
+    at = np.concatenate([[0], np.flatnonzero(data == 0x20) + 1])
+    words = np.zeros(len(raw) + 1, np.int64)
+    np.cumsum(np.concatenate([ends, [False]]) if len(raw) else ends, out=words[1:])
+    first = words[np.concatenate([[0], np.cumsum(sizes)])]
+    return Slab(np.arange(len(texts)) if rows is None else rows, data, at, first)
 
 
 def cuts(sizes: list[int], most: int = SLAB_BYTES) -> Iterator[tuple[int, int]]:
@@ -173,14 +175,11 @@ def cuts(sizes: list[int], most: int = SLAB_BYTES) -> Iterator[tuple[int, int]]:
         yield start, len(sizes)
 
 
-def slabs(column: pa.Array, words: Words, lower: bool = False) -> Iterator[Slab]:
-    """Cuts a string column into slabs of whole rows and splits them at white space."""
+def slabs(column: pa.Array, lower: bool = False) -> Iterator[Slab]:
+    """Cuts a string column into slabs of whole rows."""
     texts = bytes_of(column)
-    if lower:
-        texts = [t.lower() for t in texts]  # of bytes: A-Z alone
     for a, b in cuts([len(t) for t in texts]):
-        words.begin_anew_if_full()
-        yield slab_of(texts[a:b], words, np.arange(a, b))
+        yield slab_of(texts[a:b], np.arange(a, b), lower)
 
 
 def shingle_numbers(numbers: np.ndarray, k: int) -> np.ndarray:

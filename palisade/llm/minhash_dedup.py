@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .kernels import BYTE_BASE, Slab, Words, bytes_of, cuts, digest128, gram_hashes, halves, mix, shingle_numbers, slab_of, slabs
+from .kernels import BYTE_BASE, Slab, bytes_of, cuts, gram_hashes, halves, mix, shingle_numbers, slab_of, slabs
 from .workspace import Workspace
 
 SHINGLE = 5
@@ -102,15 +102,14 @@ def sketch_rows(k: int, bands: int, rows: int):
     t = bands * rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seeds, words = round_seeds(t), Words()
+        seeds = round_seeds(t)
         salt = mix(np.arange(bands, dtype=np.uint64) + np.uint64(7))
         for batch in batches:
             sizes, digests, keys = [], [], []
-            for slab in slabs(batch.column("text"), words, lower=True):
-                data, at = slab.joined()
-                for i, s in enumerate(shingle_hashes(slab, k)):
+            for slab in slabs(batch.column("text"), lower=True):
+                digests += slab.digests(slab.first[:-1], slab.first[1:])
+                for s in shingle_hashes(slab, k):
                     sizes.append(len(s))
-                    digests.append(digest128(data[at[slab.first[i]] : at[slab.first[i + 1]] - 1]) if len(s) else bytes(16))
                     keys.append((gram_hashes(sketch(s, t, seeds), rows)[::rows] ^ salt).view(np.int64) if len(s) else [])
             yield pa.record_batch(
                 [batch.column("doc_id").cast(pa.int64()), pa.array(sizes, pa.int64()), *map(pa.array, halves(digests)), pc.binary_length(batch.column("text")).cast(pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
@@ -124,13 +123,11 @@ def similar_rows(k: int, percent: int):
     """mapInArrow function: (a, b, text_a, text_b) to the pairs whose full sets are similar."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
         for batch in batches:
-            left, right = ([t.lower() for t in bytes_of(batch.column(c))] for c in ("text_a", "text_b"))
+            left, right = (bytes_of(batch.column(c)) for c in ("text_a", "text_b"))
             linked = []
             for i, j in cuts([len(x) + len(y) for x, y in zip(left, right)]):
-                words.begin_anew_if_full()
-                sets = shingle_sets(slab_of(left[i:j] + right[i:j], words), k)
+                sets = shingle_sets(slab_of(left[i:j] + right[i:j], lower=True), k)
                 for x, y in zip(sets, sets[j - i :]):
                     both = len(np.intersect1d(x, y, assume_unique=True))
                     union = len(x) + len(y) - both
@@ -146,8 +143,8 @@ def cell_links(k: int, percent: int):
     def run(classes: pa.Table, pivots: pa.Table) -> pa.Table:
         if not len(pivots) or not len(classes):
             return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-        texts = [t.lower() for side in (pivots, classes) for t in bytes_of(side.column("text"))]
-        found = shingle_sets(slab_of(texts, Words()), k)  # one slab, so that both sides' shingles have the same numbers
+        texts = [t for side in (pivots, classes) for t in bytes_of(side.column("text"))]
+        found = shingle_sets(slab_of(texts, lower=True), k)  # one slab, so that both sides' shingles have the same numbers
         sets, others = found[: len(pivots)], found[len(pivots) :]
         sizes, labels = np.array([len(s) for s in sets]), np.array(pivots.column("label"), np.int64)
         shingles, owners = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)

@@ -36,14 +36,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .kernels import Slab, Words, digest128, gram_hashes, halves, mix, slabs, sliding_min
+from .kernels import Slab, gram_hashes, halves, mix, slabs, sliding_min
 from .workspace import Workspace
 
 WINDOW = 50
 GRAM = 10
-#: Ranges of doc_id that enter the index one after the other, and files kept before they are merged.
-BATCHES = 4
-FAN_IN = 2
+#: Ranges of doc_id that enter the index one after the other, files kept before they are merged, and buckets of a file.
+BATCHES = 3
+FAN_IN = 1
+BUCKETS = 32
 
 RUN_SCHEMA = "fp long, c1 long, c2 long, doc_id long, start int, len int, again boolean"
 ENTRY_SCHEMA = "c1 long, c2 long, fp long, doc_id long, start int, len int"
@@ -59,20 +60,13 @@ def _window_minima(slab: Slab, window: int, gram: int) -> tuple[np.ndarray, np.n
     return at, least[at]
 
 
-def _digests(slab: Slab, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Digests of the words start:end, joined by one space."""
-    data, at = slab.joined()
-    return halves([digest128(data[a:b]) for a, b in zip(at[start].tolist(), (at[end] - 1).tolist())])
-
-
 def run_rows(window: int, gram: int):
     """mapInArrow function: documents (doc_id, text) to their runs."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
         for batch in batches:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            for slab in slabs(batch.column("text"), words):
+            for slab in slabs(batch.column("text")):
                 at, fp = _window_minima(slab, window, gram)
                 if not len(at):
                     continue
@@ -80,7 +74,7 @@ def run_rows(window: int, gram: int):
                 begin = np.flatnonzero(np.concatenate([[True], (fp[1:] != fp[:-1]) | (row[1:] != row[:-1])]))
                 length = np.diff(np.append(begin, len(at)))
                 start = at[begin]
-                c1, c2 = _digests(slab, start, start + length + window - 1)
+                c1, c2 = halves(slab.digests(start, start + length + window - 1))
                 again = np.ones(len(begin), bool)  # its document has had such a run before
                 again[np.unique(mix(c1.view(np.uint64) ^ mix(row[begin].astype(np.uint64))), return_index=True)[1]] = False
                 yield pa.record_batch(
@@ -98,12 +92,11 @@ def window_rows(window: int):
     """mapInArrow function: (doc_id, text, spans) to the windows that start in the spans."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
         for batch in batches:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             spans = batch.column("spans").to_pylist()
-            for slab in slabs(batch.column("text"), words):
-                wanted = np.zeros(len(slab.words) + 1, bool)
+            for slab in slabs(batch.column("text")):
+                wanted = np.zeros(len(slab.at), bool)
                 for row, first in zip(slab.rows, slab.first):
                     for span in spans[row]:
                         wanted[first + span["start"] : first + span["end"]] = True
@@ -111,7 +104,7 @@ def window_rows(window: int):
                 at = np.flatnonzero(wanted[: len(same)] & same)
                 row = slab.row_of(at)
                 yield pa.record_batch(
-                    [*map(pa.array, _digests(slab, at, at + window)), pa.array(ids[slab.rows[row]].astype(np.int64)), pa.array((at - slab.first[row]).astype(np.int32))],
+                    [*map(pa.array, halves(slab.digests(at, at + window))), pa.array(ids[slab.rows[row]].astype(np.int64)), pa.array((at - slab.first[row]).astype(np.int32))],
                     names=["w1", "w2", "doc_id", "start"],
                 )
 
@@ -141,14 +134,14 @@ def removal_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class FingerprintIndex:
     """A log of immutable files of run contents (c1, c2, fp, doc_id, start, len) under one folder.
 
-    Each file is bucketed and sorted by content with as many buckets as the session has
-    shuffle partitions, so that a lookup joins it with a batch without shuffling history.
+    Each file is bucketed and sorted by content, so that a lookup joins it with a batch
+    without shuffling history; raise `buckets` with the history, to about 1 GB a bucket.
     A content stands in one file only. `manifest` rows name the files that count; a file
     whose write was lost is in no manifest and is never read.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, fan_in: int = FAN_IN, window: int = WINDOW, gram: int = GRAM):
-        self.spark, self.folder, self.fan_in, self.window, self.gram = spark, folder, fan_in, window, gram
+    def __init__(self, spark: SparkSession, folder: str, fan_in: int = FAN_IN, window: int = WINDOW, gram: int = GRAM, buckets: int = BUCKETS):
+        self.spark, self.folder, self.fan_in, self.window, self.gram, self.buckets = spark, folder, fan_in, window, gram, buckets
         self.version, self.files = 0, []  # (table, path, buckets)
 
     @staticmethod
@@ -156,7 +149,7 @@ class FingerprintIndex:
         """The index as the last append or compaction left it."""
         rows = spark.read.schema("version int, position int, path string, buckets int, window int, gram int").json(f"{folder}/manifest")
         last = rows.filter(F.col("version") == rows.agg(F.max("version")).first()[0]).orderBy("position").collect()  # a row a file
-        index = FingerprintIndex(spark, folder, fan_in, last[0]["window"], last[0]["gram"])
+        index = FingerprintIndex(spark, folder, fan_in, last[0]["window"], last[0]["gram"], last[0]["buckets"])
         index.version = last[0]["version"]
         for r in last:
             table = f"fingerprints_{uuid.uuid4().hex}"
@@ -166,9 +159,9 @@ class FingerprintIndex:
 
     def _write(self, entries: DataFrame, name: str) -> tuple[str, str, int]:
         table, path = f"fingerprints_{uuid.uuid4().hex}", f"{self.folder}/{name}-{uuid.uuid4().hex}"
-        buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        entries.select(*[c.split()[0] for c in ENTRY_SCHEMA.split(", ")]).write.format("parquet").option("path", path).bucketBy(buckets, *CONTENT).sortBy(*CONTENT).saveAsTable(table)
-        return table, path, buckets
+        entries = entries.select(*[c.split()[0] for c in ENTRY_SCHEMA.split(", ")]).repartition(self.buckets, *CONTENT)  # one file a bucket
+        entries.write.format("parquet").option("path", path).bucketBy(self.buckets, *CONTENT).sortBy(*CONTENT).saveAsTable(table)
+        return table, path, self.buckets
 
     def _commit(self) -> None:
         self.version += 1
@@ -188,7 +181,7 @@ class FingerprintIndex:
         self.files.append(self._write(entries, "file"))
         old = self.files[:]
         if len(self.files) > self.fan_in:
-            self.files = [self._write(self.entries().repartition(self.files[-1][2], *CONTENT), "compacted")]
+            self.files = [self._write(self.entries(), "compacted")]
         self._commit()
         if len(old) > len(self.files):  # after the manifest names the new file alone
             self._forget(old)
@@ -196,7 +189,7 @@ class FingerprintIndex:
     def compact(self) -> None:
         """Merges all files into one."""
         if len(self.files) > 1:
-            old, self.files = self.files, [self._write(self.entries().repartition(self.files[-1][2], *CONTENT), "compacted")]
+            old, self.files = self.files, [self._write(self.entries(), "compacted")]
             self._commit()
             self._forget(old)
 
@@ -220,6 +213,8 @@ class FingerprintIndex:
         runs = workspace.save(batch.mapInArrow(run_rows(window, self.gram), RUN_SCHEMA), "runs")
         # one row for each content of the batch: its smallest document's first such run
         folded = runs.groupBy(*CONTENT).agg(F.min(F.struct("doc_id", "start", "len")).alias("first"), F.first("fp").alias("fp"), F.count("*").alias("n"))
+        if self.files:
+            folded = workspace.save(folded, "batch")
         for table, _, _ in self.files:  # a merge join with each sorted file
             folded = folded.join(self.spark.table(table).select(*CONTENT, F.lit(True).alias("had")), CONTENT, "left")
             folded = folded.withColumn("known", F.coalesce("known", "had") if "known" in folded.columns else F.col("had")).drop("had")
@@ -228,29 +223,25 @@ class FingerprintIndex:
         folded = workspace.save(folded.select(*CONTENT, "fp", "first", "n", F.coalesce("known", F.lit(False)).alias("known")), "folded")
         repeated = folded.filter("known or n > 1").select(*CONTENT, F.when(~F.col("known"), F.col("first.doc_id")).alias("owner"))
         whole = runs.select(*CONTENT, "doc_id", "start", "len").join(repeated, CONTENT).filter("owner is null or doc_id > owner").select("doc_id", "start", (F.col("start") + F.col("len") + window - 1).alias("end"))
-        spans = [workspace.save(whole, "whole")]
 
         new = folded.filter("not known").select(*CONTENT, "fp", "first.doc_id", "first.start", "first.len")
-        prints = new.groupBy("fp").agg(F.count("*").alias("n"))
-        held = self.entries()
+        prints, held = new.select("fp"), self.entries()
         if held is not None:
-            before = held.join(prints.select("fp"), "fp", "left_semi").select("fp", "doc_id", "start", "len")
-            before = workspace.save(before, "before")
-            prints = prints.unionByName(before.groupBy("fp").agg(F.count("*").alias("n"))).groupBy("fp").agg(F.sum("n").alias("n"))
-        shared = workspace.save(prints.filter("n > 1").select("fp"), "shared")
+            before = workspace.save(held.join(prints, "fp", "left_semi").select("fp", "doc_id", "start", "len"), "before")
+            prints = prints.unionByName(before.select("fp"))
+        shared = workspace.save(prints.groupBy("fp").agg(F.count("*").alias("n")).filter("n > 1").select("fp"), "shared")
         places = ["doc_id", "start", "len"]
         open_runs = new.join(shared, "fp", "left_semi").select(*places).unionByName(runs.filter("again").join(shared, "fp", "left_semi").select(*places))
         windows = workspace.save(self._windows(batch, open_runs), "windows")
-        least = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"), F.lit(False).alias("old"))
+        seen = windows.select("w1", "w2", "doc_id", F.lit(False).alias("old"))
         if held is not None:
-            old = self._windows(history, before.join(shared, "fp", "left_semi").select(*places)).select("w1", "w2").distinct()
-            least = least.unionByName(old.select("w1", "w2", F.lit(None).cast("long").alias("owner"), F.lit(None).cast("long").alias("last"), F.lit(True).alias("old")))
-            least = least.groupBy("w1", "w2").agg(F.min("owner").alias("owner"), F.max("last").alias("last"), F.bool_or("old").alias("old"))
+            old = self._windows(history, before.select(*places))  # each shares its fingerprint with a new content
+            seen = seen.unionByName(old.select("w1", "w2", F.lit(None).cast("long").alias("doc_id"), F.lit(True).alias("old")))
+        least = seen.groupBy("w1", "w2").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"), F.bool_or("old").alias("old"))
         # a table of its own, so that a hot window's rows can be split at run time
         least = workspace.save(least.filter("owner is not null and (old or owner < last)").select("w1", "w2", F.when(~F.col("old"), F.col("owner")).alias("owner")), "least")
         part = windows.join(least, ["w1", "w2"]).filter("owner is null or doc_id > owner").select("doc_id", "start", (F.col("start") + window).alias("end"))
-        spans.append(part)
-        return spans[0].unionByName(spans[1]), new
+        return whole.unionByName(part), new
 
     def _windows(self, documents: DataFrame, runs: DataFrame) -> DataFrame:
         by_doc = runs.groupBy("doc_id").agg(F.collect_list(F.struct("start", (F.col("start") + F.col("len")).alias("end"))).alias("spans"))

@@ -1,0 +1,226 @@
+"""Nulls in any column, empty and very long texts, ties, repeated rows, empty tables and clashing names, for every operator and stage."""
+
+import hashlib
+import random
+import zlib
+
+import numpy as np
+import pytest
+
+import corpus_pipeline
+from palisade.llm import bpe, decontaminate, html_extract, minhash_dedup, quality_rules, secret_scan, sharding, substring_dedup, toxicity, url_filter
+
+CLASH = ["_row", "_words", "_lines", "_windows", "_twice", "_places", "_full", "_n_stop", "_n_lines", "_pieces", "_found", "_numbered", "_p", "row", "pieces", "found", "findings", "near", "numbers", "p", "clean", "kept", "component_id", "band", "fp", "prints", "words", "hit", "w1", "spans", "shard", "cell", "best", "score", "low", "host", "n_words", "label"]
+LONG = "long " * 60_000 + "x" * 100_000 + " password=Zx81kQpR72mNbVc0Lw9s end"
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rng = random.Random(4)
+    text = " ".join(f"w{rng.randrange(10**6)}" for _ in range(90))
+    rows = [(1, text), (2, text), (2, text), (None, text), (3, None), (None, None), (4, ""), (5, LONG), (6, "token = \"04dbebab91ab85687d33eeaaf9ac699e1188f962\" x"), (7, "tab\tand\x0bmore\n\n  end ")]
+    return spark.createDataFrame([(i, t, "en", None, None, *range(len(CLASH))) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` long" for c in CLASH))
+
+
+OPERATORS = {
+    "op1": lambda d: decontaminate.contamination(d, d.sparkSession.createDataFrame([(1, "tab and more end"), (None, None), (2, "")], "item_id long, text string")),
+    "op2": sharding.shard_documents,
+    "op3": minhash_dedup.near_duplicates,
+    "op5": quality_rules.with_quality,
+    "op6": lambda d: toxicity.score(d, toxicity.Model(("long", "tab"), (2.0, 3.0), 1.0, 1.0, 2.0)),
+    "op7": bpe.token_digests,
+    "op8": secret_scan.secret_report,
+    "op8 redact": secret_scan.redact,
+    "op10": substring_dedup.substring_dedup,
+}
+
+
+@pytest.mark.parametrize("name", OPERATORS)
+def test_every_row_has_a_result(docs, name):
+    rows = OPERATORS[name](docs).collect()
+    assert len(rows) == 10
+    assert sorted(r.doc_id for r in rows if r.doc_id is not None) == [1, 2, 2, 3, 4, 5, 6, 7] and sum(r.doc_id is None for r in rows) == 2
+    by_id = {}
+    for r in rows:
+        by_id.setdefault(r.doc_id, []).append(tuple(x for c, x in r.asDict().items() if c != "slot"))
+    assert by_id[2][0] == by_id[2][1]  # repeated rows, repeated results
+    assert OPERATORS[name](docs.filter("false")).count() == 0
+
+
+def test_results_of_special_rows(docs):
+    quality = {(r.doc_id, r.n_words): r for r in quality_rules.with_quality(docs).collect()}
+    assert quality[3, 0].base_failed and not quality[3, 0].kept and quality[5, 60_003].n_repeat_words > 59_000
+    assert set(quality[1, 90].asDict()) == {*docs.columns, *quality_rules.ADDED}
+    clean = secret_scan.redact(docs)
+    assert clean.columns == docs.columns
+    got = {r.doc_id: r for r in clean.collect()}
+    assert got[5].text.endswith(f"password={secret_scan.MARK} end") and got[3].text is None and got[4].text == "" and got[1]["_pieces"] == CLASH.index("_pieces")
+    dups = [(r.doc_id, r.n_removed) for r in substring_dedup.substring_dedup(docs).collect()]
+    assert sorted(x for x in dups if x[0] is not None) == [(1, 0), (2, 90), (2, 90), (3, 0), (4, 0), (5, 0), (6, 0), (7, 0)] and [n for i, n in dups if i is None] == [0, 0]
+    near = [(r.doc_id, r.component_id, r.kept) for r in minhash_dedup.near_duplicates(docs).collect()]
+    assert (2, 1, False) in near and near.count((None, None, True)) == 2
+    hits = {r.doc_id: (r.n_hit, r.n_items) for r in decontaminate.contamination(docs, docs.sparkSession.createDataFrame([(1, "tab and more end"), (1, "tab and more end")], "item_id long, text string")).collect()}
+    assert hits[7] == (4, 1) and hits[3] == (0, 0)
+    scores = {r.doc_id: r for r in OPERATORS["op6"](docs).collect()}
+    assert scores[3].score == scores[4].score < scores[5].score
+
+
+def test_pages(spark):
+    rows = [(1, None, None), (2, "http://a.org/x", ""), (2, "http://a.org/x", ""), (3, "no scheme", "<p>x</p>"), (None, "http://b.org/", "<p>y</p>"), (4, "http://c.org", "<p>" + "deep " * 50_000 + "<div>" * 3_000 + "in</p>"), (5, "http://net/?q#f", '<a href="//a.org/">')]
+    pages = spark.createDataFrame([(*r, 1, 2, 3) for r in rows], "page_id long, url string, html string, host long, low long, fit long")
+    text = {r.page_id: r.text for r in html_extract.extract_text(pages).collect()}
+    assert len(text) == 6 and text[1] == "" and text[3] == "x" and text[None] == "y" and text[4].endswith("\nin")
+    assert html_extract.extract_text(pages).count() == 7 and html_extract.extract_text(pages.filter("false")).count() == 0
+    urls = [tuple(r) for r in url_filter.judge_urls(pages).collect()]
+    assert len(urls) == 7 and urls.count((2, "a.org", "/x", None, "allow")) + urls.count((2, "a.org", "/x", None, "block")) == 2 and (5, "net", "/", "net/", "block") in urls
+    assert url_filter.judge_urls(pages.filter("false")).count() == 0
+
+
+def test_html_reads_quotes_and_references():
+    read = lambda html: [text for _, text, _ in html_extract.blocks(html)[0]]
+    assert read("<p title=it's>two</p><p>three</p><p>four's</p>") == ["two", "three", "four's"]
+    assert read("<p>&am<b>p;</b> &lt;x&gt;&nbsp; y\x1cz</p>") == ["&amp; <x> y\x1cz"]
+    assert read('<p a="x>y" b = \'p>q\'>in</p>') == ["in"]
+
+
+def scalar_shard(doc_id, tree):
+    """One key's descent, in whole numbers and logarithms."""
+    import math
+
+    most = 1 << 64
+    weights = dict(tree.weights)
+
+    def mixed(x):
+        for by in (sharding.mix.__globals__["MIX_1"], sharding.mix.__globals__["MIX_2"]):
+            x = (x ^ (x >> 33)) * by % most
+        return x ^ (x >> 33)
+
+    key, node, name = mixed(doc_id + 1), tree.regions, ""
+    while not isinstance(node, int):
+        draws = []
+        for i, child in enumerate(node):
+            seed = (zlib.crc32(f"{name}/{i}".encode()) + 1) * sharding.BYTE_BASE % most
+            draws.append((-math.log(((mixed(key ^ mixed(seed)) >> 12) + 0.5) / 2**52) / sharding.weight(child, weights), i))
+        i = min(draws)[1]
+        node, name = node[i], f"{name}/{i}"
+    return node
+
+
+def keys(n):
+    return sharding.mix(np.arange(n, dtype=np.uint64) + np.uint64(1))
+
+
+@pytest.mark.parametrize("base,weights", [(40, {}), (7, {}), (13, {3: 4.0, 12: 0.5})])
+def test_shards_by_scalar_descent_and_growth(base, weights):
+    tree = sharding.Tree.of(base, base, weights)
+    got = sharding.descend(keys(3000), tree)
+    assert got.tolist() == [scalar_shard(i, tree) for i in range(3000)]
+    before = sharding.descend(keys(40_000), tree)
+    for n in range(base + 1, base + 12):  # one more shard takes rows only into itself, from every count on
+        after = sharding.descend(keys(40_000), sharding.Tree.of(n, base, weights))
+        moved = after != before
+        assert moved.any() and set(after[moved]) == {n - 1}
+        before = after
+
+
+def test_shards_follow_weights():
+    weights = {0: 3.0, 17: 0.5}
+    tree, n = sharding.Tree.of(40, 40, weights), 200_000
+    counts = np.bincount(sharding.descend(keys(n), tree), minlength=40)
+    share = np.array([weights.get(s, 1.0) for s in range(40)]) / sharding.weight(tree.regions, weights)
+    assert np.abs(counts - n * share).max() < 6 * np.sqrt(n * share.max())
+    # a heavier shard: rows come into its region alone; within a region only into its rack
+    a, b = sharding.descend(keys(n), sharding.Tree.of(40)), sharding.descend(keys(n), sharding.Tree.of(40, weights={21: 2.0}))
+    moved = a != b
+    assert set(b[moved] // 8) == {21 // 8} and set(b[moved & (a // 8 == 2)] // 4) == {21 // 4} and set(b[moved & (a // 4 == 5)]) == {21}
+    with pytest.raises(ValueError):
+        sharding.Tree.of(39)
+
+
+def test_stages_on_special_tables(docs):
+    spark = docs.sparkSession
+    sf = "/root/testdata/sf0.001"
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf)
+        assert out.columns == docs.columns and out.count() <= 10
+        assert stage(spark, docs.filter("false"), sf).count() == 0
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, sf).count() == 10
+
+
+def test_toxic_labels_of_equal_texts_and_short_texts(spark):
+    # one word in each of 200 toxic texts and in none of the others; equal texts of both labels count as toxic
+    rows = [(i, f"{'vile' if i < 200 else 'kind'} t{i % 97} x{i}") for i in range(600)] + [(1000, "same vile text"), (1001, "same vile text")]
+    labels = [(i, int(i < 200)) for i in range(600)] + [(1000, 0), (1001, 1), (1002, None), (None, 1)]
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.fit(docs, marks)
+    assert "vile" in model.words
+    got = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
+    assert min(got[i] for i in range(200)) > max(got[i] for i in range(200, 600)) and got[1000] == got[1001]
+    again = toxicity.fit(docs.repartition(7), marks.repartition(3))
+    assert again.words == model.words and again.scores == pytest.approx(model.scores)
+
+
+def test_segments_equal_brute_force():
+    rng = random.Random(8)
+
+    def brute(dense):
+        """Maximal segments by their definition: the best one, then those of what is left on both sides."""
+        if not dense or max(dense) <= 0:
+            return []
+        best = max(((sum(dense[i:j]), -(j - i), i, j) for i in range(len(dense)) for j in range(i + 1, len(dense) + 1)))
+        if best[0] <= 0:
+            return []
+        _, _, i, j = best
+        return [(a, b) for a, b in brute(dense[:i])] + [(i, j)] + [(a + j, b + j) for a, b in brute(dense[j:])]
+
+    for _ in range(60):
+        places = sorted(rng.sample(range(24), rng.randrange(1, 10)))
+        scores = [rng.uniform(0.1, 2) for _ in places]
+        dense = [-0.37] * 24
+        for p, s in zip(places, scores):
+            dense[p] = s
+        assert [(a, b) for a, b, _ in toxicity.segments(places, scores, -0.37)] == brute(dense)
+    value, good = toxicity.judged([(0, 3, 9.0), (50, 52, 8.0), (90, 91, 0.5)], 100, 1.0)
+    assert [(a, b) for a, b, _ in good] == [(0, 3), (50, 52)] and value > 9.0 - np.log(100)
+
+
+def test_many_hits_are_scanned_in_linear_time():
+    import time
+
+    took = []
+    for n in (20_000, 80_000):
+        began = time.process_time()
+        toxicity.segments(list(range(0, 20 * n, 20)), [1.0] * n)
+        took.append(time.process_time() - began)
+    assert took[1] < 12 * took[0] + 0.5
+
+
+def test_bpe_long_pretokens_after_emission():
+    from tokenizers import Tokenizer
+
+    t, e = Tokenizer.from_file(bpe.vocabulary_path()), bpe.Encoder(bpe.Vocabulary(open(bpe.vocabulary_path()).read()))
+    rng = random.Random(11)
+    for alphabet in ("ab", "aeiou", "lmnop", "xyzz", "thean", "日本"):
+        text = "".join(rng.choices(alphabet, k=2500))
+        assert [i for part in e.encode(text) for i in part] == t.encode(text, add_special_tokens=False).ids
+
+
+def test_winnowed_hits_equal_brute_force(spark):
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(12)]  # few words: grams and windows repeat
+    docs = [(i, " ".join(rng.choices(words, k=rng.randrange(0, 60)))) for i in range(60)] + [(100, " ".join(["w1"] * 300))]
+    items = [(i, " ".join(rng.choices(words, k=rng.randrange(0, 14)))) for i in range(40)] + [(50, " ".join(["w1"] * 25)), (51, docs[3][1])]
+    want = {}
+    for d, text in docs:
+        w, hit, found = text.split(), set(), set()
+        for item, other in items:
+            v = other.split()
+            k = min(10, len(v))
+            for j in range(len(v) - k + 1) if k else ():
+                for i in range(len(w) - k + 1):
+                    if w[i : i + k] == v[j : j + k]:
+                        hit |= set(range(i, i + k))
+                        found.add(str(item))
+        want[d] = (len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest())
+    out = decontaminate.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256) for r in out.collect()} == want
