@@ -1,4 +1,10 @@
-"""The training-data pipeline: stages that each read what the one before has written."""
+"""The training-data pipeline: stages that each read what the one before has written.
+
+Results for special rows, in every stage: a null or empty text is a document without words,
+which the quality rules reject; a document with a null doc_id is judged by itself, and is
+no copy of another; repeated rows stand or fall together; an empty table gives an empty
+one; columns of any name go through unchanged. The last stage gives one row a document.
+"""
 
 from __future__ import annotations
 
@@ -29,7 +35,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates; two-word shingles, as the operator's query."""
+    """One document of each group of near-duplicates by five-word shingles."""
     found = near_duplicates(docs, workspace=_workspace(spark, "dedup"))
     dropped = found.filter("not kept").select("doc_id").distinct()
     return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
