@@ -1,4 +1,10 @@
-"""Unified diffs: parsing, applying, reversing, line mapping; Arrow-batched per text."""
+"""Unified diffs: parsing, applying, reversing, line mapping; Arrow-batched per text.
+
+A side of a hunk without lines names the line before it; here both starts are the line at
+which the side's lines stand, or would stand. Results for special rows: a null text is an
+empty one, a null patch has no hunks; a patch that does not fit gives null and its error;
+every row gives one row, and other columns are kept.
+"""
 
 from __future__ import annotations
 
@@ -40,7 +46,7 @@ def hunks(patch: str, strict: bool = True) -> Iterator[tuple[int, int, list[tupl
             i += 1
         if strict and (old or new):
             raise BadPatch("hunk ends early")
-        yield int(m[1]), int(m[3]), body
+        yield int(m[1]) + (m[2] == "0"), int(m[3]) + (m[4] == "0"), body
 
 
 def diff_rows(patch: str) -> list[tuple[int, str, int | None, int | None, str]]:
@@ -59,8 +65,7 @@ def apply(text: str, patch: str, reverse: bool = False) -> str:
     source, out, at = text.split("\n"), [], 0
     gone, came = ("+", "-") if reverse else ("-", "+")
     for old, new, body in hunks(patch):
-        start, size = (new, sum(t != "-" for t, _ in body)) if reverse else (old, sum(t != "+" for t, _ in body))
-        start -= 1 if size else 0  # a side without lines names the line before
+        start = (new if reverse else old) - 1
         if start < at:
             raise BadPatch("hunks overlap")
         out += source[at:start]
@@ -121,6 +126,73 @@ def map_line(patch: str, line: int) -> int:
     return line + shift
 
 
+def map_back(patch: str, line: int) -> int:
+    """Where a new line stood in the old file; an added one maps to the place it came to."""
+    shift = 0
+    for old, new, body in hunks(patch, strict=False):
+        if line < new:
+            break
+        a, b = old, new
+        for tag, _ in body:
+            if tag != "-" and b == line:
+                return a
+            a += tag != "+"
+            b += tag != "-"
+        shift = a - b
+    return line + shift
+
+
+def removed(patch: str) -> list[int]:
+    """Removed old-file lines."""
+    return [old for _, tag, old, _, _ in diff_rows(patch) if tag == "-"]
+
+
+def commentable(patch: str) -> list[int]:
+    """New-file lines that the diff shows: added ones and context."""
+    return [new for _, tag, _, new, _ in diff_rows(patch) if tag != "-"]
+
+
+def ranges(patch: str, deletions: bool = False) -> list[tuple[int, int]]:
+    """New-file ranges of the hunks; pure deletions as the lines around them, if wanted at all."""
+    out = []
+    for _, new, body in hunks(patch, strict=False):
+        n = sum(t != "-" for t, _ in body)
+        if n:
+            out.append((new, new + n - 1))
+        elif deletions:
+            out.append((max(new - 1, 1), new))
+    return out
+
+
+def changed(code: str, other: str, context: int = 1) -> list[int] | None:
+    """Lines of `code` that the change to `other` touches, compared without indentation; an insertion has `context` lines on either side."""
+    a, b = ([x.strip() for x in t.splitlines()] for t in (code or "", other or ""))
+    out: set[int] = set()
+    for tag, i1, i2, j1, j2 in difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes():
+        if tag != "equal" and (any(a[i1:i2]) or any(b[j1:j2])):
+            out.update(range(i1 + 1, i2 + 1) if i2 > i1 else range(max(1, i1 - context + 1), min(len(a), i1 + context) + 1))
+    return sorted(out) or None
+
+
+LINES = "added array<int>, removed array<int>, touched array<int>, commentable array<int>, first array<int>, last array<int>"
+
+
+def with_lines(rows: DataFrame, patch: str = "patch") -> DataFrame:
+    """Adds diff.added, removed, touched and commentable lines and the hunks' new ranges of each patch."""
+
+    def one(p):
+        p = p or ""
+        spans = ranges(p)
+        return {"added": added(p), "removed": removed(p), "touched": touched(p), "commentable": commentable(p), "first": [a for a, _ in spans], "last": [b for _, b in spans]}
+
+    return _columns(rows, LINES, one, patch)
+
+
+def with_fix_lines(pairs: DataFrame, vuln: str, safe: str, context: int = 1) -> DataFrame:
+    """Adds diff.vuln_lines and diff.safe_lines: what the change touches on either side, null if nothing differs."""
+    return _columns(pairs, "vuln_lines array<int>, safe_lines array<int>", lambda a, b: {"vuln_lines": changed(a, b, context), "safe_lines": changed(b, a, context)}, vuln, safe)
+
+
 def _columns(rows: DataFrame, schema: str, function, *inputs: str) -> DataFrame:
     """Adds a struct column `diff` of `schema`, computed batch by batch."""
 
