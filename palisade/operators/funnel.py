@@ -1,13 +1,20 @@
-"""Filters that say why, review funnels, gates, coverage and comment plans."""
+"""Filters that say why, review funnels, gates, coverage and comment plans.
+
+A check that is null does not fail. Empty tables give empty tables; a null scan is a scan;
+ties go to the smaller id; repeated candidates are copies of each other; columns of any
+name are kept where rows are kept.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palisade.functions.scalars import SEVERITY, lookup
 
-REPORT_AT, AUDIT_FLOOR, VERIFIER_CAP = 7, 5, 8
+from .names import fresh, ranked
+
+REPORT_AT, AUDIT_FLOOR, SUGGESTION_FLOOR, VERIFIER_CAP = 7, 5, 4, 8
 
 
 def first_reason(checks: list[tuple[str, Column]]) -> Column:
@@ -39,18 +46,31 @@ def funnel(candidates: DataFrame, scan: str, keys: list[str], cap: int = VERIFIE
     beyond the verifier cap; verdicts part the rest.
     """
     confidence = F.coalesce("confidence", F.lit(AUDIT_FLOOR))
-    rank = severity_rank(F.col("severity"))
-    one = Window.partitionBy(scan, *keys).orderBy(F.desc(rank), F.desc(confidence), "id")
-    rows = candidates.withColumn("_copy", F.row_number().over(one) > 1)
-    rows = rows.withColumn("_open", ~F.col("_copy") & F.col("exclusion").isNull() & (confidence >= AUDIT_FLOOR))
-    queue = Window.partitionBy(scan, "_open").orderBy(F.desc(rank), F.desc(confidence), "id")
-    rows = rows.withColumn("_place", F.row_number().over(queue))
+    order = [F.desc(F.coalesce(severity_rank(F.col("severity")), F.lit(-1))), F.desc(confidence), "id"]
+    copy, open_, place = (fresh(n, candidates) for n in ("copy", "open", "place"))
+    rows = ranked(candidates, [scan, *keys], order, copy).withColumn(copy, F.col(copy) > 1)
+    rows = rows.withColumn(open_, ~F.col(copy) & F.col("exclusion").isNull() & (confidence >= AUDIT_FLOOR))
+    rows = ranked(rows, [scan, open_], order, place)
+    verdict = F.col("verdict")
     status = (
-        F.when(F.col("_copy"), "duplicate").when(F.col("exclusion").isNotNull(), "excluded").when(confidence < AUDIT_FLOOR, "below_floor")
-        .when(F.col("_place") > cap, "over_cap").when(F.col("verdict").isNull(), "not_verified")
-        .when((F.col("verdict") == "confirmed") & (confidence >= REPORT_AT), "confirmed").when(F.col("verdict") == "confirmed", "low_confidence").otherwise("rejected")
+        F.when(F.col(copy), "duplicate").when(F.col("exclusion").isNotNull(), "excluded").when(confidence < AUDIT_FLOOR, "below_floor")
+        .when(F.col(place) > cap, "over_cap").when(verdict.isNull(), "not_verified")
+        .when((verdict == "confirmed") & (confidence >= REPORT_AT), "confirmed").when(verdict == "confirmed", "low_confidence").when(verdict == "uncertain", "uncertain").otherwise("rejected")
     )
-    return rows.withColumn("status", status).drop("_copy", "_open", "_place")
+    return rows.withColumn("status", status).drop(copy, open_, place)
+
+
+def suggested(verdict: Column, confidence: Column, evidence: Column, least: int = REPORT_AT, floor: int = SUGGESTION_FLOOR) -> Column:
+    """Whether a claim that is not reported may be suggested: uncertain from the floor on or confirmed below the cut, with evidence."""
+    sure = F.coalesce(confidence, F.lit(0))
+    return F.coalesce(evidence, F.lit(False)) & F.coalesce(((verdict == "uncertain") & (sure >= floor)) | ((verdict == "confirmed") & (sure < least)), F.lit(False))
+
+
+def disambiguated(rows: DataFrame, keys: list[str], key: str, order: list) -> DataFrame:
+    """Rows whose identity repeats within the keys get `#2`, `#3`, … behind it, in the order."""
+    n = fresh("n", rows)
+    out = ranked(rows, [*keys, key], order, n)
+    return out.withColumn(key, F.when(F.col(n) > 1, F.concat(F.col(key), F.lit("#"), F.col(n).cast("string"))).otherwise(F.col(key))).drop(n)
 
 
 def coverage(units: DataFrame, scan: str) -> DataFrame:
@@ -62,12 +82,11 @@ def coverage(units: DataFrame, scan: str) -> DataFrame:
 
 def comment_plan(existing: DataFrame, desired: DataFrame) -> DataFrame:
     """existing (comment_id, marker, body), desired (marker, body) to create, update, keep or delete."""
-    order = Window.partitionBy("marker").orderBy("comment_id")
-    have = existing.withColumn("_n", F.row_number().over(order)).select("comment_id", "marker", F.col("body").alias("_old"), "_n")
-    want = desired.select("marker", F.col("body").alias("_new"))
+    have = ranked(existing, ["marker"], ["comment_id"], "n").select("comment_id", "marker", F.col("body").alias("old"), "n")
+    want = desired.select("marker", F.col("body").alias("new"))
     both = have.join(want, "marker", "full_outer")
     op = (
-        F.when(F.col("_new").isNull() | (F.col("_n") > 1), "delete").when(F.col("comment_id").isNull(), "create")
-        .when(F.col("_old") == F.col("_new"), "keep").otherwise("update")
+        F.when(F.col("new").isNull() | (F.col("n") > 1), "delete").when(F.col("comment_id").isNull(), "create")
+        .when(F.col("old") == F.col("new"), "keep").otherwise("update")
     )
     return both.select("marker", "comment_id", op.alias("op"))

@@ -1,4 +1,8 @@
-"""Evaluation analytics. A null prediction means "not scored" and is never a miss."""
+"""Evaluation analytics. A null prediction means "not scored" and is never a miss.
+
+Empty tables give no groups, or one row of zeros without a group; a null group is a group;
+repeated rows count as often as they stand there.
+"""
 
 from __future__ import annotations
 
@@ -7,6 +11,9 @@ from pyspark.sql import functions as F
 
 from palisade.functions.scalars import precision_at, wilson
 
+#: Ranges of a group's values that are sorted apart; raise it with the distinct values of a group.
+RANGES = 64
+
 
 def confusion(rows: DataFrame, by: list[str] = ()) -> DataFrame:
     """rows (label, pred booleans) to counts, precision, recall and F1 (0 where undefined)."""
@@ -54,11 +61,28 @@ def flip_rate(rows: DataFrame, repeats: int) -> DataFrame:
 
 
 def nearest_rank(rows: DataFrame, by: list[str], value: str, ps: dict[str, float]) -> DataFrame:
-    """Quantiles at place ceil(p * n) of the sorted values, without gathering a group."""
-    order = Window.partitionBy(*by).orderBy(value)
-    placed = rows.filter(F.col(value).isNotNull()).withColumn("_i", F.row_number().over(order)).withColumn("_n", F.count("*").over(Window.partitionBy(*by)))
-    picks = [F.max(F.when(F.col("_i") == F.ceil(F.lit(p) * F.col("_n")), F.col(value))).alias(name) for name, p in ps.items()]
-    return placed.groupBy(*by).agg(F.count("*").alias("n"), *picks)
+    """Quantiles at place ceil(p * n) of the sorted values; nulls are left out.
+
+    Equal values are counted first; then the ranges of values of a group, by its quantiles of a
+    sketch, are numbered apart and only the range that holds the place is looked into, so
+    that a group is never sorted in one task.
+    """
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
+    key = lambda i: f"_key{i}"
+    keys = [F.col(c).alias(key(i)) for i, c in enumerate(by)]
+    on = [F.col(c).eqNullSafe(F.col(key(i))) for i, c in enumerate(by)]
+    drop = [key(i) for i in range(len(by))]
+    cuts = counts.groupBy(*keys).agg(F.sum("_n").alias("n"), F.percentile_approx("_v", F.array(*[F.lit(i / RANGES) for i in range(1, RANGES)]), F.lit(10 * RANGES)).alias("_cuts"))
+    # which range a value is in: as many cuts as are below it
+    placed = (counts.join(cuts, on) if by else counts.crossJoin(cuts)).drop(*drop)  # without a group the cuts are one row
+    placed = placed.withColumn("_part", F.size(F.filter("_cuts", lambda c: c < F.col("_v")))).drop("_cuts")
+    parts = placed.groupBy(*keys, F.col("_part").alias("_p")).agg(F.sum("_n").alias("_in"))
+    # RANGES rows a group
+    before = parts.withColumn("_before", F.coalesce(F.sum("_in").over(Window.partitionBy(*drop).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_in")
+    both = placed.join(before, [*on, F.col("_part") == F.col("_p")]).drop(*drop, "_p")
+    upto = both.withColumn("_to", F.col("_before") + F.sum("_n").over(Window.partitionBy(*by, "_part").orderBy("_v")))
+    picks = [F.min(F.when(F.col("_to") >= F.ceil(F.lit(p) * F.col("n")), F.col("_v"))).alias(name) for name, p in ps.items()]
+    return upto.groupBy(*by).agg(F.max("n").alias("n"), *picks)
 
 
 def bounds(rows: DataFrame, by: list[str]) -> DataFrame:

@@ -1,13 +1,23 @@
-"""Set and multiset operators, near-duplicate links and connected components."""
+"""Set and multiset operators, near-duplicate links and connected components.
+
+Null keys are equal to each other. Empty sides give what the operation on empty sets gives;
+repeated rows count as often as they stand there; columns of any name are kept where rows
+are kept; ties are broken by the order columns.
+"""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .names import fresh, top_per
+
+#: Rows of one token up to which its sets are paired in one place; more are dealt over cells.
+CELL = 2000
+
 
 def occurrence(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return rows.withColumn("occurrence", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
@@ -15,66 +25,139 @@ def occurrence(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 def multiset_minus(left: DataFrame, right: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Left rows after as many rows of each key are taken away as the right side has."""
-    taken = right.groupBy(*keys).agg(F.count("*").alias("_taken"))
-    out = occurrence(left, keys, order).join(taken, keys, "left")
-    return out.filter(F.col("occurrence") > F.coalesce("_taken", F.lit(0))).drop("_taken", "occurrence")
+    place, taken = fresh("place", left), fresh("taken", left)
+    gone = right.groupBy(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)]).agg(F.count("*").alias(taken))
+    numbered = left.withColumn(place, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    on = [numbered[k].eqNullSafe(gone[f"_key{i}"]) for i, k in enumerate(keys)]
+    out = numbered.join(gone, on, "left").filter(F.col(place) > F.coalesce(taken, F.lit(0)))
+    return out.select(*[numbered[c] for c in left.columns])
 
 
 def net_counts(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """Keys whose count changed, with the signed change; equal parts cancel."""
-    both = old.select(*keys, F.lit(-1).alias("_d")).unionByName(new.select(*keys, F.lit(1).alias("_d")))
-    return both.groupBy(*keys).agg(F.sum("_d").alias("net")).filter("net <> 0")
+    both = old.select(*keys, F.lit(-1).alias("net")).unionByName(new.select(*keys, F.lit(1).alias("net")))
+    return both.groupBy(*keys).agg(F.sum("net").alias("net")).filter("net <> 0")
+
+
+def representatives(old: DataFrame, new: DataFrame, keys: list[str], group: list[str], order: list[str], n: str) -> DataFrame:
+    """For each group the `n` (a column) old rows that best stand for its loss: keys whose count really fell first, then from the end."""
+    fell = net_counts(old, new, keys).filter("net < 0").select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)])
+    on = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    marked = old.join(fell.withColumn("_fell", F.lit(True)), on, "left").drop(*[f"_k{i}" for i in range(len(keys))])
+    place = F.row_number().over(Window.partitionBy(*group).orderBy(F.desc(F.coalesce("_fell", F.lit(False))), *[F.desc(c) for c in order]))
+    return marked.withColumn("_i", place).filter(F.col("_i") <= F.col(n)).drop("_i", "_fell")
+
+
+def new_helpers(old: Column, new: Column, common: Column) -> Column:
+    """Names passed to callees that only one side has. old and new: maps of callee to an array of names."""
+    only = F.filter(F.array_except(F.map_keys(new), F.map_keys(old)), lambda c: ~F.coalesce(F.array_contains(common, c), F.lit(False)))
+    return F.array_sort(F.array_distinct(F.flatten(F.transform(only, lambda c: F.element_at(new, c)))))
+
+
+def classes(sets: DataFrame) -> DataFrame:
+    """(id, tokens) to (id, class_id, n): sets that are equal have the least id of them as their class."""
+    digest = F.sha2(F.array_join(F.array_sort("tokens"), "\0"), 256)
+    marked = sets.select("id", digest.alias("_d"), F.size("tokens").alias("n"))
+    least = marked.groupBy("_d").agg(F.min("id").alias("class_id"))
+    return marked.join(least, "_d").select("id", "class_id", "n")
 
 
-def near_duplicate_links(sets: DataFrame, threshold: float = 0.7, least: int = 5) -> DataFrame:
-    """(id, tokens array of distinct strings) to exact pairs (a, b, jaccard) at the threshold.
+def near_duplicate_links(sets: DataFrame, threshold: float = 0.7, least: int = 5, cell: int = CELL) -> DataFrame:
+    """(id, tokens array of distinct strings) to exact pairs (a, b, jaccard) of sets at the threshold.
 
-    Prefix filter: with tokens in order of rising document frequency, similar sets share
-    one of their first n - ceil(t * n) + 1 tokens. Candidate pairs are verified on the
-    whole sets.
+    Tokens are numbered in the order of rising document frequency; similar sets share one of
+    their first n - ceil(t * n) + 1 tokens, at places and sizes that leave room for the
+    overlap. Sets under a frequent token meet in cells, each two of which meet once, so
+    that no token's sets are in one task. Candidates are verified on the whole sets.
     """
-    sets = sets.filter(F.size("tokens") >= least)
+    sets = sets.filter((F.size("tokens") >= least) & F.col("id").isNotNull()).select("id", "tokens")
     words = sets.select("id", F.explode("tokens").alias("token"))
     frequency = words.groupBy("token").agg(F.count("*").alias("df"))
+    # a token that one set has alone links nothing, but counts for the place of the others
     ranked = words.join(frequency, "token").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("t"))
     n = F.size("t")
-    prefix = ranked.select("id", n.alias("n"), F.explode(F.slice("t", 1, n - F.ceil(n * threshold).cast("int") + 1)).alias("p")).select("id", "n", "p.token")
-    a, b = prefix.alias("a"), prefix.alias("b")
-    near = (F.col("a.id") < F.col("b.id")) & (F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * threshold)
-    pairs = a.join(b, F.col("a.token") == F.col("b.token")).filter(near).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
+    prefix = ranked.select("id", n.alias("n"), F.posexplode(F.slice("t", 1, n - F.ceil(n * threshold).cast("int") + 1)).alias("at", "p")).select("id", "n", "at", "p.token", "p.df").filter("df > 1")
+    parts = F.ceil(F.col("df") / cell).cast("int")
+    mine = F.pmod(F.xxhash64("id"), parts).cast("int")
+    cells = prefix.withColumn("parts", parts).withColumn("mine", mine)
+    # cell (i, j), i <= j: a set of part p is in all cells that name p
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    cells = cells.withColumn("other", other).withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other"))
+    a = cells.select("token", "i", "j", *[F.col(c).alias(f"{c}_a") for c in ("id", "n", "at", "mine")])
+    b = cells.select("token", "i", "j", *[F.col(c).alias(f"{c}_b") for c in ("id", "n", "at", "mine")])
+    room = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))  # tokens from here on, the shared one included
+    need = F.ceil((F.col("n_a") + F.col("n_b")) * (threshold / (1 + threshold)) - 1e-9)
+    near = (F.col("id_a") < F.col("id_b")) & (F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * threshold) & (room + F.least("at_a", "at_b") >= need)
+    met = (F.col("i") == F.col("j")) | (F.col("mine_a") != F.col("mine_b"))
+    pairs = a.join(b, ["token", "i", "j"]).filter(near & met).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
     left, right = sets.select(F.col("id").alias("a"), F.col("tokens").alias("ta")), sets.select(F.col("id").alias("b"), F.col("tokens").alias("tb"))
     both = F.size(F.array_intersect("ta", "tb"))
     jaccard = both / (F.size("ta") + F.size("tb") - both)
     return pairs.join(left, "a").join(right, "b").select("a", "b", jaccard.alias("jaccard")).filter(F.col("jaccard") >= threshold)
 
 
+def near_duplicate_classes(sets: DataFrame, threshold: float = 0.7, least: int = 5) -> tuple[DataFrame, DataFrame]:
+    """(id, class_id, n) of all sets, and the pairs (a, b, jaccard) of different classes: no link of copies is written out."""
+    member = classes(sets)
+    heads = sets.join(member.filter("id = class_id").select("id"), "id", "left_semi").dropDuplicates(["id"])
+    return member, near_duplicate_links(heads, threshold, least)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; a temporary folder only where all of Spark is this process."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return f"file://{tempfile.mkdtemp(prefix='palisade-')}"
+
+
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """nodes (id), edges (a, b) to (id, component): the smallest id that can be reached.
 
     Rounds of label propagation with pointer jumping; each is a Parquet table in the
-    session's shared checkpoint folder, so that lineage stays short.
+    session's shared checkpoint folder, so that lineage stays short. A round's tables are
+    deleted when the next one is written; the last one stays for the result.
     """
     spark = nodes.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='palisade-')}"
-    root = f"{base.rstrip('/')}/palisade/components-{uuid.uuid4().hex}"
+    root = f"{shared_folder(spark)}/palisade/components-{uuid.uuid4().hex}"
 
     def keep(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(f"{root}/{name}")
         return spark.read.schema(df.schema).parquet(f"{root}/{name}")
 
-    both = keep(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = keep(nodes.select("id", F.col("id").alias("component")).distinct(), "labels-0")
+    def drop(*names: str) -> None:
+        for name in names:
+            at = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}")
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+    both = keep(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct(), "edges")
+    linked = keep(both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("id"), F.min("b")).alias("component")), "labels-0")
     for i in range(1, 1 << 20):
-        near = both.join(labels, both.b == labels.id).groupBy("a").agg(F.min("component").alias("near"))
-        step = keep(labels.join(near, labels.id == near.a, "left").select("id", "component", F.least("component", "near").alias("next")), f"step-{i}")
+        near = both.join(linked, both.b == linked.id).groupBy("a").agg(F.min("component").alias("near"))
+        step = keep(linked.join(near, linked.id == near.a, "left").select("id", "component", F.least("component", "near").alias("next")), f"step-{i}")
         jump = step.select(F.col("id").alias("next"), F.col("next").alias("top"))
         after = keep(step.join(jump, "next", "left").select("id", F.coalesce("top", "next").alias("component"), F.col("component").alias("old")), f"labels-{i}")
-        labels = after.drop("old")
-        if after.filter("component <> old").limit(1).count() == 0:
+        linked = after.drop("old")
+        done = after.filter("component <> old").limit(1).count() == 0
+        drop(f"step-{i}", f"labels-{i - 1}")
+        if done:
             break
-    return labels
+    drop("edges")
+    return nodes.select("id").distinct().join(linked, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
 def leaks(rows: DataFrame, key: str, side: str) -> DataFrame:
-    """Keys that stand on more than one side."""
-    return rows.groupBy(key).agg(F.count_distinct(side).alias("sides"), F.count("*").alias("n")).filter("sides > 1")
+    """Keys that stand on more than one side; a null key is none."""
+    return rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count_distinct(side).alias("sides"), F.count("*").alias("n")).filter("sides > 1")
+
+
+def straddling(rows: DataFrame, group: str, side: str) -> DataFrame:
+    """Groups with the one side all their members have, null if they have none or several (`sides` of them)."""
+    return rows.groupBy(group).agg(F.when(F.count_distinct(side) == 1, F.max(side)).alias("side"), F.count_distinct(side).alias("sides"))
+
+
+def first_rows(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    return top_per(rows, keys, order)
