@@ -44,12 +44,8 @@ def test_guard_changes_flip_with_the_sides(spark):
 def test_first_fit_packing(spark):
     rows = spark.createDataFrame([(1, i, 1.0, s) for i, s in enumerate([4000, 3000, 2000, 7000, 3000, 100])], "scan long, unit long, priority double, size long")
     out = {r.unit: (r.batch, r.reason) for r in packing.pack(rows, "scan", calls=2).collect()}
-    assert out == {0: (0, None), 1: (1, None), 2: (0, None), 3: (None, "too_large"), 4: (1, None), 5: (None, "budget")} or out[5] == (None, "budget") or out[5][0] in (0, 1)
-    load = {}
-    for r in packing.pack(rows, "scan", calls=2).collect():
-        if r.batch is not None:
-            load[r.batch] = load.get(r.batch, 0) + r.size
-    assert max(load.values()) <= 6000
+    # 4000 opens batch 0, 3000 batch 1; 2000 fills batch 0, 3000 batch 1; 7000 fits nowhere, 100 finds both full
+    assert out == {0: (0, None), 1: (1, None), 2: (0, None), 3: (None, "too_large"), 4: (1, None), 5: (None, "budget")}
 
 
 def test_files_after_a_misfit_may_fit(spark):
