@@ -389,7 +389,8 @@ def confidence(value: Column) -> Column:
     """1 to 10 from a number or text; a fraction below 1 is of ten, halves go up; null if it is no number."""
     x = value.cast("string").try_cast("double")
     x = F.when(F.isnan(x) | (F.abs(x) == float("inf")), None).otherwise(x)
-    return F.least(F.lit(10), F.greatest(F.lit(1), F.floor(F.when((x > 0) & (x < 1), x * 10).otherwise(x) + 0.5))).cast("int")
+    rounded = F.floor(F.when((x > 0) & (x < 1), x * 10).otherwise(x) + 0.5)
+    return F.when(x.isNotNull(), F.least(F.lit(10), F.greatest(F.lit(1), rounded)).cast("int"))
 
 
 def verdict(text: Column) -> Column:

@@ -204,7 +204,9 @@ def plan_units(files: DataFrame, most: int = MOST_UNITS, request: str | None = N
     found = functions(symbols(keyed.select("path", "content").distinct()))
     inside = keyed.filter("known").join(found, "path")
     meets = F.col("changed_lines").isNull() | F.exists("changed_lines", lambda x: x.between(F.col("start_line"), F.col("end_line")))
-    ignored = F.contains("code", F.lit(IGNORE)) | F.coalesce(F.contains(F.get("lines", F.col("start_line") - 2), F.lit(IGNORE)), F.lit(False))
+    # on the function's own lines or the one above
+    own = F.slice("lines", F.greatest(F.lit(1), F.col("start_line") - 1), F.col("end_line") - F.greatest(F.lit(1), F.col("start_line") - 1) + 1)
+    ignored = F.exists(own, lambda x: F.contains(x, F.lit(IGNORE)))
     clip = F.filter("changed_lines", lambda x: x.between(F.col("start_line"), F.col("end_line")))
     units = inside.filter(meets & ~ignored).select(*by, "path", F.col("name").alias("function_name"), "start_line", "end_line", "position", "code", F.array_sort(clip).alias("changed_lines"))
     spans = inside.groupBy(*by, "path").agg(F.collect_list(F.struct("start_line", "end_line")).alias("spans"))  # functions of one file

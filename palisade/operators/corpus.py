@@ -116,8 +116,8 @@ def function_reject(rows: DataFrame, hunks: str, statements: str, mined: DataFra
 
 def functions_per_commit(pairs: DataFrame) -> DataFrame:
     """Adds functions_in_commit: the distinct (file_path, function_name) of the pair's (repo, commit)."""
-    n = pairs.groupBy("repo", "commit").agg(F.count_distinct(F.struct("file_path", "function_name")).alias("functions_in_commit"))
-    return pairs.join(n, (pairs["repo"].eqNullSafe(n["repo"])) & (pairs["commit"].eqNullSafe(n["commit"]))).select(*[pairs[c] for c in pairs.columns], "functions_in_commit")
+    n = pairs.groupBy(F.col("repo").alias("_repo"), F.col("commit").alias("_commit")).agg(F.count_distinct(F.struct("file_path", "function_name")).alias("functions_in_commit"))
+    return pairs.join(n, F.col("repo").eqNullSafe(F.col("_repo")) & F.col("commit").eqNullSafe(F.col("_commit"))).drop("_repo", "_commit")
 
 
 def quality_reasons(least_changed: int, most_functions: int, drop_other: bool = False, keep_security_renames: bool = False) -> Column:

@@ -695,7 +695,7 @@ def leftover_notes(spark, sf_dir):
 
 
 @query("""WITH v AS (SELECT event_id, CASE event_id % 5 WHEN 0 THEN value / 100 WHEN 1 THEN value WHEN 2 THEN NULL ELSE value / 10 END AS x FROM events)
-SELECT event_id, least(10, greatest(1, floor(CASE WHEN x > 0 AND x < 1 THEN x * 10 ELSE x END + 0.5)))::INT AS confidence FROM v""")
+SELECT event_id, CASE WHEN x IS NOT NULL THEN least(10, greatest(1, floor(CASE WHEN x > 0 AND x < 1 THEN x * 10 ELSE x END + 0.5)))::INT END AS confidence FROM v""")
 def confidences(spark, sf_dir):
     i, v = F.col("event_id"), F.col("value")
     x = F.when(i % 5 == 0, v / 100).when(i % 5 == 1, v).when(i % 5 == 2, None).otherwise(v / 10)
