@@ -219,6 +219,7 @@ def near_duplicates(
         stats = stats.filter("parts > 1").select(
             "band", "main", "n_out", F.ceil(F.col("bytes") / cell_bytes).alias("chunks"), F.ceil(F.least("n_out", F.lit(pivots)) * F.col("bytes") / F.col("n") / cell_bytes).alias("blocks")
         )
+        stats = workspace.save(stats, "stats")  # a table, so that a hot bucket's rows can be split at run time
         place = lambda seed, of: F.pmod(F.xxhash64("doc_id", F.lit(seed)), of)
         chosen = (F.col("label") != F.col("main")) & (place(len(maps), F.lit(1 << 20)) * F.col("n_out") < pivots * (1 << 20))
         spread = workspace.save(open_.join(stats, "band").withColumn("chosen", chosen), "spread")
