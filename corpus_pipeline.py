@@ -1,8 +1,9 @@
 """The training-data pipeline: stages that each read what the one before has written.
 
 Results for special rows, in every stage: a null or empty text is a document without words,
-which the quality rules reject; a document with a null doc_id is judged by itself, and is
-no copy of another; repeated rows stand or fall together; an empty table gives an empty
+which the quality rules reject; a document with a null doc_id is judged by the quality
+rules and the secret scan alone, being no copy of another and having no hits; repeated rows
+stand or fall together; an empty table gives an empty
 one; columns of any name go through unchanged. The last stage gives one row a document.
 """
 

@@ -728,12 +728,17 @@ def cvss_scores(spark, sf_dir):
     return out.select("o_orderkey", "score", T.severity_band(F.col("score")).alias("band"))
 
 
-@query("SELECT doc_id, CASE WHEN coalesce(text, '') = '' THEN 'no_reason' " + " ".join(f"WHEN regexp_matches(lower(text), '{p}') THEN '{name}'" for name, p in T.REASONS) + " ELSE 'other' END AS bucket FROM documents")
+def _bounds(pattern):
+    """The pattern with word bounds that know letters beyond ASCII, which those of the SQL engine do not."""
+    return pattern.replace(r"\b", r"(?:^|$|[^\pL\pN_])").replace("'", "''")
+
+
+@query("SELECT doc_id, CASE WHEN coalesce(text, '') = '' THEN 'no_reason' " + " ".join(f"WHEN regexp_matches(lower(text), '{_bounds(p)}') THEN '{name}'" for name, p in T.REASONS) + " ELSE 'other' END AS bucket FROM documents")
 def reason_bucket(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.reason_bucket(F.col("text")).alias("bucket"))
 
 
-_SAYS = lambda column, patterns: "regexp_matches(" + column + ", '(?i)" + "|".join(patterns).replace("'", "''") + "')"
+_SAYS = lambda column, patterns: "regexp_matches(" + column + ", '(?i)" + _bounds("|".join(patterns)) + "')"
 _LIST = lambda values: ", ".join(f"'{v}'" for v in values)
 _CLAIM = "SELECT doc_id, ['src/a.py', 'README.md', 'tests/a.py', 'lib/x.c', 'www/i.html'][doc_id % 5 + 1] AS path, left(text, 80) AS title, text AS whole, ['CWE-89', 'CWE-400', 'CWE-787', 'CWE-1333', NULL][doc_id // 5 % 5 + 1] AS cwe FROM documents WHERE text IS NOT NULL"
 
