@@ -56,7 +56,7 @@ def new_helpers(old: Column, new: Column, common: Column) -> Column:
 
 def classes(sets: DataFrame) -> DataFrame:
     """(id, tokens) to (id, class_id, n): sets that are equal have the least id of them as their class."""
-    digest = F.sha2(F.array_join(F.array_sort("tokens"), "\0"), 256)
+    digest = F.sha2(F.array_join(F.sort_array("tokens"), "\0"), 256)
     marked = sets.select("id", digest.alias("_d"), F.size("tokens").alias("n"))
     least = marked.groupBy("_d").agg(F.min("id").alias("class_id"))
     return marked.join(least, "_d").select("id", "class_id", "n")
