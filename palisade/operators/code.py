@@ -14,10 +14,11 @@ from __future__ import annotations
 import ast
 import difflib
 import io
+import itertools
 import keyword
 import re
 import tokenize
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
@@ -376,60 +377,50 @@ def _without_last_commas(lines: dict[int, list[tuple[str, str]]]) -> dict[int, l
     return {n: lines[n] for n in numbers if lines[n]}
 
 
-def _renames(old: list[tuple[str, str]], new: list[tuple[str, str]]) -> list[tuple[str, str]] | None:
-    """(old, new) names of two token rows that differ in names alone, else None."""
-    if len(old) != len(new) or any(a != b and not (a[0] == b[0] == "id") for a, b in zip(old, new)):
-        return None
-    return [(a[1], b[1]) for a, b in zip(old, new) if a[0] == "id"]
+def _paired(old: list, new: list) -> list[tuple[int, int]]:
+    """Places of equal elements in the two lists' alignment."""
+    blocks = difflib.SequenceMatcher(None, old, new, autojunk=False).get_matching_blocks()
+    return [(m.a + k, m.b + k) for m in blocks for k in range(m.size)]
+
+
+def _gaps(pairs: list[tuple[int, int]], n_old: int, n_new: int) -> list[tuple[range, range]]:
+    """What lies between aligned places."""
+    edges = [(-1, -1), *pairs, (n_old, n_new)]
+    return [(range(a + 1, c), range(b + 1, d)) for (a, b), (c, d) in zip(edges, edges[1:]) if c - a > 1 or d - b > 1]
+
+
+def _couples(old: list[list[tuple]], new: list[list[tuple]], gap: tuple[range, range]) -> list[tuple[range, range]]:
+    """Parts of a gap that may differ in names alone: all of it, else lines of one shape."""
+    shape = lambda line: tuple((k, k == "id" or t) for k, t in line)
+    left, right = ([shape(side[i]) for i in part] for side, part in zip((old, new), gap))
+    if left and right and sum(left, ()) == sum(right, ()):
+        return [gap]
+    return [(gap[0][i : i + 1], gap[1][j : j + 1]) for i, j in _paired(left, right)]
 
 
 def diff_quality(old: str, new: str, language: str, category: str | None) -> dict:
-    """Changed statement lines of a pair, leaving out renames that hold one to one over the whole function."""
+    """Changed statement lines of a pair. Lines that differ by renames count only if these are no one-to-one relation of all names."""
     sides = [statement_tokens(x or "", language) for x in (old, new)]
-    lines = [list(s.values()) for s in sides]
-    source = [[(x or "").split("\n")[n - 1].strip() for n in s] for x, s in zip((old, new), sides)]
-    names: tuple[dict, dict] = (defaultdict(set), defaultdict(set))
-    changed, real, held = (set(), set()), (set(), set()), []
-
-    def bind(pairs) -> None:
-        for a, b in pairs:
-            names[0][a].add(b)
-            names[1][b].add(a)
-
-    def claim(a: range, b: range) -> bool:
-        pairs = _renames([t for i in a for t in lines[0][i]], [t for j in b for t in lines[1][j]])
-        if pairs is not None:
-            bind(pairs)
-            held.append((a, b, pairs))
-        return pairs is not None
-
-    rows = [[tuple(x) for x in side] for side in lines]
-    for tag, i1, i2, j1, j2 in difflib.SequenceMatcher(None, *rows, autojunk=False).get_opcodes():
-        if tag == "equal":
-            bind((t[1], t[1]) for i in range(i1, i2) for t in lines[0][i] if t[0] == "id")
-            continue
-        changed[0].update(range(i1, i2)), changed[1].update(range(j1, j2))
-        if tag == "replace" and claim(range(i1, i2), range(j1, j2)):
-            continue
-        shape = lambda x: tuple((k, "" if k == "id" else t) for k, t in x)
-        parts = difflib.SequenceMatcher(None, [shape(x) for x in lines[0][i1:i2]], [shape(x) for x in lines[1][j1:j2]], autojunk=False).get_opcodes()
-        for inner, a1, a2, b1, b2 in parts:
-            if inner == "equal":
-                for k in range(a2 - a1):
-                    claim(range(i1 + a1 + k, i1 + a1 + k + 1), range(j1 + b1 + k, j1 + b1 + k + 1))
-            else:
-                real[0].update(range(i1 + a1, i1 + a2)), real[1].update(range(j1 + b1, j1 + b2))
-    renamed = {}
-    for a, b, pairs in held:
-        if all(len(names[0][x]) == 1 == len(names[1][y]) for x, y in pairs):
-            renamed |= {x: y for x, y in pairs if x != y}
-        else:
-            real[0].update(a), real[1].update(b)
-    n = len(real[0]) + len(real[1])
-    words = " ".join([*renamed, *renamed.values()])
-    text = "\n".join(source[s][i] for s in (0, 1) for i in sorted(changed[s]))
+    lines = [list(side.values()) for side in sides]
+    same = _paired(*([tuple(line) for line in side] for side in lines))
+    gaps = _gaps(same, *map(len, lines))
+    couples = [(range(i, i + 1), range(j, j + 1)) for i, j in same] + [couple for gap in gaps for couple in _couples(*lines, gap)]
+
+    names = [[t for i in part for k, t in lines[side][i] if k == "id"] for couple in couples for side, part in enumerate(couple)]
+    relation = [set(zip(a, b)) for a, b in zip(names[::2], names[1::2])]
+    pairs = set().union(*relation)
+    lefts, rights = Counter(a for a, _ in pairs), Counter(b for _, b in pairs)
+    odd = {(a, b) for a, b in pairs if lefts[a] > 1 or rights[b] > 1}
+
+    changed = [{i for gap in gaps for i in gap[side]} for side in (0, 1)]
+    renames = [(couple, held) for couple, held in list(zip(couples, relation))[len(same) :] if not held & odd]
+    renamed = {(a, b) for _, held in renames for a, b in held if a != b}
+    n = sum(len(changed[side] - {i for couple, _ in renames for i in couple[side]}) for side in (0, 1))
+    words = " ".join(itertools.chain(*renamed))
+    source = [(x or "").split("\n") for x in (old, new)]
+    text = "\n".join(source[side][list(sides[side])[i] - 1].strip() for side in (0, 1) for i in sorted(changed[side]))
     return {
-        "changed_stmt_lines": n, "rename_only": n == 0 and bool(renamed), "renamed": sorted(f"{a}>{b}" for a, b in renamed.items()),
+        "changed_stmt_lines": n, "rename_only": n == 0 and bool(renamed), "renamed": sorted(f"{a}>{b}" for a, b in renamed),
         "security_rename": bool(renamed) and (security_tokens(words, category) > 0 or bool(re.search("|".join(RENAME_MARKS), words, re.I))), "security_tokens": security_tokens(text, category),
     }
 
