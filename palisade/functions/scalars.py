@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -79,9 +81,10 @@ def content_id(prefix: str, *parts: Column) -> Column:
 
 def identifiers(code: Column) -> Column:
     """Identifier tokens and the parts of snake_case ones, lower-cased."""
-    names = F.transform(F.regexp_extract_all(code, F.lit("[A-Za-z_][A-Za-z0-9_]*"), F.lit(0)), F.lower)
+    lower = F.translate(code, string.ascii_uppercase, string.ascii_lowercase)
+    names = F.regexp_extract_all(lower, F.lit("[a-z_][a-z0-9_]*"), F.lit(0))
     parts = F.flatten(F.transform(F.filter(names, lambda n: F.instr(n, "_") > 0), lambda n: F.filter(F.split(n, "_"), lambda p: p != "")))
-    return F.concat(names, parts)
+    return F.when(F.instr(code, "_") > 0, F.concat(names, parts)).otherwise(names)
 
 
 def bucket(token: Column) -> Column:

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from palisade.functions.scalars import SENIORITY, SUPPRESS_AT, bucket, cosine, identifiers, logistic, lookup, recency, vote_multiplier
 
+from . import impact
 from .names import fresh, ranked, top_per
 
 SIMILARITY, CANDIDATES, TOP_K, RRF = 0.25, 10, 3, 2
@@ -138,17 +139,8 @@ def sparse_terms(texts: DataFrame, id_: str, text: str, hashed: bool = True) ->
 
 
 def sparse_top_k(queries: DataFrame, corpus: DataFrame, k: int = CANDIDATES, least: float = 0.0, own: bool = True) -> DataFrame:
-    """queries (query_id, term, tf), corpus (point_id, term, tf) to each query's k best by the summed tf * tf * idf.
-
-    idf is ln(1 + (N - n + 0.5) / (n + 0.5)) over the corpus; sums are compared to 9 places.
-    """
-    total = corpus.agg(F.count_distinct("point_id").alias("_all"))
-    n = corpus.groupBy("term").agg(F.count("*").alias("_n")).crossJoin(total)  # total is one row
-    weighted = queries.join(n, "term").select("query_id", "term", (F.col("tf") * F.log(1 + (F.col("_all") - F.col("_n") + 0.5) / (F.col("_n") + 0.5))).alias("_w"))
-    score = corpus.join(weighted, "term").groupBy("query_id", "point_id").agg(F.round(F.sum(F.col("tf") * F.col("_w")), 9).alias("score"))
-    score = score.filter(F.col("score") >= least) if own else score.filter((F.col("score") >= least) & (F.col("query_id") != F.col("point_id")))
-    out = ranked(score, ["query_id"], [F.desc("score"), "point_id"], "rank")
-    return out.filter(F.col("rank") <= k)
+    """queries (query_id, term, tf), corpus (point_id, term, tf) to each query's k best with score and rank, by the impact index."""
+    return ranked(impact.sparse_top_k(queries, corpus, k, least, own), ["query_id"], [F.desc("score"), "point_id"], "rank")
 
 
 def reciprocal_rank_fusion(lists: list[DataFrame], k: int = TOP_K, constant: int = RRF) -> DataFrame:

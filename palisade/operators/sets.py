@@ -7,12 +7,12 @@ are kept; ties are broken by the order columns.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from palisade.sources.scratch import Scratch
+
 from .names import fresh, top_per
 
 #: Rows of one token up to which its sets are paired in one place; more are dealt over cells.
@@ -103,17 +103,6 @@ def near_duplicate_classes(sets: DataFrame, threshold: float = 0.7, least: int =
     return member, near_duplicate_links(heads, threshold, least)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a temporary folder only where all of Spark is this process."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    master = spark.sparkContext.master
-    if not master.startswith("local") or master.startswith("local-cluster"):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    return f"file://{tempfile.mkdtemp(prefix='palisade-')}"
-
-
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """nodes (id), edges (a, b) to (id, component): the smallest id that can be reached.
 
@@ -121,18 +110,8 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     session's shared checkpoint folder, so that lineage stays short. A round's tables are
     deleted when the next one is written; the last one stays for the result.
     """
-    spark = nodes.sparkSession
-    root = f"{shared_folder(spark)}/palisade/components-{uuid.uuid4().hex}"
-
-    def keep(df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(f"{root}/{name}")
-        return spark.read.schema(df.schema).parquet(f"{root}/{name}")
-
-    def drop(*names: str) -> None:
-        for name in names:
-            at = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}")
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
+    scratch = Scratch(nodes.sparkSession, "components")
+    keep, drop = scratch.save, scratch.drop
     both = keep(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct(), "edges")
     linked = keep(both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("id"), F.min("b")).alias("component")), "labels-0")
     for i in range(1, 1 << 20):

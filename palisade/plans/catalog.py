@@ -105,7 +105,7 @@ def net_votes(spark, sf_dir):
     return retrieval.net_votes(_votes(spark, sf_dir))
 
 
-_TERMS = """n AS (SELECT doc_id, list_transform(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*'), lambda x: lower(x)) AS names FROM documents JOIN embeddings ON doc_id = vec_id WHERE text IS NOT NULL),
+_TERMS = """n AS (SELECT doc_id, list_transform(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*'), lambda x: lower(x)) AS names FROM documents WHERE text IS NOT NULL),
 w AS (SELECT doc_id, unnest(list_concat(names, list_filter(flatten(list_transform(list_filter(names, lambda x: contains(x, '_')), lambda x: string_split(x, '_'))), lambda x: x <> ''))) AS term FROM n),
 t AS (SELECT doc_id, term, count(*) AS tf FROM w GROUP BY ALL),
 i AS (SELECT term, ln(1 + ((SELECT count(DISTINCT doc_id) FROM t) - count(*) + 0.5::DOUBLE) / (count(*) + 0.5::DOUBLE)) AS idf FROM t GROUP BY term),
@@ -115,8 +115,7 @@ l2 AS (SELECT query_id, point_id, score, row_number() OVER (PARTITION BY query_i
 
 
 def _sparse(spark, sf_dir):
-    ids = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"))
-    terms = retrieval.sparse_terms(table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", "text").join(ids, "doc_id"), "doc_id", "text", hashed=False)
+    terms = retrieval.sparse_terms(table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", "text"), "doc_id", "text", hashed=False)
     queries = terms.filter("doc_id % 20 = 0").withColumnRenamed("doc_id", "query_id")
     return retrieval.sparse_top_k(queries, terms.withColumnRenamed("doc_id", "point_id"), own=False)
 
