@@ -14,6 +14,7 @@ from palisade.functions import exact
 from palisade.functions import text as T
 from palisade.functions.scalars import wilson
 
+from .carry import running
 from .names import fresh, top_per
 
 TOLERANCE = 2
@@ -250,22 +251,17 @@ def common_views(records: DataFrame, id_: str, view: str) -> DataFrame:
 
 
 def pacing(calls: DataFrame, run: str, order: str, tokens: str, sleep: float, per_minute: int, latency: float) -> DataFrame:
-    """Seconds and calls per run made one after another: each waits for the tokens of the one before.
-
-    Neighbours are found by their place in the run, so that rows are joined by (run, place).
-    """
-    place = F.row_number().over(Window.partitionBy(run).orderBy(order))
-    rows = calls.select(run, place.alias("_i"), F.lag(tokens).over(Window.partitionBy(run).orderBy(order)).alias("_before"), tokens)
-    wait = F.when(F.col("_i") > 1, F.greatest(F.lit(float(sleep)), 60.0 * F.col("_before") / per_minute)).otherwise(0.0)
+    """Seconds and calls per run made one after another: each waits for the tokens of the one before."""
+    at, before = fresh("at", calls), fresh("before", calls)
+    rows = running(calls.select(run, order, tokens), [run], [order], place=at, lags={before: F.col(tokens)})
+    wait = F.when(F.col(at) > 1, F.greatest(F.lit(float(sleep)), 60.0 * F.col(before) / per_minute)).otherwise(0.0)
     return rows.groupBy(run).agg(F.count("*").alias("calls"), F.sum(tokens).alias("tokens"), F.sum(wait + latency).alias("seconds"))
 
 
 def within_budget(rows: DataFrame, by: list[str], order: list[str], cost: str, budget: float) -> DataFrame:
-    """Rows of each group with the running total of their costs, up to the first that would pass the budget."""
-    running = fresh("running", rows)
-    frame = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    out = rows.withColumn(running, F.sum(cost).over(frame))
-    return out.withColumn("within", F.col(running) <= budget).withColumnRenamed(running, "running_total")
+    """Rows of each group with the running total of their costs, and whether that is within the budget."""
+    out = running(rows, by, order, sums={"running_total": F.col(cost)})
+    return out.withColumn("within", F.col("running_total") <= budget)
 
 
 def replayed(records: DataFrame, responses: DataFrame, key: list[str]) -> DataFrame:

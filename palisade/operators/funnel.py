@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from palisade.functions.scalars import SEVERITY, lookup
 
-from .names import fresh, ranked
+from .names import fresh, ranked, top_per
 
 REPORT_AT, AUDIT_FLOOR, SUGGESTION_FLOOR, VERIFIER_CAP = 7, 5, 4, 8
 
@@ -43,21 +43,25 @@ def funnel(candidates: DataFrame, scan: str, keys: list[str], cap: int = VERIFIE
 
     Duplicates go first (most severe, then most confident, stays), then exclusions, then
     those under the audit floor (a missing confidence counts as the floor), then those
-    beyond the verifier cap; verdicts part the rest.
+    beyond the verifier cap; verdicts part the rest. Only the cap's best of a scan are
+    ranked, and the last of them is what the others are compared with, so that a scan may
+    have any number of candidates; those of one id stand or fall together.
     """
     confidence = F.coalesce("confidence", F.lit(AUDIT_FLOOR))
     order = [F.desc(F.coalesce(severity_rank(F.col("severity")), F.lit(-1))), F.desc(confidence), "id"]
-    copy, open_, place = (fresh(n, candidates) for n in ("copy", "open", "place"))
+    copy, open_, last, of = (fresh(n, candidates) for n in ("copy", "open", "last", "of"))
     rows = ranked(candidates, [scan, *keys], order, copy).withColumn(copy, F.col(copy) > 1)
     rows = rows.withColumn(open_, ~F.col(copy) & F.col("exclusion").isNull() & (confidence >= AUDIT_FLOOR))
-    rows = ranked(rows, [scan, open_], order, place)
+    worth = F.struct(-F.coalesce(severity_rank(F.col("severity")), F.lit(-1)), -confidence, F.col("id"))
+    best = top_per(rows.filter(open_), [scan], order, cap).groupBy(F.col(scan).alias(of)).agg(F.max(worth).alias(last))
+    rows = rows.join(best, F.col(scan).eqNullSafe(F.col(of)), "left")
     verdict = F.col("verdict")
     status = (
         F.when(F.col(copy), "duplicate").when(F.col("exclusion").isNotNull(), "excluded").when(confidence < AUDIT_FLOOR, "below_floor")
-        .when(F.col(place) > cap, "over_cap").when(verdict.isNull(), "not_verified")
+        .when(worth > F.col(last), "over_cap").when(verdict.isNull(), "not_verified")
         .when((verdict == "confirmed") & (confidence >= REPORT_AT), "confirmed").when(verdict == "confirmed", "low_confidence").when(verdict == "uncertain", "uncertain").otherwise("rejected")
     )
-    return rows.withColumn("status", status).drop(copy, open_, place)
+    return rows.withColumn("status", status).drop(copy, open_, last, of)
 
 
 def suggested(verdict: Column, confidence: Column, evidence: Column, least: int = REPORT_AT, floor: int = SUGGESTION_FLOOR) -> Column:
@@ -82,11 +86,11 @@ def coverage(units: DataFrame, scan: str) -> DataFrame:
 
 def comment_plan(existing: DataFrame, desired: DataFrame) -> DataFrame:
     """existing (comment_id, marker, body), desired (marker, body) to create, update, keep or delete."""
-    have = ranked(existing, ["marker"], ["comment_id"], "n").select("comment_id", "marker", F.col("body").alias("old"), "n")
-    want = desired.select("marker", F.col("body").alias("new"))
-    both = have.join(want, "marker", "full_outer")
+    have = ranked(existing, ["marker"], ["comment_id"], "n").select("comment_id", F.col("marker").alias("old_marker"), F.col("body").alias("old"), "n")
+    want = desired.select("marker", F.col("body").alias("new"), F.lit(True).alias("wanted"))
+    both = have.join(want, F.col("old_marker").eqNullSafe(F.col("marker")), "full_outer").withColumn("marker", F.coalesce("marker", "old_marker"))
     op = (
-        F.when(F.col("new").isNull() | (F.col("n") > 1), "delete").when(F.col("comment_id").isNull(), "create")
-        .when(F.col("old") == F.col("new"), "keep").otherwise("update")
+        F.when(F.col("wanted").isNull() | (F.col("n") > 1), "delete").when(F.col("comment_id").isNull(), "create")
+        .when(F.col("old").eqNullSafe(F.col("new")), "keep").otherwise("update")
     )
     return both.select("marker", "comment_id", op.alias("op"))

@@ -9,9 +9,10 @@ points first; empty sides give empty results.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .carry import running
 from .names import fresh, top_per
 
 #: Bins are powers of this; the least width is the base itself.
@@ -63,23 +64,24 @@ def nearest(left: DataFrame, right: DataFrame, keys: list[str], row: list[str],
     """For each left row the right row of equal keys with the smallest distance; the first position wins ties.
 
     Left and right are merged in the order of the key and place; a left row sees the last
-    right row before it and the first one behind it, so that no pairs are made.
+    right row before it and the first one behind it, carried from range to range, so that
+    no pairs are made and no key is in one task.
     """
-    side, place, before, behind = (fresh(n, left, right) for n in ("side", "place", "before", "behind"))
     mine, theirs = [c for c in left.columns if c not in keys], [c for c in right.columns if c not in keys]
     # of equal places only the first position counts
     r = top_per(right.filter(F.col(to).isNotNull()), [*keys, to], [position])
-    rows = left.select(*keys, F.lit(1).alias(side), F.col(at).alias(place), F.struct(*mine).alias("_l"), F.lit(None).cast(r.select(F.struct(*theirs)).schema[0].dataType).alias("_r"))
-    rows = rows.unionByName(r.select(*keys, F.lit(0).alias(side), F.col(to).alias(place), F.lit(None).cast(left.select(F.struct(*mine)).schema[0].dataType).alias("_l"), F.struct(*theirs).alias("_r")))
-    w = Window.partitionBy(*keys)
-    rows = rows.withColumn(before, F.last("_r", True).over(w.orderBy(place, side).rowsBetween(Window.unboundedPreceding, 0)))
-    rows = rows.withColumn(behind, F.last("_r", True).over(w.orderBy(F.desc(place), side).rowsBetween(Window.unboundedPreceding, 0)))
-    rows = rows.filter((F.col(side) == 1) & F.col(place).isNotNull())
-    far = lambda c: F.abs(F.col(place) - F.col(c)[to])
-    a, b = F.col(before), F.col(behind)
-    pick = F.when(a.isNull() | (far(behind) < far(before)) | ((far(behind) == far(before)) & (b[position] < a[position])), b).otherwise(a)
-    out = rows.withColumn("_r", pick).filter("_r is not null")
-    return out.select(*keys, *[F.col("_l")[c].alias(c) for c in mine], *[F.col("_r")[c].alias(c) for c in theirs])
+    none = lambda df, cols: F.lit(None).cast(df.select(F.struct(*cols)).schema[0].dataType)
+    inner = [f"k{i}" for i in range(len(keys))]
+    named = [F.col(k).alias(n) for k, n in zip(keys, inner)]
+    known = lambda df: df.dropna(subset=keys)
+    rows = known(left).filter(F.col(at).isNotNull()).select(*named, F.lit(1).alias("side"), F.col(at).alias("place"), F.struct(*mine).alias("l"), none(r, theirs).alias("r"))
+    rows = rows.unionByName(known(r).select(*named, F.lit(0).alias("side"), F.col(to).alias("place"), none(left, mine).alias("l"), F.struct(*theirs).alias("r")))
+    rows = running(rows, inner, ["place", "side"], lasts={"before": F.col("r")}, nexts={"behind": F.col("r")}).filter("side = 1")
+    far = lambda c: F.abs(F.col("place") - F.col(c)[to])
+    a, b = F.col("before"), F.col("behind")
+    pick = F.when(a.isNull() | (far("behind") < far("before")) | ((far("behind") == far("before")) & (b[position] < a[position])), b).otherwise(a)
+    out = rows.withColumn("r", pick).filter("r is not null")
+    return out.select(*[F.col(n).alias(k) for k, n in zip(keys, inner)], *[F.col("l")[c].alias(c) for c in mine], *[F.col("r")[c].alias(c) for c in theirs])
 
 
 def within(left: DataFrame, right: DataFrame, keys: list[str], at: str, to: str, distance: int) -> DataFrame:
