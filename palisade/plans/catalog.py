@@ -15,7 +15,8 @@ from palisade.functions import text as T
 from palisade.operators import corpus as building
 from palisade.operators import diffs, evaluation, features, funnel, intervals, metrics, packing, report, retrieval, sampling, sets
 from palisade.sources import tables
-from palisade.streaming import jobs
+from palisade.sources.scratch import Scratch
+from palisade.streaming import jobs, live
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -444,6 +445,21 @@ def job_states(spark, sf_dir):
     return jobs.latest_state(e).select("job", "state")
 
 
+@query(ORACLES["job_states"])
+def live_job_states(spark, sf_dir):
+    """As job_states, by a stream with state that is stopped and started again on its checkpoint."""
+    states = {"signup": "queued", "view": "running", "purchase": "completed", "error": "failed"}
+    scratch = Scratch(spark, "live")
+    put = jobs.upsert_buckets(f"{scratch.root}/out", "job", ["epoch"], 16)
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("job"), S.lookup(states, F.col("event_type")).alias("state"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("id"))
+    for start in (0, 1):  # the second takes up what the first has left
+        e.filter(F.pmod(F.xxhash64("id"), F.lit(2)) == start).write.mode("append").parquet(f"{scratch.root}/in")
+        changes = live.job_states(spark.readStream.schema(e.schema).parquet(f"{scratch.root}/in"), delay="1000 days")
+        to = changes.writeStream.foreachBatch(lambda batch, epoch: put(batch.withColumn("epoch", F.lit(epoch)), epoch))
+        to.option("checkpointLocation", f"{scratch.root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return jobs.read_buckets(spark, f"{scratch.root}/out", changes.schema.simpleString()[7:-1].replace(":", " ")).select("job", "state")
+
+
 @query("SELECT event_id, round(sum(value) OVER (PARTITION BY event_type ORDER BY epoch(ts)::BIGINT RANGE BETWEEN 59 PRECEDING AND CURRENT ROW), 4) AS load FROM (SELECT event_id, event_type, value, date_trunc('second', ts) AS ts FROM events)")
 def sliding_budget(spark, sf_dir):
     return jobs.sliding_load(table(spark, sf_dir, "events").select("event_id", "event_type", "ts", "value"), "event_type", "ts", "value").select("event_id", F.round("load", 4).alias("load"))

@@ -45,6 +45,31 @@ def sliding_load(rows: DataFrame, key: str, ts: str, amount: str, seconds: int =
     return out.withColumn("load", F.sum(amount).over(order)).filter(own).drop(at, part, own)
 
 
+class Budget:
+    """Tokens of one client in the last seconds, first in first out."""
+
+    def __init__(self, limit: int, seconds: int = 60, most_wait: float | None = None, held: list | None = None, last: float = float("-inf"), blocked: float = float("-inf")):
+        self.limit, self.seconds, self.most_wait = limit, seconds, most_wait
+        self.held, self.last, self.blocked = held or [], last, blocked  # (start, tokens) in order of start
+
+    def block(self, until: float) -> None:
+        self.blocked = max(self.blocked, until)
+
+    def start(self, when: float, need: int) -> float | None:
+        """When a call may begin, which it then does; None if it would wait too long or is too large."""
+        at = max(when, self.last, self.blocked)
+        held = [h for h in self.held if h[0] > at - self.seconds]
+        used = sum(n for _, n in held)
+        for t, n in held:
+            if used + need <= self.limit:
+                break
+            used, at = used - n, t + self.seconds
+        if need > self.limit or self.most_wait is not None and at - when > self.most_wait:
+            return None
+        self.held, self.last = [h for h in held if h[0] > at - self.seconds] + [(at, need)], at
+        return at
+
+
 def paced(calls: DataFrame, key: str, order: list[str], at: str, tokens: str, limit: int, seconds: int = 60, most_wait: float | None = None) -> DataFrame:
     """calls with the `start` each gets, first in first out, so that no `seconds` of a key hold more than `limit` tokens.
 
@@ -55,22 +80,8 @@ def paced(calls: DataFrame, key: str, order: list[str], at: str, tokens: str, li
     schema = f"{calls.schema.simpleString()[7:-1]},start double".replace(":", " ").replace(",", ", ")
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(order, kind="stable")
-        held: list[tuple[float, int]] = []  # start, tokens, in order of start
-        starts, last = [], float("-inf")
-        for when, need in zip(group[at].astype(float), group[tokens].fillna(0).astype(int)):
-            start = max(when, last)
-            held = [h for h in held if h[0] > start - seconds]
-            used = sum(n for _, n in held)
-            for t, n in held:
-                if used + need <= limit:
-                    break
-                used, start = used - n, t + seconds
-            if need > limit or most_wait is not None and start - when > most_wait:
-                starts.append(None)
-                continue
-            held, last = [h for h in held if h[0] > start - seconds] + [(start, need)], start
-            starts.append(start)
+        group, budget = group.sort_values(order, kind="stable"), Budget(limit, seconds, most_wait)
+        starts = [budget.start(when, need) for when, need in zip(group[at].astype(float), group[tokens].fillna(0).astype(int))]
         return group.assign(start=pd.array(starts, "Float64"))
 
     return calls.groupBy(key).applyInPandas(run, schema)
@@ -159,26 +170,6 @@ def read_buckets(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
 
 
-def upsert_latest(path: str, key: str, order: list[str], shards: int = 64):
-    """A foreachBatch function that keeps each key's last row in Parquet versions under `path`, for small tables.
-
-    Every batch writes the whole table; `upsert_buckets` writes what it touches alone.
-
-    Each batch writes version `epoch` from the version before it, so that a batch that is
-    run again after a failure gives the same table.
-    """
-
-    def run(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        rows = batch
-        if epoch > 0:
-            rows = rows.unionByName(spark.read.parquet(f"{path}/v={epoch - 1}"))
-        last = Window.partitionBy(key).orderBy(*[F.desc(c) for c in order])
-        rows.withColumn("_n", F.row_number().over(last)).filter("_n = 1").drop("_n").repartition(shards, key).write.mode("overwrite").parquet(f"{path}/v={epoch}")
-
-    return run
-
-
 def windowed_counts(events: DataFrame, ts: str, by: str, late: str = "10 minutes", size: str = "1 hour") -> DataFrame:
     """Counts per time window under a watermark; works on a stream and on a table."""
     return events.withWatermark(ts, late).groupBy(F.window(ts, size), by).agg(F.count("*").alias("n"))
