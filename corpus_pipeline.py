@@ -10,6 +10,7 @@ one; columns of any name go through unchanged. The last stage gives one row a do
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from palisade.llm.bpe import token_digests
 from palisade.llm.decontaminate import contamination
@@ -29,23 +30,28 @@ def _workspace(spark: SparkSession, name: str) -> Workspace:
     return _folders[-1]
 
 
+def _columns(docs: DataFrame) -> list:
+    """The documents' columns, whatever their names hold."""
+    return [F.col(f"`{c.replace('`', '``')}`") for c in docs.columns]
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
     _workspace(spark, "quality")
-    return with_quality(docs).filter("kept").select(*docs.columns)
+    return with_quality(docs).filter("kept").select(*_columns(docs))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates by five-word shingles."""
     found = near_duplicates(docs, workspace=_workspace(spark, "dedup"))
     dropped = found.filter("not kept").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(dropped, "doc_id", "left_anti").select(*_columns(docs))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
     found = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), workspace=_workspace(spark, "winnow"))
-    return docs.join(found.filter("contaminated").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(found.filter("contaminated").select("doc_id"), "doc_id", "left_anti").select(*_columns(docs))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
