@@ -55,7 +55,7 @@ def with_quality(docs: DataFrame) -> DataFrame:
     """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept."""
     keep = [c for c in docs.columns if c.lower() not in ADDED]
     # the documents' columns stand in one struct while names of the operator's own are used
-    row = F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_row")
+    row = F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in keep]).alias("_row")
     text = F.coalesce(docs["text"], F.lit(""))
     at = docs.select(row, text.alias("_text"), F.array_remove(F.split(text, WORD_BREAK), "").alias("_words"), F.split(text, "\n").alias("_lines"))
     text = F.col("_text")

@@ -180,7 +180,7 @@ def _tree_column(node, at: dict[str, Column]) -> Column:
 def scan(docs: DataFrame, trees: list | None = None) -> DataFrame:
     """One row a document: `row`, all its columns, `text`, `pieces`, the text around candidates, and `findings` array<struct<text, p, secret>>."""
     trees = trees or forest(docs.sparkSession)
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    row = F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]).alias("row")
     out = docs.select(row, F.coalesce("text", F.lit("")).alias("text"))
     out = out.withColumn("found", F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)))
     out = out.withColumn("pieces", F.when(F.size("found") > 0, F.split("text", CANDIDATE)))

@@ -32,6 +32,7 @@ import math
 import string
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -44,8 +45,8 @@ WORD_BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 HELD_OUT = 1
 #: The least z-score of a lexicon token.
 LEAST_Z = 3.0
-#: Bytes of a lexicon that are sent with the scan; a larger one is an error that names the z-score to raise.
-LEXICON_BYTES = 256 << 20
+#: Bytes of lexicon that are sent with a scan; a larger one is dealt into parts, each with a scan of its own.
+LEXICON_BYTES = 64 << 20
 #: Weight of the pooled counts in the prior, in tokens, and what each token has besides.
 PRIOR_TOKENS, FLOOR = 1000.0, 0.5
 #: The prior weighs at most this share of the labelled tokens, so that short texts can outweigh it.
@@ -69,10 +70,24 @@ SCORE_SCHEMA = "doc_id long, best double, n_segments int, start int, end int, pa
 PASSAGES = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
 
 
+@dataclass(frozen=True)
+class Lexicon:
+    """Tokens and their scores, in a table (word, score, part) where they are too many to be sent at once."""
+
+    words: tuple[str, ...] = ()
+    scores: tuple[float, ...] = ()
+    table: DataFrame | None = None
+    parts: int = 1
+
+    def part(self, i: int) -> dict[str, float]:
+        if self.table is None:
+            return dict(zip(self.words, self.scores))
+        return {r["word"]: float(r["score"]) for r in self.table.filter(F.col("part") == i).collect()}  # about LEXICON_BYTES
+
+
 @dataclass(frozen=True)
 class Model:
-    words: tuple[str, ...]
-    scores: tuple[float, ...]
+    lexicon: Lexicon
     scale: float  # lambda
     slope: float
     middle: float
@@ -141,30 +156,66 @@ class Scores(dict):
 _BETWEEN = bytes(b + 32 if 0x41 <= b <= 0x5A else b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else 0x20 for b in range(256))
 
 
-def score_rows(lexicon: dict[str, float], scale: float):
-    """mapInArrow function: (doc_id, text) to each text's value and significant segments."""
+def hit_rows(lexicon: dict[str, float]):
+    """mapInArrow function: (row, doc_id, text) to each text's number of words, and the places and scores of those in the lexicon."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scores = Scores(lexicon)
         for batch in batches:
-            best, counts, starts, ends, passages = [], [], [], [], []
+            sizes, places, hits = [], [], []
             for text in batch.column("text").cast(pa.large_binary()):
                 words = (text.as_py() or b"").translate(_BETWEEN).split()
                 values = list(map(scores.__getitem__, words)) if lexicon else []
-                places = [i for i, v in enumerate(values) if v]
-                found = segments(places, [values[i] for i in places])
-                value, good = judged(found, len(words), scale)
+                at = [i for i, v in enumerate(values) if v]
+                sizes.append(len(words)), places.append(at), hits.append([values[i] for i in at])
+            columns = [batch.column("row"), batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(places, pa.list_(pa.int32())), pa.array(hits, pa.list_(pa.float64()))]
+            yield pa.record_batch(columns, names=["row", "doc_id", "n", "places", "hits"])
+
+    return run
+
+
+def judged_rows(scale: float):
+    """mapInArrow function: texts' hits to their values and significant segments."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            best, counts, starts, ends, passages = [], [], [], [], []
+            for n, places, hits in zip(*(batch.column(c).to_pylist() for c in ("n", "places", "hits"))):
+                found = segments(places, hits)
+                value, good = judged(found, n, scale)
                 top = max(found, key=lambda s: s[2], default=(0, 0, 0.0))
                 best.append(value), counts.append(len(good)), starts.append(top[0]), ends.append(top[1])
                 passages.append([{"start": a, "end": b, "score": x} for a, b, x in good])
             yield pa.record_batch(
-                [batch.column("doc_id").cast(pa.int64()), pa.array(best, pa.float64()), pa.array(counts, pa.int32()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(passages, PASSAGES)],
+                [batch.column("doc_id"), pa.array(best, pa.float64()), pa.array(counts, pa.int32()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(passages, PASSAGES)],
                 names=["doc_id", "best", "n_segments", "start", "end", "passages"],
             )
 
     return run
 
 
+def scored(documents: DataFrame, lexicon: Lexicon, scale: float) -> DataFrame:
+    """(doc_id, best, n_segments, start, end, passages) of each row.
+
+    With a lexicon in parts a word's score is the greatest that any part has for it, so each
+    part's hits are joined by row; a row has as many as there are parts.
+    """
+    schema = "row long, doc_id long, n long, places array<int>, hits array<double>"
+    rows = documents.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    judge = judged_rows(scale)
+    if lexicon.parts == 1:
+        hits = hit_rows(lexicon.part(0))
+        return rows.mapInArrow(lambda batches: judge(hits(batches)), SCORE_SCHEMA)
+    rows = Workspace(documents.sparkSession, "toxicity").save(rows, "rows")
+    some = [rows.mapInArrow(hit_rows(lexicon.part(i)), schema) for i in range(lexicon.parts)]
+    both = reduce(DataFrame.unionByName, some).groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n").alias("n"), F.flatten(F.collect_list(F.arrays_zip("places", "hits"))).alias("found"))
+    # in order of place, and of equal places the greatest score last
+    found = F.array_sort("found")
+    kept = F.filter(found, lambda x, i: F.coalesce(F.get(found, i + 1)["places"] != x["places"], F.lit(True)))
+    merged = both.select("row", "doc_id", "n", kept["places"].alias("places"), kept["hits"].alias("hits"))
+    return merged.mapInArrow(judge, SCORE_SCHEMA)
+
+
 def _scale(scores: np.ndarray, shares: np.ndarray) -> float:
     """The positive lambda of a score distribution with a negative mean."""
     rest = 1 - shares.sum()
@@ -197,7 +248,7 @@ def _logistic(values: np.ndarray, label: np.ndarray, n: np.ndarray) -> tuple[flo
     return float(slope), float(center - beta[1] / slope)
 
 
-def fit(documents: DataFrame, labels: DataFrame) -> Model:
+def fit(documents: DataFrame, labels: DataFrame, lexicon_bytes: int = LEXICON_BYTES) -> Model:
     """The model from all labelled rows that are not held out."""
     known = labels.filter("toxic is not null and doc_id is not null").filter(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     if known.limit(BROADCAST_LABELS + 1).count() <= BROADCAST_LABELS:
@@ -218,32 +269,36 @@ def fit(documents: DataFrame, labels: DataFrame) -> Model:
     odds = lambda x, n: F.log((F.col(x) + prior) / F.greatest(F.lit(FLOOR), F.col(n) + weight - F.col(x) - prior))
     delta = odds("a", "na") - odds("b", "nb")
     error = F.sqrt(1 / (F.col("a") + prior) + 1 / (F.col("b") + prior))
-    scored = c.filter("a > 0 and na > 0 and nb > 0").select("word", (delta - 2 * error).alias("score"), (delta / error).alias("z"), ((F.col("b") + 0.5) / (F.col("nb") + 1)).alias("share"))
-    chosen = scored.filter((F.col("z") >= LEAST_Z) & (F.col("score") >= LEAST_SCORE))
+    weighed = c.filter("a > 0 and na > 0 and nb > 0").select("word", (delta - 2 * error).alias("score"), (delta / error).alias("z"), ((F.col("b") + 0.5) / (F.col("nb") + 1)).alias("share"))
+    chosen = weighed.filter((F.col("z") >= LEAST_Z) & (F.col("score") >= LEAST_SCORE))
     workspace = Workspace(documents.sparkSession, "lexicon")
     chosen = workspace.save(chosen, "lexicon")
     size = chosen.agg(F.sum(F.octet_length("word") + 64)).first()[0] or 0
-    if size > LEXICON_BYTES:
-        raise ValueError(f"the lexicon needs {size} bytes, more than {LEXICON_BYTES}; raise LEAST_Z")
-    lexicon = chosen.collect()  # its size is known
-    workspace.release()
-    lexicon.sort(key=lambda r: r["word"])
-    if not lexicon:
-        return Model((), (), 1.0, 1.0, 2 * MOST)
-    tokens, scores = tuple(r["word"] for r in lexicon), tuple(float(r["score"]) for r in lexicon)
-    scale = _scale(np.array(scores), np.array([r["share"] for r in lexicon]))
-    best = rows.select("doc_id", "text").mapInArrow(score_rows(dict(zip(tokens, scores)), scale), SCORE_SCHEMA)
+    if not size:
+        workspace.release()
+        return Model(Lexicon(), 1.0, 1.0, 2 * MOST)
+    # like scores are put together, so that the sum has some ten thousand terms at most
+    shared = F.sum("share")
+    sums = chosen.groupBy(F.round("score", 3).alias("bin")).agg(shared.alias("share"), (F.sum(F.col("share") * F.col("score")) / shared).alias("score")).orderBy("bin").collect()
+    parts = -(-size // lexicon_bytes)
+    if parts > 1:
+        lexicon = Lexicon(table=chosen.withColumn("part", F.pmod(F.xxhash64("word"), F.lit(parts))), parts=parts)
+    else:
+        held = sorted(chosen.collect(), key=lambda r: r["word"])  # its size is known
+        workspace.release()
+        lexicon = Lexicon(tuple(r["word"] for r in held), tuple(float(r["score"]) for r in held))
+    scale = _scale(np.array([r["score"] for r in sums], float), np.array([r["share"] for r in sums], float))
+    best = scored(rows, lexicon, scale)
     # at most 2 * MOST / STEP bins
     binned = best.join(known, "doc_id").groupBy((F.round(F.col("best") / STEP) * STEP).alias("value")).agg(F.count("*").alias("n"), F.sum(F.when(F.col("toxic") == 1, 1).otherwise(0)).alias("toxic"))
     bins = np.array([(r["value"], r["n"], r["toxic"]) for r in binned.collect()], float)
     slope, middle = _logistic(np.repeat(bins[:, 0], 2), np.tile([1.0, 0.0], len(bins)), np.stack([bins[:, 2], bins[:, 1] - bins[:, 2]], 1).ravel())
-    return Model(tokens, scores, scale, slope, middle)
+    return Model(lexicon, scale, slope, middle)
 
 
 def score(documents: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score, predicted, n_segments, start, end (words of the best segment), passages (all significant ones)."""
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    best = rows.mapInArrow(score_rows(dict(zip(model.words, model.scores)), model.scale), SCORE_SCHEMA)
+    best = scored(documents, model.lexicon, model.scale)
     value = F.greatest(F.lit(-50.0), F.least(F.lit(50.0), model.slope * (F.col("best") - model.middle)))
     out = best.withColumn("score", 1 / (1 + F.exp(-value))).withColumn("held_out", held_out())
     return out.select("doc_id", "held_out", "score", (F.col("score") >= PREDICT).cast("int").alias("predicted"), "n_segments", "start", "end", "passages")

@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from palisade.llm import bpe, decontaminate, html_extract, minhash_dedup, quality_rules, secret_scan, sharding, substring_dedup, toxicity, url_filter
@@ -27,7 +28,7 @@ OPERATORS = {
     "op2": sharding.shard_documents,
     "op3": minhash_dedup.near_duplicates,
     "op5": quality_rules.with_quality,
-    "op6": lambda d: toxicity.score(d, toxicity.Model(("long", "tab"), (2.0, 3.0), 1.0, 1.0, 2.0)),
+    "op6": lambda d: toxicity.score(d, toxicity.Model(toxicity.Lexicon(("long", "tab"), (2.0, 3.0)), 1.0, 1.0, 2.0)),
     "op7": bpe.token_digests,
     "op8": secret_scan.secret_report,
     "op8 redact": secret_scan.redact,
@@ -153,11 +154,11 @@ def test_toxic_labels_of_equal_texts_and_short_texts(spark):
     labels = [(i, int(i < 200)) for i in range(600)] + [(1000, 0), (1001, 1), (1002, None), (None, 1)]
     docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
     model = toxicity.fit(docs, marks)
-    assert "vile" in model.words
+    assert "vile" in model.lexicon.words
     got = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
     assert min(got[i] for i in range(200)) > max(got[i] for i in range(200, 600)) and got[1000] == got[1001]
     again = toxicity.fit(docs.repartition(7), marks.repartition(3))
-    assert again.words == model.words and again.scores == pytest.approx(model.scores)
+    assert again.lexicon.words == model.lexicon.words and again.lexicon.scores == pytest.approx(model.lexicon.scores)
 
 
 def test_segments_equal_brute_force():
@@ -233,3 +234,28 @@ def test_secrets_that_the_generator_did_not_make(spark):
     out = secret_scan.redact(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     marked = {r.doc_id for r in out if secret_scan.MARK in r.text}
     assert len(marked & set(range(len(secret)))) >= 0.9 * len(secret) and len(marked - set(range(len(secret)))) <= 0.1 * len(clean)
+
+
+def test_toxicity_with_a_lexicon_in_parts(spark):
+    rng = random.Random(6)
+    word = lambda i: rng.choice(["vile", "awful", "wretched", "kind", "t1"] if i < 200 else ["kind", "t1", "t2"])
+    rows = [(i, " ".join(word(i) for _ in range(12)) + f" x{i}") for i in range(600)]
+    labels = spark.createDataFrame([(i, int(i < 200)) for i in range(600)], "doc_id long, toxic int")
+    docs = spark.createDataFrame(rows + rows[:3] + [(None, "vile"), (None, None), (700, "")], "doc_id long, text string")
+    once, parts = toxicity.fit(docs, labels), toxicity.fit(docs, labels, lexicon_bytes=150)
+    assert once.lexicon.parts == 1 and parts.lexicon.parts > 1
+    assert (once.scale, once.slope, once.middle) == pytest.approx((parts.scale, parts.slope, parts.middle), rel=1e-9)
+    rows = lambda m: sorted(((r.doc_id, round(r.score, 9), r.n_segments, r.start, r.end) for r in toxicity.score(docs, m).collect()), key=str)
+    assert rows(once) == rows(parts)
+
+
+def test_pipeline_stages_keep_columns_of_any_name(spark, tmp_path):
+    data = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{data}/documents.parquet").withColumn("a.b", F.lit(5)).withColumn("c`d", F.col("doc_id"))
+    for n, (name, stage) in enumerate(corpus_pipeline.STAGES[:4]):
+        out = stage(spark, docs, data)
+        assert out.columns == docs.columns, name
+        out.write.parquet(f"{tmp_path}/stage{n}")
+        docs = spark.read.parquet(f"{tmp_path}/stage{n}")
+    left = docs.collect()
+    assert left and all(r["a.b"] == 5 and r["c`d"] == r.doc_id for r in left)

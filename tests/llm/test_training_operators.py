@@ -335,7 +335,7 @@ def test_toxicity_on_held_out_rows(spark):
     clean = [r.predicted for r in rows if r.toxic == 0]
     toxic = [r.predicted for r in rows if r.toxic == 1]
     assert sum(toxic) / len(toxic) > 0.6 and sum(clean) / len(clean) < 0.01
-    model = toxicity.Model((), (), 1.0, 1.0, 2 * toxicity.MOST)
+    model = toxicity.Model(toxicity.Lexicon(), 1.0, 1.0, 2 * toxicity.MOST)
     assert toxicity.score(spark.createDataFrame([(1, None)], "doc_id long, text string"), model).first().predicted == 0
 
 
@@ -368,4 +368,14 @@ def test_pipeline_equals_its_stages(spark):
     bad = {r.doc_id for r in decontaminate.op1_decontamination(spark, SF).filter("contaminated").collect()}
     found = corpus_pipeline.run(spark, SF)
     assert found.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-    assert {r.doc_id for r in found.collect()} == left.keys() - bad
+    found = {r.doc_id: r for r in found.collect()}
+    assert found.keys() == left.keys() - bad
+    clean = secret_scan.redact(spark.read.parquet(f"{SF}/documents.parquet").filter(F.col("doc_id").isin(list(found))))
+    from tokenizers import Tokenizer
+
+    encoder = Tokenizer.from_file(bpe.vocabulary_path())
+    for r in clean.collect():
+        text = r.text or ""
+        assert found[r.doc_id].decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
+        ids = encoder.encode(text, add_special_tokens=False).ids
+        assert (found[r.doc_id].n_tokens, found[r.doc_id].ids_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
