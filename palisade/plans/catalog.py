@@ -13,7 +13,7 @@ from palisade.functions import scalars as S
 from palisade.functions import exact
 from palisade.functions import text as T
 from palisade.operators import corpus as building
-from palisade.operators import diffs, evaluation, features, funnel, intervals, metrics, packing, report, retrieval, sampling, sets
+from palisade.operators import diffs, evaluation, features, funnel, intervals, metrics, packing, removed, report, retrieval, sampling, sets
 from palisade.sources import tables
 from palisade.sources.scratch import Scratch
 from palisade.streaming import jobs, live
@@ -513,12 +513,29 @@ def content_ids(spark, sf_dir):
 
 @query()
 def diff_lines(spark, sf_dir):
+    return diffs.with_patch(_neighbours(spark, sf_dir)).select("doc_id", "diff.added", "diff.removed", "diff.round_trip", F.size(diffs.added_lines(F.col("diff.patch"))).alias("added_lines"))
+
+
+def _neighbours(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     # documents that are near in size and stand next to each other in a source and its bin; ids first, texts joined to them
     w = Window.partitionBy("source", F.floor(F.col("doc_id") / 100)).orderBy("doc_id")
     before = d.select("doc_id", F.lag("doc_id").over(w).alias("old_id")).filter("old_id is not null")
-    pairs = before.join(d.select("doc_id", F.col("text").alias("new")), "doc_id").join(d.select(F.col("doc_id").alias("old_id"), F.col("text").alias("old")), "old_id")
-    return diffs.with_patch(pairs).select("doc_id", "diff.added", "diff.removed", "diff.round_trip", F.size(diffs.added_lines(F.col("diff.patch"))).alias("added_lines"))
+    return before.join(d.select("doc_id", F.col("text").alias("new")), "doc_id").join(d.select(F.col("doc_id").alias("old_id"), F.col("text").alias("old")), "old_id")
+
+
+@query()
+def removed_evidence(spark, sf_dir):
+    """Every removed line is a change of the document's one unit, the first touched line a candidate; lines with a digit are alerts."""
+    files = Scratch(spark, "removed").save(diffs.with_patch(_neighbours(spark, sf_dir)).select(F.col("doc_id").alias("scan"), F.lit("text").alias("path"), "old", "new", "diff.patch", "diff.touched"), "files")
+    lines = removed.diff_rows(files)
+    changes = lines.filter("tag = '-'").select(
+        "scan", F.col("old_line").alias("change"), "path", F.lit(1).alias("start_line"), F.lit(1 << 30).alias("end_line"), F.lit("removed").alias("direction"), F.col("text").alias("old_text"),
+        F.lit(None).cast("int").alias("line"), F.col("text").rlike("[0-9]").alias("alert"),
+    )
+    candidates = files.filter("size(touched) > 0").select("scan", F.lit(0).alias("id"), "path", F.col("touched")[0].alias("line"), F.lit(None).cast("int").alias("end_line"))
+    nowhere = spark.createDataFrame([], "scan long, path string, start_line int, end_line int, old_start int, old_end int")
+    return removed.removal_checks(candidates, changes, files, nowhere)
 
 
 #: Shapes of a change: language, code before, code after.
@@ -787,15 +804,15 @@ def anchor_lines(spark, sf_dir):
     return o.select("id", T.anchor_line(F.when(i % 3 > 0, i % 25), F.when(i % 2 == 0, i % 11), F.col("changed"), F.col("shown")).alias("line"))
 
 
-@query(r"""SELECT doc_id, sha256(array_to_string(list_transform(list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '' AND NOT starts_with(x, '#')), lambda x: regexp_replace(x, '\s+', '', 'g')), chr(10))) AS body
-FROM documents WHERE text IS NOT NULL AND NOT contains(text, chr(13))""")
+@query(r"""SELECT doc_id, sha256(array_to_string(list_transform(list_filter(list_transform(string_split_regex(text, '\r?\n|\r'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '' AND NOT starts_with(x, '#')), lambda x: regexp_replace(x, '\s+', '', 'g')), chr(10))) AS body
+FROM documents WHERE text IS NOT NULL""")
 def code_bodies(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").filter(F.col("text").isNotNull() & ~F.contains("text", F.lit("\r")))
+    d = table(spark, sf_dir, "documents").filter("text is not null")
     return d.select("doc_id", T.body_hash(F.col("text"), F.lit("python")).alias("body"))
 
 
-@query("""WITH h AS (SELECT o_custkey AS advisory_id, o_orderkey % 50 AS repo, o_orderkey % 7 AS commit, o_orderstatus AS eco, year(o_orderdate) >= 1997 AS held FROM orders), c AS (SELECT * FROM h WHERE NOT held)
+@query("""WITH h AS (SELECT o_custkey AS advisory_id, o_custkey % 7 AS repo, o_orderkey // 16 AS commit, o_orderstatus AS eco, o_custkey % 5 = 0 AS held FROM orders), c AS (SELECT * FROM h WHERE NOT held)
 SELECT repo, commit, min((eco, advisory_id)).eco AS ecosystem FROM (SELECT repo, commit, {'eco': eco, 'advisory_id': advisory_id} AS p, eco, advisory_id FROM h WHERE held AND advisory_id NOT IN (SELECT advisory_id FROM c) AND (repo, commit) NOT IN (SELECT (repo, commit) FROM c)) GROUP BY repo, commit""".replace("min((eco, advisory_id)).eco", "min(eco)"))
 def held_out_commits(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("advisory_id"), (F.col("o_orderkey") % 50).alias("repo"), (F.col("o_orderkey") % 7).alias("commit"), F.col("o_orderstatus").alias("ecosystem"), (F.year("o_orderdate") >= 1997).alias("held"))
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("advisory_id"), (F.col("o_custkey") % 7).alias("repo"), F.floor(F.col("o_orderkey") / 16).alias("commit"), F.col("o_orderstatus").alias("ecosystem"), (F.col("o_custkey") % 5 == 0).alias("held"))
     return building.source_commits(o.filter("held"), o.filter("not held")).select("repo", "commit", "ecosystem")
