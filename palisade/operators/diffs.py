@@ -8,7 +8,6 @@ every row gives one row, and other columns are kept.
 
 from __future__ import annotations
 
-import difflib
 import re
 from collections.abc import Iterator
 
@@ -16,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from palisade.operators import linediff
+
 HUNK = re.compile(r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@")
 
 
@@ -81,7 +82,19 @@ def apply(text: str, patch: str, reverse: bool = False) -> str:
 
 
 def make(old: str, new: str, context: int = 3) -> str:
-    return "\n".join(difflib.unified_diff(old.split("\n"), new.split("\n"), "a", "b", n=context, lineterm=""))
+    """The patch from one text to the other; empty if they are equal."""
+    a, b = old.split("\n"), new.split("\n")
+    out = []
+    for a0, a1, b0, b1, ops in linediff.grouped(linediff.opcodes(a, b), context):
+        # a side without lines names the line before it, and a count of one is left out
+        side = lambda low, high: f"{low + (high > low)}" + ("" if high - low == 1 else f",{high - low}")
+        out.append(f"@@ -{side(a0, a1)} +{side(b0, b1)} @@")
+        for tag, i1, i2, j1, j2 in ops:
+            if tag == "equal":
+                out += [" " + line for line in a[i1:i2]]
+            else:
+                out += ["-" + line for line in a[i1:i2]] + ["+" + line for line in b[j1:j2]]
+    return "\n".join(["--- a", "+++ b", *out]) if out else ""
 
 
 def touched(patch: str) -> list[int]:
