@@ -8,6 +8,7 @@ every row gives one row, and other columns are kept.
 
 from __future__ import annotations
 
+import difflib
 import re
 from collections.abc import Iterator
 

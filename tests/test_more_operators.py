@@ -26,14 +26,16 @@ def one(spark, column, **values):
 # --- diffs ---------------------------------------------------------------------------
 
 def brute_map(old, new):
-    """Line of the new text for each old line that difflib keeps."""
+    """Line of the new text for each old line that stays: the common head and tail, and what difflib keeps between."""
     import difflib
-
-    out = {}
-    for tag, i1, i2, j1, j2 in difflib.SequenceMatcher(None, old, new, autojunk=False).get_opcodes():
-        if tag == "equal":
-            out |= {i1 + k + 1: j1 + k + 1 for k in range(i2 - i1)}
-    return out
+    from os.path import commonprefix
+
+    head = len(commonprefix([old, new]))
+    tail = len(commonprefix([old[head:][::-1], new[head:][::-1]]))
+    pairs = [(i, i) for i in range(head)] + [(len(old) - k, len(new) - k) for k in range(1, tail + 1)]
+    for i, j, n in difflib.SequenceMatcher(None, old[head : len(old) - tail], new[head : len(new) - tail], autojunk=False).get_matching_blocks():
+        pairs += [(head + i + k, head + j + k) for k in range(n)]
+    return {i + 1: j + 1 for i, j in pairs}
 
 
 def test_hunks_without_lines_on_a_side():
