@@ -13,8 +13,8 @@ from palisade.functions import scalars as S
 from palisade.functions import exact
 from palisade.functions import text as T
 from palisade.operators import corpus as building
-from palisade.operators import diffs, evaluation, features, funnel, intervals, metrics, packing, removed, report, retrieval, sampling, sets
-from palisade.sources import tables
+from palisade.operators import assembly, diffs, evaluation, features, funnel, intervals, metrics, packing, removed, report, retrieval, sampling, sets
+from palisade.sources import builds, tables
 from palisade.sources.scratch import Scratch
 from palisade.streaming import jobs, live
 
@@ -430,6 +430,31 @@ def largest_remainder(spark, sf_dir):
     return sampling.largest_remainder(table(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("size")), "lang", "size", 97)
 
 
+#: Orders by status are fixes, flaws and ordinary commits, customers are repositories; a quarter of them is for tests.
+@query("""WITH o AS (SELECT o_orderkey::VARCHAR AS id, 'r' || o_custkey AS repo, CASE WHEN o_custkey % 4 = 0 THEN 'test' ELSE 'dev' END AS side, CASE o_orderstatus WHEN 'F' THEN 'vuln_fix' WHEN 'O' THEN 'vuln_introducing' ELSE 'benign' END AS kind, o_orderpriority AS language FROM orders),
+offered AS (SELECT * FROM o WHERE kind = 'benign' AND side = 'dev' QUALIFY row_number() OVER (PARTITION BY repo ORDER BY sha256('9:' || id), id) <= 2),
+pools AS (SELECT language, count(*) AS size FROM offered GROUP BY 1), mix AS (SELECT language, count(*) AS weight FROM o WHERE kind = 'vuln_introducing' AND side = 'dev' GROUP BY 1),
+shares AS (SELECT language, size, weight * 20 / sum(weight) OVER ()::DOUBLE AS share FROM pools JOIN mix USING (language)),
+quotas AS (SELECT language, least(floor(share) + CASE WHEN row_number() OVER (ORDER BY round(share - floor(share), 9) DESC, language) <= 20 - sum(floor(share)) OVER () THEN 1 ELSE 0 END, size) AS quota FROM shares),
+dealt AS (SELECT *, row_number() OVER (PARTITION BY language, repo ORDER BY sha256('9:' || id), id) AS turn, sha256('9:' || language || ':' || repo) AS h FROM offered),
+placed AS (SELECT *, row_number() OVER (PARTITION BY language ORDER BY turn, h, repo) AS place FROM dealt),
+sample AS (SELECT id FROM placed JOIN quotas USING (language) ORDER BY place > quota, turn, h, repo, language LIMIT 20)
+SELECT side AS split, id, repo, kind FROM o WHERE side = 'test' OR kind <> 'benign' OR id IN (FROM sample)""")
+def checked_split(spark, sf_dir):
+    side = lambda c: F.when(F.col(c) % 4 == 0, "test").otherwise("dev").alias("side")
+    id_, repo, commit = F.col("o_orderkey").cast("string"), F.concat(F.lit("r"), "o_custkey"), F.concat(F.lit("c"), "o_orderkey")
+    o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
+    kind = F.when(F.col("o_orderstatus") == "F", "vuln_fix").when(F.col("o_orderstatus") == "O", "vuln_introducing")
+    told = o.select(id_.alias("id"), repo.alias("repo"), side("o_custkey"), kind.alias("kind"), commit.alias("commit"), F.concat(F.lit("a"), "o_custkey").alias("advisory"), F.col("o_orderpriority").alias("language"), F.col("o_orderpriority").alias("title"))
+    bystanders = c.select(F.concat(F.lit("b"), "c_custkey").alias("id"), F.concat(F.lit("r"), "c_custkey").alias("repo"), side("c_custkey"), F.lit("benign").alias("kind"))
+    items = told.filter("kind is not null").unionByName(bystanders, allowMissingColumns=True).withColumn("sampled", F.lit(True))
+    commits = told.filter("kind is null").select("id", "repo", "commit", "language", "title")
+    folder = Scratch(spark, "checked_split").root
+    assembly.build(folder, items, commits, spark.createDataFrame([], "commit string"), 20, 9)
+    held = builds.read(spark, folder, verify=False)
+    return held["dev"].unionByName(held["test"]).select(F.col("side").alias("split"), "id", "repo", "kind")
+
+
 # --- streams and stores
 
 @query("SELECT user_id, event_type AS finding, CASE WHEN event_type = 'error' THEN -1 ELSE 1 END AS vote FROM events WHERE event_type IN ('click', 'purchase', 'error') QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1")
