@@ -1,7 +1,9 @@
 """Secret scan: candidate strings judged by a random forest, in one projection.
 
 Candidates are found by one pattern: any value of 8 or more characters after a key word
-and an assignment (in quotes with spaces too), and runs of 16 or more key characters.
+and an assignment (in quotes with spaces too) or in a sentence that states it, the password
+in an address, a private key from its first line to its last, and runs of 16 or more key
+characters.
 Each has numbers: length, transitions between kinds of characters, share covered by
 dictionary words, signs of a path or a sentence, and the words before and behind it. A
 forest, grown from labelled findings that `labelled_findings` spells out for each known
@@ -21,11 +23,16 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-KEYS = r"(?i:token|secret|passw|passphrase|passcode|pwd|api.?key|access.?key|auth|bearer|credential|private|signature)"
+KEYS = r"(?i:token|secret|passw|passphrase|passcode|pwd|\bpw\b|api.?key|access.?key|auth|bearer|credential|private|signature)"
 #: The place of a value: the first look is cheap, the second one goes back to the key word.
 ASSIGNED = rf"(?<=[=:>][ \t\"']{{0,4}})(?<={KEYS}[^\n=:]{{0,13}}[=:]{{1,2}}>?[ \t]{{0,3}}[\"']?)"
+#: The password in an address with credentials, and a value that a sentence states; the first look is cheap again.
+IN_ADDRESS = r"(?<=:)(?<=://[^\s:/@\"']{0,64}:)[^\s:/@\"']{6,}(?=@)"
+STATED = r"(?<=is:?[ ])(?<=(?i:password|passphrase|passcode|passwd|pwd|secret|token|api key)[ ]is:?[ ])[^\s\"']{7,}[^\s\"',;.:)\]}>]"
+#: A private key from its first line to its last; a dash inside is passed over one at a time, without going back.
+KEY_BLOCK = r"-----BEGIN [A-Z0-9 ]{0,24}PRIVATE KEY(?: BLOCK)?-----[^-]*+(?:-(?!----)[^-]*+)*+-----END [A-Z0-9 ]{0,24}PRIVATE KEY(?: BLOCK)?-----"
 CANDIDATE = (
-    rf"{ASSIGNED}(?:(?<=\")[^\"\n]{{8,200}}(?=\")|(?<=')[^'\n]{{8,200}}(?=')|[^\s\"']{{7,}}[^\s\"',;.:)\]}}>])"
+    rf"{KEY_BLOCK}|{IN_ADDRESS}|{STATED}|{ASSIGNED}(?:(?<=\")[^\"\n]{{8,200}}(?=\")|(?<=')[^'\n]{{8,200}}(?=')|[^\s\"']{{7,}}[^\s\"',;.:)\]}}>])"
     r"|(?<![A-Za-z0-9+/_.-])(?=[+/_.-]*[A-Za-z0-9])[A-Za-z0-9+/_.-]{16,}={0,2}"
 )
 #: Characters before and behind a candidate whose words are its neighbours.
@@ -35,7 +42,7 @@ MARK = "[SECRET]"
 FINDINGS, TREES, LEVELS, LEAF = 1200, 15, 5, 4
 SEED = 11
 #: Labelled findings of the kinds that the broad candidates add; the first kinds have those of FINDINGS.
-MORE, FIRST_KINDS = 2400, 12
+MORE, FIRST_KINDS = 3600, 12
 
 # Dictionary words and neighbouring words (fixed values).
 DICTIONARY = "the|and|for|with|from|this|that|usr|lib|bin|share|local|home|src|test|data|file|name|page|image|index|html|http|https|www|com|org|net|version|release|python|packages|dist|example|quick|brown|fox|lazy|dog|report|draft|final|year|month"
@@ -43,9 +50,9 @@ KEY_WORDS = rf"{KEYS}[^\n]{{0,20}}$"
 ID_WORDS = r"(?i)(commit|sha|md5|hash|checksum|digest|uuid|guid|request|revision|version|order|invoice|isbn|page|phone|card|account)[^\n]{0,10}$"
 
 #: Starts of keys that name their issuer.
-PREFIXES = r"^(AKIA|ASIA)[A-Z0-9]{16}$|^(gh[opsur]_|github_pat_|glpat-|sk_live_|rk_live_|xox[abprs]-|AIza|SG\.)"
+PREFIXES = r"^(AKIA|ASIA)[A-Z0-9]{16}$|^(gh[opsur]_|github_pat_|glpat-|sk_live_|rk_live_|xox[abprs]-|AIza|SG\.)|^eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.|^-----BEGIN "
 
-FEATURES = ("length", "transitions", "digits", "uppers", "hexadecimal", "dictionary", "slashes", "joints", "key_word", "id_word", "assigned", "prefix", "vowels", "specials", "spaces", "distinct", "cases", "ended", "prose")
+FEATURES = ("length", "transitions", "digits", "uppers", "hexadecimal", "dictionary", "slashes", "joints", "key_word", "id_word", "assigned", "prefix", "vowels", "specials", "spaces", "distinct", "cases", "ended", "prose", "call", "address", "stated")
 
 
 def features(text: Column, before: Column, behind: Column) -> dict[str, Column]:
@@ -71,6 +78,9 @@ def features(text: Column, before: Column, behind: Column) -> dict[str, Column]:
         "distinct": (F.size(F.array_distinct(F.split(text, ""))) / n),
         "cases": F.regexp_count(text, F.lit("[A-Z](?![a-z])|(?<=[a-z])[A-Z]")) / n,
         "ended": behind.rlike("^[\"';,)\\]}]*[ \\t]*(\\n|$)").cast("double"),
+        "call": text.rlike(r"^[A-Za-z_][A-Za-z0-9_.]*\(").cast("double"),
+        "address": (before.rlike(r"://[^\s:/@]*:$") & behind.startswith("@")).cast("double"),
+        "stated": before.rlike(r" is:? $").cast("double"),
         "prose": F.regexp_count(behind, F.lit("(?<![^ ])[a-z]{2,}(?![^ .,])")).cast("double"),
     }
 
@@ -123,10 +133,29 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS, more: int = MORE)
         (pick(33, "xxxxxxxxxxxx", "************", "<your-token-here", "${API_TOKEN", "${{ secrets.TOKEN", "os.environ[TOKEN", "get_token(user", "config.auth.token", "process.env.SECRET", "YOUR_API_KEY_HERE", "undefined", "required", "changeme"), assigned, 0),
         (F.concat_ws("_", F.upper(noun(34)), F.upper(noun(35)), F.upper(noun(36)), F.lit("KEY")), pick(37, "export ", "set ", "the "), 0),
     ]
+    verb = lambda seed: pick(seed, "get", "load", "read", "fetch", "make", "find")
+    shown = pick(41, "required", "invalid", "generated", "unavailable", "authenticated", "incorrect", "mandatory", "encrypted", "case-sensitive", "case_sensitive", "transmitted", "important", "something", "stored_hashed")
+    states = pick(42, "the password is ", "The token is ", "your passphrase is ", "secret is: ", "my password is ")
+    address = F.concat(pick(43, "postgres", "mysql", "https", "redis", "amqp"), F.lit("://"), pick(44, "admin", "root", "app", "", "deploy"), F.lit(":"))
+    kinds += [
+        # tokens of three parts, key blocks, passwords in addresses and in sentences
+        (F.concat(F.lit("eyJ"), F.substring(raw, 1, 17), F.lit(".eyJ"), F.substr(raw, F.lit(20), size(10, 30)), F.lit("."), F.substr(raw, F.lit(41), size(18, 44))), F.concat(word, F.lit(" ")), 1),
+        (F.concat(F.lit("-----BEGIN PRIVATE KEY-----\n"), F.substring(raw, 1, 64), F.lit("\n"), F.substr(raw, F.lit(9), size(8, 64)), F.lit("\n-----END PRIVATE KEY-----")), F.lit("\n"), 1),
+        (F.substr(raw, F.lit(7), size(6, 24)), address, 1),
+        (F.concat(plain(45), pick(46, "", "!", "_", "7", "42"), plain(47)), address, 1),
+        (F.concat(plain(48), plain(49), pick(50, "", "staple", "moon", "1", "99")), states, 1),
+        (F.substr(raw, F.lit(11), size(8, 20)), states, 1),
+        # words that a sentence says of a password, calls of functions, tokens cut in three without a head
+        (shown, states, 0),
+        (shown, states, 0),
+        (F.concat(verb(51), F.lit("_"), noun(52), pick(53, "_from_", "_for_", "_by_"), noun(54), pick(55, "(", "()", "(self")), assigned, 0),
+        (F.concat(noun(56), F.lit("."), verb(57), F.initcap(noun(58)), F.initcap(noun(59)), pick(60, "(", "()", "(request")), assigned, 0),
+        (F.concat(F.lit("com."), noun(61), F.lit("."), plain(62), F.lit("."), F.initcap(noun(63)), F.initcap(plain(64))), F.concat(word, F.lit(" ")), 0),
+    ]
     turn = F.floor(F.col("id") / 6)
     kind = F.when(F.col("id") < n, turn % FIRST_KINDS).otherwise(FIRST_KINDS + turn % (len(kinds) - FIRST_KINDS)).cast("int")
     chosen = F.element_at(F.array(*[F.struct(t.alias("text"), b.alias("before"), F.lit(s).alias("secret")) for t, b, s in kinds]), kind + 1)
-    closing = F.when(F.col("f.before").endswith('"'), '"').when(F.col("f.before").endswith("'"), "'").otherwise("")
+    closing = F.when(F.col("f.before").rlike("://[^/]*:$"), "@db.internal").when(F.col("f.before").endswith('"'), '"').when(F.col("f.before").endswith("'"), "'").otherwise("")
     follows = F.concat(closing, pick(91, "\n", "", ";\n", ",\n", " and the rest", " was found in it", ", then more text", " # see the notes", ")\n"))
     return rows.select("id", chosen.alias("f")).select("f.text", "f.before", follows.alias("behind"), "f.secret")
 
