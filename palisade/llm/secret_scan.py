@@ -42,7 +42,7 @@ MARK = "[SECRET]"
 FINDINGS, TREES, LEVELS, LEAF = 1200, 15, 5, 4
 SEED = 11
 #: Labelled findings of the kinds that the broad candidates add; the first kinds have those of FINDINGS.
-MORE, FIRST_KINDS = 3600, 12
+MORE, FIRST_KINDS = 4200, 12
 
 # Dictionary words and neighbouring words (fixed values).
 DICTIONARY = "the|and|for|with|from|this|that|usr|lib|bin|share|local|home|src|test|data|file|name|page|image|index|html|http|https|www|com|org|net|version|release|python|packages|dist|example|quick|brown|fox|lazy|dog|report|draft|final|year|month"
@@ -52,7 +52,7 @@ ID_WORDS = r"(?i)(commit|sha|md5|hash|checksum|digest|uuid|guid|request|revision
 #: Starts of keys that name their issuer.
 PREFIXES = r"^(AKIA|ASIA)[A-Z0-9]{16}$|^(gh[opsur]_|github_pat_|glpat-|sk_live_|rk_live_|xox[abprs]-|AIza|SG\.)|^eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.|^-----BEGIN "
 
-FEATURES = ("length", "transitions", "digits", "uppers", "hexadecimal", "dictionary", "slashes", "joints", "key_word", "id_word", "assigned", "prefix", "vowels", "specials", "spaces", "distinct", "cases", "ended", "prose", "call", "address", "stated")
+FEATURES = ("length", "transitions", "digits", "uppers", "hexadecimal", "dictionary", "slashes", "joints", "key_word", "id_word", "assigned", "prefix", "vowels", "specials", "spaces", "distinct", "cases", "ended", "prose", "call", "address", "stated", "blank")
 
 
 def features(text: Column, before: Column, behind: Column) -> dict[str, Column]:
@@ -79,6 +79,7 @@ def features(text: Column, before: Column, behind: Column) -> dict[str, Column]:
         "cases": F.regexp_count(text, F.lit("[A-Z](?![a-z])|(?<=[a-z])[A-Z]")) / n,
         "ended": behind.rlike("^[\"';,)\\]}]*[ \\t]*(\\n|$)").cast("double"),
         "call": text.rlike(r"^[A-Za-z_][A-Za-z0-9_.]*\(").cast("double"),
+        "blank": text.rlike(r"^[<{$%\[(]|^(.)\1*$").cast("double"),  # a place to fill in, or one character over and over
         "address": (before.rlike(r"://[^\s:/@]*:$") & behind.startswith("@")).cast("double"),
         "stated": before.rlike(r" is:? $").cast("double"),
         "prose": F.regexp_count(behind, F.lit("(?<![^ ])[a-z]{2,}(?![^ .,])")).cast("double"),
@@ -150,6 +151,10 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS, more: int = MORE)
         (shown, states, 0),
         (F.concat(verb(51), F.lit("_"), noun(52), pick(53, "_from_", "_for_", "_by_"), noun(54), pick(55, "(", "()", "(self")), assigned, 0),
         (F.concat(noun(56), F.lit("."), verb(57), F.initcap(noun(58)), F.initcap(noun(59)), pick(60, "(", "()", "(request")), assigned, 0),
+        (F.concat(pick(65, "<your-", "<", "${", "{{ ", "$", "%(", "["), noun(66), pick(67, "_", "-", "."), plain(68)), assigned, 0),
+        (F.rpad(pick(69, "*", "x", "X", ".", "0", "A", "-"), size(8, 40), pick(69, "*", "x", "X", ".", "0", "A", "-")), F.when(F.col("id") % 2 == 0, assigned).otherwise(F.concat(word, F.lit(" "))), 0),
+        (F.concat_ws("-", noun(70), plain(71), pick(72, "text", "label", "field", "form")), pick(73, 'aria-label="', 'for="', 'id="', 'class="'), 0),
+        (F.upper(F.substr(F.concat(syllable(74), long_word), F.lit(1), size(16, 30))), F.concat(word, F.lit(" ")), 0),
         (F.concat(F.lit("com."), noun(61), F.lit("."), plain(62), F.lit("."), F.initcap(noun(63)), F.initcap(plain(64))), F.concat(word, F.lit(" ")), 0),
     ]
     turn = F.floor(F.col("id") / 6)
