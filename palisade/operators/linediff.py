@@ -15,6 +15,7 @@ in diffs; equal texts have one op; no line is taken for junk, however frequent.
 from __future__ import annotations
 
 import difflib
+from os.path import commonprefix
 
 import numpy as np
 import pandas as pd
@@ -89,16 +90,21 @@ def _runs(old: np.ndarray, new: np.ndarray, few: int) -> list[tuple[int, int, in
 
 def opcodes(old: list[str], new: list[str], few: int = FEW) -> list[Op]:
     """(equal, delete, insert or replace; old range; new range), in order, covering both texts."""
-    numbers = pd.factorize(np.array([*old, *new], dtype=object))[0].astype("int64")
-    a, b = numbers[: len(old)], numbers[len(old) :]
-    most = min(len(a), len(b))
-    differ = np.flatnonzero(a[:most] != b[:most])
-    head = int(differ[0]) if len(differ) else most
-    most -= head
-    differ = np.flatnonzero(a[len(a) - most :][::-1] != b[len(b) - most :][::-1])
-    tail = int(differ[0]) if len(differ) else most
-    runs = [(0, 0, head)] + [(head + i, head + j, n) for i, j, n in _runs(a[head : len(a) - tail], b[head : len(b) - tail], few)]
-    runs.append((len(a) - tail, len(b) - tail, tail))
+    if len(old) * len(new) <= few:  # short texts: numbering their lines would cost more than it saves
+        head = len(commonprefix([old, new]))
+        tail = len(commonprefix([old[head:][::-1], new[head:][::-1]]))
+        middle = difflib.SequenceMatcher(None, old[head : len(old) - tail], new[head : len(new) - tail], autojunk=False).get_matching_blocks()
+    else:
+        numbers = pd.factorize(np.array([*old, *new], dtype=object))[0].astype("int64")
+        a, b = numbers[: len(old)], numbers[len(old) :]
+        most = min(len(a), len(b))
+        differ = np.flatnonzero(a[:most] != b[:most])
+        head = int(differ[0]) if len(differ) else most
+        most -= head
+        differ = np.flatnonzero(a[len(a) - most :][::-1] != b[len(b) - most :][::-1])
+        tail = int(differ[0]) if len(differ) else most
+        middle = _runs(a[head : len(a) - tail], b[head : len(b) - tail], few)
+    runs = [(0, 0, head), *((head + i, head + j, n) for i, j, n in middle if n), (len(old) - tail, len(new) - tail, tail)]
     ops: list[Op] = []
     i = j = 0
     for a0, b0, n in runs:
