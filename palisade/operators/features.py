@@ -22,6 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import conditions
 from .code import _JS_TOKEN, _JS_WORDS
 from .diffs import diff_rows
 from .sets import occurrence
@@ -91,6 +92,7 @@ FLAGS = (
 SIGNATURE_WEIGHT, HELPER = 0.4, 0.4
 SQL_WORDS = r"\b(select|insert\s+into|update|delete\s+from|where|from|values|order\s+by|group\s+by|join|set|limit|drop\s+table|create\s+table)\b"
 SQL_UPPER = r"\b(SELECT|INSERT|UPDATE|DELETE|WHERE|FROM|VALUES|JOIN)\b"
+SQL_CALLS = r"execute|executemany|executescript|exec_driver_sql|query|raw|rawQuery|text|prepare|all|run|get"
 SQL_PLACES = r"%s|%\(\w+\)s|\?|(?<!:):\w+|\$\d+"
 SQL_WEIGHT, SQL_SWAP = 0.6, 0.85
 # Sensitive calls on added lines, by language: kind and pattern; how many of a kind and of a file.
@@ -184,18 +186,27 @@ def _call_kind(last: str) -> tuple[str, float] | None:
     return next(((kind, w) for kind, p, w in _CALLS if p.fullmatch(last)), None)
 
 
-def _block(condition: str, exit_text: str, how: str, names: set[str], line: int) -> Iterator[tuple]:
-    """A guard's feature: its kind by vocabulary, else an input check if it looks at an input."""
+def _block(condition: str, exit_text: str, how: str, names: set[str], line: int, given: set[str]) -> Iterator[tuple]:
+    """A guard's feature: its kind by vocabulary, else an input check if it looks at an input or at what the function is given."""
     found = next(((k, w) for k, p, w in _KINDS if p.search(condition) or p.search(exit_text)), None)
-    if found is None and any(re.match(TAINTED, n, re.I) for n in names):
+    if found is None and (names & given or any(re.match(TAINTED, n, re.I) for n in names)):
         found = ("input_check", 0.0)
     if found:
         weight = min(MOST_BLOCK, EXITS[how] + found[1])
         yield _feature("block", found[0], found[0], f"{found[0]}:{re.sub(chr(92) + 's+', '', condition)}", 1, weight, weight, line, names)
 
 
-def _is_sql(text: str) -> bool:
-    return len(re.findall(SQL_WORDS, text, re.I)) >= 2 and bool(re.search(SQL_UPPER, text))
+def _bounds(atoms: Iterator[tuple[str, int, set[str]]], language: str) -> Iterator[tuple]:
+    """Features of the bounds among a condition's comparisons."""
+    for text, line, names in atoms:
+        if conditions.is_bound(text):
+            yield _feature("cond", "bounds_check", "bounds_check", f"bound:{shape(text, language)}", 1, conditions.BOUNDS_WEIGHT, conditions.BOUNDS_WEIGHT, line, names)
+
+
+def _is_sql(text: str, callee: str) -> bool:
+    """Two words of SQL, of which one is in capitals or all are given to a call that runs SQL."""
+    words = {re.sub(r"\s+", " ", m[0].lower()) for m in re.finditer(SQL_WORDS, text, re.I)}
+    return len(words) >= 2 and bool(re.search(SQL_UPPER, text) or re.fullmatch(SQL_CALLS, callee, re.I))
 
 
 def _name(node: ast.AST) -> str:
@@ -212,11 +223,11 @@ def _names(node: ast.AST) -> set[str]:
 
 def _python_exit(body: list[ast.stmt]) -> tuple[str, str] | None:
     """How a short body ends the flow, and the text of its end; logging may come before."""
-    if len(body) > MOST_BODY:
-        return None
-    last, text = body[-1], ast.unparse(body[-1])
-    if any(not (isinstance(x, ast.Expr) and isinstance(x.value, ast.Call)) for x in body[:-1]):
+    if not body or len(body) > MOST_BODY:
         return None
+    logs = lambda x: isinstance(x, ast.Expr) and isinstance(x.value, ast.Call) and conditions.writes_log(_name(x.value.func))
+    last = next((x for x in body if not logs(x)), body[-1])
+    text = ast.unparse(last)
     if isinstance(last, ast.Raise):
         return "raise", text
     if isinstance(last, ast.Continue | ast.Break):
@@ -224,8 +235,10 @@ def _python_exit(body: list[ast.stmt]) -> tuple[str, str] | None:
     if isinstance(last, ast.Return):
         value = "" if last.value is None else ast.unparse(last.value)
         return ("return", text) if not value or re.fullmatch(LITERAL, value) or re.search(ERRORISH, value, re.I) else None
-    if isinstance(last, ast.Expr) and isinstance(last.value, ast.Call) and re.fullmatch(ABORTS, _name(last.value.func).rpartition(".")[2], re.I):
-        return "abort", text
+    if isinstance(last, ast.Expr) and isinstance(last.value, ast.Call):
+        arguments = ", ".join(map(ast.unparse, last.value.args))
+        if re.fullmatch(ABORTS, _name(last.value.func).rpartition(".")[2], re.I) or re.search(conditions.CLIENT_ERRORS, arguments):
+            return "abort", text
     return None
 
 
@@ -236,6 +249,8 @@ def python_features(code: str) -> Iterator[tuple]:
     except (SyntaxError, ValueError, RecursionError, MemoryError):
         return
     called = {id(n.func) for n in ast.walk(tree) if isinstance(n, ast.Call)}
+    outer = next((n.args for n in ast.walk(tree) if isinstance(n, ast.FunctionDef | ast.AsyncFunctionDef | ast.Lambda)), None)
+    given = {x.arg for x in ast.walk(outer) if isinstance(x, ast.arg)} if outer else set()
     for node in ast.walk(tree):
         if isinstance(node, ast.Call):
             last = _name(node.func).rpartition(".")[2] or (node.func.attr if isinstance(node.func, ast.Attribute) else "")
@@ -250,7 +265,7 @@ def python_features(code: str) -> Iterator[tuple]:
                 first, rest = node.args[0], node.args[1:]
                 text = ast.unparse(first)
                 built = isinstance(first, ast.JoinedStr) and any(isinstance(v, ast.FormattedValue) for v in first.values) or isinstance(first, ast.BinOp) or isinstance(first, ast.Call) and _name(first.func).endswith("format")
-                if _is_sql(text):
+                if _is_sql(text, last):
                     if built:
                         yield _feature("hazard", "sql", "sql", "sql:built", -1, SQL_WEIGHT, SQL_SWAP, node.lineno)
                     elif rest and re.search(SQL_PLACES, text):
@@ -258,10 +273,11 @@ def python_features(code: str) -> Iterator[tuple]:
         elif isinstance(node, ast.Attribute) and id(node) not in called and re.fullmatch(AUTH_ATTRIBUTES, node.attr):
             yield _feature("call", "auth_check", "auth_check", f"auth_check:{node.attr}", 1, AUTH_WEIGHT, AUTH_WEIGHT, node.lineno)
         elif isinstance(node, ast.If):
-            if ends := _python_exit(node.body):
-                yield from _block(ast.unparse(node.test), ends[1], ends[0], _names(node.test), node.lineno)
+            ends = _python_exit(node.body) or _python_exit(node.orelse)
+            guard = list(_block(ast.unparse(node.test), ends[1], ends[0], _names(node.test), node.lineno, given)) if ends else []
+            yield from guard or _bounds(conditions.python_atoms(node.test), "python")
         elif isinstance(node, ast.Assert):
-            yield from _block(ast.unparse(node.test), "", "assert", _names(node.test), node.lineno)
+            yield from _block(ast.unparse(node.test), "", "assert", _names(node.test), node.lineno, given)
         elif isinstance(node, ast.FunctionDef | ast.AsyncFunctionDef | ast.ClassDef):
             for d in node.decorator_list:
                 last = _name(d.func if isinstance(d, ast.Call) else d).rpartition(".")[2]
@@ -289,6 +305,38 @@ def javascript_features(code: str) -> Iterator[tuple]:
     word = lambda i: tokens[i][0] if 0 <= i < len(tokens) else ""
     text = lambda a, b: code[tokens[a][2] : tokens[b][3]] if a <= b < len(tokens) else ""
     names = lambda a, b: {tokens[i][0] for i in range(a, min(b, len(tokens))) if _NAME.fullmatch(tokens[i][0]) and tokens[i][0] not in _JS_WORDS}
+
+    def start(i: int) -> int:
+        """Where the dotted name before a bracket begins."""
+        while i and (word(i - 1) == "." or _NAME.fullmatch(word(i - 1)) and (word(i) in ".(")):
+            i -= 1
+        return i
+
+    def body(i: int) -> tuple[int, int]:
+        """Range of the tokens in a block, or of the one statement there."""
+        if word(i) == "{":
+            return i + 1, closing.get(i, len(tokens))
+        return i, next((k for k in range(i, len(tokens)) if word(k) in (";", "}")), len(tokens))
+
+    def exits(first: int, behind: int) -> tuple[str, str] | None:
+        """How a short body ends the flow, and the text of its end."""
+        parts = conditions.statements(tokens, first, behind)
+        if not parts or len(parts) > MOST_BODY:
+            return None
+        a, b = next((p for p in parts if not conditions.writes_log(conditions.callee(tokens, *p))), parts[-1])
+        end = text(a, b - 1)
+        if word(a) in ("throw", "continue", "break"):
+            return "raise" if word(a) == "throw" else "continue", end
+        if word(a) == "return":
+            value = text(a + 1, b - 1)
+            return ("return", end) if not value or re.fullmatch(LITERAL, value) or re.search(ERRORISH, value, re.I) else None
+        name = conditions.callee(tokens, a, b)
+        if name and (re.fullmatch(ABORTS, name.rpartition(".")[2], re.I) or re.search(conditions.CLIENT_ERRORS, end)):
+            return "abort", end
+        return None
+
+    opened = next((k for k in range(len(tokens)) if word(k) == "(" and (word(k - 1) == "function" or word(k - 2) == "function" or word(closing.get(k, -1) + 1) == "=>") and k in closing), None)
+    given = names(opened + 1, closing[opened]) if opened is not None else set()
     for i in range(len(tokens)):
         if word(i) == "(" and i in closing and _NAME.fullmatch(word(i - 1) or " ") and word(i - 1) not in _JS_WORDS:
             last, inside = word(i - 1), text(i + 1, closing[i] - 1)
@@ -297,26 +345,19 @@ def javascript_features(code: str) -> Iterator[tuple]:
                 yield _feature("call", guard[0], guard[0], f"{guard[0]}:{last}", 1, guard[1], guard[1], tokens[i][1])
             elif re.fullmatch(REPLACE_CALLS, last) and re.search(REPLACE_ARGUMENTS, inside):
                 yield _feature("call", "sanitiser", "sanitiser", f"replace:{last}", 1, REPLACE_WEIGHT, REPLACE_WEIGHT, tokens[i][1])
-            if _is_sql(inside):
+            if conditions.callee(tokens, start(i), i + 1) in conditions.ASSERTIONS and inside:
+                yield from _block(inside, "", "assert", names(i + 1, closing[i]), tokens[i][1], given)
+            if _is_sql(inside, last):
                 if "${" in inside or re.search(r"[\"']\s*\+", inside):
                     yield _feature("hazard", "sql", "sql", "sql:built", -1, SQL_WEIGHT, SQL_SWAP, tokens[i][1])
                 elif re.search(SQL_PLACES, inside) and "," in inside:
                     yield _feature("safe", "sql", "sql", "sql:bound", 1, 0, SQL_SWAP, tokens[i][1])
         elif word(i) == "if" and word(i + 1) == "(" and i + 1 in closing:
-            body = closing[i + 1] + 1
-            end = closing.get(body, len(tokens) - 1) if word(body) == "{" else next((k for k in range(body, len(tokens)) if word(k) == ";"), len(tokens) - 1)
-            inner = range(body + (word(body) == "{"), end)
-            if sum(word(k) == ";" for k in inner) > MOST_BODY:
-                continue
-            how = next(((w, k) for k in inner for w in [word(k)] if w in ("throw", "return", "continue", "break") or re.fullmatch(ABORTS, w or " ", re.I) and word(k + 1) == "("), None)
-            if how is None:
-                continue
-            kind = {"throw": "raise", "return": "return", "continue": "continue", "break": "continue"}.get(how[0], "abort")
-            rest = text(how[1], end - 1 if word(body) == "{" else end)
-            value = re.sub(r"^return\b|;\s*$", "", rest).strip()
-            if kind == "return" and value and not re.fullmatch(LITERAL, value) and not re.search(ERRORISH, value, re.I):
-                continue
-            yield from _block(text(i + 2, closing[i + 1] - 1), rest, kind, names(i + 2, closing[i + 1]), tokens[i][1])
+            test, then = (i + 2, closing[i + 1]), body(closing[i + 1] + 1)
+            otherwise = then[1] + (word(closing[i + 1] + 1) == "{" or word(then[1]) == ";")
+            ends = exits(*then) or (exits(*body(otherwise + 1)) if word(otherwise) == "else" and word(otherwise + 1) != "if" else None)
+            guard = list(_block(text(test[0], test[1] - 1), ends[1], ends[0], names(*test), tokens[i][1], given)) if ends else []
+            yield from guard or _bounds(conditions.javascript_atoms(tokens, *test, code), "javascript")
         elif re.fullmatch(AUTH_ATTRIBUTES, word(i) or " ") and word(i - 1) == "." and word(i + 1) != "(":
             yield _feature("call", "auth_check", "auth_check", f"auth_check:{word(i)}", 1, AUTH_WEIGHT, AUTH_WEIGHT, tokens[i][1])
     yield from pattern_features(code, "javascript")

@@ -585,6 +585,35 @@ def guard_features(spark, sf_dir):
     return features.risk(features.changes(features.features(rows, language="language")))
 
 
+# an order is a review of a function whose limits are the order's numbers: a filled one loses a bound, an open one
+# the whole condition, a pending one has it written otherwise; urgent orders gain a bound; every second one is JavaScript
+_BOUND = {
+    "python": ("def review(lines, depth):\n    total = 0\n%s%s    return total\n", "    if %s:\n        lines = trim(lines)\n", "len(lines) > %s", "not depth >= %s", "depth < %s", " and ", "    if lines.size <= %s:\n        total = 1\n"),
+    "javascript": ("function review(lines, depth) {\n  let total = 0;\n%s%s  return total;\n}\n", "  if (%s) {\n    lines = trim(lines);\n  }\n", "lines.length > %s", "!(depth >= %s)", "depth < %s", " && ", "  if (lines.size <= %s) total = 1;\n"),
+}
+
+
+@query("""WITH d AS (SELECT o_orderkey AS id, CASE o_orderstatus WHEN 'F' THEN -1 WHEN 'O' THEN -2 ELSE 0 END + CASE WHEN o_orderpriority = '1-URGENT' THEN 1 ELSE 0 END AS d FROM orders)
+SELECT id, 0.25 * greatest(-d, 0) AS neg, 0.25 * greatest(d, 0) AS pos, CASE WHEN d = -2 THEN 'weakened' ELSE 'none' END AS risk, false AS alert FROM d WHERE d <> 0""")
+def guard_conditions(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    size, deep = F.floor("o_totalprice").cast("string"), F.col("o_custkey").cast("string")
+    status = F.coalesce("o_orderstatus", F.lit(""))
+
+    def sides(language: str):
+        frame, block, long, low, low_again, both, more = _BOUND[language]
+        fill = lambda pattern, *values: F.format_string(pattern, *values)
+        a, b, c = fill(long, size), fill(low, deep), fill(low_again, deep)
+        old = fill(frame, fill(block, F.concat(a, F.lit(both), b)), F.lit(""))
+        kept = F.when(status == "F", fill(block, a)).when(status == "O", "").when(status == "P", fill(block, F.concat(c, F.lit(both), a))).otherwise(fill(block, F.concat(a, F.lit(both), b)))
+        return old, fill(frame, kept, F.when(F.col("o_orderpriority") == "1-URGENT", fill(more, deep)).otherwise(""))
+
+    (py_old, py_new), (js_old, js_new) = sides("python"), sides("javascript")
+    script = F.col("o_custkey") % 2 == 1
+    rows = o.select(F.col("o_orderkey").alias("id"), F.when(script, js_old).otherwise(py_old).alias("old"), F.when(script, js_new).otherwise(py_new).alias("new"), F.when(script, "javascript").otherwise("python").alias("language"))
+    return features.risk(features.changes(features.features(rows, language="language")))
+
+
 @query()
 def greedy_pack(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
