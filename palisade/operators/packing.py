@@ -1,6 +1,6 @@
-"""Greedy, order-dependent packing: one Arrow group per scan, stratum or split.
+"""Greedy, order-dependent packing: one Arrow group per scan or stratum.
 
-Groups are what one review, one request or one split holds. Null sizes count as 0; empty
+Groups are what one review or one request holds. Null sizes count as 0; empty
 tables give empty tables; repeated rows are packed each; ties of priority go by the unit
 or path; only the columns named in a result are given.
 """
@@ -186,28 +186,3 @@ def select_files(files: DataFrame, key: str, most: int = 6, lines: int = 2000) -
         return group.assign(kept=flags)[[key, "path", "changed", "kept"]]
 
     return files.groupBy(key).applyInPandas(run, f"{key} long, path string, changed long, kept boolean")
-
-
-def assign_sides(parts: DataFrame, targets: dict[str, dict[str, float]], split: str = "split") -> DataFrame:
-    """parts (split, component, cell, n) to a side per component, the largest first.
-
-    A side's cost is the sum over the component's cells of n * (filled + n) / target; the
-    lower wins and the first side wins ties. One group holds a split's component table,
-    counts per component and cell.
-    """
-    sides = sorted(targets)
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        filled = {s: {} for s in sides}
-        size = group.groupby("component")["n"].sum()
-        out = []
-        for component in sorted(size.index, key=lambda c: (-size[c], c)):
-            cells = group[group["component"] == component]
-            cost = {s: sum(n * (filled[s].get(c, 0) + n) / max(targets[s].get(c, 1.0), 1e-9) for c, n in zip(cells["cell"], cells["n"])) for s in sides}
-            side = min(sides, key=lambda s: (round(cost[s], 9), s))
-            for c, n in zip(cells["cell"], cells["n"]):
-                filled[side][c] = filled[side].get(c, 0) + n
-            out.append((group[split].iloc[0], component, int(size[component]), side))
-        return pd.DataFrame(out, columns=[split, "component", "n", "side"])
-
-    return parts.groupBy(split).applyInPandas(run, f"{split} long, component long, n long, side string")

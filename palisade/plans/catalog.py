@@ -13,7 +13,7 @@ from palisade.functions import scalars as S
 from palisade.functions import exact
 from palisade.functions import text as T
 from palisade.operators import corpus as building
-from palisade.operators import assembly, diffs, evaluation, features, funnel, intervals, metrics, packing, removed, report, retrieval, sampling, sets
+from palisade.operators import assembly, diffs, evaluation, features, funnel, intervals, metrics, packing, removed, report, retrieval, sampling, sets, sides
 from palisade.sources import builds, tables
 from palisade.sources.scratch import Scratch
 from palisade.streaming import jobs, live
@@ -621,10 +621,12 @@ def greedy_pack(spark, sf_dir):
     return packing.pack(units, "scan")
 
 
+# a component is a customer, its cells are the priorities of its orders
 @query()
 def side_assign(spark, sf_dir):
-    parts = table(spark, sf_dir, "customer").groupBy(F.lit(0).cast("long").alias("split"), F.col("c_nationkey").cast("long").alias("component"), F.col("c_mktsegment").alias("cell")).agg(F.count("*").alias("n"))
-    return packing.assign_sides(parts, {"dev": dict.fromkeys(("BUILDING", "MACHINERY"), 300.0), "test": dict.fromkeys(("BUILDING", "MACHINERY"), 100.0)})
+    parts = table(spark, sf_dir, "orders").groupBy(F.lit(0).cast("long").alias("split"), F.col("o_custkey").alias("component"), F.col("o_orderpriority").alias("cell")).agg(F.count("*").alias("n"))
+    cells = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
+    return sides.assign_sides(parts, {"dev": dict.fromkeys(cells, 3.0), "test": dict.fromkeys(cells, 1.0)})
 
 
 # --- exact statistics, lengths, policies, costs

@@ -438,22 +438,6 @@ def test_shrinking_and_chunks(spark):
     assert abs(sum(r.n for r in chosen) - 10) <= 2
 
 
-def test_sides_against_brute_force(spark):
-    rng = random.Random(8)
-    parts = [(0, c, cell, rng.randrange(1, 9)) for c in range(20) for cell in rng.sample(["x", "y", "z"], 2)]
-    targets = {"dev": {"x": 60.0, "y": 40.0, "z": 30.0}, "test": {"x": 30.0, "y": 40.0, "z": 20.0}}
-    got = {r.component: r.side for r in packing.assign_sides(spark.createDataFrame(parts, "split long, component long, cell string, n long"), targets).collect()}
-    filled, want = {"dev": {}, "test": {}}, {}
-    size = {c: sum(p[3] for p in parts if p[1] == c) for c in range(20)}
-    for c in sorted(size, key=lambda c: (-size[c], c)):
-        mine = [(p[2], p[3]) for p in parts if p[1] == c]
-        cost = {s: round(sum(n * (filled[s].get(k, 0) + n) / targets[s][k] for k, n in mine), 9) for s in filled}
-        want[c] = min(cost, key=lambda s: (cost[s], s))
-        for k, n in mine:
-            filled[want[c]][k] = filled[want[c]].get(k, 0) + n
-    assert got == want
-
-
 def test_pacing_of_calls(spark):
     rows = [("k", i, float(i), 400) for i in range(6)] + [("k", 9, 9.0, 5000), ("z", 1, 0.0, None)]
     out = {(r.key, r.id): r.start for r in jobs.paced(spark.createDataFrame(rows, "key string, id long, at double, tokens long"), "key", ["id"], "at", "tokens", 1000).collect()}
