@@ -22,12 +22,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from palisade.sources.scratch import Scratch
+
 from . import conditions
 from .code import _JS_TOKEN, _JS_WORDS
 from .diffs import diff_rows
 from .sets import occurrence
 
 LEAST, MARGIN, ALERT = 0.5, 0.25, 0.7
+#: Kind of what is read only so that it can cancel the same thing under other names.
+NO_KIND = "none"
 
 # --- fixed values -------------------------------------------------------------------
 
@@ -153,6 +157,31 @@ def shape(code: str, language: str) -> str:
     return " ".join("_" if _NAME.fullmatch(t) and t not in words else t for t in tokens if not t.isspace())
 
 
+class _Unnamed(ast.NodeTransformer):
+    """Takes names away, but for those of what is called and of fields."""
+
+    def visit_Name(self, node: ast.Name) -> ast.Name:
+        return ast.copy_location(ast.Name("_", node.ctx), node)
+
+    def visit_arg(self, node: ast.arg) -> ast.arg:
+        return ast.copy_location(ast.arg("_"), node)
+
+    def visit_Call(self, node: ast.Call) -> ast.Call:
+        if isinstance(node.func, ast.Name):
+            node.args, node.keywords = [self.visit(x) for x in node.args], [self.visit(x) for x in node.keywords]
+            return node
+        return self.generic_visit(node)
+
+
+def outline(condition: str, language: str) -> str:
+    """A condition without the names of variables, so that a new name makes it no other."""
+    if language == "python":
+        return ast.unparse(_Unnamed().visit(ast.parse(condition, mode="eval")))
+    tokens = [m[0] for m in _JS_TOKEN.finditer(condition)]
+    after, before = ["", *tokens], [*tokens[1:], ""]
+    return " ".join("_" if _NAME.fullmatch(t) and t not in _JS_WORDS and a != "." and b != "(" else t for t, a, b in zip(tokens, after, before))
+
+
 def _feature(family, kind, group, key, polarity, weight, swap, line, names=()):
     return family, kind, group, key, polarity, float(weight), float(swap), line, sorted(names)
 
@@ -186,21 +215,26 @@ def _call_kind(last: str) -> tuple[str, float] | None:
     return next(((kind, w) for kind, p, w in _CALLS if p.fullmatch(last)), None)
 
 
-def _block(condition: str, exit_text: str, how: str, names: set[str], line: int, given: set[str]) -> Iterator[tuple]:
-    """A guard's feature: its kind by vocabulary, else an input check if it looks at an input or at what the function is given."""
+def _block(condition: str, exit_text: str, how: str, names: set[str], line: int, given: set[str], language: str) -> tuple:
+    """A guard's feature: its kind by vocabulary, else an input check if it looks at an input or at what the function is given.
+
+    One that is neither weighs nothing, and can only cancel one that was named otherwise.
+    """
     found = next(((k, w) for k, p, w in _KINDS if p.search(condition) or p.search(exit_text)), None)
     if found is None and (names & given or any(re.match(TAINTED, n, re.I) for n in names)):
         found = ("input_check", 0.0)
-    if found:
-        weight = min(MOST_BLOCK, EXITS[how] + found[1])
-        yield _feature("block", found[0], found[0], f"{found[0]}:{re.sub(chr(92) + 's+', '', condition)}", 1, weight, weight, line, names)
+    kind, weight = (found[0], min(MOST_BLOCK, EXITS[how] + found[1])) if found else (NO_KIND, 0.0)
+    return _feature("block", kind, kind, f"{how}:{outline(condition, language)}", 1, weight, weight, line, names)
 
 
-def _bounds(atoms: Iterator[tuple[str, int, set[str]]], language: str) -> Iterator[tuple]:
-    """Features of the bounds among a condition's comparisons."""
-    for text, line, names in atoms:
-        if conditions.is_bound(text):
-            yield _feature("cond", "bounds_check", "bounds_check", f"bound:{shape(text, language)}", 1, conditions.BOUNDS_WEIGHT, conditions.BOUNDS_WEIGHT, line, names)
+def _condition(guard: tuple | None, atoms: Iterator[tuple[str, int, set[str]]], language: str) -> Iterator[tuple]:
+    """The features of a condition: its guard, and if that has no kind, its comparisons, of which bounds weigh."""
+    if guard:
+        yield guard
+    if guard is None or guard[1] == NO_KIND:
+        for text, line, names in atoms:
+            kind, weight = ("bounds_check", conditions.BOUNDS_WEIGHT) if conditions.is_bound(text) else (NO_KIND, 0.0)
+            yield _feature("cond", kind, kind, f"order:{outline(text, language)}", 1, weight, weight, line, names)
 
 
 def _is_sql(text: str, callee: str) -> bool:
@@ -274,10 +308,10 @@ def python_features(code: str) -> Iterator[tuple]:
             yield _feature("call", "auth_check", "auth_check", f"auth_check:{node.attr}", 1, AUTH_WEIGHT, AUTH_WEIGHT, node.lineno)
         elif isinstance(node, ast.If):
             ends = _python_exit(node.body) or _python_exit(node.orelse)
-            guard = list(_block(ast.unparse(node.test), ends[1], ends[0], _names(node.test), node.lineno, given)) if ends else []
-            yield from guard or _bounds(conditions.python_atoms(node.test), "python")
+            guard = _block(ast.unparse(node.test), ends[1], ends[0], _names(node.test), node.lineno, given, "python") if ends else None
+            yield from _condition(guard, conditions.python_atoms(node.test), "python")
         elif isinstance(node, ast.Assert):
-            yield from _block(ast.unparse(node.test), "", "assert", _names(node.test), node.lineno, given)
+            yield _block(ast.unparse(node.test), "", "assert", _names(node.test), node.lineno, given, "python")
         elif isinstance(node, ast.FunctionDef | ast.AsyncFunctionDef | ast.ClassDef):
             for d in node.decorator_list:
                 last = _name(d.func if isinstance(d, ast.Call) else d).rpartition(".")[2]
@@ -346,7 +380,7 @@ def javascript_features(code: str) -> Iterator[tuple]:
             elif re.fullmatch(REPLACE_CALLS, last) and re.search(REPLACE_ARGUMENTS, inside):
                 yield _feature("call", "sanitiser", "sanitiser", f"replace:{last}", 1, REPLACE_WEIGHT, REPLACE_WEIGHT, tokens[i][1])
             if conditions.callee(tokens, start(i), i + 1) in conditions.ASSERTIONS and inside:
-                yield from _block(inside, "", "assert", names(i + 1, closing[i]), tokens[i][1], given)
+                yield _block(inside, "", "assert", names(i + 1, closing[i]), tokens[i][1], given, "javascript")
             if _is_sql(inside, last):
                 if "${" in inside or re.search(r"[\"']\s*\+", inside):
                     yield _feature("hazard", "sql", "sql", "sql:built", -1, SQL_WEIGHT, SQL_SWAP, tokens[i][1])
@@ -356,8 +390,8 @@ def javascript_features(code: str) -> Iterator[tuple]:
             test, then = (i + 2, closing[i + 1]), body(closing[i + 1] + 1)
             otherwise = then[1] + (word(closing[i + 1] + 1) == "{" or word(then[1]) == ";")
             ends = exits(*then) or (exits(*body(otherwise + 1)) if word(otherwise) == "else" and word(otherwise + 1) != "if" else None)
-            guard = list(_block(text(test[0], test[1] - 1), ends[1], ends[0], names(*test), tokens[i][1], given)) if ends else []
-            yield from guard or _bounds(conditions.javascript_atoms(tokens, *test, code), "javascript")
+            guard = _block(text(test[0], test[1] - 1), ends[1], ends[0], names(*test), tokens[i][1], given, "javascript") if ends else None
+            yield from _condition(guard, conditions.javascript_atoms(tokens, *test, code), "javascript")
         elif re.fullmatch(AUTH_ATTRIBUTES, word(i) or " ") and word(i - 1) == "." and word(i + 1) != "(":
             yield _feature("call", "auth_check", "auth_check", f"auth_check:{word(i)}", 1, AUTH_WEIGHT, AUTH_WEIGHT, tokens[i][1])
     yield from pattern_features(code, "javascript")
@@ -384,7 +418,11 @@ def features(rows: DataFrame, sides: tuple[str, str] = ("old", "new"), language:
 
 
 def changes(found: DataFrame) -> DataFrame:
-    """Features to signed changes (id, family, kind, grp, direction, n, confidence)."""
+    """Features to signed changes (id, family, kind, grp, direction, n, weight).
+
+    They are written first: each side is read several times, and reading code is dear.
+    """
+    found = Scratch(found.sparkSession, "features").save(found, "found")
     keys = ["id", "family", "key"]
     sides = {side: found.filter(F.col("side") == side) for side in ("old", "new")}
     numbered = {side: occurrence(rows.filter("family <> 'callee'"), keys, ["line"]) for side, rows in sides.items()}
@@ -399,7 +437,7 @@ def changes(found: DataFrame) -> DataFrame:
 
     both = rest("old", "new", -1).unionByName(rest("new", "old", 1))
     net = both.groupBy("id", "family", "kind", "grp").agg(F.sum("d").alias("d"), F.max("weight").alias("weight"), F.max("swap").alias("swap")).filter("d <> 0")
-    plain = net.filter("family not in ('hazard', 'safe')").select("id", "family", "kind", "grp", F.when(F.col("d") < 0, "removed").otherwise("added").alias("direction"), F.abs("d").alias("n"), "weight")
+    plain = net.filter("family not in ('hazard', 'safe') and weight > 0").select("id", "family", "kind", "grp", F.when(F.col("d") < 0, "removed").otherwise("added").alias("direction"), F.abs("d").alias("n"), "weight")
     h = net.filter("family = 'hazard'").select("id", "kind", "grp", F.col("d").alias("dh"), F.col("weight").alias("hw"), F.col("swap").alias("hs"))
     s = net.filter("family = 'safe'").select("id", "kind", "grp", F.col("d").alias("ds"), F.col("weight").alias("sw"), F.col("swap").alias("ss"))
     pair = h.join(s, ["id", "kind", "grp"], "full_outer").na.fill(0, ["dh", "ds"])

@@ -13,7 +13,7 @@ from palisade.functions import scalars as S
 from palisade.functions import exact
 from palisade.functions import text as T
 from palisade.operators import corpus as building
-from palisade.operators import assembly, diffs, evaluation, features, funnel, intervals, metrics, packing, removed, report, retrieval, sampling, sets, sides
+from palisade.operators import assembly, diffs, edits, evaluation, features, funnel, intervals, metrics, packing, removed, report, retrieval, sampling, sets, sides
 from palisade.sources import builds, tables
 from palisade.sources.scratch import Scratch
 from palisade.streaming import jobs, live
@@ -596,7 +596,8 @@ _BOUND = {
 @query("""WITH d AS (SELECT o_orderkey AS id, CASE o_orderstatus WHEN 'F' THEN -1 WHEN 'O' THEN -2 ELSE 0 END + CASE WHEN o_orderpriority = '1-URGENT' THEN 1 ELSE 0 END AS d FROM orders)
 SELECT id, 0.25 * greatest(-d, 0) AS neg, 0.25 * greatest(d, 0) AS pos, CASE WHEN d = -2 THEN 'weakened' ELSE 'none' END AS risk, false AS alert FROM d WHERE d <> 0""")
 def guard_conditions(spark, sf_dir):
-    o = table(spark, sf_dir, "orders")
+    # dealt out while rows are short: reading code takes half a millisecond
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", "o_totalprice").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "o_orderkey")
     size, deep = F.floor("o_totalprice").cast("string"), F.col("o_custkey").cast("string")
     status = F.coalesce("o_orderstatus", F.lit(""))
 
@@ -614,6 +615,21 @@ def guard_conditions(spark, sf_dir):
     return features.risk(features.changes(features.features(rows, language="language")))
 
 
+# a function for each customer, with its segment and balance in it; every second one is JavaScript
+_FUNCTION = {
+    "python": "def serve(request, limit):\n    floor = %s\n    segment = '%s'\n    if request.total < floor or not is_allowed(request, segment):\n        raise ValueError(segment)\n    if len(segment) > limit:\n        floor = 0\n    return floor\n",
+    "javascript": "function serve(request, limit) {\n  const floor = %s;\n  const segment = '%s';\n  if (request.total < floor || !isAllowed(request, segment)) {\n    throw new Error(segment);\n  }\n  return floor;\n}\n",
+}
+
+
+@query("""SELECT e.edit, count(*) AS n, count(*) AS n_edited, 0::BIGINT AS n_changed, 0::BIGINT AS n_labelled FROM customer, (VALUES ('reorder'), ('rename'), ('log'), ('all')) AS e(edit) GROUP BY e.edit""")
+def harmless_edits(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_acctbal").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "c_custkey")
+    script, values = F.col("c_custkey") % 2 == 1, (F.floor(F.abs("c_acctbal")).cast("string"), F.col("c_mktsegment"))
+    code = F.when(script, F.format_string(_FUNCTION["javascript"], *values)).otherwise(F.format_string(_FUNCTION["python"], *values))
+    return edits.signals(c.select(F.col("c_custkey").alias("id"), code.alias("code"), F.when(script, "javascript").otherwise("python").alias("language")))
+
+
 @query()
 def greedy_pack(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
