@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palisade.functions.scalars import precision_at, wilson
+from palisade.sources.scratch import Scratch
 
 #: Ranges of a group's values that are sorted apart; raise it with the distinct values of a group.
 RANGES = 64
@@ -74,6 +75,8 @@ def nearest_rank(rows: DataFrame, by: list[str], value: str, ps: dict[str, float
     drop = [key(i) for i in range(len(by))]
     cuts = counts.groupBy(*keys).agg(F.sum("_n").alias("n"), F.percentile_approx("_v", F.array(*[F.lit(i / RANGES) for i in range(1, RANGES)]), F.lit(10 * RANGES)).alias("_cuts"))
     # which range a value is in: as many cuts as are below it
+    # a sketch depends on the order in which parts of it are merged: it is kept, so that both uses below cut at the same places
+    cuts = Scratch(rows.sparkSession, "ranks").save(cuts, "cuts")
     placed = (counts.join(cuts, on) if by else counts.crossJoin(cuts)).drop(*drop)  # without a group the cuts are one row
     placed = placed.withColumn("_part", F.size(F.filter("_cuts", lambda c: c < F.col("_v")))).drop("_cuts")
     parts = placed.groupBy(*keys, F.col("_part").alias("_p")).agg(F.sum("_n").alias("_in"))

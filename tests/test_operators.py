@@ -72,3 +72,23 @@ def test_stream_of_votes(spark, tmp_path):
     q = stream.writeStream.foreachBatch(jobs.upsert_buckets(str(tmp_path / "out"), "key", ["at"], 2)).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert {(r.key, r.vote) for r in jobs.read_buckets(spark, str(tmp_path / "out"), "key string, at long, vote int").collect()} == {("x", -1), ("y", 1)}
+
+
+def test_nearest_rank_cuts_ranges_once(spark, monkeypatch):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from palisade.operators import metrics
+
+    # a sketch that comes out otherwise each time, as one does whose parts are merged in another order
+    cut = F.udf(lambda most: sorted(random.SystemRandom().uniform(0, most) for _ in range(15)), "array<double>").asNondeterministic()
+    monkeypatch.setattr(F, "percentile_approx", lambda c, *_: cut(F.max(c)))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = spark.range(5000).select((F.col("id") % 3).alias("g"), F.col("id").cast("double").alias("v"))
+        out = {r.g: (r.n, r.p50, r.p90) for r in metrics.nearest_rank(df, ["g"], "v", {"p50": 0.5, "p90": 0.9}).collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    of = {g: sorted(float(i) for i in range(5000) if i % 3 == g) for g in range(3)}
+    assert out == {g: (len(v), v[-(-len(v) // 2) - 1], v[-(-9 * len(v) // 10) - 1]) for g, v in of.items()}
