@@ -40,19 +40,26 @@ def fisher(a: Column, b: Column, c: Column, d: Column) -> Column:
     """Two-sided exact p-value of a 2 x 2 table: all tables of its margins that are no likelier."""
     row, column, n = a + b, a + c, a + b + c + d
     low, high = F.greatest(F.lit(0).cast("long"), row + column - n), F.least(row, column)
-    # the likelihood ratio of a table to the lowest one, then to the sum of all
-    start = F.struct(F.lit(0.0).alias("log"), F.array(F.lit(0.0)).alias("all"))
-
-    def step(s, x):  # from x - 1 to x
-        log = s["log"] + F.log((column - x + 1) * (row - x + 1) / (x * (n - column - row + x)).cast("double"))
-        return F.struct(log.alias("log"), F.array_append(s["all"], log).alias("all"))
-
-    places = F.when(high > low, F.sequence((low + 1).cast("long"), high.cast("long"))).otherwise(F.array().cast("array<bigint>"))
-    logs = F.aggregate(places, start, step)["all"]
-    top = F.array_max(logs)
-    own = F.get(logs, (a - low).cast("int"))
-    total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda s, x: s + F.exp(x - top))
-    return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), total(F.filter(logs, lambda x: x <= own + 1e-9)) / total(logs)))
+    # from the own table up to the last one, then from it down to the first; likelihoods are ratios to the own one
+    up, steps = high - a, high - low
+    start = F.struct(*[F.lit(x).alias(name) for name, x in (("log", 0.0), ("top", 0.0), ("all", 1.0), ("rare", 1.0))])
+
+    def step(s, i):
+        rising = i <= up
+        x = F.when(rising, a + i).otherwise(a - (i - up) + 1)  # a step up is from x - 1 to x, one down from x to x - 1
+        ratio = F.log((column - x + 1) * (row - x + 1) / (x * (n - column - row + x)).cast("double"))
+        before = F.when(i == up + 1, 0.0).otherwise(s["log"])
+        return add(s, F.when(rising, before + ratio).otherwise(before - ratio))
+
+    def add(s, log):
+        # sums are kept in units of the likeliest table so far
+        top = F.greatest(s["top"], log)
+        old, one = F.exp(s["top"] - top), F.exp(log - top)
+        return F.struct(log.alias("log"), top.alias("top"), (s["all"] * old + one).alias("all"), (s["rare"] * old + F.when(log <= 1e-9, one).otherwise(0.0)).alias("rare"))
+
+    places = F.when(steps > 0, F.sequence(F.lit(1).cast("long"), steps.cast("long"))).otherwise(F.array().cast("array<bigint>"))
+    p = F.aggregate(places, start, step, lambda s: F.least(F.lit(1.0), s["rare"] / s["all"]))
+    return F.when(n == 0, 1.0).otherwise(p)
 
 
 def clopper_pearson(k: Column, n: Column, alpha: float = 0.05) -> tuple[Column, Column]:

@@ -92,3 +92,41 @@ def test_nearest_rank_cuts_ranges_once(spark, monkeypatch):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     of = {g: sorted(float(i) for i in range(5000) if i % 3 == g) for g in range(3)}
     assert out == {g: (len(v), v[-(-len(v) // 2) - 1], v[-(-9 * len(v) // 10) - 1]) for g, v in of.items()}
+
+
+def test_cost_rollup_cuts_ranges_once(spark, monkeypatch):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from palisade.operators import evaluation
+
+    cut = F.udf(lambda most: sorted(random.SystemRandom().uniform(0, most) for _ in range(15)), "array<double>").asNondeterministic()
+    monkeypatch.setattr(F, "percentile_approx", lambda c, *_: cut(F.max(c)))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = spark.range(3000).select((F.col("id") % 2).alias("g"), F.col("id").alias("a"), (F.col("id") * 2).alias("b"))
+        out = {(r.g, r.measure): (r.n, r.p90) for r in evaluation.cost_rollup(df, ["g"], ["a", "b"]).collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert out == {(g, m): (1500, float(k * (2 * 1349 + g))) for g in (0, 1) for m, k in (("a", 1), ("b", 2))}
+
+
+def test_fisher_of_large_counts(spark):
+    import math
+    import threading
+
+    from pyspark.sql import functions as F
+
+    from palisade.functions import exact
+
+    a, b, c, d = 1310, 4020, 12100, 38900
+    watch = threading.Timer(60, spark.sparkContext.cancelAllJobs)
+    watch.start()
+    try:
+        p = spark.createDataFrame([(a, b, c, d)], "a long, b long, c long, d long").select(exact.fisher(*map(F.col, "abcd")).alias("p")).first().p
+    finally:
+        watch.cancel()
+    choose = lambda n, k: math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)
+    logs = [choose(a + c, i) + choose(b + d, a + b - i) - choose(a + b + c + d, a + b) for i in range(a + b + 1)]
+    assert abs(p - sum(math.exp(x) for x in logs if x <= logs[a] + 1e-9)) < 1e-6
