@@ -130,3 +130,31 @@ def test_fisher_of_large_counts(spark):
     choose = lambda n, k: math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)
     logs = [choose(a + c, i) + choose(b + d, a + b - i) - choose(a + b + c + d, a + b) for i in range(a + b + 1)]
     assert abs(p - sum(math.exp(x) for x in logs if x <= logs[a] + 1e-9)) < 1e-6
+
+
+def test_dense_scores_are_held_in_tiles(spark):
+    import resource
+
+    import numpy as np
+    import pyarrow as pa
+
+    from palisade.operators import retrieval
+
+    rng = np.random.default_rng(5)
+    best, ids, points = retrieval.Best(np.arange(70), 4), rng.integers(0, 4, (70, 3)).astype(float), rng.integers(0, 4, (900, 3)).astype(float)
+    names = rng.permutation(900)
+    for at in range(0, 900, 250):  # many ties
+        best.scan(ids, points[at : at + 250], names[at : at + 250], None, False)
+    scores = ids @ points.T
+    scores[np.arange(70)[:, None] == names] = -np.inf
+    order = np.lexsort((np.broadcast_to(names, scores.shape), -scores), axis=1)[:, :4]
+    assert (best.points == names[order]).all() and (best.scores == np.take_along_axis(scores, order, 1)).all()
+
+    def most(batches):
+        for _ in batches:
+            yield pa.record_batch([pa.array([resource.getrusage(resource.RUSAGE_SELF).ru_maxrss >> 10])], names=["mb"])
+
+    vectors = "transform(sequence(1, 16), x -> sin(id * x + x)) AS vector"
+    queries, corpus = spark.range(12000).selectExpr("id AS query_id", vectors), spark.range(0, 40000, 1, 4).selectExpr("id AS point_id", vectors)
+    assert retrieval.nearest_points(queries, corpus, 3, own=False).count() == 36000
+    assert max(r.mb for r in spark.range(0, 16, 1, 8).mapInArrow(most, "mb long").collect()) < 1000
