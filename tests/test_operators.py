@@ -158,3 +158,20 @@ def test_dense_scores_are_held_in_tiles(spark):
     queries, corpus = spark.range(12000).selectExpr("id AS query_id", vectors), spark.range(0, 40000, 1, 4).selectExpr("id AS point_id", vectors)
     assert retrieval.nearest_points(queries, corpus, 3, own=False).count() == 36000
     assert max(r.mb for r in spark.range(0, 16, 1, 8).mapInArrow(most, "mb long").collect()) < 1000
+
+
+def test_packing_goes_on_over_batches(spark):
+    from palisade.operators import packing
+
+    rows = spark.createDataFrame([(s, u, 1.0 - u / 100, None if u == 0 else 2000) for s in (1, 2, None) for u in range(9)], "scan long, unit long, priority double, size long")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        out = packing.pack(rows, "scan", tokens=6000, most_units=4, calls=2)
+        got = {(r.scan, r.unit): (r["size"], r.batch, r.reason) for r in out.collect()}
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    # a null size counts as 0, and no scan is a Python group of its own
+    want = {0: (None, 0, None), **{u: (2000, 0, None) for u in (1, 2, 3)}, **{u: (2000, 1, None) for u in (4, 5, 6)}, **{u: (2000, None, "budget") for u in (7, 8)}}
+    assert got == {(s, u): x for s in (1, 2, None) for u, x in want.items()} and "FlatMapGroups" not in plan
