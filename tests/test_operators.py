@@ -175,3 +175,14 @@ def test_packing_goes_on_over_batches(spark):
     # a null size counts as 0, and no scan is a Python group of its own
     want = {0: (None, 0, None), **{u: (2000, 0, None) for u in (1, 2, 3)}, **{u: (2000, 1, None) for u in (4, 5, 6)}, **{u: (2000, None, "budget") for u in (7, 8)}}
     assert got == {(s, u): x for s in (1, 2, None) for u, x in want.items()} and "FlatMapGroups" not in plan
+
+
+def test_candidates_are_pruned_by_bitmaps(spark):
+    from palisade.operators import sets
+
+    # two tokens in common of sixty stand first in both: they are candidates by place, not by what they lack
+    rows = [(i, ["x", "y"] + [f"{i % 7}-{k}" if k < 40 + i // 7 else f"{i}-{k}" for k in range(60)]) for i in range(28)]
+    links = sets.near_duplicate_links(spark.createDataFrame(rows, "id long, tokens array<string>"))
+    got = {(r.a, r.b): round(r.jaccard, 9) for r in links.collect()}
+    want = {(a, b): round(len(set(x) & set(y)) / len(set(x) | set(y)), 9) for a, x in rows for b, y in rows if a < b}
+    assert got == {p: j for p, j in want.items() if j >= 0.7} and "bit_count" in links._jdf.queryExecution().optimizedPlan().toString()
