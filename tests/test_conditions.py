@@ -110,3 +110,49 @@ def test_signals_turn_with_the_sides(both_ways):
 def test_two_lost_bounds_are_a_risk_and_one_is_none(spark):
     _, risk = signals(spark, [c[:3] for c in CASES[:3]])
     assert [(r.risk, r.neg, r.alert) for _, r in sorted(risk.items())] == [("none", 0.25, False), ("weakened", 0.5, False), ("weakened", 0.5, False)]
+
+
+def _counted(monkeypatch, module, names):
+    """How often functions of a module are called."""
+    calls = []
+    for name in names:
+        monkeypatch.setattr(module, name, lambda code, f=getattr(module, name): calls.append(code) or f(code))
+    return calls
+
+
+def test_functions_that_differ_in_numbers_are_read_once(monkeypatch):
+    import random
+
+    from palisade.operators import features
+    from palisade.plans.catalog import SHAPES
+
+    rng = random.Random(4)
+    frames = [("python", "def f(a, depth):\n    if len(a) > %s and not depth >= %s:\n        abort(%s)\n    g(\"%s '\" '%s', x[%s:], 1e-%s, %s.5, a%s)\n    if a.size < %s: return %s\n", "def f(a, depth):\n    if len(a) > %s or depth < %s:\n        raise E(%s)\n"),
+              ("javascript", "function f(a, depth) {\n  if (a.length > %s && !(depth >= %s)) { return res.status(%s).end(); }\n}\n", "function f(a) {\n  if (a.size <= %s) total = %s;\n}\n")]
+    frames += [(g, a + "# %s\n" * (g == "python"), b.replace("%s'", "%%s'")) for g, a, b in SHAPES]
+    number = lambda: str(rng.choice([0, 1, 7, 403, 4030, 404, 12345, 98765, rng.randrange(10**6), rng.randrange(10**16), 10**17 + 1, "0x1f40", "1_000", "0" * 9]))
+
+    def fill(text):
+        return text if "%s'" in text or "%%" in text else text.replace("%s", "{}").format(*[number() for _ in range(text.count("%s"))]) if "{" not in text else text
+
+    for _ in range(150):
+        for language, old, new in frames:
+            old, new = fill(old), fill(new)
+            want = [(side, *f) for side, code in (("old", old), ("new", new)) for f in features._read(code, language)]
+            assert list(features._rows(old, new, language, False)) == want
+    features._read.cache_clear()
+    features._read_pair.cache_clear()
+    calls = _counted(monkeypatch, features, ["python_features"])
+    out = [list(features._rows(f"def f(x, n):\n    if n < {i}:\n        x = {i}\n", f"def f(x, n):\n    if n <= {i}:\n        x = {i + 1}\n", "python", False)) for i in range(1000, 3000)]
+    assert len(calls) == 2 and {r[4] for r in out[7]} == {"order:_ < 1007", "order:_ <= 1007"}
+
+
+def test_what_differs_is_all_that_changes(spark):
+    from palisade.operators import features
+
+    old = "def f(a, b):\n    if a < 1:\n        g(a)\n    if b < 1:\n        h(b)\n    if not a.is_admin:\n        raise E\n    os.system(a)\n"
+    new = "def f(a, b):\n    if b < 1:\n        g(b)\n    check(a)\n    subprocess.run(a)\n"
+    rows = spark.createDataFrame([(1, old, new), (2, new, old), (3, old, old), (4, old, None), (5, None, new)], "id long, old string, new string")
+    every, some = features.features(rows), features.features(rows, differing=True)
+    key = lambda df: sorted((tuple(r) for r in features.changes(df).collect()), key=str)
+    assert key(every) == key(some) and some.filter("id = 3").count() == 0 and every.filter("id = 3").count() > 0
