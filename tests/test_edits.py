@@ -107,3 +107,21 @@ def test_columns_of_any_name(spark):
 @pytest.mark.parametrize("kind", [*edits.EDITS, "all"])
 def test_nothing_to_edit(kind):
     assert edits.edit(None, "python", kind) is None and edits.edit("", "javascript", kind) is None and edits.edit("def f():\n    pass\n", "go", kind) is None
+
+
+def test_functions_that_differ_in_numbers_are_edited_once(monkeypatch):
+    import random
+
+    from palisade.operators import edits
+    from palisade.plans.catalog import _FUNCTION
+
+    rng, kinds = random.Random(6), [*edits.EDITS, "all"]
+    for _ in range(100):
+        for language, frame in _FUNCTION.items():
+            code = frame % (rng.choice([0, 7, 1234, 98765, rng.randrange(10**6)]), rng.choice(["AUTO", "7777", "a 5000"]))
+            assert edits._every(code, language) == [edits.edit(code, language, k) for k in kinds]
+    calls, parse = [], edits.ast.parse
+    edits._edits.cache_clear()
+    monkeypatch.setattr(edits.ast, "parse", lambda code, *a, **b: calls.append(code) or parse(code, *a, **b))
+    out = [edits._every(_FUNCTION["python"] % (n, "AUTO"), "python") for n in range(1000, 3000)]
+    assert len(calls) < 20 and all(str(n) in x for n, row in zip(range(1000, 3000), out) for x in row)
