@@ -11,8 +11,9 @@ heaviest blocks gives every task a k-th best to begin with. So no term is the ke
 join of postings, however frequent it is, and light points are not scored against queries
 that they can't serve.
 
+The index holds the terms of all queries, by numbers that Spark gives, and is built once.
 Queries are sent to tasks in blocks of at most `QUERY_BYTES`; each is a pass over the
-corpus. Results for special rows: null ids, terms and counts take no part; repeated
+index, of which a task takes the block's terms. Results for special rows: null ids, terms and counts take no part; repeated
 (id, term) rows add up; a query without matches has no rows; ties go to the smaller
 point; empty sides give none.
 """
@@ -34,12 +35,18 @@ from .names import top_per
 
 BLOCK_POINTS = 128
 QUERY_BYTES = 16 << 20
+#: Bytes of a query's term and what comes with it.
+ROW_BYTES = 32
 PROBE = 4
 #: Places that scores are rounded to before they are compared.
 PLACES = 9
 SLACK = 2e-9
+#: Sums in another order differ by so much of a score; what is that near a bound is not left out.
+RELATIVE = 1e-12
+#: Blocks of the index are long rows: few are read at once.
+SHORT_GROUPS = {"parquet.block.size": str(4 << 20), "parquet.page.size.row.check.min": "4", "parquet.page.size.row.check.max": "16"}
 
-INDEX = "weight double, points array<long>, terms array<int>, counts array<int>, most array<double>, places array<int>, tfs array<double>"
+INDEX = "weight double, points array<long>, terms array<long>, counts array<int>, most array<double>, places array<int>, tfs array<double>"
 SCORED = "query_id long, point_id long, score double"
 
 
@@ -55,7 +62,7 @@ def index_blocks(size: int):
         terms, tfs = (rows.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("terms", "tfs"))
         order = np.argsort(terms, kind="stable")
         names, starts, counts = np.unique(terms[order], return_index=True, return_counts=True)
-        columns = [(points, pa.int64()), (names, pa.int32()), (counts, pa.int32()), (np.maximum.reduceat(tfs[order], starts), pa.float64()), (np.repeat(np.arange(len(points)), sizes)[order], pa.int32()), (tfs[order], pa.float64())]
+        columns = [(points, pa.int64()), (names, pa.int64()), (counts, pa.int32()), (np.maximum.reduceat(tfs[order], starts), pa.float64()), (np.repeat(np.arange(len(points)), sizes)[order], pa.int32()), (tfs[order], pa.float64())]
         lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x).cast(kind)) for x, kind in columns]
         return pa.record_batch([rows.column("weight")[:1], *lists], names=["weight", "points", "terms", "counts", "most", "places", "tfs"])
 
@@ -69,16 +76,20 @@ def index_blocks(size: int):
 class Queries:
     """Some queries' weights by term, in one row after the other, and what each has found."""
 
-    def __init__(self, weights: dict[int, dict[int, float]], least: dict[int, float], k: int, own: bool):
+    def __init__(self, weights: dict[int, dict[int, float] | tuple[np.ndarray, np.ndarray]], least: dict[int, float], k: int, own: bool):
         self.ids, self.k, self.own = list(weights), k, own
-        self.terms = [np.fromiter(w, np.int64, len(w)) for w in weights.values()]
-        self.weights = [np.fromiter(w.values(), float, len(w)) for w in weights.values()]
+        each = [w if isinstance(w, tuple) else (np.fromiter(w, np.int64, len(w)), np.fromiter(w.values(), float, len(w))) for w in weights.values()]
+        self.terms, self.weights = [terms for terms, _ in each], [w for _, w in each]
         self.flat_terms, self.flat_weights = np.concatenate(self.terms), np.concatenate(self.weights)
         self.starts = np.concatenate([[0], np.cumsum([len(t) for t in self.terms])[:-1]])
         self.least = np.array([least[q] for q in self.ids])
         self.best: list[list[tuple[float, int]]] = [[] for _ in self.ids]
         self.scored = 0
 
+    @staticmethod
+    def _low(least: np.ndarray) -> np.ndarray:
+        return least - SLACK - RELATIVE * np.abs(least)
+
     def add(self, q: int, scores: np.ndarray, points: np.ndarray) -> None:
         found = sorted([*self.best[q], *((-s, p) for s, p in zip(scores.tolist(), points.tolist()))])[: self.k]
         self.best[q] = found
@@ -99,23 +110,23 @@ class Queries:
         size = np.zeros(width, np.int64)
         size[terms] = counts
         bounds = np.add.reduceat(self.flat_weights * top[self.flat_terms], self.starts)
-        n = len(points)
-        for q in np.flatnonzero((bounds > 0) & (bounds >= self.least - SLACK)).tolist():
+        n, low = len(points), self._low(self.least)
+        for q in np.flatnonzero((bounds > 0) & (bounds >= low)).tolist():
             brings = self.weights[q] * top[self.terms[q]]
             order = np.argsort(-brings, kind="stable")[: np.count_nonzero(brings)]
             rest = np.cumsum(brings[order][::-1])[::-1]
-            first = np.count_nonzero(rest >= self.least[q] - SLACK)  # terms that can still bring in a new point
+            first = np.count_nonzero(rest >= low[q])  # terms that can still bring in a new point
             at, add = self._postings(q, order[:first], ends, size, places, tfs)
             total = np.bincount(at, add, n)
             met = total > 0
-            if first < len(order) and (total[met] + rest[first] >= self.least[q] - SLACK).any():
+            if first < len(order) and (total[met] + rest[first] >= low[q]).any():
                 more, gain = self._postings(q, order[first:], ends, size, places, tfs)
                 seen = met[more]
                 total += np.bincount(more[seen], gain[seen], n)
                 at = np.concatenate([at, more[seen]])
             self.scored += len(at)
             rounded = np.round(total, PLACES)
-            found = met & (rounded >= self.least[q])
+            found = met & (rounded >= low[q])
             if not self.own:
                 found &= points != self.ids[q]
             at = np.flatnonzero(found)
@@ -124,14 +135,21 @@ class Queries:
             self.add(q, rounded[at], points[at])
 
 
-def score_blocks(weights: dict[int, dict[int, float]], least: dict[int, float], width: int, k: int, own: bool):
-    """mapInArrow function: blocks of the index to the task's k best points of each query."""
+def score_blocks(weights: dict[int, tuple[np.ndarray, np.ndarray]], least: dict[int, float], vocabulary: np.ndarray, k: int, own: bool):
+    """mapInArrow function: blocks of the index to the task's k best points of each query.
+
+    weights: places in the vocabulary, which are the queries' terms in order, and what they weigh.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         queries = Queries(weights, least, k, own)
         for batch in batches:
             for row in range(batch.num_rows):
-                queries.score(*(batch.column(c)[row].values.to_numpy(zero_copy_only=False) for c in ("points", "terms", "counts", "most", "places", "tfs")), width)
+                points, terms, counts, most, places, tfs = (batch.column(c)[row].values.to_numpy(zero_copy_only=False) for c in ("points", "terms", "counts", "most", "places", "tfs"))
+                at = np.minimum(np.searchsorted(vocabulary, terms), len(vocabulary) - 1)
+                asked = vocabulary[at] == terms
+                of = np.repeat(asked, counts)
+                queries.score(points, at[asked], counts[asked], most[asked], places[of], tfs[of], len(vocabulary))
         rows = [(q, p, -s) for q, found in zip(queries.ids, queries.best) for s, p in found]
         yield pa.record_batch([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "point_id", "score"])
 
@@ -140,29 +158,27 @@ def score_blocks(weights: dict[int, dict[int, float]], least: dict[int, float],
 
 def build_index(corpus: DataFrame, vocabulary: DataFrame, block_points: int = BLOCK_POINTS) -> DataFrame:
     """corpus (point_id, term, tf), one row each, and vocabulary (term, number, idf) to the blocks of the index."""
-    known = corpus.join(F.broadcast(vocabulary), "term")  # a block of queries' terms
+    known = corpus.join(vocabulary, "term")
     points = known.groupBy("point_id").agg(F.sum(F.col("tf") * F.col("idf")).alias("weight"), F.collect_list("number").alias("terms"), F.collect_list("tf").alias("tfs"))
-    points = points.repartitionByRange(F.desc("weight"), "point_id").sortWithinPartitions(F.desc("weight"), "point_id")
+    points = points.repartitionByRange(int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.desc("weight"), "point_id").sortWithinPartitions(F.desc("weight"), "point_id")
     return points.select("point_id", "weight", "terms", "tfs").mapInArrow(index_blocks(block_points), INDEX)
 
 
-def _block_top_k(queries: DataFrame, corpus: DataFrame, holding: DataFrame, points: int, k: int, least: float, own: bool, block_points: int, scratch: Scratch, name: str) -> DataFrame:
-    spark = corpus.sparkSession
-    rows = queries.collect()  # a block of queries
-    terms = spark.createDataFrame([(t,) for t in sorted({r["term"] for r in rows})], f"term {queries.schema['term'].dataType.simpleString()}")
-    held = {r["term"]: r["n"] for r in holding.join(F.broadcast(terms), "term").collect()}
-    number = {t: i for i, t in enumerate(sorted(held, key=lambda t: (held[t], t)))}
-    weights: dict[int, dict[int, float]] = {}
-    for r in rows:
-        if r["term"] in number:
-            weights.setdefault(r["query_id"], {})[number[r["term"]]] = r["tf"] * idf(points, held[r["term"]])
-    if not weights:
-        return spark.createDataFrame([], SCORED)
-    vocabulary = spark.createDataFrame([(t, i, idf(points, held[t])) for t, i in number.items()], f"term {queries.schema['term'].dataType.simpleString()}, number int, idf double")
-    index = scratch.save(build_index(corpus, vocabulary, block_points), name)
-    best = lambda blocks, floor: top_per(blocks.mapInArrow(score_blocks(weights, floor, len(number), k, own), SCORED), ["query_id"], [F.desc("score"), "point_id"], k)
-    floor = dict.fromkeys(weights, float(least))
-    for r in best(index.orderBy(F.desc("weight")).limit(PROBE), floor).groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("kth")).filter(F.col("n") == k).collect():
+def _block_top_k(weights: DataFrame, index: DataFrame, first: DataFrame, points: int, k: int, least: float, own: bool) -> DataFrame | None:
+    """weights (query_id, number, tf, n) of a block of queries to their k best of the index; first: its heaviest blocks."""
+    rows = weights.toArrow()  # a block of queries
+    ids, numbers, tfs, held = (rows.column(c).to_numpy() for c in ("query_id", "number", "tf", "n"))
+    if not len(ids):
+        return None
+    order = np.lexsort((numbers, held, ids))
+    vocabulary, places = np.unique(numbers[order], return_inverse=True)
+    kinds, which = np.unique(held[order], return_inverse=True)
+    weigh = tfs[order] * np.array([idf(points, n) for n in kinds.tolist()])[which]
+    names, starts = np.unique(ids[order], return_index=True)
+    asked = dict(zip(names.tolist(), zip(np.split(places, starts[1:]), np.split(weigh, starts[1:]))))
+    best = lambda blocks, floor: top_per(blocks.mapInArrow(score_blocks(asked, floor, vocabulary, k, own), SCORED).filter(F.col("score") >= float(least)), ["query_id"], [F.desc("score"), "point_id"], k)
+    floor = dict.fromkeys(asked, float(least))
+    for r in best(first, floor).groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("kth")).filter(F.col("n") == k).collect():
         floor[r["query_id"]] = max(floor[r["query_id"]], r["kth"])  # a row for each query of the block
     return best(index, floor)
 
@@ -180,11 +196,15 @@ def sparse_top_k(queries: DataFrame, corpus: DataFrame, k: int, least: float = 0
 
     queries, corpus = counts(queries, "query_id"), counts(corpus, "point_id")
     points = corpus.agg(F.count_distinct("point_id")).first()[0]
-    holding = corpus.groupBy("term").agg(F.count("*").alias("n"))
-    size = queries.agg(F.sum(F.octet_length(F.col("term").cast("string")) + 32)).first()[0] or 0
-    blocks, out = max(1, -(-size // query_bytes)), None
+    known = corpus.groupBy("term").agg(F.count("*").alias("n")).join(queries.select("term").distinct(), "term")
+    weight = F.log(1 + (points - F.col("n") + 0.5) / (F.col("n") + 0.5))
+    vocabulary = scratch.save(known.select("term", "n", F.monotonically_increasing_id().alias("number"), weight.alias("idf")), "vocabulary")
+    weights = scratch.save(queries.join(vocabulary, "term").select("query_id", "number", "tf", "n"), "weights")
+    index = scratch.save(build_index(corpus, vocabulary.select("term", "number", "idf"), block_points), "index", **SHORT_GROUPS)
+    first = scratch.save(index.orderBy(F.desc("weight")).limit(PROBE), "first", **SHORT_GROUPS)
+    blocks, out = max(1, -(-weights.count() * ROW_BYTES // query_bytes)), None
     for block in range(blocks):
-        some = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
-        found = _block_top_k(some, corpus, holding, points, k, least, own, block_points, scratch, f"index-{block}")
-        out = found if out is None else out.unionByName(found)
-    return out
+        found = _block_top_k(weights.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block), index, first, points, k, least, own)
+        if found is not None:
+            out = found if out is None else out.unionByName(found)
+    return corpus.sparkSession.createDataFrame([], SCORED) if out is None else out

@@ -38,8 +38,8 @@ class Scratch:
         self.spark, self.root = spark, f"{shared_folder(spark)}/palisade/{name}-{uuid.uuid4().hex}"
         atexit.register(self.drop)
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(f"{self.root}/{name}")
+    def save(self, df: DataFrame, name: str, **options: str) -> DataFrame:
+        df.write.options(**options).parquet(f"{self.root}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 
     def drop(self, *names: str) -> None:

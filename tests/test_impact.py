@@ -73,3 +73,21 @@ def test_blocks_that_cannot_matter_are_not_scored():
     best = {q: [p for _, p in sorted((-sum(w * points[p][t] for t, w in ((t, queries[q][numbers[t]]) for t in points[q])), p) for p in points if p != q)[:3]] for q in queries}
     assert {q: [p for _, p in b] for q, b in zip(found.ids, found.best)} == best
     assert np.all(np.isfinite(found.least))
+
+
+def test_index_is_built_once_for_all_blocks_of_queries(spark, monkeypatch):
+    points, built = made(), []
+    queries = {q: points[q] for q in list(points)[::9]}
+    monkeypatch.setattr(impact, "build_index", lambda *a, build=impact.build_index, **b: built.append(1) or build(*a, **b))
+    corpus, asked = (spark.createDataFrame(rows(bags), f"{name} long, term string, tf long") for bags, name in ((points, "point_id"), (queries, "query_id")))
+    got = impact.sparse_top_k(asked, corpus, 3, own=False, query_bytes=6000, block_points=16)
+    assert sorted((r.query_id, r.point_id, round(r.score, 9)) for r in got.collect()) == brute(queries, points, 3, own=False)
+    assert len(built) == 1
+
+
+def test_a_bound_from_another_order_of_the_sum_leaves_nothing_out():
+    # the k-th best was found to be greater by one in the ninth place
+    queries = impact.Queries({1: {0: 561137.34038}}, {1: 561137.34038 + 1e-9}, 3, True)
+    block = next(impact.index_blocks(4)(iter([pa.record_batch([pa.array([5]), pa.array([1.0]), pa.array([[0]], pa.list_(pa.int64())), pa.array([[1.0]])], names=["point_id", "weight", "terms", "tfs"])])))
+    queries.score(*(block.column(c)[0].values.to_numpy(zero_copy_only=False) for c in ("points", "terms", "counts", "most", "places", "tfs")), 1)
+    assert [p for _, p in queries.best[0]] == [5]
