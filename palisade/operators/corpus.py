@@ -7,6 +7,10 @@ rows are treated alike; where one of equals is taken, the order columns decide.
 
 from __future__ import annotations
 
+import re
+import string
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,8 +72,23 @@ def exclusion(path: Column, title: Column, explanation: Column, cwe: Column) ->
     ])
 
 
+def _holds_any(text: Column, pattern: str) -> Column:
+    """text.rlike(pattern), for a pattern of (?i) and alternatives without groups or classes.
+
+    The text is lower-cased once, and each alternative is looked for by what must stand there as
+    it is; a matcher that tries every alternative at every character is many times slower.
+    """
+
+    def one(t: Column, alternative: str) -> Column:
+        literal = max(re.split(r"\\.|.[?*+]|[^a-z0-9_ -]", alternative), key=len)
+        return t.contains(literal) if literal == alternative else t.contains(literal) & t.rlike(alternative)
+
+    lower = F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
+    return F.exists(F.array(lower), lambda t: reduce(Column.__or__, [one(t, a) for a in pattern.removeprefix("(?i)").split("|")]))
+
+
 def security_text(text: Column) -> Column:
-    return _no(text.rlike(SECURITY))
+    return _no(_holds_any(text, SECURITY))
 
 
 def listed_commit(known: Column, parents: Column, login: Column, kind: Column, message: Column) -> Column:

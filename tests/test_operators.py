@@ -186,3 +186,40 @@ def test_candidates_are_pruned_by_bitmaps(spark):
     got = {(r.a, r.b): round(r.jaccard, 9) for r in links.collect()}
     want = {(a, b): round(len(set(x) & set(y)) / len(set(x) | set(y)), 9) for a, x in rows for b, y in rows if a < b}
     assert got == {p: j for p, j in want.items() if j >= 0.7} and "bit_count" in links._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_security_texts_are_those_of_the_pattern(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from palisade.operators import corpus
+
+    rng = random.Random(5)
+    parts = ["", " ", "_", "-", "1", "\n", "\u212a", "\u0130", "\u017f", "\u00e9", "x", "cve", "CWE", "rce", "Dos", "auth", "zip", "slip", "cross", "site", "To\u212aen", "sou", "CSP", "e", "vuln", "remote", "code", "eval", "constant", "time", "ssl", "tls", "xss"]
+    texts = [(i, "".join(rng.choice(parts) for _ in range(6))) for i in range(3000)]
+    texts += [(9000 + i, f"a {w}!") for i, w in enumerate(corpus.SECURITY.removeprefix("(?i)").replace("\\b", "").replace("\\d", "7").replace(".?", "").replace(".", " ").upper().split("|"))] + [(9999, None)]
+    df = spark.createDataFrame(texts, "id long, text string")
+    rows = df.select("id", corpus.security_text(F.col("text")).alias("is"), F.coalesce(F.col("text").rlike(corpus.SECURITY), F.lit(False)).alias("want")).collect()
+    assert all(r["is"] == r["want"] for r in rows)
+    assert 100 < sum(r["is"] for r in rows if r.id < 9000) < 2900 and all(r["is"] for r in rows if 9000 <= r.id < 9999)
+
+
+def test_security_texts_do_not_try_every_word_at_every_character(spark):
+    import time
+
+    from pyspark.sql import functions as F
+
+    from palisade.operators import corpus
+
+    text = F.repeat(F.concat(F.lit("The source of this force is a Dose of calm prose "), F.col("id")), F.lit(4000))
+    df = spark.range(24).select(text.alias("text")).localCheckpoint()
+
+    def seconds(flag):
+        start = time.time()
+        assert df.filter(flag).count() == 0
+        return time.time() - start
+
+    mine, theirs = corpus.security_text(F.col("text")), F.col("text").rlike(corpus.SECURITY)
+    seconds(mine)
+    assert seconds(mine) < seconds(theirs) / 2
