@@ -8,6 +8,7 @@ are kept where rows are kept.
 from __future__ import annotations
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
@@ -130,6 +131,13 @@ def upsert_buckets(path: str, key: str, order: list[str], buckets: int = BUCKETS
     """
 
     def run(batch: DataFrame, epoch: int) -> None:
+        batch = batch.persist(StorageLevel.MEMORY_AND_DISK)  # it is read twice, and what made it may keep state
+        try:
+            put(batch, epoch)
+        finally:
+            batch.unpersist()
+
+    def put(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
         held = _versions(spark, path, epoch)
         rows = batch.withColumn("b", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))

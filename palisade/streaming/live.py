@@ -17,7 +17,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -39,13 +39,23 @@ def _millis(at) -> int:
 
 
 class _Timed(StatefulProcessor):
-    """Keeps one timer a key."""
+    """Keeps one timer a key, and its time as state: to have the handle list a key's timers takes tens of milliseconds."""
 
-    def _set(self, at: int | None) -> None:
-        for old in list(self.handle.listTimers()):
-            self.handle.deleteTimer(old)
-        if at is not None:
-            self.handle.registerTimer(at)
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.due = handle.getValueState("due", "at long")
+
+    def _set(self, at: int) -> None:
+        if old := self.due.get():
+            self.handle.deleteTimer(old[0])
+        self.handle.registerTimer(at)
+        self.due.update((at,))
+
+    def _unset(self, fired: bool = False) -> None:
+        if old := self.due.get():
+            if not fired:
+                self.handle.deleteTimer(old[0])
+            self.due.clear()
 
     def close(self) -> None:
         pass
@@ -58,36 +68,37 @@ class JobStates(_Timed):
         self.lease, self.keep = lease, keep
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.held = handle.getValueState("job", "state string, ts timestamp, id long")
+        super().init(handle)
+        self.held = handle.getValueState("job", "state string, us long, id long")
 
-    def _row(self, key, state: str, ts, why: str) -> pd.DataFrame:
-        return pd.DataFrame({"job": [key[0]], "state": [state], "ts": [pd.Timestamp(ts)], "why": [why]})
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        worth = lambda x: (-ORDER[x[0]], pd.Timestamp(x[1]), x[2])
-        before = self.held.get() if self.held.exists() else None
-        events = [*([tuple(before)] if before else []), *((r.state, r.ts, int(r.id)) for batch in rows for r in batch.itertuples())]
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        worth = lambda x: (-ORDER[x[0]], x[1], x[2])
+        before = self.held.get()
+        events = [*([tuple(before)] if before else []), *((r.state, r.us, r.id) for r in rows)]
         best = min(events, key=worth)
         if before and worth(best) == worth(tuple(before)):
             return
         self.held.update(best)
         wait = self.keep if ORDER[best[0]] == END else self.lease
-        self._set(None if wait is None else _millis(best[1]) + 1000 * wait)
-        yield self._row(key, best[0], best[1], "event")
+        if wait is None:
+            self._unset()
+        else:
+            self._set(best[1] // 1000 + 1000 * wait)
+        yield Row(job=key[0], state=best[0], us=best[1], why="event")
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        state, ts, id_ = self.held.get()
-        at = pd.Timestamp(expiredTimerInfo.getExpiryTimeInMs(), unit="ms")
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        state, us, id_ = self.held.get()
+        at = expiredTimerInfo.getExpiryTimeInMs()
         if ORDER[state] == END:
             self.held.clear()
+            self._unset(fired=True)
         elif state == "running":  # its process has not been heard of since
-            self.held.update(("failed", at, id_))
-            self._set(_millis(at) + 1000 * self.keep)
-            yield self._row(key, "failed", at, "orphaned")
+            self.held.update(("failed", 1000 * at, id_))
+            self._set(at + 1000 * self.keep)
+            yield Row(job=key[0], state="failed", us=1000 * at, why="orphaned")
         else:  # nobody took it
-            self._set(_millis(at) + 1000 * self.lease)
-            yield self._row(key, state, at, "rerun")
+            self._set(at + 1000 * self.lease)
+            yield Row(job=key[0], state=state, us=1000 * at, why="rerun")
 
 
 def job_states(events: DataFrame, lease: int | None = None, keep: int = KEEP, delay: str = "10 minutes") -> DataFrame:
@@ -98,8 +109,11 @@ def job_states(events: DataFrame, lease: int | None = None, keep: int = KEEP, de
     """
     use_state_store(events.sparkSession)
     rows = events.filter(F.col("state").isin(*ORDER) & F.col("ts").isNotNull()).select("job", "state", "ts", F.coalesce("id", F.lit(0)).cast("long").alias("id"))
+    rows = rows.withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
     job = rows.schema["job"].dataType.simpleString()
-    return rows.withWatermark("ts", delay).groupBy("job").transformWithStateInPandas(JobStates(lease, keep), f"job {job}, state string, ts timestamp, why string", "Append", "EventTime")
+    # a row at a time: a job has few, and pandas takes milliseconds a job
+    out = rows.withWatermark("ts", delay).groupBy("job").transformWithState(JobStates(lease, keep), f"job {job}, state string, us long, why string", "Append", "EventTime")
+    return out.select("job", "state", F.timestamp_micros("us").alias("ts"), "why")
 
 
 class Pacer(_Timed):
@@ -147,7 +161,7 @@ class Outcomes(_Timed):
         self.patience, self.keep = patience, keep
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
+        super().init(handle)
         self.ends = handle.getMapState("ends", "client string", "attempt int, outcome string")
         self.told = handle.getValueState("told", "answered boolean")
 
@@ -184,6 +198,7 @@ class Outcomes(_Timed):
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         if self.told.exists():
             self.told.clear()
+            self._unset(fired=True)
         else:
             yield self._end(key, self._held(), False, expiredTimerInfo.getExpiryTimeInMs())
 

@@ -90,3 +90,16 @@ def test_outcomes_of_calls(spark, run):
     want = jobs.final_outcomes(spark.createDataFrame(attempts, schema), ["call"], "client", "attempt", "outcome").collect()
     assert got == {r.call: (r.answered, r.outcomes, r.bad_output) for r in want}
     assert len([r for r in out if r.call == 2]) == 1
+
+
+def test_a_batch_of_a_stream_is_computed_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def once(i):
+        seen.add(1)
+        return i
+
+    batch = spark.range(40).select(F.udf(once, "long")("id").alias("job"), F.lit("queued").alias("state"), F.lit(0).alias("epoch"))
+    jobs.upsert_buckets(str(tmp_path / "out"), "job", ["epoch"], 4)(batch, 0)
+    assert seen.value == 40
+    assert jobs.read_buckets(spark, str(tmp_path / "out"), "job long, state string").count() == 40
