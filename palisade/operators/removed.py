@@ -34,6 +34,7 @@ def form(text: Column) -> Column:
 
 def diff_rows(files: DataFrame) -> DataFrame:
     """files (scan, path, patch) to (scan, path, tag, old_line, new_line, text); new_line of a removed line is its deletion point."""
+    diffs.use_small_batches(files.sparkSession)
 
     @F.pandas_udf("array<struct<tag:string,old_line:int,new_line:int,text:string>>")
     def rows(patches: pd.Series) -> pd.Series:

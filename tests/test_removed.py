@@ -126,3 +126,22 @@ def test_merge_in_order(spark, seed):
     got = removed.merged_in_order(a, b, ["file"], "at", "id", lambda x, y: x.kind == y.kind)
     assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
     assert removed.merged_in_order(a.filter("false"), b.filter("false"), ["file"], "at", "id", lambda x, y: True).count() == 0
+
+
+def test_texts_come_to_python_few_at_a_time(spark):
+    import pandas as pd
+    from pyspark.sql import functions as F
+
+    from palisade.operators import diffs, removed
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = F.pandas_udf(lambda s: pd.Series([s.str.len().sum()] * len(s)), "long")
+    texts = spark.range(0, 400, 1, 1).select("id", F.concat(F.repeat(F.lit("x"), 100_000), F.col("id")).alias("text"))
+    for use in (lambda: diffs.with_patch(texts, "text", "text"), lambda: removed.diff_rows(texts.selectExpr("id AS scan", "'a' AS path", "text AS patch"))):
+        spark.conf.unset(name)
+        use()
+        assert texts.select(held("text").alias("n")).agg(F.max("n")).first()[0] < 8_000_000
+    spark.conf.set(name, "1m")
+    diffs.with_patch(texts, "text", "text")
+    assert spark.conf.get(name) == "1m"
+    spark.conf.unset(name)
