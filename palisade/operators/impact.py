@@ -9,9 +9,11 @@ can't get over the k-th best; the rest is added to the points met, and only if t
 lift one of them so far. A first look at the `PROBE`
 heaviest blocks gives every task a k-th best to begin with. So no term is the key of a
 join of postings, however frequent it is, and light points are not scored against queries
-that they can't serve.
+that they can't serve. Heavy blocks are most of the work: they are dealt to tasks, come first
+in each, and where many queries look into one its counts become a table of terms by points.
 
-The index holds the terms of all queries, by numbers that Spark gives, and is built once.
+The index holds all terms, by numbers that are hashes of them (another seed is taken if two
+terms share one), so that points meet the vocabulary in no join, and is built once.
 Queries are sent to tasks in blocks of at most `QUERY_BYTES`; each is a pass over the
 index, of which a task takes the block's terms. Results for special rows: null ids, terms and counts take no part; repeated
 (id, term) rows add up; a query without matches has no rows; ties go to the smaller
@@ -20,24 +22,30 @@ point; empty sides give none.
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palisade.sources.scratch import Scratch
 
+from .diffs import use_small_batches
 from .names import top_per
 
 BLOCK_POINTS = 128
-QUERY_BYTES = 16 << 20
+QUERY_BYTES = 48 << 20
 #: Bytes of a query's term and what comes with it.
 ROW_BYTES = 32
-PROBE = 4
+PROBE = 8
+#: A block that so many queries look into is made a table, if that has no more cells than this; queries go by it so many at a time.
+DENSE_FROM, DENSE_CELLS, DENSE_QUERIES = 64, 8 << 20, 1024
+#: Terms whose idf is told apart when points are put in order; the others count as the rarest of them.
+COMMON = 1 << 16
 #: Places that scores are rounded to before they are compared.
 PLACES = 9
 SLACK = 2e-9
@@ -84,7 +92,8 @@ class Queries:
         self.starts = np.concatenate([[0], np.cumsum([len(t) for t in self.terms])[:-1]])
         self.least = np.array([least[q] for q in self.ids])
         self.best: list[list[tuple[float, int]]] = [[] for _ in self.ids]
-        self.scored = 0
+        self._names = np.array(self.ids, np.int64)
+        self.scored = 0  # postings, or cells of a block's table
 
     @staticmethod
     def _low(least: np.ndarray) -> np.ndarray:
@@ -103,6 +112,27 @@ class Queries:
         at = np.repeat(ends[terms] - np.cumsum(n), n) + np.arange(n.sum())
         return places[at], np.repeat(self.weights[q][which], n) * tfs[at]
 
+    def _score_many(self, which: np.ndarray, low: np.ndarray, points: np.ndarray, terms: np.ndarray, of: np.ndarray, places: np.ndarray, tfs: np.ndarray, width: int) -> None:
+        """Adds what a block has for many queries: its counts as a table, of which a query takes its terms' rows."""
+        table = np.zeros((len(terms) + 1, len(points)))  # the last row is of terms that the block has not
+        table[of, places] = tfs
+        row = np.full(width, len(terms))
+        row[terms] = np.arange(len(terms))
+        for part in np.split(which, range(DENSE_QUERIES, len(which), DENSE_QUERIES)):
+            rounded = np.round(np.array([self.weights[q] @ table[row[self.terms[q]]] for q in part.tolist()]), PLACES)
+            found = (rounded > 0) & (rounded >= low[part, None])
+            if not self.own:
+                found &= points != self._names[part, None]
+            self.scored += rounded.size
+            for i in np.flatnonzero(found.any(1)).tolist():
+                self._add_best(part[i], rounded[i], points, found[i])
+
+    def _add_best(self, q: int, scores: np.ndarray, points: np.ndarray, found: np.ndarray) -> None:
+        at = np.flatnonzero(found)
+        if len(at) > self.k:
+            at = at[np.lexsort((points[at], -scores[at]))[: self.k]]
+        self.add(q, scores[at], points[at])
+
     def score(self, points: np.ndarray, terms: np.ndarray, counts: np.ndarray, most: np.ndarray, places: np.ndarray, tfs: np.ndarray, width: int) -> None:
         """Adds what a block has for the queries."""
         top, ends = np.zeros(width), np.zeros(width, np.int64)
@@ -111,7 +141,11 @@ class Queries:
         size[terms] = counts
         bounds = np.add.reduceat(self.flat_weights * top[self.flat_terms], self.starts)
         n, low = len(points), self._low(self.least)
-        for q in np.flatnonzero((bounds > 0) & (bounds >= low)).tolist():
+        which = np.flatnonzero((bounds > 0) & (bounds >= low))
+        if len(which) >= DENSE_FROM and (len(terms) + 1) * n <= DENSE_CELLS:
+            self._score_many(which, low, points, terms, np.repeat(np.arange(len(terms)), counts), places, tfs, width)
+            return
+        for q in which.tolist():
             brings = self.weights[q] * top[self.terms[q]]
             order = np.argsort(-brings, kind="stable")[: np.count_nonzero(brings)]
             rest = np.cumsum(brings[order][::-1])[::-1]
@@ -129,10 +163,7 @@ class Queries:
             found = met & (rounded >= low[q])
             if not self.own:
                 found &= points != self.ids[q]
-            at = np.flatnonzero(found)
-            if len(at) > self.k:
-                at = at[np.lexsort((points[at], -rounded[at]))[: self.k]]
-            self.add(q, rounded[at], points[at])
+            self._add_best(q, rounded, points, found)
 
 
 def score_blocks(weights: dict[int, tuple[np.ndarray, np.ndarray]], least: dict[int, float], vocabulary: np.ndarray, k: int, own: bool):
@@ -156,12 +187,80 @@ def score_blocks(weights: dict[int, tuple[np.ndarray, np.ndarray]], least: dict[
     return run
 
 
-def build_index(corpus: DataFrame, vocabulary: DataFrame, block_points: int = BLOCK_POINTS) -> DataFrame:
-    """corpus (point_id, term, tf), one row each, and vocabulary (term, number, idf) to the blocks of the index."""
-    known = corpus.join(vocabulary, "term")
-    points = known.groupBy("point_id").agg(F.sum(F.col("tf") * F.col("idf")).alias("weight"), F.collect_list("number").alias("terms"), F.collect_list("tf").alias("tfs"))
-    points = points.repartitionByRange(int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.desc("weight"), "point_id").sortWithinPartitions(F.desc("weight"), "point_id")
-    return points.select("point_id", "weight", "terms", "tfs").mapInArrow(index_blocks(block_points), INDEX)
+def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """mapInArrow function: (id, terms), with repeats, to bags (id, terms, tfs), each term once; none without terms."""
+    for batch in batches:
+        lists = batch.column("terms")
+        of = np.repeat(np.arange(batch.num_rows), np.asarray(pc.list_value_length(lists).fill_null(0)))
+        coded = lists.flatten().dictionary_encode()
+        kinds = max(1, len(coded.dictionary))
+        found, tfs = np.unique(of * kinds + coded.indices.to_numpy(zero_copy_only=False), return_counts=True)
+        some, starts = np.unique(found // kinds, return_index=True)
+        ends = pa.array([*starts.tolist(), len(found)], pa.int32())
+        columns = [coded.dictionary.take(pa.array(found % kinds)), pa.array(tfs.astype(float))]
+        yield pa.record_batch([batch.column(0).take(pa.array(some)), *(pa.ListArray.from_arrays(ends, c) for c in columns)], names=[batch.schema.names[0], "terms", "tfs"])
+
+
+def bags_of(lists: DataFrame, id_: str) -> DataFrame:
+    """(id, terms), with repeats and several rows an id, to (id, terms, tfs): one bag an id, each term once.
+
+    Without repeated ids nothing is shuffled. Arrow batches of the session are set to 4 MB, unless they are smaller.
+    """
+    use_small_batches(lists.sparkSession)
+    rows = lists.select(F.col(id_).cast("long").alias(id_), "terms").filter(F.col(id_).isNotNull())
+    if rows.groupBy(id_).count().filter("count > 1").head(1):
+        rows = rows.groupBy(id_).agg(F.flatten(F.collect_list("terms")).alias("terms"))
+    return rows.mapInArrow(summed, f"{id_} long, terms array<string>, tfs array<double>")
+
+
+def _bags(rows: DataFrame, id_: str) -> DataFrame:
+    """(id, term, tf) in any number of rows to bags, with one shuffle."""
+    rows = rows.select(F.col(id_).cast("long").alias(id_), "term", F.col("tf").cast("double").alias("tf")).filter(f"{id_} is not null and term is not null and tf > 0")
+    counts = rows.repartition(id_).groupBy(id_, "term").agg(F.sum("tf").alias("tf"))
+    return counts.groupBy(id_).agg(F.collect_list(F.col("term").cast("string")).alias("terms"), F.collect_list("tf").alias("tfs"))
+
+
+def number(term: Column, seed: int) -> Column:
+    return F.xxhash64(term, F.lit(seed))
+
+
+def _numbered(corpus: DataFrame, scratch: Scratch) -> tuple[DataFrame, int]:
+    """Every term with its number and the points that hold it, and the seed by which no two terms have one number."""
+    held = corpus.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+    held = scratch.save(held, "vocabulary")
+    for seed in itertools.count():
+        out = held.withColumn("number", number(F.col("term"), seed))
+        if not out.groupBy("number").count().filter("count > 1").head(1):
+            return out, seed
+
+
+def weigh(numbers: np.ndarray, idfs: np.ndarray, rare: float):
+    """mapInArrow function: (point_id, terms, tfs), terms by number, with the points' weights; rare: idf of terms not among the numbers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            terms, tfs = (batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("terms", "tfs"))
+            at = np.minimum(np.searchsorted(numbers, terms), len(numbers) - 1)
+            of = np.repeat(np.arange(batch.num_rows), np.asarray(pc.list_value_length(batch.column("terms"))))
+            weight = np.bincount(of, tfs * np.where(numbers[at] == terms, idfs[at], rare), batch.num_rows)
+            yield pa.record_batch([*batch.columns, pa.array(weight)], names=["point_id", "terms", "tfs", "weight"])
+
+    return run
+
+
+def build_index(corpus: DataFrame, vocabulary: DataFrame, points: int, seed: int, block_points: int = BLOCK_POINTS) -> DataFrame:
+    """corpus (point_id, terms, tfs), one bag a point, and vocabulary (n, number) to the blocks of the index, dealt to tasks."""
+    common = vocabulary.select("number", "n").orderBy(F.desc("n"), "number").limit(COMMON).toArrow()  # a bounded table, which only puts points in order
+    numbers, held = (common.column(c).to_numpy() for c in ("number", "n"))
+    order = np.argsort(numbers)
+    idfs = np.log(1 + (points - held + 0.5) / (held + 0.5))
+    numbered = corpus.select("point_id", F.transform("terms", lambda t: number(t, seed)).alias("terms"), "tfs")
+    weighed = numbered.mapInArrow(weigh(numbers[order], idfs[order], float(idfs.max(initial=0.0))), "point_id long, terms array<long>, tfs array<double>, weight double")
+    parts = int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = weighed.repartitionByRange(parts, F.desc("weight"), "point_id").sortWithinPartitions(F.desc("weight"), "point_id")
+    blocks = ordered.select("point_id", "weight", "terms", "tfs").mapInArrow(index_blocks(block_points), INDEX)
+    # heavy blocks are most of the work: they are dealt out, and come first in each task
+    return blocks.repartition(parts).sortWithinPartitions(F.desc("weight"))
 
 
 def _block_top_k(weights: DataFrame, index: DataFrame, first: DataFrame, points: int, k: int, least: float, own: bool) -> DataFrame | None:
@@ -188,20 +287,19 @@ def sparse_top_k(queries: DataFrame, corpus: DataFrame, k: int, least: float = 0
 
     idf is ln(1 + (N - n + 0.5) / (n + 0.5)) over the corpus; counts are not negative.
     """
-    scratch = Scratch(corpus.sparkSession, "impact")
+    return search(_bags(queries, "query_id"), _bags(corpus, "point_id"), k, least, own, query_bytes, block_points)
+
 
-    def counts(df: DataFrame, id_: str) -> DataFrame:
-        rows = df.select(F.col(id_).cast("long").alias(id_), "term", F.col("tf").cast("double").alias("tf")).filter(f"{id_} is not null and term is not null and tf > 0")
-        return scratch.save(rows.groupBy(id_, "term").agg(F.sum("tf").alias("tf")), id_)
-
-    queries, corpus = counts(queries, "query_id"), counts(corpus, "point_id")
-    points = corpus.agg(F.count_distinct("point_id")).first()[0]
-    known = corpus.groupBy("term").agg(F.count("*").alias("n")).join(queries.select("term").distinct(), "term")
-    weight = F.log(1 + (points - F.col("n") + 0.5) / (F.col("n") + 0.5))
-    vocabulary = scratch.save(known.select("term", "n", F.monotonically_increasing_id().alias("number"), weight.alias("idf")), "vocabulary")
-    weights = scratch.save(queries.join(vocabulary, "term").select("query_id", "number", "tf", "n"), "weights")
-    index = scratch.save(build_index(corpus, vocabulary.select("term", "number", "idf"), block_points), "index", **SHORT_GROUPS)
-    first = scratch.save(index.orderBy(F.desc("weight")).limit(PROBE), "first", **SHORT_GROUPS)
+def search(queries: DataFrame, corpus: DataFrame, k: int, least: float = 0.0, own: bool = True, query_bytes: int = QUERY_BYTES, block_points: int = BLOCK_POINTS) -> DataFrame:
+    """sparse_top_k of bags: queries (query_id, terms, tfs), corpus (point_id, terms, tfs), one an id and each term once."""
+    scratch = Scratch(corpus.sparkSession, "impact")
+    corpus = scratch.save(corpus, "point_id")
+    points = corpus.count()
+    vocabulary, seed = _numbered(corpus, scratch)
+    asked = queries.select("query_id", F.explode(F.arrays_zip("terms", "tfs")).alias("t")).select("query_id", F.col("t.terms").alias("term"), F.col("t.tfs").alias("tf"))
+    weights = scratch.save(asked.join(vocabulary, "term").select("query_id", "number", "tf", "n"), "weights")
+    index = scratch.save(build_index(corpus, vocabulary, points, seed, block_points), "index", **SHORT_GROUPS)
+    first = scratch.save(index.orderBy(F.desc("weight")).limit(PROBE), "first", **SHORT_GROUPS).repartition(PROBE)
     blocks, out = max(1, -(-weights.count() * ROW_BYTES // query_bytes)), None
     for block in range(blocks):
         found = _block_top_k(weights.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block), index, first, points, k, least, own)

@@ -91,3 +91,52 @@ def test_a_bound_from_another_order_of_the_sum_leaves_nothing_out():
     block = next(impact.index_blocks(4)(iter([pa.record_batch([pa.array([5]), pa.array([1.0]), pa.array([[0]], pa.list_(pa.int64())), pa.array([[1.0]])], names=["point_id", "weight", "terms", "tfs"])])))
     queries.score(*(block.column(c)[0].values.to_numpy(zero_copy_only=False) for c in ("points", "terms", "counts", "most", "places", "tfs")), 1)
     assert [p for _, p in queries.best[0]] == [5]
+
+
+def test_heavy_blocks_are_dealt_to_tasks(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    points, built = made(), []
+    monkeypatch.setattr(impact, "build_index", lambda *a, build=impact.build_index, **b: built.append(build(*a, **b)) or built[0])
+    corpus = spark.createDataFrame(rows(points), "point_id long, term string, tf long")
+    impact.sparse_top_k(corpus.filter("point_id % 3 = 0").withColumnRenamed("point_id", "query_id"), corpus, 3, block_points=16)
+    heavy = sorted(((r.weight, r.task) for r in built[0].select("weight", F.spark_partition_id().alias("task")).collect()), reverse=True)[:4]
+    assert len({task for _, task in heavy}) > 2
+
+
+def test_table_of_a_block_and_numbers_that_two_terms_would_share(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    points, seeds = made(), set()
+    texts = [(i, " ".join(t for t in bag.elements())) for i, bag in points.items()]
+    texts += [(i, text[:0]) for i, text in texts[:3]] + [(8000, None), (None, "w1"), (8001, "1 2")]
+    halves = [(-50, text[: len(text) // 2].rpartition(" ")[0]) for i, text in texts if i == -50]  # an id of two rows
+    texts = [(i, text[len(halves[0][1]) :] if i == -50 and text else text) for i, text in texts] + halves
+    df = spark.createDataFrame(texts, "id long, text string")
+    number = lambda t, seed: seeds.add(seed) or (F.crc32(t.cast("binary")) % 8 if seed < 1 else F.xxhash64(t, F.lit(seed)))
+    monkeypatch.setattr(impact, "number", number)
+    monkeypatch.setattr(impact, "DENSE_FROM", 1)
+    monkeypatch.setattr(impact, "DENSE_QUERIES", 5)
+    bags = retrieval.sparse_bags(df, "id", "text")
+    assert {r.id: Counter(dict(zip(r.terms, r.tfs))) for r in bags.collect()} == points
+    got = impact.search(bags.filter("id % 3 = 0").withColumnRenamed("id", "query_id"), bags.withColumnRenamed("id", "point_id"), 4, own=False, block_points=16)
+    assert sorted((r.query_id, r.point_id, round(r.score, 9)) for r in got.collect()) == brute({q: p for q, p in points.items() if q % 3 == 0}, points, 4, own=False)
+    assert seeds == {0, 1}
+
+
+def test_many_queries_take_a_block_as_a_table():
+    points = made()
+    numbers = defaultdict(lambda: len(numbers))
+    order = sorted(points, key=lambda i: -sum(points[i].values()))
+    bags = {i: {numbers[t]: float(n) for t, n in points[i].items()} for i in order}
+    table = pa.record_batch([pa.array(order), pa.array([float(sum(points[i].values())) for i in order]), pa.array([list(bags[i]) for i in order], pa.list_(pa.int64())), pa.array([list(bags[i].values()) for i in order])], names=["point_id", "weight", "terms", "tfs"])
+    found = impact.Queries(bags, dict.fromkeys(bags, 0.0), 3, True)
+    postings = impact.Queries._postings
+    impact.Queries._postings = lambda *a: pytest.fail("postings were taken query by query")
+    try:
+        block = next(impact.index_blocks(128)(iter([table])))
+        found.score(*(block.column(c)[0].values.to_numpy(zero_copy_only=False) for c in ("points", "terms", "counts", "most", "places", "tfs")), len(numbers))
+    finally:
+        impact.Queries._postings = postings
+    scores = lambda q: sorted((-round(sum(w * bags[p].get(t, 0) for t, w in bags[q].items()), 9), p) for p in order[:128])
+    assert dict(zip(found.ids, found.best)) == {q: scores(q)[:3] for q in bags}
