@@ -7,24 +7,13 @@ are kept; ties are broken by the order columns.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import reduce
-from operator import add
-
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palisade.sources.scratch import Scratch
 
 from .names import fresh, top_per
-
-#: Rows of one token up to which its sets are paired in one place; more are dealt over cells.
-CELL = 2000
-#: Words of 64 bits in a set's bitmap.
-BITMAP = 16
+from .similar import near_duplicate_classes, near_duplicate_links  # noqa: F401
 
 
 def occurrence(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -62,72 +51,6 @@ def new_helpers(old: Column, new: Column, common: Column) -> Column:
     return F.array_sort(F.array_distinct(F.flatten(F.transform(only, lambda c: F.element_at(new, c)))))
 
 
-def classes(sets: DataFrame) -> DataFrame:
-    """(id, tokens) to (id, class_id, n): sets that are equal have the least id of them as their class."""
-    digest = F.sha2(F.array_join(F.sort_array("tokens"), "\0"), 256)
-    marked = sets.select("id", digest.alias("_d"), F.size("tokens").alias("n"))
-    least = marked.groupBy("_d").agg(F.min("id").alias("class_id"))
-    return marked.join(least, "_d").select("id", "class_id", "n")
-
-
-def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, h array of hashes) to the id and the bits that the hashes name."""
-    for batch in batches:
-        hashes = batch.column("h")
-        bits = np.zeros((batch.num_rows, 64 * BITMAP), bool)
-        rows = np.repeat(np.arange(batch.num_rows), pc.list_value_length(hashes).to_numpy(zero_copy_only=False))
-        bits[rows, hashes.flatten().to_numpy(zero_copy_only=False) & (64 * BITMAP - 1)] = True
-        words = np.packbits(bits, axis=1).view(np.int64)
-        yield pa.record_batch([batch.column("id"), *[pa.array(words[:, i]) for i in range(BITMAP)]], names=["id", *[f"b{i}" for i in range(BITMAP)]])
-
-
-def near_duplicate_links(sets: DataFrame, threshold: float = 0.7, least: int = 5, cell: int = CELL) -> DataFrame:
-    """(id, tokens array of distinct strings) to exact pairs (a, b, jaccard) of sets at the threshold.
-
-    Tokens are numbered in the order of rising document frequency; similar sets share one of
-    their first n - ceil(t * n) + 1 tokens, at places and sizes that leave room for the
-    overlap. Sets under a frequent token meet in cells, each two of which meet once, so
-    that no token's sets are in one task. A bit that only one of two bitmaps has stands for
-    a token that the other set lacks: pairs with too many of these are no candidates, which
-    are verified on the whole sets.
-    """
-    sets = sets.filter((F.size("tokens") >= least) & F.col("id").isNotNull()).select("id", "tokens")
-    words = sets.select("id", F.explode("tokens").alias("token"))
-    frequency = words.groupBy("token").agg(F.count("*").alias("df"))
-    # a token that one set has alone links nothing, but counts for the place of the others
-    ranked = words.join(frequency, "token").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("t"))
-    n = F.size("t")
-    bits = [f"b{i}" for i in range(BITMAP)]
-    bitmaps = sets.select("id", F.transform("tokens", lambda x: F.xxhash64(x)).alias("h")).mapInArrow(_bitmaps, ", ".join([f"id {sets.schema['id'].dataType.simpleString()}", *[f"{c} long" for c in bits]]))
-    prefix = ranked.select("id", n.alias("n"), F.posexplode(F.slice("t", 1, n - F.ceil(n * threshold).cast("int") + 1)).alias("at", "p")).select("id", "n", "at", "p.token", "p.df").filter("df > 1").join(bitmaps, "id")
-    parts = F.ceil(F.col("df") / cell).cast("int")
-    mine = F.pmod(F.xxhash64("id"), parts).cast("int")
-    cells = prefix.withColumn("parts", parts).withColumn("mine", mine)
-    # cell (i, j), i <= j: a set of part p is in all cells that name p
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    cells = cells.withColumn("other", other).withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other"))
-    a = cells.select("token", "i", "j", *[F.col(c).alias(f"{c}_a") for c in ("id", "n", "at", "mine", *bits)])
-    b = cells.select("token", "i", "j", *[F.col(c).alias(f"{c}_b") for c in ("id", "n", "at", "mine", *bits)])
-    room = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))  # tokens from here on, the shared one included
-    need = F.ceil((F.col("n_a") + F.col("n_b")) * (threshold / (1 + threshold)) - 1e-9)
-    near = (F.col("id_a") < F.col("id_b")) & (F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * threshold) & (room + F.least("at_a", "at_b") >= need)
-    lacks = lambda x, y: reduce(add, [F.bit_count(F.col(f"{c}_{x}").bitwiseAND(F.bitwise_not(F.col(f"{c}_{y}")))) for c in bits])
-    near &= (F.col("n_a") - lacks("a", "b") >= need) & (F.col("n_b") - lacks("b", "a") >= need)
-    met = (F.col("i") == F.col("j")) | (F.col("mine_a") != F.col("mine_b"))
-    pairs = a.join(b, ["token", "i", "j"]).filter(near & met).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
-    left, right = sets.select(F.col("id").alias("a"), F.col("tokens").alias("ta")), sets.select(F.col("id").alias("b"), F.col("tokens").alias("tb"))
-    both = F.size(F.array_intersect("ta", "tb"))
-    jaccard = both / (F.size("ta") + F.size("tb") - both)
-    return pairs.join(left, "a").join(right, "b").select("a", "b", jaccard.alias("jaccard")).filter(F.col("jaccard") >= threshold)
-
-
-def near_duplicate_classes(sets: DataFrame, threshold: float = 0.7, least: int = 5) -> tuple[DataFrame, DataFrame]:
-    """(id, class_id, n) of all sets, and the pairs (a, b, jaccard) of different classes: no link of copies is written out."""
-    member = classes(sets)
-    heads = sets.join(member.filter("id = class_id").select("id"), "id", "left_semi").dropDuplicates(["id"])
-    return member, near_duplicate_links(heads, threshold, least)
-
-
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """nodes (id), edges (a, b) to (id, component): the smallest id that can be reached.
 
