@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from palisade.sources.scratch import Scratch
+
 from . import diffs, intervals, quotes
 from .names import top_per
 
@@ -72,36 +74,86 @@ def scopes(candidates: DataFrame, functions: DataFrame, window: int = FALLBACK)
     )
 
 
+def _in_files(forms: DataFrame, candidates: DataFrame, files: DataFrame) -> DataFrame:
+    """(scan, path, forms, targets) of files: where each form of forms (scan, path, form) is removed, if it is still there, and old lines of candidates.
+
+    Texts are brought together once, without white space, and of a patch only removed lines
+    and tags; what is found in them is numbers and digests.
+    """
+    diffs.use_small_batches(files.sparkSession)
+
+    @F.pandas_udf("gone array<struct<line:int,at:int,form:string>>, tags string")
+    def read(patches: pd.Series) -> pd.DataFrame:
+        def one(patch: str | None) -> tuple[list[dict], str]:
+            gone = []
+            for a, b, body in diffs.hunks(patch or "", strict=False):
+                for tag, text in body:
+                    if tag == "-":
+                        gone.append({"line": a, "at": b, "form": quotes.match_form(text)})
+                    a, b = a + (tag != "+"), b + (tag != "-")
+            return gone, "\n".join(line if diffs.HUNK.match(line) else line[:1] for line in (patch or "").split("\n"))
+
+        return pd.DataFrame([one(p) for p in patches], columns=["gone", "tags"])
+
+    @F.pandas_udf("array<struct<line:int,target:int>>")
+    def back(tags: pd.Series, lines: pd.Series) -> pd.Series:
+        return pd.Series([[{"line": int(n), "target": diffs.map_back(t, int(n))} for n in numbers] for t, numbers in zip(tags, lines)])
+
+    each = files.select(*FILE, form(F.col("new")).alias("whole"), read("patch").alias("x")).select(*FILE, "whole", "x.*")
+    asked = forms.groupBy(*FILE).agg(F.collect_set("form").alias("forms"))
+    lines = candidates.filter("line is not null").groupBy(*FILE).agg(F.collect_set(F.col("line").cast("int")).alias("lines"))
+    found = F.transform("forms", lambda f: F.struct(
+        _digest(f).alias("digest"), F.transform(F.filter("gone", lambda g: F.contains(g["form"], f)), lambda g: F.struct(g["line"].alias("line"), g["at"].alias("at"))).alias("gone"),
+        F.coalesce(F.contains("whole", f), F.lit(False)).alias("moved"),
+    ))
+    return each.join(asked, FILE, "left").join(lines, FILE, "left").filter("forms is not null or lines is not null").select(
+        *FILE, found.alias("forms"), F.when(F.col("lines").isNotNull(), back("tags", F.coalesce("lines", F.array().cast("array<int>")))).alias("targets"),
+    )
+
+
+def _digest(form: Column) -> Column:
+    return F.unhex(F.md5(form))
+
+
 def removal_checks(candidates: DataFrame, changes: DataFrame, files: DataFrame, functions: DataFrame, window: int = FALLBACK) -> DataFrame:
     """(scan, id, change, old_line, new_line, reason): each change of a candidate's unit, and why it is no evidence; null if it is.
 
     candidates (scan, id, path, line, end_line); changes (scan, change, path, start_line,
     end_line, direction, old_text, line, alert), of units that lost a guard, with the
-    unit's lines; files (scan, path, new, patch).
+    unit's lines; files (scan, path, new, patch). Old texts are known by 128-bit digests of
+    their form once they were looked for in the files.
     """
-    lines = diff_rows(files)
-    gone = lines.filter("tag = '-'").select(*FILE, F.col("old_line").alias("gone_line"), F.col("new_line").alias("gone_at"), form(F.col("text")).alias("gone_form"))
+    scratch = Scratch(files.sparkSession, "evidence")
     wanted = changes.select("scan", "path", "change", "start_line", "end_line", "direction", F.col("line").alias("anchor"), F.coalesce("alert", F.lit(False)).alias("alert"), form(F.col("old_text")).alias("form"))
-    hits = wanted.filter("form <> ''").join(gone, FILE).filter(F.col("gone_form").contains(F.col("form")))
-    hits = hits.select("scan", "change", *[c for c in ("path", "alert", "gone_line", "gone_at")])
+    forms = wanted.filter("form <> ''").select(*FILE, "form")
+    facts = scratch.save(_in_files(forms, candidates, files), "facts", compression="zstd")
+    wanted = scratch.save(wanted.withColumn("digest", F.when(F.col("form") != "", _digest(F.col("form")))).drop("form"), "wanted", compression="zstd")
+    found = facts.select(*FILE, F.explode("forms").alias("x")).select(*FILE, "x.*").groupBy(*FILE, "digest").agg(F.flatten(F.collect_list("gone")).alias("gone"), F.bool_or("moved").alias("here"))
     # what a report says already: old lines of alerts, and their own lines
-    told_old = hits.filter("alert").select(*FILE, F.col("gone_line").alias("old_line")).distinct().withColumn("told_old", F.lit(True))
+    alerts = wanted.filter("alert and digest is not null").select(*FILE, "digest").distinct()
+    told_old = found.join(alerts, [*FILE, "digest"], "left_semi").select(*FILE, F.explode("gone.line").alias("old_line")).distinct().withColumn("told_old", F.lit(True))
     told_new = wanted.filter("alert and anchor is not null").select(*FILE, "anchor").distinct().withColumn("told_new", F.lit(True))
-    kept = files.select("scan", form(F.col("new")).alias("whole")).join(wanted.filter("form <> ''").select("scan", "form").distinct(), "scan")
-    moved = kept.filter(F.col("whole").contains(F.col("form"))).select("scan", "form").distinct().withColumn("moved", F.lit(True))
 
-    at = scopes(old_places(candidates.withColumnRenamed("end_line", "end_line_of"), files), functions, window).withColumnRenamed("old_line", "target")
+    targets = facts.select(*FILE, F.explode("targets").alias("x")).select(*FILE, "x.*")
+    at = scopes(candidates.withColumnRenamed("end_line", "end_line_of").join(targets, [*FILE, "line"]), functions, window)
     pairs = at.join(wanted.filter(F.col("direction").isin("removed", "weakened")), FILE).filter(F.col("line").between(F.col("start_line"), F.col("end_line")))
-    near = pairs.select("scan", "id", "change", "target").join(hits.select("scan", "change", "gone_line", "gone_at"), ["scan", "change"])
-    near = top_per(near, ["scan", "id", "change"], [F.abs(F.col("gone_line") - F.col("target")), "gone_line"]).drop("target")
-    out = pairs.join(near, ["scan", "id", "change"], "left").withColumn("old_line", F.col("gone_line")).withColumn("new_line", F.coalesce("anchor", "gone_at"))
-    out = out.join(told_old, [*FILE, "old_line"], "left").join(told_new, [*FILE, "anchor"], "left").join(moved, ["scan", "form"], "left")
+    near = F.array_min(F.transform("gone", lambda x: F.struct(F.abs(x["line"] - F.col("target")).alias("far"), x["line"].alias("line"), x["at"].alias("at"))))
+    out = pairs.join(found, [*FILE, "digest"], "left").withColumn("near", near).withColumn("old_line", F.col("near.line")).withColumn("new_line", F.coalesce("anchor", "near.at")).drop("gone", "near")
+    out = out.join(told_old, [*FILE, "old_line"], "left").join(told_new, [*FILE, "anchor"], "left")
+    moved = F.coalesce("here", F.lit(False))
+    # a scan of several files: what stands in another one was moved as well
+    several = scratch.save(files.groupBy("scan").agg(F.count("*").alias("n")).filter("n > 1").select("scan"), "several")
+    if several.limit(1).count():
+        whole = files.join(several, "scan", "left_semi").select("scan", form(F.col("new")).alias("whole"))
+        there = whole.join(forms.join(several, "scan", "left_semi").select("scan", "form").distinct(), "scan").filter(F.contains("whole", "form"))
+        out = out.join(there.select("scan", _digest(F.col("form")).alias("digest")).distinct().withColumn("there", F.lit(True)), ["scan", "digest"], "left")
+        moved = moved | F.coalesce("there", F.lit(False))
     by_old = F.col("anchor").isNull() & F.col("old_line").isNotNull() & F.col("old_low").isNotNull()
     in_scope = F.when(by_old, F.col("old_line").between(F.col("old_low"), F.col("old_high"))).otherwise(F.col("new_line").between(F.col("low"), F.col("high")))
     told = F.col("alert") | F.coalesce("told_old", F.lit(False)) | F.coalesce("told_new", F.lit(False))
     reason = (
-        F.when(F.coalesce("form", F.lit("")) == "", "no_old_code").when(F.col("new_line").isNull(), "not_located")
-        .when(~in_scope, F.when(F.col("in_function"), "other_function").otherwise("too_far")).when(F.col("moved"), "moved").when(told, "alert_reported")
+        F.when(F.col("digest").isNull(), "no_old_code").when(F.col("new_line").isNull(), "not_located")
+        .when(~in_scope, F.when(F.col("in_function"), "other_function").otherwise("too_far")).when(moved, "moved").when(told, "alert_reported")
     )
     return out.select("scan", "id", "change", "old_line", "new_line", reason.alias("reason"))
 

@@ -145,3 +145,39 @@ def test_texts_come_to_python_few_at_a_time(spark):
     diffs.with_patch(texts, "text", "text")
     assert spark.conf.get(name) == "1m"
     spark.conf.unset(name)
+
+
+def test_moved_to_another_file(spark):
+    old, other = "a(x)\ncheck(user)\nrun(x)\n", "b()\nif check( user ):\n"
+    files = [(1, "a", old, "a(x)\nrun(x)\n"), (1, "b", "b()\n", other), (2, "a", old, "a(x)\nrun(x)\n"), (2, "b", "b()\n", "b()\nrun()\n")]
+    files = spark.createDataFrame([(s, p, o, n, diffs.make(o, n)) for s, p, o, n in files], "scan int, path string, old string, new string, patch string")
+    changes = spark.createDataFrame([(s, 1, "a", 1, 9, "removed", "check(user)", None, False) for s in (1, 2)], "scan int, change int, path string, start_line int, end_line int, direction string, old_text string, line int, alert boolean")
+    candidates = spark.createDataFrame([(s, 7, "a", 2, None) for s in (1, 2)], "scan int, id int, path string, line int, end_line int")
+    nowhere = spark.createDataFrame([], "scan int, path string, start_line int, end_line int, old_start int, old_end int")
+    got = removed.removal_checks(candidates, changes, files, nowhere)
+    assert sorted(map(tuple, got.collect())) == [(1, 7, 1, 2, 2, "moved"), (2, 7, 1, 2, 2, None)]
+
+
+def test_texts_are_dealt_out_once(spark, tmp_path):
+    """Old texts, removed lines and new files go over the shuffle once each; what follows are numbers and digests."""
+    from test_similar import shuffled
+
+    rng, files, changes = random.Random(5), [], []
+    for scan in range(300):
+        old = [f"{rng.getrandbits(800):x}" for _ in range(20)]
+        new = [x if rng.random() > 0.5 else f"{rng.getrandbits(800):x}" for x in old]
+        files.append((scan, "a", "\n".join(new), diffs.make("\n".join(old), "\n".join(new))))
+        changes += [(scan, k, "a", 1, 99, "removed", x, None, k % 2 == 0) for k, x in enumerate(old) if x not in new]
+    spark.createDataFrame(files, "scan int, path string, new string, patch string").write.parquet(f"{tmp_path}/files")
+    spark.createDataFrame(changes, "scan int, change int, path string, start_line int, end_line int, direction string, old_text string, line int, alert boolean").write.parquet(f"{tmp_path}/changes")
+    candidates = spark.createDataFrame([(scan, 0, "a", 5, None) for scan in range(300)], "scan int, id int, path string, line int, end_line int")
+    nowhere = spark.createDataFrame([], "scan int, path string, start_line int, end_line int, old_start int, old_end int")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = shuffled(spark)
+        got = removed.removal_checks(candidates, spark.read.parquet(f"{tmp_path}/changes"), spark.read.parquet(f"{tmp_path}/files"), nowhere)
+        assert got.count() == len(changes) and got.filter("reason is null").count() == sum(not c[8] for c in changes)
+        dealt = shuffled(spark) - before
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert dealt < 2.5 * (sum(len(f[2]) for f in files) + sum(len(c[6]) for c in changes))
