@@ -303,16 +303,18 @@ def _among(ids: DataFrame) -> Callable:
 
 
 def _links(scratch: Scratch, sets: DataFrame, signatures: DataFrame, rarity: np.ndarray, heads: DataFrame, threshold: float, cell: int) -> DataFrame:
-    """Pairs (a, b, jaccard) of ids whose keys among the signatures are `heads`; each stage's tables are deleted after the next."""
+    """Pairs (a, b, jaccard) of ids whose keys among the signatures are `heads`."""
     heads = scratch.save(heads, "heads")
     signed = signatures.join(heads, "key", "left_semi")
     blocks = max(4, math.ceil(math.sqrt(heads.count() / BLOCK_HEADS)))
     posted = signed.select("key", "n", "prefix").mapInArrow(_posted(rarity, cell), "place long, key long, way long")
     dealt = posted.repartition(F.shiftright("place", 32)).sortWithinPartitions("place")
-    candidates = dealt.mapInArrow(_candidates(threshold, blocks), "block int, a array<long>, b array<long>")
+    # a table, so that the rows of hashes are gone before bitmaps are dealt out
+    candidates = scratch.save(dealt.mapInArrow(_candidates(threshold, blocks), "block int, a array<long>, b array<long>"), "candidates", compression="zstd")
     mine, other = F.pmod("key", F.lit(blocks)), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other")
     bitmaps = signed.select("key", "n", "bits", other).select(_block(mine, F.col("other"), blocks), "key", "n", "bits")
     near = scratch.save(candidates.groupBy("block").cogroup(bitmaps.groupBy("block")).applyInArrow(_unruled(threshold), "a long, b long"), "near")
+    scratch.drop("candidates")
 
     ends = near.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count("*").alias("pairs"))
     ends = scratch.save(ends.join(signatures.select("key", "id", "digest", "n"), "key"), "ends")

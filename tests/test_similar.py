@@ -60,3 +60,23 @@ def test_candidates_take_little_room(spark):
     before = shuffled(spark)
     assert sets.near_duplicate_links(df).count() == 395
     assert shuffled(spark) - before < 1.5 * sum(len(w) for _, t in rows for w in t)  # five times the tokens, when each token's rows held bitmaps
+
+
+def test_components_of_documents(spark):
+    """The query against brute force, and what it shuffles against the documents' texts."""
+    import re
+
+    from palisade.plans import catalog
+
+    sf = "/root/testdata/sf0.001"
+    docs = [(r.doc_id, sorted({w for w in re.split("[ \n]+", r.text) if w})) for r in spark.read.parquet(f"{sf}/documents.parquet").collect() if r.text is not None]
+    want = {i: i for i, _ in docs}
+    copies = {(min(i, j), max(i, j)) for (i, x), (j, y) in itertools.combinations(docs, 2) if x == y}
+    edges = {*brute(docs, 0.7), *copies}
+    while any(want[a] != want[b] for a, b in edges):
+        for a, b in edges:
+            want[a] = want[b] = min(want[a], want[b])
+    before = shuffled(spark)
+    assert {r.id: r.component for r in catalog.components(spark, sf).collect()} == want
+    assert len(set(want.values())) < len(want)
+    assert shuffled(spark) - before < 2 * sum(len(w) for _, t in docs for w in t)
